@@ -1,0 +1,19 @@
+"""Cutting texts where no pre-token of the byte-level pattern can cross, so that pieces can be memoised.
+
+The pattern lets a single space begin a piece and never holds one inside it. Between two characters that are no
+white space, every single space is therefore a boundary, whatever stands around it.
+"""
+
+from __future__ import annotations
+
+import re
+
+#: White space, in any library's sense, before a space: then a run of white space crosses the cut.
+UNSAFE = re.compile("[\\s\x1c-\x1f\x85᠎​-‍⁠﻿] ")
+
+
+def cut(text: str) -> list[str] | None:
+    """The text's chunks without the space that begins all but the first; None where the cut isn't safe."""
+    if UNSAFE.search(text) or text[:1] == " ":
+        return None
+    return text.split(" ")
