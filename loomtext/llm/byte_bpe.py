@@ -25,7 +25,7 @@ from loomtext.llm.chunks import cut
 from loomtext.runtime import ship
 
 #: Entries that a worker's memo of chunks holds before it starts anew.
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
