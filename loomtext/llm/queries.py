@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import arc_warc, byte_bpe, ppm, repair_tokens, tiff, winnow
+from loomtext.llm import arc_warc, byte_bpe, ngram_join, ppm, repair_tokens, tiff, winnow
 from loomtext.runtime import scratch
 
 
@@ -42,6 +42,10 @@ FROM bits
 """
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_components(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
 def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.edits(table(spark, sf_dir, "documents"), parts_of(spark))
 
@@ -82,6 +86,7 @@ def op10_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_arc_to_warc": op1_arc_to_warc,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_winnowing": op3_winnowing,
     "op5_repair_tokens": op5_repair_tokens,
     "op6_tiff_pages": op6_tiff_pages,
