@@ -6,8 +6,9 @@ bytes that the longer one holds no longer count; below the empty context, all by
 frozen after training, so a context's code lengths are a row of a table, and a text's code length under a language is
 the sum over its bytes, which NumPy looks up batch by batch. The language with the shortest code is predicted.
 
-Training texts are a bounded sample: of each language the TRAIN_TEXTS labelled texts of least hash (equal texts count
-once), and of these the first that together reach TRAIN_BYTES, so the model is small at any input size. Prediction covers whole texts.
+Training texts are a bounded sample: of each language about TRAIN_TEXTS labelled texts of least hash (equal texts count
+once), and of these the first that together reach TRAIN_BYTES, so the model is small at any input size. Prediction
+covers whole texts.
 Texts are lower-cased first. A null text or one without a letter gives `und` and score 0. Score is the probability of
 the predicted language if every language were alike before, with the difference of code lengths counted for at most
 SCORE_BYTES bytes of the text. Ties go to the language first in order. Without labelled texts all rows give `und`.
@@ -21,7 +22,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm._arrays import slices, utf8_flat
@@ -155,22 +156,28 @@ class Model:
         return out / UNIT
 
 
-def _train_sample(df: DataFrame, text: str, lang: str) -> DataFrame:
-    rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    least = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    return rows.withColumn("place", F.row_number().over(least)).where(F.col("place") <= TRAIN_TEXTS)
-
-
 def train(df: DataFrame, text: str = "text", lang: str = "lang") -> Model | None:
-    """Fit on the labelled rows of df; only the bounded sample reaches the driver. None without any text."""
+    """Fit on the labelled rows of df; only the bounded sample reaches the driver. None without any text.
+
+    Of each language, distinct texts under a bound of their hash are taken, so that about TRAIN_TEXTS are expected; no
+    text is moved to choose them.
+    """
+    span = float(1 << 62)
+    rows = df.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    rows = rows.withColumn("hash", F.shiftrightunsigned(F.xxhash64("text"), 2))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n")).collect()}
+    if not counts:
+        return None
+    bound = F.create_map(*[x for name, n in counts.items() for x in (F.lit(name), F.lit(int(span * min(1.0, TRAIN_TEXTS / max(n, 1)))))])
+    sample = rows.where(F.col("hash") <= bound[F.col("lang")]).dropDuplicates(["lang", "hash"])
     texts: dict[str, list[bytes]] = {}
     size: dict[str, int] = {}
-    for row in _train_sample(df, text, lang).orderBy("lang", "place").toLocalIterator():
+    for row in sample.orderBy("lang", "hash").toLocalIterator():
         data = row["text"].lower().encode()
-        if data and size.get(row["lang"], 0) < TRAIN_BYTES:
+        if size.get(row["lang"], 0) < TRAIN_BYTES:
             texts.setdefault(row["lang"], []).append(data)
             size[row["lang"]] = size.get(row["lang"], 0) + len(data)
-    return Model(texts) if texts else None
+    return Model(texts)
 
 
 _models: dict[int, Model] = {}
