@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import arc_warc, byte_bpe, ngram_join, ppm, repair_tokens, tiff, winnow
+from loomtext.llm import arc_warc, byte_bpe, ngram_join, pii, ppm, repair_tokens, tiff, winnow
 from loomtext.runtime import scratch
 
 
@@ -67,6 +67,14 @@ def op6_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_spans(docs, pii.train(docs))
+    of_kind = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("bigint")
+    counts = [of_kind(i).alias(f"n_{name}") for i, name in enumerate(pii.KINDS[: pii.BASE])]
+    return found.select("doc_id", *counts, F.sha2(pii.written("base").cast("binary"), 256).alias("base_sha256"), pii.written("spans").alias("spans"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     how = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     rows = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), *how), *how)
@@ -90,6 +98,7 @@ QUERIES = {
     "op3_winnowing": op3_winnowing,
     "op5_repair_tokens": op5_repair_tokens,
     "op6_tiff_pages": op6_tiff_pages,
+    "op7_pii": op7_pii,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_ppm_language": op10_ppm_language,
 }
