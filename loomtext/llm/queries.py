@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import arc_warc, byte_bpe, ngram_join, pii, ppm, repair_tokens, tiff, winnow
+from loomtext.llm import arc_warc, byte_bpe, ngram_join, pfair_mix, pii, ppm, repair_tokens, tiff, winnow
 from loomtext.runtime import scratch
 
 
@@ -50,6 +50,10 @@ def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.edits(table(spark, sf_dir, "documents"), parts_of(spark))
 
 
+def op4_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfair_mix.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 def op5_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "shards")
     repair_tokens.write_shards(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), 2, parts_of(spark))
@@ -96,10 +100,11 @@ QUERIES = {
     "op1_arc_to_warc": op1_arc_to_warc,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_winnowing": op3_winnowing,
+    "op4_pfair_mix": op4_pfair_mix,
     "op5_repair_tokens": op5_repair_tokens,
     "op6_tiff_pages": op6_tiff_pages,
     "op7_pii": op7_pii,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_ppm_language": op10_ppm_language,
 }
-ORACLES = {"op1_arc_to_warc": OP1_SQL}
+ORACLES = {"op1_arc_to_warc": OP1_SQL, "op4_pfair_mix": pfair_mix.sql()}
