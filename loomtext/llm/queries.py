@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import arc_warc, byte_bpe, ngram_join, pfair_mix, pii, ppm, repair_tokens, tiff, winnow
+from loomtext.llm import arc_warc, byte_bpe, licenses, ngram_join, pfair_mix, pii, ppm, repair_tokens, tiff, winnow
 from loomtext.runtime import scratch
 
 
@@ -79,6 +79,13 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.written("base").cast("binary"), 256).alias("base_sha256"), pii.written("spans").alias("spans"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    best = F.array_max(F.transform("matches", lambda m: F.struct(m["dice"].alias("dice"), (-m["start_word"]).alias("first"), m["license"].alias("license"))))
+    listed = F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["license"], m["start_word"].cast("string"), m["end_word"].cast("string"), F.format_number(m["dice"], 4))), ",")
+    return found.select("doc_id", F.size("matches").cast("bigint").alias("n_matches"), best["license"].alias("license"), best["dice"].alias("dice"), listed.alias("matches"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     how = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     rows = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), *how), *how)
@@ -104,6 +111,7 @@ QUERIES = {
     "op5_repair_tokens": op5_repair_tokens,
     "op6_tiff_pages": op6_tiff_pages,
     "op7_pii": op7_pii,
+    "op8_license_scan": op8_license_scan,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_ppm_language": op10_ppm_language,
 }

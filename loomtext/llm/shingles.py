@@ -36,10 +36,11 @@ def _powers_to(n: int) -> np.ndarray:
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64))
 
 
-def word_hashes(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, A-Z lower-cased, and where each text's words start (one more entry than texts)."""
+def word_spans(flat: np.ndarray, at: np.ndarray, blank: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words, A-Z lower-cased, where each text's words start (one more entry than texts), and the bytes
+    where the words begin. `blank` tells the bytes that separate words."""
     low = _LOWER[flat]
-    solid = ~_BLANK[low]
+    solid = ~blank[low]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     starts = at[:-1][at[:-1] < at[1:]]
@@ -61,7 +62,11 @@ def word_hashes(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     terms = np.where(solid, _BYTE[low] * powers[np.minimum(place, longest)], np.uint64(0))
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)))
     words = mixed(total[end] - total[begin] + sizes.astype(np.uint64))
-    return words, np.searchsorted(begin, at)
+    return words, np.searchsorted(begin, at), begin
+
+
+def word_hashes(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return word_spans(flat, at)[:2]
 
 
 def shingle_sets(flat: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
