@@ -9,8 +9,8 @@ one n-gram, and overlaps are bounded before they are counted:
    a set of size a has |a| - ceil(t |a|) + 1 of them, since any other set that is alike must share one of these.
 3. First each block links its members to one hub, the one with the fewest rare shingles, which settles most of a large
    group of near copies by as many pairs as it has members. Links found join classes to components.
-4. Then every block pairs those members that are not yet in one component and whose sizes and positions allow the
-   overlap that they need. So no link between components is missed, and none within one is needed.
+4. Then every block pairs those members that are not yet in one component and whose sizes, positions and parities of
+   512 counters (two sets differ in as many shingles as parities, at least) allow the overlap that they need. So no link between components is missed, and none within one is needed.
 5. Pairs of either step are discarded if 256 counters of their sets bound the overlap below what they need; overlaps of
    the rest are counted on the whole sets.
 
@@ -34,8 +34,8 @@ from loomtext.runtime import drop_path, ship, stored
 
 #: Counters of the sketch, and slices in which they are summed.
 CELLS, SLICES = 1 << 22, 64
-#: Counters that bound an overlap.
-COUNTERS = 256
+#: Counters that bound an overlap, and 64-bit words of parities that bound a difference.
+COUNTERS, WORDS = 256, 8
 PIECE_BYTES = 4 << 20
 
 
@@ -90,8 +90,8 @@ def levels(df: DataFrame, text: str, n: int, cells: int = CELLS) -> np.ndarray:
     return np.log2(np.maximum(1, counts / max(1.0, 2 * counts.mean()))).astype(np.uint8)
 
 
-_SETS = [("doc_id", pa.int64()), ("n", pa.int64()), ("v", pa.int64()), ("rare", pa.int32()), ("prefix", pa.list_(pa.int64())), ("counters", pa.binary())]
-SETS = "doc_id bigint, n bigint, v bigint, rare int, prefix array<bigint>, counters binary"
+_SETS = [("doc_id", pa.int64()), ("n", pa.int64()), ("v", pa.int64()), ("rare", pa.int32()), ("prefix", pa.list_(pa.int64())), ("counters", pa.binary()), ("odd", pa.list_(pa.int64()))]
+SETS = "doc_id bigint, n bigint, v bigint, rare int, prefix array<bigint>, counters binary, odd array<bigint>"
 
 
 def _set_key(own: np.ndarray) -> int:
@@ -108,14 +108,15 @@ def _sets(n: int, num: int, den: int, shared, batches):
             flat, at = shingle_sets(*utf8_flat(piece.column(1)), n)
             sizes = np.diff(at)
             high = level[(flat >> shift).astype(np.int64)]
-            cell = (flat >> np.uint64(56)).astype(np.int64)
-            keys, rare, prefix, counters = [], [], [], []
+            cell = (flat >> np.uint64(55)).astype(np.int64)
+            keys, rare, prefix, counters, odd = [], [], [], [], []
             for start, size in zip(at[:-1].tolist(), sizes.tolist(), strict=True):
                 if not size:
                     keys.append(None)
                     rare.append(None)
                     prefix.append(None)
                     counters.append(None)
+                    odd.append(None)
                     continue
                 own, own_level = flat[start : start + size], high[start : start + size]
                 # Sets are ascending, so a stable sort by level gives the order (level, hash).
@@ -123,8 +124,10 @@ def _sets(n: int, num: int, den: int, shared, batches):
                 keys.append(_set_key(own))
                 rare.append(int(1000 * (own_level[first] == 0).mean()))
                 prefix.append(own[first].view(np.int64))
-                counters.append(np.minimum(np.bincount(cell[start : start + size], minlength=COUNTERS), 65535).astype("<u2").tobytes())
-            columns = [piece.column(0), pa.array(sizes, pa.int64()), keys, rare, prefix, counters]
+                counted = np.bincount(cell[start : start + size], minlength=64 * WORDS)
+                counters.append(np.minimum(counted.reshape(COUNTERS, -1).sum(1), 65535).astype("<u2").tobytes())
+                odd.append(np.packbits(counted & 1).view(np.int64))
+            columns = [piece.column(0), pa.array(sizes, pa.int64()), keys, rare, prefix, counters, odd]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, (_, t) in zip(columns, _SETS, strict=True)], schema=pa.schema(_SETS))
 
 
@@ -219,7 +222,7 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", n
     shared = spark.sparkContext.broadcast(levels(docs, "text", n, cells).tobytes())
     sets, _ = stored(docs.mapInArrow(partial(_sets, n, num, den, shared), SETS), "sets")
     some = sets.where("n > 0")
-    one = [F.first(c).alias(c) for c in ("n", "rare", "prefix", "counters")]
+    one = [F.first(c).alias(c) for c in ("n", "rare", "prefix", "counters", "odd")]
     classes, _ = stored(some.groupBy("v").agg(F.min("doc_id").alias("first"), *one), "classes")
     classes = classes.withColumn("sample", F.col("first"))
     join = _Join(docs, "text", n, num, den, classes)
@@ -242,13 +245,15 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", n
     left, left_path = stored(left, "left")
     mixed_blocks = left.groupBy("h").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("h")
     mixed_blocks, mixed_path = stored(mixed_blocks, "mixed")
-    open_rows, open_path = stored(left.join(mixed_blocks, "h"), "open")
-    a, b = (open_rows.select("h", *(F.col(c).alias(f"{c}_{side}") for c in ("v", "n", "pos", "root"))) for side in ("a", "b"))
+    odd = [F.col("odd")[i].alias(f"odd{i}") for i in range(WORDS)]
+    open_rows, open_path = stored(left.join(mixed_blocks, "h").join(classes.select("v", *odd), "v"), "open")
+    a, b = (open_rows.select("h", *(F.col(c).alias(f"{c}_{side}") for c in ("v", "n", "pos", "root", *(f"odd{i}" for i in range(WORDS))))) for side in ("a", "b"))
     need = f"-floor(-{num} * (n_a + n_b) / {den + num})"
     wanted = (
         F.expr("(n_a < n_b OR (n_a = n_b AND v_a < v_b)) AND root_a != root_b")
         & F.expr(f"{num} * n_b <= {den} * n_a")
         & F.expr(f"n_a - pos_a >= {need} AND n_b - pos_b >= {need}")
+        & F.expr(" + ".join(f"bit_count(odd{i}_a ^ odd{i}_b)" for i in range(WORDS)) + f" <= n_a + n_b - 2 * ({need})")
     )
     pairs = a.where(F.expr(f"pos_a < n_a + floor(-2 * {num} * n_a / {den + num}) + 1")).join(b, "h").where(wanted)
     more = join.links(pairs.select(F.col("v_a").alias("a"), F.col("v_b").alias("b"), "n_a", "n_b").distinct())
