@@ -204,7 +204,7 @@ def paragraph_assembly(spark, sf_dir):
 
 
 @query(f"""
-WITH {_CUES}, c AS (SELECT doc_id, s AS since, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS idx FROM (SELECT doc_id, min(s) AS s FROM e GROUP BY doc_id, s // 259200)),
+WITH {_CUES}, c AS (SELECT doc_id, lo AS since, row_number() OVER (PARTITION BY doc_id ORDER BY lo) - 1 AS idx FROM (SELECT doc_id, min(s) AS lo FROM e GROUP BY doc_id, floor(e.s / 259200))),
  f AS (SELECT doc_id, CASE WHEN idx = 0 THEN -1e18 ELSE since END AS since, idx FROM c)
 SELECT e.doc_id, e.seq, CAST(f.idx AS INTEGER) AS chapter_idx FROM e ASOF LEFT JOIN f ON e.doc_id = f.doc_id AND e.s >= f.since
 """)
