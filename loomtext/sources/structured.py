@@ -83,7 +83,7 @@ def tracks_of(meta: DataFrame) -> DataFrame:
 
 def pdf_properties(rows: DataFrame) -> DataFrame:
     p = F.from_json("json", PDF)
-    return rows.select("doc_id", F.coalesce(p["number_of_pages"], F.lit(0)).alias("page_count"), F.coalesce(p["title"], F.lit("")).alias("title"), F.filter(F.transform(F.split(F.coalesce(p["author"], F.lit("")), ","), F.trim), lambda a: a != "").alias("authors"), pdf_date(F.coalesce(p["creation_date"], F.lit(""))).alias("publish_date"))
+    return rows.select("doc_id", F.coalesce(p["number_of_pages"], F.lit(0)).alias("page_count"), F.coalesce(p["title"], F.lit("")).alias("title"), F.filter(F.transform(F.split(F.coalesce(p["author"], F.lit("")), ","), lambda a: F.trim(a)), lambda a: a != "").alias("authors"), pdf_date(F.coalesce(p["creation_date"], F.lit(""))).alias("publish_date"))
 
 
 def posts(rows: DataFrame) -> DataFrame:
