@@ -32,8 +32,8 @@ from loomtext.llm._arrays import slices, utf8_flat
 from loomtext.llm.shingles import mixed, shingle_sets
 from loomtext.runtime import drop_path, ship, stored
 
-#: Counters of the sketch, and slices in which they are summed.
-CELLS, SLICES = 1 << 22, 64
+#: Counters of the sketch, slices in which they are summed, and levels to each doubling of a count.
+CELLS, SLICES, STEPS = 1 << 22, 64, 4
 #: Counters that bound an overlap, and 64-bit words of parities that bound a difference.
 COUNTERS, WORDS = 256, 8
 PIECE_BYTES = 4 << 20
@@ -79,15 +79,15 @@ def _summed(batches):
 
 
 def levels(df: DataFrame, text: str, n: int, cells: int = CELLS) -> np.ndarray:
-    """Level of each cell: how often its count doubles that of twice an even spread. `cells` bytes at any input size."""
+    """Level of each cell: STEPS for each time that its count doubles an even spread's. `cells` bytes at any input size."""
     ship(df.sparkSession)
     part = df.select(text).mapInArrow(partial(_sketch, n, cells), "slice int, counts binary")
     rows = part.repartition(SLICES, "slice").mapInArrow(_summed, "slice int, counts binary").collect()
     counts = np.zeros((SLICES, cells // SLICES), np.uint64)
     for row in rows:
         counts[row["slice"]] = np.frombuffer(bytes(row["counts"]), np.uint64)
-    counts = counts.ravel().astype(np.float64)
-    return np.log2(np.maximum(1, counts / max(1.0, 2 * counts.mean()))).astype(np.uint8)
+    counts = counts.ravel()
+    return np.rint(STEPS * np.log2(np.maximum(1, counts / max(1.0, float(counts.mean()))))).astype(np.uint8)
 
 
 _SETS = [("doc_id", pa.int64()), ("n", pa.int64()), ("v", pa.int64()), ("rare", pa.int32()), ("prefix", pa.list_(pa.int64())), ("counters", pa.binary()), ("odd", pa.list_(pa.int64()))]
@@ -122,7 +122,7 @@ def _sets(n: int, num: int, den: int, shared, batches):
                 # Sets are ascending, so a stable sort by level gives the order (level, hash).
                 first = np.argsort(own_level, kind="stable")[: prefix_size(size, num, den)]
                 keys.append(_set_key(own))
-                rare.append(int(1000 * (own_level[first] == 0).mean()))
+                rare.append(int(1000 * (own_level[first] < STEPS).mean()))
                 prefix.append(own[first].view(np.int64))
                 counted = np.bincount(cell[start : start + size], minlength=64 * WORDS)
                 counters.append(np.minimum(counted.reshape(COUNTERS, -1).sum(1), 65535).astype("<u2").tobytes())
@@ -243,7 +243,10 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", n
 
     left = blocks.select("h", "v", "n", "pos").join(found, "v", "left").withColumn("root", F.coalesce("root", "v"))
     left, left_path = stored(left, "left")
-    mixed_blocks = left.groupBy("h").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("h")
+    # Blocks of the same members are one: the first in order of them has each pair's positions least.
+    members = [F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("v") % (1 << 40)).alias("total"), F.bit_xor(F.xxhash64("v", F.lit(1))).alias("mark"), F.min_by("pos", "v").alias("place")]
+    mixed_blocks = left.groupBy("h").agg(F.min("root").alias("least"), F.max("root").alias("most"), *members).where("least != most")
+    mixed_blocks = mixed_blocks.groupBy("least", "most", "members", "total", "mark").agg(F.min_by("h", "place").alias("h")).select("h")
     mixed_blocks, mixed_path = stored(mixed_blocks, "mixed")
     odd = [F.col("odd")[i].alias(f"odd{i}") for i in range(WORDS)]
     open_rows, open_path = stored(left.join(mixed_blocks, "h").join(classes.select("v", *odd), "v"), "open")
