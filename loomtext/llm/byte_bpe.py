@@ -12,6 +12,7 @@ Null texts count as empty and give no ids; repeated rows are each encoded; extra
 from __future__ import annotations
 
 import base64
+import struct
 from functools import partial
 
 import ahocorasick
@@ -24,8 +25,10 @@ from loomtext.llm._arrays import binary_column
 from loomtext.llm.chunks import cut
 from loomtext.runtime import ship
 
-#: Entries that a worker's memo of chunks holds before it starts anew.
-MEMO_ENTRIES = 300_000
+#: Entries that a worker's memos of chunks and of pieces hold before these become the old ones and new ones begin.
+CHUNK_ENTRIES, PIECE_ENTRIES = 240_000, 120_000
+#: Pairs of tokens whose compatibility a worker remembers.
+FIT_ENTRIES = 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -50,8 +53,9 @@ class ByteBpe:
         self._fits: dict[int, bool] = {}
         self._shorter: dict[int, int] = {}
         self._pieces: dict[str, bytes] = {}
+        self._old_pieces: dict[str, bytes] = {}
         self._chunks: dict[str, bytes] = {}
-        self._first: dict[str, bytes] = {}
+        self._old_chunks: dict[str, bytes] = {}
 
     def merge(self, token: bytes, below: int | None = None) -> list[int]:
         """Merging by rank, step by step; with `below`, only merges of a lower rank than that."""
@@ -85,6 +89,8 @@ class ByteBpe:
         key = left << 32 | right
         known = self._fits.get(key)
         if known is None:
+            if len(self._fits) >= FIT_ENTRIES:
+                self._fits.clear()
             known = self._fits[key] = self._compatible(left, right)
         return known
 
@@ -154,9 +160,14 @@ class ByteBpe:
         for piece in self.pattern.findall(text):
             ids = memo.get(piece)
             if ids is None:
-                if len(memo) >= MEMO_ENTRIES:
-                    memo.clear()
-                ids = memo[piece] = np.array(self.encode_piece(piece.encode()), "<u4").tobytes()
+                ids = self._old_pieces.get(piece)
+                if ids is None:
+                    found = self.encode_piece(piece.encode())
+                    ids = struct.pack(f"<{len(found)}I", *found)
+                if len(memo) >= PIECE_ENTRIES:
+                    self._old_pieces = memo
+                    memo = self._pieces = {}
+                memo[piece] = ids
             out.append(ids)
         return b"".join(out)
 
@@ -169,12 +180,16 @@ class ByteBpe:
         out = list(map(memo.get, chunks))
         out[0] = first
         if None in out:
-            if len(memo) >= MEMO_ENTRIES:
-                memo.clear()
+            if len(memo) >= CHUNK_ENTRIES:
+                self._old_chunks = memo
+                memo = self._chunks = {}
+            old = self._old_chunks
             for i in [i for i, ids in enumerate(out) if ids is None]:
-                ids = memo.get(chunks[i])
+                chunk = chunks[i]
+                ids = memo.get(chunk)
                 if ids is None:
-                    ids = memo[chunks[i]] = self.encode_pieces(" " + chunks[i])
+                    ids = old.get(chunk)
+                    memo[chunk] = ids = self.encode_pieces(" " + chunk) if ids is None else ids
                 out[i] = ids
         return b"".join(out)
 
@@ -207,6 +222,10 @@ def _decode(path: str, pattern: str, key: str, batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), binary_column(texts)], names=[key, "ids", "decoded"])
 
 
+def _round_trip(path: str, pattern: str, key: str, batches):
+    return _decode(path, pattern, key, _encode(path, pattern, key, batches))
+
+
 def _typed(df: DataFrame, key: str) -> str:
     return f"`{key}` {df.schema[key].dataType.simpleString()}"
 
@@ -221,3 +240,9 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", id
     """Rows (key, ids, decoded): the bytes that the ids stand for; null ids count as none."""
     ship(df.sparkSession)
     return df.select(key, ids).mapInArrow(partial(_decode, ranks_path, pattern, key), f"{_typed(df, key)}, ids binary, decoded binary")
+
+
+def round_trip(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (key, ids, decoded) of texts: encode and decode in one worker, so that it holds the vocabulary once."""
+    ship(df.sparkSession)
+    return df.select(key, text).mapInArrow(partial(_round_trip, ranks_path, pattern, key), f"{_typed(df, key)}, ids binary, decoded binary")

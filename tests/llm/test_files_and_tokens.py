@@ -48,6 +48,23 @@ def test_bpe_equals_tiktoken(spark, docs_dir):
     assert found == sorted(want)
 
 
+def test_bpe_in_two_steps(spark):
+    how = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    docs = documents(spark)
+    two = byte_bpe.decode(byte_bpe.encode(docs, *how), *how).collect()
+    assert sorted(map(str, two)) == sorted(map(str, byte_bpe.round_trip(docs, *how).collect()))
+
+
+def test_bpe_memos_roll_over(monkeypatch):
+    for name in ("CHUNK_ENTRIES", "PIECE_ENTRIES", "FIT_ENTRIES"):
+        monkeypatch.setattr(byte_bpe, name, 3)
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    bpe = byte_bpe.ByteBpe(ranks, public_tokenizers.PATTERN)
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for text in ["one two threeish fourable fivening one", "six one two", "threeish fivening, zzgqx"] * 3:
+        assert np.frombuffer(bpe.encode(text), "<u4").tolist() == plain.encode_ordinary(text)
+
+
 def test_bpe_on_random_bytes():
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
