@@ -108,12 +108,14 @@ def _duck_any(x: str, parts) -> str:
     return "(" + " OR ".join(f"contains({x}, '{p}')" for p in parts) + ")"
 
 
-@query(f"""
-WITH u AS (SELECT url FROM pages UNION ALL SELECT url FROM {_duck_values(URLS, 'url')}), l AS (SELECT url, trim(lower(url), ' ') AS x FROM u)
-SELECT url, CASE WHEN {_duck_any('x', P.VIDEO)} THEN 'youtube' WHEN {_duck_any('x', P.PAPER)} OR ends_with(x, '.pdf') THEN 'pdf' WHEN {_duck_any('x', P.POST_HOSTS)} AND contains(x, '/status/') THEN 'twitter'
-  WHEN {_duck_any('x', P.PODCAST)} OR {_duck_any('x', P.FEED_STRONG)} OR ({_duck_any('x', P.FEED_WEAK)} AND {_duck_any('x', P.FEED_WORDS)}) THEN 'podcast' ELSE 'article' END AS content_type, count(*) AS n
-FROM l GROUP BY ALL
-""")
+_CLASSIFIED = f"""
+WITH u AS (SELECT url FROM pages UNION ALL SELECT url FROM {_duck_values(URLS, 'url')}), l AS (SELECT url, trim(lower(url), ' ') AS x FROM u),
+ c AS (SELECT url, CASE WHEN {_duck_any('x', P.VIDEO)} THEN 'youtube' WHEN {_duck_any('x', P.PAPER)} OR ends_with(x, '.pdf') THEN 'pdf' WHEN {_duck_any('x', P.POST_HOSTS)} AND contains(x, '/status/') THEN 'twitter'
+  WHEN {_duck_any('x', P.PODCAST)} OR {_duck_any('x', P.FEED_STRONG)} OR ({_duck_any('x', P.FEED_WEAK)} AND {_duck_any('x', P.FEED_WORDS)}) THEN 'podcast' ELSE 'article' END AS content_type FROM l)
+"""
+
+
+@query(f"{_CLASSIFIED} SELECT url, content_type, count(*) AS n FROM c GROUP BY url, content_type")
 def url_classify(spark, sf_dir):
     rows = _table(spark, sf_dir, "pages").select("url").unionByName(_values(spark, URLS, "url"))
     return rows.select("url", U.classify_url("url").alias("content_type")).groupBy("url", "content_type").agg(F.count(F.lit(1)).alias("n"))
@@ -216,9 +218,9 @@ def chapter_align(spark, sf_dir):
 
 
 @query("""
-SELECT event_id, user_id, sum(value) OVER w AS used, count(*) OVER w AS requests FROM events
+SELECT event_id, user_id, CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER w AS BIGINT) AS used, count(*) OVER w AS requests FROM events
 WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW)
-""".replace("sum(value) OVER w AS used", "CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER w AS BIGINT) AS used"))
+""")
 def rate_window(spark, sf_dir):
     e = _table(spark, sf_dir, "events").withColumn("cents", F.round(F.col("value") * 100).cast("bigint"))
     return R.usage_window(e, "ts", "cents", 3600.0, ("user_id",)).select("event_id", "user_id", "used", "requests")
@@ -239,7 +241,7 @@ _STRIP = lambda x: f"regexp_replace({x}, '^{WS2}+|{WS2}+$', '', 'g')"  # noqa: E
 {_duck_cut(f"regexp_matches({_STRIP('line')}, '^[A-Z][A-Z0-9 :,.\\-]{{2,}}$') OR regexp_matches({_STRIP('line')}, '^[^\\n]{{3,60}}:$')", f"SELECT doc_id, text FROM documents UNION ALL SELECT * FROM {_duck_values(LINES, 'doc_id, text')}")},
  b AS (SELECT doc_id, seq, coalesce(max(CASE WHEN head THEN regexp_replace({_STRIP('line')}, ':+$', '') END), '') AS heading, coalesce(string_agg(CASE WHEN NOT head THEN line END, chr(10) ORDER BY pos), '') AS body FROM s GROUP BY doc_id, seq)
 SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(seq AS BIGINT) AS seq, heading, md5({_STRIP('body')}) AS body_md5 FROM b WHERE heading <> '' OR {_STRIP('body')} <> ''
-""".replace("chr(10)}", "chr(10)}"))
+""")
 def txt_headings(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     more = spark.createDataFrame(LINES, "doc_id bigint, text string")
@@ -368,7 +370,7 @@ def thread_stats(spark, sf_dir):
     return rows.groupBy("conv_id").agg(F.count_if(F.col("text") != "").alias("thread_length"), (F.count(F.lit(1)) > 1).alias("is_thread"), F.sum(F.length("text")).alias("chars"))
 
 
-@query(ORACLES["url_classify"].strip().replace("SELECT url, CASE", "SELECT CASE").replace("count(*) AS n", "count(*) AS n"))
+@query(f"{_CLASSIFIED} SELECT content_type, count(*) AS n FROM c GROUP BY content_type")
 def type_counts(spark, sf_dir):
     items = _table(spark, sf_dir, "pages").select("url").unionByName(_values(spark, URLS, "url"))
     return R.type_counts(R.routed(items.withColumn("pos", F.lit(0))))
