@@ -22,13 +22,14 @@ import regex
 from pyspark.sql import DataFrame
 
 from loomtext.llm._arrays import binary_column
+from loomtext.llm._held import held
 from loomtext.llm.chunks import cut
 from loomtext.runtime import ship
 
 #: Entries that a worker's memos of chunks and of pieces hold before these become the old ones and new ones begin.
-CHUNK_ENTRIES, PIECE_ENTRIES = 240_000, 120_000
+CHUNK_ENTRIES, PIECE_ENTRIES = 320_000, 160_000
 #: Pairs of tokens whose compatibility a worker remembers.
-FIT_ENTRIES = 300_000
+FIT_ENTRIES = 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -198,14 +199,9 @@ class ByteBpe:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_encoders: dict[tuple[str, str], ByteBpe] = {}
-
-
 def encoder(path: str, pattern: str) -> ByteBpe:
-    """The worker's encoder for a vocabulary file; built once."""
-    if (path, pattern) not in _encoders:
-        _encoders[path, pattern] = ByteBpe(read_ranks(path), pattern)
-    return _encoders[path, pattern]
+    """The worker's encoder for a vocabulary file."""
+    return held(("byte_bpe", path, pattern), lambda: ByteBpe(read_ranks(path), pattern))
 
 
 def _encode(path: str, pattern: str, key: str, batches):

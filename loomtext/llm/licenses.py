@@ -20,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from loomtext.llm._arrays import slices, utf8_flat
+from loomtext.llm._held import held
 from loomtext.llm.shingles import FACTOR, mixed, word_spans
 from loomtext.runtime import ship
 
 #: Least Dice coefficient, in hundredths.
 THRESHOLD = 80
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 # Public licence notices and texts, by SPDX identifier.
 TEMPLATES = (
@@ -120,13 +121,8 @@ class Book:
         return found
 
 
-_books: dict[tuple, Book] = {}
-
-
 def _scan(key: str, templates: tuple, threshold: int, batches):
-    if (templates, threshold) not in _books:
-        _books[templates, threshold] = Book(templates, threshold)
-    book = _books[templates, threshold]
+    book = held(("licenses", templates, threshold), lambda: Book(templates, threshold))
     kinds = [pa.list_(pa.struct([("license", pa.string()), ("start_word", pa.int64()), ("end_word", pa.int64()), ("dice", pa.float64())]))]
     for batch in batches:
         for piece in slices(batch, batch.schema.names[1], PIECE_BYTES):

@@ -15,7 +15,8 @@ one n-gram, and overlaps are bounded before they are counted:
    the rest are counted on the whole sets.
 
 Null, empty and blank texts have no shingles and are alone, each its own component; equal texts fall in one class;
-component_id is the smallest non-null key reachable, or null if there is none.
+component_id is the smallest non-null key reachable, or null if there is none. Sets that only rows without key have are
+linked with equal sets alone. Rows of one key with unlike texts each go with their own text.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm._arrays import slices, utf8_flat
+from loomtext.llm._held import release
 from loomtext.llm.shingles import mixed, shingle_sets
 from loomtext.runtime import drop_path, ship, stored
 
@@ -36,7 +38,7 @@ from loomtext.runtime import drop_path, ship, stored
 CELLS, SLICES, STEPS = 1 << 22, 64, 4
 #: Counters that bound an overlap, and 64-bit words of parities that bound a difference.
 COUNTERS, WORDS = 256, 8
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 
 def needed(a, b, num: int, den: int):
@@ -55,6 +57,7 @@ def index_size(size, num: int, den: int):
 
 
 def _sketch(n: int, cells: int, batches):
+    release()
     shift = np.uint64(64 - (cells - 1).bit_length())
     counts = np.zeros(cells, np.uint32)
     for batch in batches:
@@ -82,12 +85,12 @@ def levels(df: DataFrame, text: str, n: int, cells: int = CELLS) -> np.ndarray:
     """Level of each cell: STEPS for each time that its count doubles an even spread's. `cells` bytes at any input size."""
     ship(df.sparkSession)
     part = df.select(text).mapInArrow(partial(_sketch, n, cells), "slice int, counts binary")
-    rows = part.repartition(SLICES, "slice").mapInArrow(_summed, "slice int, counts binary").collect()
-    counts = np.zeros((SLICES, cells // SLICES), np.uint64)
-    for row in rows:
+    summed = part.repartition(SLICES, "slice").mapInArrow(_summed, "slice int, counts binary")
+    counts = np.zeros((SLICES, cells // SLICES), np.float32)
+    for row in summed.coalesce(8).toLocalIterator():
         counts[row["slice"]] = np.frombuffer(bytes(row["counts"]), np.uint64)
-    counts = counts.ravel()
-    return np.rint(STEPS * np.log2(np.maximum(1, counts / max(1.0, float(counts.mean()))))).astype(np.uint8)
+    mean = max(1.0, float(counts.mean(dtype=np.float64)))
+    return np.concatenate([np.rint(STEPS * np.log2(np.maximum(1, c / mean))).astype(np.uint8) for c in counts])
 
 
 _SETS = [("doc_id", pa.int64()), ("n", pa.int64()), ("v", pa.int64()), ("rare", pa.int32()), ("prefix", pa.list_(pa.int64())), ("counters", pa.binary()), ("odd", pa.list_(pa.int64()))]
@@ -101,6 +104,7 @@ def _set_key(own: np.ndarray) -> int:
 
 
 def _sets(n: int, num: int, den: int, shared, batches):
+    release()
     level = np.frombuffer(shared.value, np.uint8)
     shift = np.uint64(64 - (len(level) - 1).bit_length())
     for batch in batches:
@@ -132,6 +136,7 @@ def _sets(n: int, num: int, den: int, shared, batches):
 
 
 def _whole_sets(n: int, batches):
+    release()
     for batch in batches:
         for piece in slices(batch, batch.schema.names[1], PIECE_BYTES):
             flat, at = shingle_sets(*utf8_flat(piece.column(1)), n)

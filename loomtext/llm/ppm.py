@@ -17,7 +17,10 @@ SCORE_BYTES bytes of the text. Ties go to the language first in order. Without l
 from __future__ import annotations
 
 import pickle
+import uuid
+from dataclasses import dataclass
 from functools import partial
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm._arrays import slices, utf8_flat
+from loomtext.llm._held import held
 from loomtext.runtime import ship
 
 #: Bytes of context; bound of the training sample for each language; how often a context of ORDER bytes must occur.
@@ -33,7 +37,7 @@ ORDER, TRAIN_TEXTS, TRAIN_BYTES, LEAST = 3, 300, 600_000, 3
 #: Code lengths are kept in units of 1/1024 bit.
 UNIT = 1024
 SCORE_BYTES = 64
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 
 class Tree:
@@ -180,14 +184,16 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang") -> Model | None
     return Model(texts)
 
 
-_models: dict[int, Model] = {}
+@dataclass
+class Shared:
+    """A broadcast model and its name."""
+
+    id: str
+    model: Any
 
 
 def _predict(shared, key: str, batches):
-    if shared is not None and id(shared) not in _models:
-        _models.clear()
-        _models[id(shared)] = pickle.loads(shared.value)
-    model = _models[id(shared)] if shared is not None else None
+    model = held(("ppm", shared.id), lambda: pickle.loads(shared.model.value)) if shared is not None else None
     for batch in batches:
         for piece in slices(batch, batch.schema.names[1], PIECE_BYTES):
             texts = pc.fill_null(piece.column(1), "")
@@ -209,6 +215,6 @@ def predict(df: DataFrame, model: Model | None, key: str = "doc_id", text: str =
     """Rows (key, lang_pred, score)."""
     spark = df.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(pickle.dumps(model)) if model is not None else None
+    shared = Shared(uuid.uuid4().hex, spark.sparkContext.broadcast(pickle.dumps(model))) if model is not None else None
     schema = f"`{key}` {df.schema[key].dataType.simpleString()}, lang_pred string, score double"
     return df.select(key, text).mapInArrow(partial(_predict, shared, key), schema)

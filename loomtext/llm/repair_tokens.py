@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.llm._arrays import slices
+from loomtext.llm._held import held, release
 from loomtext.llm.chunks import cut
 from loomtext.runtime import ship
 
@@ -106,13 +107,8 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return held(("repair_tokens", path), lambda: Encoder(path))
 
 
 def _slots(keys: np.ndarray) -> np.ndarray:
@@ -237,6 +233,7 @@ def read_documents(row: dict, wanted: range | None = None):
 
 
 def _read(batches):
+    release()
     for batch in batches:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1).to_pylist()[0]
