@@ -13,10 +13,12 @@ one n-gram, and overlaps are bounded before they are counted:
    512 counters (two sets differ in as many shingles as parities, at least) allow the overlap that they need. So no link between components is missed, and none within one is needed.
 5. Pairs of either step are discarded if 256 counters of their sets bound the overlap below what they need; overlaps of
    the rest are counted on the whole sets.
+6. Links are counted in full, too: all of a class's links are in its component, whose classes are dealt into chunks.
+   Each two chunks are a tile, in which the incidence rows of whole sets are multiplied, so overlaps of all pairs of a
+   component are counted, and a set is moved once for each chunk of its component, not for each pair.
 
 Null, empty and blank texts have no shingles and are alone, each its own component; equal texts fall in one class;
-component_id is the smallest non-null key reachable, or null if there is none. Sets that only rows without key have are
-linked with equal sets alone. Rows of one key with unlike texts each go with their own text.
+component_id is the smallest non-null key reachable, or null if there is none. Rows of one key with unlike texts each go with their own text.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ CELLS, SLICES, STEPS = 1 << 22, 64, 4
 #: Counters that bound an overlap, and 64-bit words of parities that bound a difference.
 COUNTERS, WORDS = 256, 8
 PIECE_BYTES = 1 << 20
+#: Shingles and sets of a chunk, about, and shingles that are multiplied at a time.
+CHUNK_SHINGLES, CHUNK_SETS, SLAB = 1 << 16, 512, 4096
 
 
 def needed(a, b, num: int, den: int):
@@ -93,8 +97,8 @@ def levels(df: DataFrame, text: str, n: int, cells: int = CELLS) -> np.ndarray:
     return np.concatenate([np.rint(STEPS * np.log2(np.maximum(1, c / mean))).astype(np.uint8) for c in counts])
 
 
-_SETS = [("doc_id", pa.int64()), ("n", pa.int64()), ("v", pa.int64()), ("rare", pa.int32()), ("prefix", pa.list_(pa.int64())), ("counters", pa.binary()), ("odd", pa.list_(pa.int64()))]
-SETS = "doc_id bigint, n bigint, v bigint, rare int, prefix array<bigint>, counters binary, odd array<bigint>"
+_SETS = [("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("v", pa.int64()), ("rare", pa.int32()), ("prefix", pa.list_(pa.int64())), ("counters", pa.binary()), ("odd", pa.list_(pa.int64()))]
+SETS = "doc_id bigint, mark bigint, n bigint, v bigint, rare int, prefix array<bigint>, counters binary, odd array<bigint>"
 
 
 def _set_key(own: np.ndarray) -> int:
@@ -131,7 +135,7 @@ def _sets(n: int, num: int, den: int, shared, batches):
                 counted = np.bincount(cell[start : start + size], minlength=64 * WORDS)
                 counters.append(np.minimum(counted.reshape(COUNTERS, -1).sum(1), 65535).astype("<u2").tobytes())
                 odd.append(np.packbits(counted & 1).view(np.int64))
-            columns = [piece.column(0), pa.array(sizes, pa.int64()), keys, rare, prefix, counters, odd]
+            columns = [piece.column(0), piece.column(2), pa.array(sizes, pa.int64()), keys, rare, prefix, counters, odd]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, (_, t) in zip(columns, _SETS, strict=True)], schema=pa.schema(_SETS))
 
 
@@ -170,6 +174,72 @@ def _counted(num: int, den: int, batches):
         yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
 
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Overlap of each set of a with each of b: the product of their incidence rows, SLAB shingles at a time."""
+    flat = [np.concatenate(x) for x in (a, b)]
+    row = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (a, b)]
+    both = np.intersect1d(*flat)
+    out = np.zeros((len(a), len(b)), np.float32)
+    if not len(both):
+        return out
+    place = [np.searchsorted(both, x) for x in flat]
+    for i, x in enumerate(flat):
+        known = both[np.minimum(place[i], len(both) - 1)] == x
+        order = np.argsort(place[i][known], kind="stable")
+        place[i], row[i] = place[i][known][order], row[i][known][order]
+    for start in range(0, len(both), SLAB):
+        tables = []
+        for i, x in enumerate((a, b)):
+            lo, hi = np.searchsorted(place[i], (start, start + SLAB))
+            tables.append(np.zeros((len(x), min(SLAB, len(both) - start)), np.float32))
+            tables[i][row[i][lo:hi], place[i][lo:hi] - start] = 1
+        out += tables[0] @ tables[1].T
+    return out
+
+
+def _linked(tile, rows, num: int, den: int):
+    """Of a tile's rows (chunk, v, copies, whole), the classes of each side, their copies, and which of them link."""
+    sides = [[x for x in rows if x[0] == chunk] for chunk in tile[1:]]
+    if not all(sides):
+        return None
+    sets = [[np.frombuffer(x[3], np.uint64) for x in side] for side in sides]
+    n = [np.array([len(x) for x in side], np.int64) for side in sets]
+    yes = _overlaps(*sets).astype(np.int64) >= needed(n[0][:, None], n[1][None, :], num, den)
+    if tile[1] == tile[2]:
+        yes &= ~np.eye(len(sets[0]), dtype=bool)
+    return *(np.array([x[1] for x in side], np.int64) for side in sides), *(np.array([x[2] for x in side], np.int64) for side in sides), yes
+
+
+def _tiles(num: int, den: int, pairs: bool, batches):
+    """Rows (root, i, j, chunk, v, copies, whole) in the order of tiles -> links (a, b), or (v, links) counted in copies."""
+    release()
+
+    def of(tile, rows):
+        if (found := _linked(tile, rows, num, den)) is None:
+            return
+        va, vb, ca, cb, yes = found
+        own = tile[1] == tile[2]
+        if pairs:
+            at = np.nonzero(np.triu(yes) if own else yes)
+            a, b = va[at[0]], vb[at[1]]
+            columns = {"a": np.minimum(a, b), "b": np.maximum(a, b)}
+        else:
+            v, n = (va, yes @ cb) if own else (np.concatenate((va, vb)), np.concatenate((yes @ cb, ca @ yes)))
+            columns = {"v": v[n > 0], "links": n[n > 0]}
+        yield pa.RecordBatch.from_pydict({k: pa.array(x, pa.int64()) for k, x in columns.items()})
+
+    now, rows = None, []
+    for batch in batches:
+        for root, i, j, *row in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
+            if (root, i, j) != now:
+                if rows:
+                    yield from of(now, rows)
+                now, rows = (root, i, j), []
+            rows.append(row)
+    if rows:
+        yield from of(now, rows)
+
+
 PAIRS = "a bigint, b bigint, n_a bigint, n_b bigint"
 
 
@@ -182,16 +252,23 @@ class _Join:
         sides = [self.classes.select(F.col("v").alias(c), F.col("counters").alias(f"counters_{c}")) for c in ("b", "a")]
         bounded = pairs.join(sides[0], "b").join(sides[1], "a").mapInArrow(partial(_bounded, self.num, self.den), PAIRS)
         bounded, path = stored(bounded, "bounded")
-        ids = bounded.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(self.classes.select("v", F.col("sample").alias("key")), "v")
-        ids, ids_path = stored(ids, "ids")  # its size is known, so that Spark broadcasts it only if it is small
-        found = self.df.select(F.col("key"), self.text).join(ids, "key").select("v", self.text).dropDuplicates(["v"])
-        whole, whole_path = stored(found.mapInArrow(partial(_whole_sets, self.n), "v bigint, whole binary"), "whole")
+        whole, whole_path = self.whole(bounded.select(F.explode(F.array("a", "b")).alias("v")).distinct())
         both = bounded.join(whole.select(F.col("v").alias("b"), F.col("whole").alias("whole_b")), "b").join(whole.select(F.col("v").alias("a"), F.col("whole").alias("whole_a")), "a")
         out, _ = stored(both.mapInArrow(partial(_counted, self.num, self.den), "a bigint, b bigint"), "links")
-        for p in (path, ids_path, whole_path):
+        for p in (path, whole_path):
             drop_path(self.df.sparkSession, p)
         return out
 
+    def whole(self, some: DataFrame) -> tuple[DataFrame, str]:
+        """Rows (v, whole) of some classes (v), by a row of each: its key, which may be null or repeated, and its text's hash."""
+        ids, ids_path = stored(some.join(self.classes.select("v", F.col("sample.doc_id").alias("of"), F.col("sample.mark").alias("mark")), "v"), "ids")
+        # The size of ids is known, so that Spark broadcasts it only if it is small.
+        found = self.df.join(ids.withColumnRenamed("mark", "of_mark"), F.col("key").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark")))
+        found = found.select("v", self.text).dropDuplicates(["v"])
+        whole, path = stored(found.mapInArrow(partial(_whole_sets, self.n), "v bigint, whole binary"), "whole")
+        drop_path(self.df.sparkSession, ids_path)
+        return whole, path
+
 
 def components(links: DataFrame) -> DataFrame:
     """Rows (v, root) of all ends of links (a, b): root is the least end reachable.
@@ -219,17 +296,16 @@ def components(links: DataFrame) -> DataFrame:
     return roots.unionByName(edges.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct())
 
 
-def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, num: int = 85, den: int = 100, cells: int = CELLS) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id) of all rows: sets link when den * overlap >= num * union."""
+def _grouped(df: DataFrame, key: str, text: str, n: int, num: int, den: int, cells: int) -> tuple[DataFrame, DataFrame, DataFrame, _Join]:
+    """Sets of all rows, the classes of equal ones, and (v, root, first) of the classes that have links."""
     spark = df.sparkSession
     ship(spark)
-    docs = df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
+    docs = df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
     shared = spark.sparkContext.broadcast(levels(docs, "text", n, cells).tobytes())
     sets, _ = stored(docs.mapInArrow(partial(_sets, n, num, den, shared), SETS), "sets")
     some = sets.where("n > 0")
     one = [F.first(c).alias(c) for c in ("n", "rare", "prefix", "counters", "odd")]
-    classes, _ = stored(some.groupBy("v").agg(F.min("doc_id").alias("first"), *one), "classes")
-    classes = classes.withColumn("sample", F.col("first"))
+    classes, _ = stored(some.groupBy("v").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "mark")).alias("sample"), F.count(F.lit(1)).alias("copies"), *one), "classes")
     join = _Join(docs, "text", n, num, den, classes)
 
     rows = classes.select("v", "n", "rare", F.posexplode("prefix").alias("pos", "h"))
@@ -270,7 +346,61 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", n
 
     linked = components(links.unionByName(more)).join(classes.select("v", "first"), "v")
     linked, _ = stored(linked, "linked")
+    return sets, classes, linked, join
+
+
+def _named(sets: DataFrame, classes: DataFrame, linked: DataFrame) -> DataFrame:
+    """Rows (doc_id, mark, n_shingles, component_id, v, root) of all rows; v and root are null without shingles."""
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
-    ids = classes.select("v", "first").join(linked.select("v", "root").join(least, "root").select("v", "least"), "v", "left")
-    ids, _ = stored(ids.select("v", F.coalesce("least", "first").alias("component_id")), "component-ids")
-    return sets.select("doc_id", F.col("n").alias("n_shingles"), "v").join(ids, "v", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    ids = classes.select("v", "first").join(linked.select("v", "root").join(least, "root").select("v", "root", "least"), "v", "left")
+    ids, _ = stored(ids.select("v", F.coalesce("root", "v").alias("root"), F.coalesce("least", "first").alias("component_id")), "component-ids")
+    return sets.select("doc_id", "mark", F.col("n").alias("n_shingles"), "v").join(ids, "v", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+
+
+def similar_rows(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, num: int = 85, den: int = 100, cells: int = CELLS) -> DataFrame:
+    """Rows (doc_id, mark, n_shingles, component_id, v, root) of all rows: mark is the text's xxhash64, v the set and
+    root the component, which tell rows apart whose keys are null or repeated."""
+    return _named(*_grouped(df, key, text, n, num, den, cells)[:3])
+
+
+def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, num: int = 85, den: int = 100, cells: int = CELLS) -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id) of all rows: sets link when den * overlap >= num * union."""
+    return similar_rows(df, key, text, n, num, den, cells).select("doc_id", "n_shingles", "component_id")
+
+
+def _tiled(classes: DataFrame, linked: DataFrame, join: _Join, pairs: bool) -> DataFrame:
+    """Links of all pairs of each component's classes: (a, b), or the sums (v, links); stored."""
+    spark = classes.sparkSession
+    members = linked.select("v", "root").join(classes.select("v", "n", "copies"), "v")
+    chunks = F.ceil(F.greatest(F.sum("n") / CHUNK_SHINGLES, F.count(F.lit(1)) / CHUNK_SETS)).cast("int")
+    members = members.join(members.groupBy("root").agg(chunks.alias("chunks")), "root")
+    members, path = stored(members.select("v", "root", "copies", "chunks", F.expr("pmod(xxhash64(v, 2), chunks)").cast("int").alias("chunk")), "members")
+    whole, whole_path = join.whole(members.select("v"))
+    rows = members.join(whole, "v").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.select("root", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "v", "copies", "whole")
+    rows = rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    out = rows.mapInArrow(partial(_tiles, join.num, join.den, pairs), "a bigint, b bigint" if pairs else "v bigint, links bigint")
+    out, _ = stored(out if pairs else out.groupBy("v").agg(F.sum("links").alias("links")), "all-links")
+    for p in (path, whole_path):
+        drop_path(spark, p)
+    return out
+
+
+def similar_links(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, num: int = 85, den: int = 100, cells: int = CELLS) -> DataFrame:
+    """Rows (doc_id_a, copies_a, doc_id_b, copies_b): each link between different sets once, by a row of each set (the
+    least key) and how many rows have it. There are as many as links, so the square of a group's size where all are alike."""
+    sets, classes, linked, join = _grouped(df, key, text, n, num, den, cells)
+    out = _tiled(classes, linked, join, True)
+    for side in ("a", "b"):
+        out = out.join(classes.select(F.col("v").alias(side), F.col("first").alias(f"doc_id_{side}"), F.col("copies").alias(f"copies_{side}")), side)
+    return out.select("doc_id_a", "copies_a", "doc_id_b", "copies_b")
+
+
+def link_counts(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, num: int = 85, den: int = 100, cells: int = CELLS) -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id, n_links) of all rows: n_links is the number of other rows that a row's
+    set links with, those of equal sets included."""
+    sets, classes, linked, join = _grouped(df, key, text, n, num, den, cells)
+    counts = classes.select("v", "copies").join(_tiled(classes, linked, join, False), "v", "left")
+    counts, _ = stored(counts.select("v", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "n-links")
+    rows = _named(sets, classes, linked).join(counts, "v", "left")
+    return rows.select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))

@@ -46,6 +46,10 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
+def op2_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_counts(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
 def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.edits(table(spark, sf_dir, "documents"), parts_of(spark))
 
@@ -106,6 +110,7 @@ def op10_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_arc_to_warc": op1_arc_to_warc,
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op2_ngram_jaccard_links": op2_ngram_jaccard_links,
     "op3_winnowing": op3_winnowing,
     "op4_pfair_mix": op4_pfair_mix,
     "op5_repair_tokens": op5_repair_tokens,

@@ -79,6 +79,22 @@ def test_components_of_odd_rows(spark, tmp_path):
     assert queries.op2_ngram_jaccard(spark, saved(spark, tmp_path, documents(spark, []))).collect() == []
 
 
+def test_links_equal_all_pairs(spark, monkeypatch):
+    rows = [*near_copies(), (5, "one two three"), (None, near_copies()[0][1] + " more"), (7, near_copies()[1][1] + " more"), (7, near_copies()[2][1] + " other")]
+    sets = [frozenset(shingle_set(t)) for _, t in rows]
+    alike = lambda a, b: bool(a) and bool(b) and 100 * len(a & b) >= 85 * len(a | b)
+    want = sorted((str(k), len(x), sum(alike(x, y) for y in sets) - bool(x)) for (k, _), x in zip(rows, sets))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for size in (ngram_join.CHUNK_SETS, 16):  # one tile or many
+        monkeypatch.setattr(ngram_join, "CHUNK_SETS", size)
+        got = ngram_join.link_counts(docs).collect()
+        assert sorted((str(r["doc_id"]), r["n_shingles"], r["n_links"]) for r in got) == want
+        assert sum(n > 20 for _, _, n in want) > 20  # links within a component
+    different = list(set(sets) - {frozenset()})
+    pairs = ngram_join.similar_links(docs).collect()
+    assert len(pairs) == sum(alike(x, y) for i, x in enumerate(different) for y in different[:i])
+
+
 def test_components_of_chains(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 50), (50, 70), (200, 200)]
     got = dict(ngram_join.components(spark.createDataFrame(links, "a bigint, b bigint")).collect())
