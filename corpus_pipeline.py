@@ -1,6 +1,6 @@
 """A training corpus from raw documents, in five stages of the llm subpackage, each written and read again.
 
-Language ID drops documents without a language, the n-gram Jaccard join keeps one document of each group, personal
+Language ID drops documents in no language that was learned, the n-gram Jaccard join keeps one document of each group, personal
 data is replaced by its kind, sources are mixed to target weights, and what is left is encoded by byte-level BPE.
 """
 
@@ -22,11 +22,13 @@ WORDS, NUM, DEN = 5, 80, 100
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found; those without a letter go."""
+    """Documents whose language is found, with it as lang, row by row. Those without a letter go, and those whose best
+    code is far longer than those of labelled documents that were held out of training."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     model = ppm.train(docs.where(~held))
-    found, _ = stored(ppm.predict(docs.select("doc_id", "text"), model).where("lang_pred = 'und'").select("doc_id").distinct(), "rejected")
-    return docs.select(*COLUMNS).join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")
+    bound = ppm.far_bound(ppm.coded(docs.where(held & F.col("lang").isNotNull()).select("doc_id", "text"), model))
+    found = ppm.coded(docs.select(*COLUMNS), model).where("lang_pred != 'und'").where(~ppm.is_far(bound))
+    return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,9 @@ covers whole texts.
 Texts are lower-cased first. A null text or one without a letter gives `und` and score 0. Score is the probability of
 the predicted language if every language were alike before, with the difference of code lengths counted for at most
 SCORE_BYTES bytes of the text. Ties go to the language first in order. Without labelled texts all rows give `und`.
+
+How far a text is from all languages is told by its best code length: `far_bound` sets bits a byte that texts of known
+language stay below by a wide margin, and `is_far` allows SLACK bits more, so that no text is rejected for few bytes.
 """
 
 from __future__ import annotations
@@ -37,6 +40,9 @@ ORDER, TRAIN_TEXTS, TRAIN_BYTES, LEAST = 3, 300, 600_000, 3
 #: Code lengths are kept in units of 1/1024 bit.
 UNIT = 1024
 SCORE_BYTES = 64
+#: A bound is FAR times the median of known texts' bits a byte, and MARGIN times their 99th percentile at least; it takes
+#: LEAST_KNOWN such texts. Bits that any text has besides.
+FAR, MARGIN, LEAST_KNOWN, SLACK = 3.0, 1.25, 30, 64
 PIECE_BYTES = 1 << 20
 
 
@@ -192,29 +198,53 @@ class Shared:
     model: Any
 
 
-def _predict(shared, key: str, batches):
+def _coded(shared, carried: int, batches):
     model = held(("ppm", shared.id), lambda: pickle.loads(shared.model.value)) if shared is not None else None
     for batch in batches:
         for piece in slices(batch, batch.schema.names[1], PIECE_BYTES):
             texts = pc.fill_null(piece.column(1), "")
             lettered = np.asarray(pc.match_substring_regex(texts, r"\p{L}")).astype(bool)
             if model is None:
-                names, scores = ["und"] * len(texts), np.zeros(len(texts))
+                names, scores, least, sizes = ["und"] * len(texts), *np.zeros((2, len(texts))), np.zeros(len(texts), np.int64)
             else:
                 flat, at = utf8_flat(pc.utf8_lower(texts))
                 bits = model.code_lengths(flat, at)
                 best = bits.argmin(1)
-                sizes = np.maximum(np.diff(at), 1)
-                over = (bits - bits.min(1, keepdims=True)) * (np.minimum(sizes, SCORE_BYTES) / sizes)[:, None]
+                sizes, least = np.maximum(np.diff(at), 1), bits.min(1)
+                over = (bits - least[:, None]) * (np.minimum(sizes, SCORE_BYTES) / sizes)[:, None]
                 scores = np.where(lettered, 1 / np.exp2(-np.minimum(over, 1000)).sum(1), 0.0)
                 names = [model.languages[b] if ok else "und" for b, ok in zip(best.tolist(), lettered.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[key, "lang_pred", "score"])
+            found = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(least, pa.float64()), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*piece.columns[:carried], *found], names=[*piece.schema.names[:carried], "lang_pred", "score", "bits", "bytes"])
 
 
-def predict(df: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (key, lang_pred, score)."""
+def _with_codes(df: DataFrame, model: Model | None, carried: int) -> DataFrame:
+    """The first columns of df, whose second is the text, with lang_pred, score, bits of the best code and bytes."""
     spark = df.sparkSession
     ship(spark)
     shared = Shared(uuid.uuid4().hex, spark.sparkContext.broadcast(pickle.dumps(model))) if model is not None else None
-    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, lang_pred string, score double"
-    return df.select(key, text).mapInArrow(partial(_predict, shared, key), schema)
+    kinds = [f"`{c.name}` {c.dataType.simpleString()}" for c in df.schema.fields[:carried]]
+    return df.mapInArrow(partial(_coded, shared, carried), ", ".join([*kinds, "lang_pred string, score double, bits double, bytes bigint"]))
+
+
+def predict(df: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (key, lang_pred, score)."""
+    return _with_codes(df.select(key, text), model, 1).select(key, "lang_pred", "score")
+
+
+def coded(df: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """df's rows, each with its lang_pred, score, bits of the best code and bytes; other columns of these names go."""
+    added = ("lang_pred", "score", "bits", "bytes")
+    return _with_codes(df.select(key, text, *(c for c in df.columns if c not in (key, text, *added))), model, len(set(df.columns) - set(added)))
+
+
+def far_bound(known: DataFrame) -> float | None:
+    """Bits a byte beyond which a text is in no learned language, from coded rows of known language that the model was
+    not trained on; None if they are too few to tell."""
+    per = F.col("bits") / F.col("bytes")
+    n, levels = known.where("lang_pred != 'und'").agg(F.count(F.lit(1)), F.percentile_approx(per, [0.5, 0.99])).first()
+    return max(FAR * levels[0], MARGIN * levels[1]) if n >= LEAST_KNOWN else None
+
+
+def is_far(bound: float | None):
+    return F.lit(False) if bound is None else F.col("bits") > bound * F.col("bytes") + SLACK

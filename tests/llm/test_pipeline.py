@@ -1,6 +1,7 @@
 """Each stage of the pipeline on its own input, and the whole of it."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -72,3 +73,17 @@ def test_run_on_odd_rows(spark, tmp_path):
     # Texts without a letter go, the copies of document 1 with it, and the row without key stays.
     assert {r["doc_id"] for r in rows} == {k for k, t in TEXTS if k not in (2, 3, 6, 7, 12)}
     assert corpus_pipeline.run(spark, saved(spark, tmp_path, documents(spark, []))).collect() == []
+
+
+def test_language_rejects_what_was_not_learned(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    pick = random.Random(3)
+    noise = [" ".join("".join(pick.choice("bcdfghjklmnpqrstvwxz") for _ in range(7)) for _ in range(40)), "это совсем другой язык, которого никто не учил " * 5, "x7Qk2ZpV9wLr4TbN8mHs6YdF3gJc" * 9]
+    clean = docs.where("lang = 'fr' AND n_chars > 500").orderBy("doc_id").first()
+    rows = [(10**6 + i, t, None, "s", len(t)) for i, t in enumerate(noise)]
+    # Rows of one key, or of none, are told by their own text.
+    rows += [(10**7, clean["text"], None, "s", 1), (10**7, "!!", None, "s", 2), (None, clean["text"], "en", "s", 1), (None, "...", None, "s", 3)]
+    out = corpus_pipeline.language(spark, docs.unionByName(spark.createDataFrame(rows, docs.schema)), SF).collect()
+    more = sorted((str(r["doc_id"]), r["text"], r["lang"]) for r in out if r["source"] == "s")
+    assert more == sorted((str(k), clean["text"], "fr") for k in (10**7, None))
+    assert sorted(r["doc_id"] for r in out if r["source"] != "s") == sorted(r["doc_id"] for r in docs.collect() if re.search(r"[^\W\d_]", r["text"] or ""))
