@@ -61,3 +61,16 @@ def test_query(spark, tmp_path):
     assert rows[50]["matches"] == "Apache-2.0:2:10:1.0000,MIT:10:15:1.0000" and rows[50]["license"] == "Apache-2.0"
     assert all(r["n_matches"] == 0 and r["license"] is None for k, r in rows.items() if k != 50)
     assert queries.op8_license_scan(spark, saved(spark, tmp_path, documents(spark, []))).collect() == []
+
+
+def test_notices_are_told_from_their_neighbours(spark):
+    header = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    work = "This work is licensed under a Creative Commons Attribution-{} License."
+    notices = [
+        ("AGPL-3.0-or-later", header.format("Affero")), ("LGPL-3.0-or-later", header.format("Lesser")), ("GPL-3.0-or-later", header.format("")),
+        ("CC-BY-ND-4.0", work.format("NoDerivatives 4.0 International")), ("CC-BY-NC-SA-4.0", work.format("NonCommercial-ShareAlike 4.0 International")), ("CC-BY-SA-3.0", work.format("ShareAlike 3.0 Unported")),
+    ]
+    notices += licenses.TEMPLATES
+    rows = [(i, f"{around} {text} {around}") for i, (_, text) in enumerate(notices) for around in ("", "some other words stand here " * 9)]
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id int, text string")).collect():
+        assert {m["license"] for m in r["matches"]} == {notices[r["doc_id"]][0]}, notices[r["doc_id"]]
