@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm import byte_bpe, ngram_join, pfair_mix, pii, ppm
-from loomtext.runtime import stored
+from loomtext.runtime import drop_path, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -32,10 +32,23 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents, the one with the smallest doc_id."""
-    groups = ngram_join.similar_components(docs, n=WORDS, num=NUM, den=DEN)
-    gone, _ = stored(groups.where("doc_id != component_id").select("doc_id").distinct(), "duplicates")
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of similar documents one row: that of the smallest doc_id, null last, of its texts that of the
+    least hash, and of rows alike in both the least in other columns. Rows without a word are in no group."""
+    rows = ngram_join.similar_rows(docs, n=WORDS, num=NUM, den=DEN).where("root IS NOT NULL")
+    ids, path = stored(rows.groupBy("root", "doc_id", "mark").agg(F.count(F.lit(1)).alias("times")), "row-ids")
+    one = ids.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("one")).select("root", F.col("one.doc_id").alias("one_id"), F.col("one.mark").alias("one_mark"))
+    ids = ids.join(one, "root").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("mark") == F.col("one_mark")))
+    # Repeated rows of a kept one go as well: they alone are moved.
+    told, _ = stored(ids.where("NOT kept OR times > 1").select(F.col("doc_id").alias("told_id"), F.col("mark").alias("told_mark"), "kept"), "duplicates")
+    drop_path(spark, path)
+    docs = docs.select(*COLUMNS, F.xxhash64("text").alias("mark"))
+    same = F.col("doc_id").eqNullSafe(F.col("told_id")) & (F.col("mark") == F.col("told_mark"))
+    out = docs.join(told, same, "left_anti").select(*COLUMNS)
+    again = told.where("kept")
+    if again.isEmpty():
+        return out
+    least = F.min(F.struct(*COLUMNS)).alias("row")
+    return out.unionByName(docs.join(again, same, "left_semi").groupBy("doc_id", "mark").agg(least).select("row.*"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

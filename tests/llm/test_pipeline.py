@@ -87,3 +87,13 @@ def test_language_rejects_what_was_not_learned(spark):
     more = sorted((str(r["doc_id"]), r["text"], r["lang"]) for r in out if r["source"] == "s")
     assert more == sorted((str(k), clean["text"], "fr") for k in (10**7, None))
     assert sorted(r["doc_id"] for r in out if r["source"] != "s") == sorted(r["doc_id"] for r in docs.collect() if re.search(r"[^\W\d_]", r["text"] or ""))
+
+
+def test_one_row_of_each_group(spark):
+    text, near = " ".join(f"word{i}" for i in range(90)), " ".join(f"word{i}" for i in range(91))
+    lone = " ".join(f"other{i}" for i in range(30))
+    rows = [(1, text, "en", "a", 5), (1, text, "en", "b", 5), (1, lone, "en", "a", 5), (2, near, "en", "a", 5), (None, text, "en", "a", 5), (None, near, "en", "a", 5)]
+    rows += [(None, "only rows without key hold this text", "en", "a", 5)] * 2 + [(9, " ", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    out = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
+    assert Counter(map(tuple, out)) == Counter([rows[0], rows[2], rows[6], rows[8]])
