@@ -6,13 +6,15 @@ ceil((j + 1) * PERIOD / k_i). In each slot, of the sources whose next block is r
 is taken, ties to the source first in order. The weights sum to 1, so a block always is ready and none is late: after
 any number of slots each source has had less than one block more or less than its share.
 
-The schedule repeats after PERIOD slots. It is made by one fold in one row, from a table with a row per source; a
-source's weight is at least 1 / PERIOD, so there are at most PERIOD sources and as many slot numbers, which bounds what
-is broadcast. Blocks go on from a source's start where its documents end; `until="all"` stops when every document has
+The schedule repeats after a period of PERIOD slots or, where sources are many or a weight is small, of that doubled
+until each source can have FINE slots, both on average and by its own weight. So k_i / period is off the weight by less
+than 2 / FINE of it; the bound of a block holds for k_i / period. The schedule is made by one fold in one row, from a table with a row per source; slot
+numbers are as many as the period, which bounds what is broadcast. Blocks go on from a source's start where its documents end; `until="all"` stops when every document has
 been taken once, `until="first"` when the first source is at its end, so that none is repeated.
 
 Null sources form one source of their own. Repeated rows each take their place. Null keys are ordered first. An empty
-table gives no rows. More sources than PERIOD are an error.
+table gives no rows. Sources that given weights do not name, weights of zero or less, and more sources than a period
+that is given are errors.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 
 #: Slots in a period, documents in a block, power of a source's size that gives its weight.
 PERIOD, BLOCK, POWER = 1024, 16, 0.8
+#: Slots that each source can have in a period that is not given.
+FINE = 32
 #: Hexadecimal digits of the order's hash that tell a bucket: 16 ** 2 buckets of each source are ranked apart.
 DIGITS = 2
 
@@ -51,6 +55,15 @@ def blocks_in_period(weighed: DataFrame, period: int = PERIOD) -> DataFrame:
     return share.where("fits").select("mix_key", "n", k.cast("bigint").alias("k"))
 
 
+def period_for(weighed: DataFrame) -> int:
+    """The period for rows (mix_key, weight): PERIOD, doubled while a source's share has less than FINE slots."""
+    n, least, whole = weighed.agg(F.count(F.lit(1)), F.min("weight"), F.sum("weight")).first()
+    period = PERIOD
+    while n and (period < n * FINE or period * least < FINE * whole):
+        period *= 2
+    return period
+
+
 def schedule(shares: DataFrame, period: int = PERIOD, block: int = BLOCK, until: str = "all") -> DataFrame:
     """Rows (mix_key, n, k) -> (mix_key, k, blocks, given, slots): slots of a source's blocks in a period, how many
     blocks it has, and how many it is given in the whole mix."""
@@ -66,11 +79,11 @@ def schedule(shares: DataFrame, period: int = PERIOD, block: int = BLOCK, until:
     return rows.select("mix_key", "k", "blocks", given.cast("bigint").alias("given"), "slots")
 
 
-def mix(df: DataFrame, key: str = "doc_id", source: str = "source", power: float = POWER, weights: dict[str | None, float] | None = None, period: int = PERIOD, block: int = BLOCK, until: str = "all") -> DataFrame:
+def mix(df: DataFrame, key: str = "doc_id", source: str = "source", power: float = POWER, weights: dict[str | None, float] | None = None, period: int | None = None, block: int = BLOCK, until: str = "all") -> DataFrame:
     """df's rows, each as often as it is taken, with epoch, block, slot, release and deadline.
 
     `weights` are targets by source, of any sum; without them a source's weight is its number of documents to the power
-    `power`. Extra columns are carried along; columns of the names added are replaced.
+    `power`. Without `period` it is chosen by the sources. Extra columns are carried along; columns of the names added are replaced.
     """
     added = ("epoch", "block", "slot", "release", "deadline", "mix_key", "mix_hash", "mix_bucket")
     rows = df.select(*(c for c in df.columns if c not in added)).withColumn("mix_key", F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")))
@@ -81,10 +94,15 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", power: float
     offsets = sizes.select("mix_key", "mix_bucket", F.coalesce(before, F.lit(0)).alias("offset"))
     counts = sizes.groupBy("mix_key").agg(F.sum("size").alias("n"))
     if weights is None:
-        shares = weights_by_size(counts, power, period)
+        weighed = counts.withColumn("weight", F.pow(F.col("n").cast("double"), F.lit(power)))
     else:
+        if not all(0 < w < float("inf") for w in weights.values()):
+            raise ValueError("weights must be positive")
         given = df.sparkSession.createDataFrame([("" if k is None else f"={k}", float(w)) for k, w in weights.items()], "mix_key string, weight double")
-        shares = blocks_in_period(counts.join(given, "mix_key"), period)
+        unnamed = F.raise_error(F.concat(F.lit("no weight is given for source "), F.coalesce(F.nullif(F.col("mix_key"), F.lit("")), F.lit("null"))))
+        weighed = counts.join(given, "mix_key", "left").withColumn("weight", F.coalesce("weight", unnamed.cast("double")))
+    period = period or period_for(weighed)
+    shares = blocks_in_period(weighed, period)
     plan = schedule(shares, period, block, until)
     within = F.row_number().over(Window.partitionBy("mix_key", "mix_bucket").orderBy("mix_hash", F.col(key).asc_nulls_first())) - 1
     placed = rows.withColumn("mix_rank", within).join(offsets, ["mix_key", "mix_bucket"]).withColumn("mix_block", F.floor((F.col("mix_rank") + F.col("offset")) / block))

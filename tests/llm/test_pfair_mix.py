@@ -3,6 +3,7 @@
 from collections import Counter, defaultdict
 
 import duckdb
+import pytest
 
 from loomtext.llm import pfair_mix, queries
 from tests.llm.cases import TEXTS, documents, saved
@@ -66,3 +67,22 @@ def test_odd_rows(spark, tmp_path):
     got = queries.op4_pfair_mix(spark, saved(spark, tmp_path, documents(spark))).collect()
     assert Counter(r["doc_id"] for r in got if r["epoch"] == 0) == Counter(k for k, _ in TEXTS)
     assert queries.op4_pfair_mix(spark, saved(spark, tmp_path, documents(spark, []))).collect() == []
+
+
+def test_small_and_many_sources_have_their_weights(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "xyz"[i % 3]) for i in range(300)], "doc_id bigint, source string")
+    weights = {"x": 0.9, "y": 0.095, "z": 0.005}
+    slots = {(r["slot"], r["source"]) for r in pfair_mix.mix(df, weights=weights, block=1).collect()}
+    got = Counter(s for _, s in slots)
+    assert all(abs(got[s] / len(slots) / w - 1) < 0.05 for s, w in weights.items())
+    monkeypatch.setattr(pfair_mix, "PERIOD", 16)
+    many = spark.createDataFrame([(i, str(i % 20)) for i in range(200)], "doc_id bigint, source string")  # more than 16 sources
+    assert {r["doc_id"] for r in pfair_mix.mix(many).collect()} == set(range(200))
+
+
+def test_sources_without_weight_are_an_error(spark):
+    df = spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "doc_id bigint, source string")
+    with pytest.raises(Exception, match="no weight is given for source"):
+        pfair_mix.mix(df, weights={"x": 1, None: 1}).collect()
+    with pytest.raises(ValueError):
+        pfair_mix.mix(df, weights={"x": 1, "y": 0, None: 1})
