@@ -54,12 +54,23 @@ def format_duration(x) -> Column:
     return F.when(h > 0, F.concat_ws(":", h.cast("string"), pad(m), pad(r))).otherwise(F.concat_ws(":", m.cast("string"), pad(r)))
 
 
+# Zones that feeds name, in minutes from UTC.
+ZONES = {"GMT": 0, "UTC": 0, "UT": 0, "Z": 0, "EST": -300, "EDT": -240, "CST": -360, "CDT": -300, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420}
+
+
 def feed_date(x) -> Column:
-    """RFC 2822 dates; the weekday is not read."""
+    """RFC 2822 dates as the day in UTC; the weekday is not read. Without a time or zone, the day as written."""
     bare = F.regexp_replace(col(x), r"^\s*[A-Za-z]{3},\s*", "")
-    zoned = F.regexp_replace(bare, r"\s(?:GMT|UTC|UT|Z)\s*\z", " +0000")
-    local = F.regexp_extract(zoned, r"^(\d{1,2} [A-Za-z]{3} \d{4})", 1)
-    return F.coalesce(F.when(local != "", _parsed(local, "d MMM yyyy")), F.lit(UNKNOWN))
+    day = F.regexp_extract(bare, r"^(\d{1,2} [A-Za-z]{3} \d{4})", 1)
+    clock = F.regexp_extract(bare, r"^\d{1,2} [A-Za-z]{3} \d{4} (\d{2}:\d{2}(?::\d{2})?)", 1)
+    zone = F.upper(F.regexp_extract(bare, r"\d{2}:\d{2}(?::\d{2})?\s+([A-Za-z]{1,4}|[+-]\d{4})\s*\z", 1))
+    named = F.try_element_at(F.create_map(*[F.lit(v) for pair in ZONES.items() for v in pair]), zone)
+    told = F.regexp_extract(zone, r"^([+-]\d{2})", 1).try_cast("int") * 60 + F.concat(F.left(zone, F.lit(1)), F.right(zone, F.lit(2))).try_cast("int")
+    minutes = F.coalesce(named, told, F.lit(0))
+    seconds = F.split(F.coalesce(F.nullif(clock, F.lit("")), F.lit("00:00")), ":")
+    at = F.get(seconds, 0).cast("int") * 60 + F.get(seconds, 1).cast("int") - minutes
+    parsed = F.to_date(F.try_to_timestamp(day, F.lit("d MMM yyyy")))
+    return F.coalesce(F.date_format(F.date_add(parsed, F.floor(at / 1440).cast("int")), "yyyy-MM-dd"), F.lit(UNKNOWN))
 
 
 def post_date(x) -> Column:

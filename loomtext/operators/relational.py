@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext import patterns as P
-from loomtext.functions.text import col
+from loomtext.functions.text import col, strip
 from loomtext.functions.urls import classify_path, classify_url, strip_quotes
 
 
@@ -25,10 +25,29 @@ def first_n(df: DataFrame, n: int, by: str, *order) -> DataFrame:
     return df.withColumn("place_", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("place_") <= n).drop("place_")
 
 
-def input_list(text: DataFrame) -> DataFrame:
-    """Rows (pos, url) of a list file's text; blank lines and comments are kept out."""
-    rows = text.select(F.posexplode(F.split(F.trim("text"), "\n")).alias("pos", "url"))
-    return rows.withColumn("url", F.trim("url")).where("url <> '' AND NOT startswith(url, '#')")
+def input_list(text: DataFrame, keep_all: bool = True) -> DataFrame:
+    """Rows (pos, url) of a list file's text: each line as it is. With keep_all=False, as for playlists and channels, lines
+    are trimmed and blank ones and comments dropped."""
+    rows = text.select(F.posexplode(F.split(strip("text"), "\n")).alias("pos", "url"))
+    return rows if keep_all else rows.withColumn("url", strip("url")).where("url <> '' AND NOT startswith(url, '#')")
+
+
+def inputs(given: list[str], configured: list[str], spark, text: DataFrame | None = None) -> DataFrame:
+    """Rows (pos, url): the given URLs, in their absence those of the settings, and then the lines of a list file."""
+    first = given or configured
+    rows = spark.createDataFrame(list(enumerate(first)), "pos int, url string")
+    return rows if text is None else rows.unionByName(input_list(text).withColumn("pos", F.col("pos") + len(first)))
+
+
+def expanded(items: DataFrame, entries: DataFrame) -> DataFrame:
+    """Items (pos, url) of playlists and channels put in full by entries (url, n, entry_url, entry_id), recorded or fetched.
+
+    An entry URL that isn't a watch page is built from its id; an item without entries stays as it is; of equal URLs the
+    first is kept."""
+    entry = F.when(F.contains("entry_url", F.lit("watch")), F.col("entry_url")).otherwise(F.concat(F.lit("https://www.youtube.com/watch?v="), "entry_id"))
+    rows = items.join(entries.select("url", "n", entry.alias("entry")), "url", "left")
+    rows = rows.select(F.struct("pos", F.coalesce("n", F.lit(0)).alias("n")).alias("pos"), F.coalesce("entry", "url").alias("url"))
+    return rows.groupBy("url").agg(F.min("pos").alias("pos"))
 
 
 def routed(items: DataFrame, listing: DataFrame | None = None) -> DataFrame:

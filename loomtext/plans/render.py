@@ -1,4 +1,8 @@
-"""Documents as Markdown with front matter, one string per row."""
+"""Documents as Markdown with front matter, one string per row.
+
+A document is a list of lines in the order and wording that readers of these files know: front matter, title, a quoted
+line of metadata, a notice, the description folded away, then headed sections. Columns that a frame lacks count as null.
+"""
 
 from __future__ import annotations
 
@@ -7,9 +11,12 @@ from pyspark.sql import functions as F
 
 from loomtext.functions.text import col, escape_yaml
 
-NOTICE_ASR = "> **Note:** This transcript was made by speech recognition and may contain errors."
-NOTICE_AUTO = "> **Note:** This transcript comes from automatic captions and may contain errors."
-NOTICE_MATH = "> **Note:** This document holds formulas that may not be shown as printed."
+# The notices and the words that stand for missing text.
+NOTICE_ASR = "*Transcribed from audio using Whisper — may contain errors.*"
+NOTICE_AUTO = "*Auto-generated transcript — may contain errors.*"
+NOTICE_MATH = "*This paper contains mathematical notation that may not render perfectly in extracted text.*"
+NO_CHAPTER, NO_TRANSCRIPT = "*(No transcript for this section)*", "*(No transcript text extracted)*"
+NO_SECTION, NO_POST = "*(No content for this section)*", "*(No content)*"
 
 
 def front_matter(fields: dict[str, Column], plain: tuple[str, ...] = ()) -> Column:
@@ -24,52 +31,109 @@ def nonempty(x) -> Column:
 
 
 def authors_line(authors: str = "authors") -> Column:
+    """The first three authors, and how many there are if there are more; null for none."""
     n = F.size(authors)
     return F.when(n > 3, F.concat(F.array_join(F.slice(authors, 1, 3), ", "), F.lit(" et al. ("), n.cast("string"), F.lit(" authors)"))).when(n > 0, F.array_join(authors, ", "))
 
 
-def section_text(sections: DataFrame) -> DataFrame:
-    """Rows (doc_id, body): headings as `#` lines of at most six, bodies below, in order."""
-    head = F.when(F.col("heading") != "", F.concat(F.repeat(F.lit("#"), F.least(F.col("level"), F.lit(6))), F.lit(" "), "heading"))
-    piece = F.concat_ws("\n\n", head, nonempty("body"))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("seq", piece.alias("p")))), lambda x: x["p"])
-    return sections.groupBy("doc_id").agg(F.array_join(parts, "\n\n").alias("body"))
+def section_lines(sections, empty: str = NO_SECTION) -> Column:
+    """Headings as `#` lines of at most six, bodies below or what stands for none, in order."""
+    head = lambda s: F.when(s["heading"] != "", F.concat(F.repeat(F.lit("#"), F.least(s["level"], F.lit(6))), F.lit(" "), s["heading"]))
+    each = lambda s: F.concat_ws("\n\n", head(s), F.when(s["body"] != "", s["body"]).otherwise(empty))
+    return F.array_join(F.transform(col(sections), each), "\n\n")
 
 
 def chapter_text(chapters: DataFrame, bodies: DataFrame) -> DataFrame:
     """Rows (doc_id, body): a heading per chapter, empty ones too. bodies: (doc_id, chapter_idx, body)."""
     rows = chapters.join(bodies.withColumnRenamed("chapter_idx", "idx"), ["doc_id", "idx"], "left")
-    piece = F.concat(F.lit("## "), "title", F.lit("\n\n"), F.coalesce(nonempty("body"), F.lit("*(No transcript for this section)*")))
+    piece = F.concat(F.lit("## "), "title", F.lit("\n\n"), F.coalesce(nonempty("body"), F.lit(NO_CHAPTER)))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("idx", piece.alias("p")))), lambda x: x["p"])
     return rows.groupBy("doc_id").agg(F.array_join(parts, "\n\n").alias("body"))
 
 
-def _document(head: Column, *parts: Column) -> Column:
-    return F.concat(F.concat_ws("\n\n", head, *(nonempty(p) for p in parts)), F.lit("\n"))
-
-
-def _get(df: DataFrame, name: str) -> Column:
-    return F.col(name) if name in df.columns else F.lit(None).cast("string")
-
-
-def transcript(df: DataFrame) -> Column:
-    """Videos and podcasts: columns title, url, channel, publish_date, duration_text, language, is_auto, is_asr, body."""
-    fields = {"title": F.col("title"), "url": _get(df, "url"), "channel": _get(df, "channel"), "show": _get(df, "show_name"), "date": F.col("publish_date"), "duration": _get(df, "duration_text"), "language": _get(df, "language"), "polished": F.lit("false")}
-    notice = F.when(F.col("is_asr"), NOTICE_ASR).when(F.col("is_auto"), NOTICE_AUTO)
-    return _document(front_matter(fields, ("polished",)), F.concat(F.lit("# "), "title"), notice, _get(df, "description"), F.col("body"))
-
-
-def article(df: DataFrame) -> Column:
-    fields = {"title": F.col("title"), "url": F.col("url"), "author": nonempty(_get(df, "author")), "site": nonempty(_get(df, "site_name")), "date": F.col("publish_date"), "language": _get(df, "language"), "word_count": F.col("word_count"), "polished": F.lit("false")}
-    return _document(front_matter(fields, ("word_count", "polished")), F.concat(F.lit("# "), "title"), F.col("body"))
-
-
-def paper(df: DataFrame) -> Column:
-    fields = {"title": F.col("title"), "authors": authors_line(), "url": _get(df, "url"), "doi": _get(df, "doi"), "date": F.col("publish_date"), "page_count": F.col("page_count"), "word_count": F.col("word_count"), "polished": F.lit("false")}
-    abstract = F.when(nonempty("abstract").isNotNull(), F.concat(F.lit("## Abstract\n\n"), "abstract"))
-    return _document(front_matter(fields, ("page_count", "word_count", "polished")), F.concat(F.lit("# "), "title"), F.when(F.col("has_math"), NOTICE_MATH), abstract, F.col("body"))
-
-
-def post(df: DataFrame) -> Column:
-    fields = {"title": F.col("title"), "url": F.col("url"), "author": F.concat(F.lit("@"), "author"), "author_name": _get(df, "author_name"), "date": F.col("publish_date"), "subtype": F.nullif("tweet_subtype", F.lit("tweet")), "word_count": F.col("word_count"), "polished": F.lit("false")}
-    return _document(front_matter(fields, ("word_count", "polished")), F.concat(F.lit("# "), "title"), F.coalesce(nonempty("body"), F.lit("*(No content)*")))
+def details(title: str, text: Column) -> Column:
+    """A text folded away; null for none."""
+    return F.concat(F.lit(f"<details>\n<summary>{title}</summary>\n\n"), nonempty(text), F.lit("\n\n</details>"))
+
+
+def told(*parts: Column) -> Column:
+    """A quoted line of those parts that aren't null."""
+    return F.concat(F.lit("> "), F.concat_ws(" | ", *parts))
+
+
+def _document(head: Column, title: Column, *parts: Column) -> Column:
+    return F.concat(F.concat_ws("\n\n", head, F.concat(F.lit("# "), title), *(nonempty(p) for p in parts)), F.lit("\n"))
+
+
+def _get(df: DataFrame, name: str, kind: str = "string") -> Column:
+    return F.col(name) if name in df.columns else F.lit(None).cast(kind)
+
+
+def _flag(x: Column) -> Column:
+    return F.coalesce(x, F.lit(False))
+
+
+def transcript(df: DataFrame, description: bool = False, polished: bool = False) -> Column:
+    """Videos: columns title, url, channel, publish_date, sub_language, duration_text, is_auto, is_asr, description, body."""
+    asr, auto = _flag(_get(df, "is_asr", "boolean")), _flag(_get(df, "is_auto", "boolean"))
+    fields = {
+        "title": F.col("title"), "url": _get(df, "url"), "channel": _get(df, "channel"), "date": F.col("publish_date"), "language": _get(df, "sub_language"), "duration": _get(df, "duration_text"),
+        "auto_generated": auto, "whisper_transcribed": F.when(asr, F.lit(True)), "content_type": F.lit("transcript"), "polished": F.lit(polished),
+    }
+    line = F.concat(F.lit("> Channel: "), _get(df, "channel"), F.lit(" | Date: "), F.col("publish_date"), F.lit(" | Duration: "), _get(df, "duration_text"))
+    about = details("Video Description", _get(df, "description")) if description else F.lit(None).cast("string")
+    notice = F.when(asr, NOTICE_ASR).when(auto, NOTICE_AUTO)
+    return _document(front_matter(fields, ("auto_generated", "whisper_transcribed", "polished")), F.col("title"), line, notice, about, F.coalesce(nonempty("body"), F.lit(NO_TRANSCRIPT)))
+
+
+def podcast(df: DataFrame, description: bool = False, polished: bool = False) -> Column:
+    """Episodes: columns title, show_name, episode_number, url, publish_date, duration_text, language, description, body."""
+    show, number = nonempty(_get(df, "show_name")), nonempty(_get(df, "episode_number"))
+    fields = {
+        "title": F.col("title"), "show_name": _get(df, "show_name"), "episode_number": _get(df, "episode_number"), "url": _get(df, "url"), "date": F.col("publish_date"), "duration": _get(df, "duration_text"),
+        "language": _get(df, "language"), "whisper_transcribed": F.lit(True), "content_type": F.lit("podcast"), "polished": F.lit(polished),
+    }
+    line = told(F.concat(F.lit("Show: "), show), F.concat(F.lit("Episode: "), number), F.concat(F.lit("Date: "), F.col("publish_date")), F.concat(F.lit("Duration: "), _get(df, "duration_text")))
+    about = details("Episode Description", _get(df, "description")) if description else F.lit(None).cast("string")
+    return _document(front_matter(fields, ("whisper_transcribed", "polished")), F.col("title"), line, F.lit(NOTICE_ASR), about, F.coalesce(nonempty("body"), F.lit(NO_TRANSCRIPT)))
+
+
+def article(df: DataFrame, description: bool = False, polished: bool = False, content_type: str = "article") -> Column:
+    """Articles and local files: columns title, url, author, site_name, publish_date, language, word_count, sections."""
+    author, site = nonempty(_get(df, "author")), nonempty(_get(df, "site_name"))
+    fields = {
+        "title": F.col("title"), "url": _get(df, "url"), "author": author, "site_name": site, "date": F.col("publish_date"), "language": _get(df, "language"), "word_count": F.col("word_count"),
+        "content_type": F.lit(content_type), "polished": F.lit(polished),
+    }
+    line = told(F.concat(F.lit("Author: "), author), F.concat(F.lit("Site: "), site), F.concat(F.lit("Date: "), F.col("publish_date")), F.concat(F.col("word_count").cast("string"), F.lit(" words")))
+    about = details("Article Description", _get(df, "description")) if description else F.lit(None).cast("string")
+    return _document(front_matter(fields, ("word_count", "polished")), F.col("title"), line, about, section_lines("sections"))
+
+
+def paper(df: DataFrame, with_abstract: bool = True, polished: bool = False) -> Column:
+    """Papers: columns title, url, pdf_url, authors, publish_date, paper_id, doi, categories, language, page_count,
+    word_count, has_math, abstract, sections."""
+    listed = lambda c: nonempty(F.array_join(_get(df, c, "array<string>"), ", "))
+    math = _flag(_get(df, "has_math", "boolean"))
+    fields = {
+        "title": F.col("title"), "url": _get(df, "url"), "pdf_url": _get(df, "pdf_url"), "authors": listed("authors"), "date": F.col("publish_date"), "arxiv_id": _get(df, "paper_id"), "doi": _get(df, "doi"),
+        "categories": listed("categories"), "language": _get(df, "language"), "pages": F.col("page_count"), "word_count": F.col("word_count"), "content_type": F.lit("paper"), "has_math": math, "polished": F.lit(polished),
+    }
+    size = F.concat(F.col("page_count").cast("string"), F.lit(" pages | "), F.col("word_count").cast("string"), F.lit(" words"))
+    line = told(F.concat(F.lit("Authors: "), authors_line()), F.concat(F.lit("Date: "), F.col("publish_date")), F.concat(F.lit("arXiv: "), nonempty(_get(df, "paper_id"))), size)
+    abstract = F.concat(F.lit("## Abstract\n\n"), nonempty("abstract")) if with_abstract else F.lit(None).cast("string")
+    return _document(front_matter(fields, ("pages", "word_count", "has_math", "polished")), F.col("title"), line, F.when(math, NOTICE_MATH), abstract, section_lines("sections"))
+
+
+def post(df: DataFrame, polished: bool = False) -> Column:
+    """Posts and threads: columns title, url, author, author_name, publish_date, word_count, is_thread, thread_length,
+    tweet_subtype, sections."""
+    thread, length = _flag(_get(df, "is_thread", "boolean")), F.coalesce(_get(df, "thread_length", "int"), F.lit(1))
+    fields = {
+        "title": F.col("title"), "url": _get(df, "url"), "author": F.col("author"), "author_name": _get(df, "author_name"), "date": F.col("publish_date"), "word_count": F.col("word_count"), "is_thread": thread,
+        "thread_length": length, "tweet_subtype": F.nullif(_get(df, "tweet_subtype"), F.lit("tweet")), "content_type": F.lit("tweet"), "polished": F.lit(polished),
+    }
+    name = F.concat(F.lit("Author: "), F.coalesce("author", F.lit("")), F.lit(" ("), F.coalesce(_get(df, "author_name"), F.lit("")), F.lit(")"))
+    line = told(name, F.concat(F.lit("Date: "), F.col("publish_date")), F.concat(F.col("word_count").cast("string"), F.lit(" words")))
+    notice = F.when(thread, F.concat(F.lit("*Thread ("), length.cast("string"), F.lit(" posts)*")))
+    return _document(front_matter(fields, ("word_count", "is_thread", "thread_length", "polished")), F.col("title"), line, notice, section_lines("sections", NO_POST))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtext import patterns as P
 from loomtext.functions.text import slugify
+from loomtext.runtime import exists
 
 
 def folder(title: str = "title", date: str = "publish_date", stamp: str = "", max_length: int = 80) -> Column:
@@ -26,21 +27,45 @@ def basename() -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.col("content_type"))
 
 
+def _new(df: DataFrame, out: str, *keys: str, form: str = "parquet") -> DataFrame:
+    """Rows whose keys the folder does not hold yet."""
+    spark = df.sparkSession
+    if not exists(spark, out):
+        return df
+    there = spark.read.option("basePath", out).format(form).load(out)
+    return df.join(there.select(*(F.col(k).cast("string").alias(k) for k in keys)).distinct(), list(keys), "left_anti") if set(keys) <= set(there.columns) else df
+
+
 def write_documents(df: DataFrame, out: str, overwrite: bool = False) -> None:
-    """Rows (path, markdown) as a table of documents partitioned for the reader, skipped if it is there."""
-    df.select("path", "markdown").write.mode("overwrite" if overwrite else "ignore").parquet(out)
+    """Rows (path, markdown) added to a table of documents; those whose path is there are skipped, or all is written anew."""
+    rows = df.select("path", "markdown")
+    (rows if overwrite else _new(rows, out, "path")).write.mode("overwrite" if overwrite else "append").parquet(out)
+
 
+def write_files(df: DataFrame, out: str, overwrite: bool = False) -> None:
+    """Rows (path, basename, markdown) as text files under out/path=.../basename=..., by Spark's writer. Documents that are
+    there are skipped, or replaced each for itself."""
+    rows = df.select("path", "basename", F.col("markdown").alias("value"))
+    rows = rows if overwrite else _new(rows, out, "path", "basename", form="text")
+    write = rows.write.partitionBy("path", "basename").option("lineSep", "\n")
+    (write.option("partitionOverwriteMode", "dynamic").mode("overwrite") if overwrite else write.mode("append")).text(out)
 
-def write_files(df: DataFrame, out: str) -> None:
-    """Rows (path, basename, markdown) as text files under out/path=.../basename=..., by Spark's writer."""
-    df.select("path", "basename", F.col("markdown").alias("value")).write.mode("append").partitionBy("path", "basename").option("lineSep", "\n").text(out)
+
+def with_raw(df: DataFrame, polished: DataFrame) -> DataFrame:
+    """Rows (doc_id, path, content_type, markdown) as files (path, basename, markdown): the polished text (doc_id, markdown)
+    where there is one, and for transcripts and podcasts the raw one beside it, as `*.unpolished`."""
+    rows = df.join(polished.select("doc_id", F.col("markdown").alias("better")), "doc_id", "left").withColumn("basename", basename())
+    raw = rows.where(F.col("content_type").isin("youtube", "podcast")).select("path", F.concat("basename", F.lit(".unpolished")).alias("basename"), "markdown")
+    return rows.select("path", "basename", F.coalesce("better", "markdown").alias("markdown")).unionByName(raw)
 
 
 def detect_basenames(files: DataFrame) -> DataFrame:
-    """Of rows (folder, name), each folder's basename by precedence; transcript where none is known."""
-    order = F.array_position(F.array(*map(F.lit, P.BASENAMES)), F.regexp_replace("name", r"\.md\z", ""))
-    rows = files.where(~F.col("folder").isin(*P.SKIPPED_FOLDERS)).withColumn("rank", F.when(order > 0, order))
-    return rows.groupBy("folder").agg(F.coalesce(F.regexp_replace(F.min_by("name", "rank"), r"\.md\z", ""), F.lit("transcript")).alias("basename")).orderBy("folder")
+    """Of rows (folder, name), each folder's basename by precedence, by the document or its raw form; transcript where none
+    is known."""
+    own = F.regexp_replace("name", r"(?:\.unpolished)?\.md\z", "")
+    order = F.array_position(F.array(*map(F.lit, P.BASENAMES)), own)
+    rows = files.where(~F.col("folder").isin(*P.SKIPPED_FOLDERS)).withColumn("own", own).withColumn("rank", F.when(order > 0, order))
+    return rows.groupBy("folder").agg(F.coalesce(F.min_by("own", "rank"), F.lit("transcript")).alias("basename")).orderBy("folder")
 
 
 def batch_copies(df: DataFrame) -> DataFrame:
@@ -48,6 +73,16 @@ def batch_copies(df: DataFrame) -> DataFrame:
     return df.select(F.concat(F.lit("batch-process/"), "path", F.lit(".md")).alias("file"), "markdown")
 
 
+def backfill(files: DataFrame) -> DataFrame:
+    """Of files (folder, name, markdown), each folder's copy (folder, basename, file, markdown), in order of folders; file is
+    null where the folder has no file of that name."""
+    kept = files.where(~F.col("folder").isin(*P.SKIPPED_FOLDERS))
+    named = detect_basenames(files)
+    own = kept.select("folder", F.regexp_replace("name", r"\.md\z", "").alias("basename"), "markdown")
+    rows = named.join(own, ["folder", "basename"], "left")
+    return rows.select("folder", "basename", F.when(F.col("markdown").isNotNull(), F.concat(F.lit("batch-process/"), "folder", F.lit(".md"))).alias("file"), "markdown").orderBy("folder")
+
+
 def with_polish(df: DataFrame, polished: DataFrame) -> DataFrame:
     """markdown replaced by polished text (doc_id, polished_body) where there is one, and marked so."""
     rows = df.join(polished, "doc_id", "left")

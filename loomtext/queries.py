@@ -16,7 +16,8 @@ from loomtext.operators import cues as C
 from loomtext.operators import relational as R
 from loomtext.operators import sections as S
 from loomtext.plans import render
-from loomtext.sources import web
+from loomtext.runtime import ship
+from loomtext.sources import structured, threads, web
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -93,8 +94,7 @@ WITH x AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS hs F
 SELECT page_id, CAST(i - 1 AS BIGINT) AS seq, hs[i] AS href FROM x, LATERAL (SELECT unnest(range(1, len(hs) + 1)) AS i)
 """)
 def link_extract(spark, sf_dir):
-    found = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
-    return _table(spark, sf_dir, "pages").select("page_id", F.posexplode(found).alias("seq", "href")).select("page_id", F.col("seq").cast("bigint"), "href")
+    return web.page_links(_table(spark, sf_dir, "pages"))
 
 
 URLS = [(u,) for u in (
@@ -272,9 +272,9 @@ def md_sections(spark, sf_dir):
 
 def _named_sections(spark, sf_dir) -> DataFrame:
     """Lines of documents as sections, some headed as an abstract or references."""
-    rows = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("seq", "body"))
-    name = F.when(F.col("seq") == 1, "Abstract").when((F.col("seq") == 4) & (F.col("doc_id") % 2 == 0), "REFERENCES").when(F.col("seq") == 6, "works  Cited").otherwise(F.concat(F.lit("Part "), F.col("seq").cast("string")))
-    return rows.select("doc_id", F.col("seq").cast("bigint"), name.alias("heading"), F.lit(2).alias("level"), "body")
+    name = lambda i: F.when(i == 1, "Abstract").when((i == 4) & (F.col("doc_id") % 2 == 0), "REFERENCES").when(i == 6, "works  Cited").otherwise(F.concat(F.lit("Part "), i.cast("string")))
+    made = lambda x, i: F.struct(i.cast("bigint").alias("seq"), name(i).alias("heading"), F.lit(2).alias("level"), x.alias("body"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split("text", "\n"), made).alias("sections"))
 
 
 _NAMED = """n AS (SELECT doc_id, CAST(i - 1 AS BIGINT) AS seq, CASE WHEN i = 2 THEN 'Abstract' WHEN i = 5 AND doc_id % 2 = 0 THEN 'REFERENCES' WHEN i = 7 THEN 'works  Cited' ELSE 'Part ' || (i - 1) END AS heading, ls[i] AS body
@@ -286,7 +286,8 @@ WITH {_NAMED}, c AS (SELECT *, min(CASE WHEN regexp_matches(heading, '(?i)^(?:re
 SELECT doc_id, count(*) AS sections, CAST(max(seq) AS BIGINT) AS last_seq FROM c WHERE cut IS NULL OR seq < cut GROUP BY doc_id
 """)
 def refs_cut(spark, sf_dir):
-    return S.cut_references(_named_sections(spark, sf_dir)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("sections"), F.max("seq").alias("last_seq"))
+    rows = _named_sections(spark, sf_dir).select("doc_id", S.without_references("sections").alias("s")).where(F.size("s") > 0)
+    return rows.select("doc_id", F.size("s").cast("bigint").alias("sections"), F.element_at("s", -1)["seq"].alias("last_seq"))
 
 
 @query(f"""
@@ -295,16 +296,30 @@ WITH {_NAMED}, a AS (SELECT *, min(CASE WHEN lower(heading) = 'abstract' THEN se
 SELECT doc_id, md5(abstract) AS abstract_md5, count(*) AS sections FROM b WHERE place IS NULL OR seq <> place GROUP BY doc_id, abstract
 """)
 def abstract_extract(spark, sf_dir):
-    return S.extract_abstract(_named_sections(spark, sf_dir)).groupBy("doc_id", F.md5(F.col("abstract").cast("binary")).alias("abstract_md5")).agg(F.count(F.lit(1)).alias("sections"))
+    rows = _named_sections(spark, sf_dir).select("doc_id", F.md5(S.abstract("sections").cast("binary")).alias("abstract_md5"), F.size(S.without_abstract("sections")).cast("bigint").alias("sections"))
+    return rows.where("sections > 0")
+
+
+SLUGS = [(-1, "Of ﬁne Ⅳ parts"), (-2, "ＡＢＣ_１２  x"), (-3, "--__--"), (-4, "½ pound"), (-5, "Ünïcode — dash"), (-6, "a" * 79 + "- b")]
+
+
+def _duck_nfkc(x: str) -> str:
+    """Compatibility forms of SLUGS put in full, which is all that normal form KC changes in these texts."""
+    for old, new in (("ﬁ", "fi"), ("Ⅳ", "IV"), ("ＡＢＣ", "ABC"), ("１２", "12"), ("½", "1⁄2")):
+        x = f"replace({x}, '{old}', '{new}')"
+    return x
 
 
 @query(f"""
-WITH a AS (SELECT doc_id, lower(string_split(text, chr(10))[1]) AS s FROM documents), b AS (SELECT doc_id, regexp_replace(regexp_replace(s, '(?:{WS2}|_)+', '-', 'g'), '[^\\p{{L}}\\p{{N}}_\\-]', '', 'g') AS s FROM a),
+WITH t AS (SELECT doc_id, string_split(text, chr(10))[1] AS s FROM documents UNION ALL SELECT * FROM {_duck_values(SLUGS, 'doc_id, s')}), a AS (SELECT doc_id, lower({_duck_nfkc('s')}) AS s FROM t),
+ b AS (SELECT doc_id, regexp_replace(regexp_replace(s, '(?:{WS2}|_)+', '-', 'g'), '[^\\p{{L}}\\p{{N}}_\\-]', '', 'g') AS s FROM a),
  c AS (SELECT doc_id, regexp_replace(left(regexp_replace(regexp_replace(s, '-{{2,}}', '-', 'g'), '^-+|-+$', '', 'g'), 80), '-+$', '') AS s FROM b)
-SELECT doc_id, CASE WHEN s = '' THEN 'untitled' ELSE s END AS slug FROM c
+SELECT CAST(doc_id AS BIGINT) AS doc_id, CASE WHEN s = '' THEN 'untitled' ELSE s END AS slug FROM c
 """)
 def slug(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", T.slugify(F.split("text", "\n")[0], normalise=False).alias("slug"))
+    ship(spark)
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n")[0].alias("s")).unionByName(_values(spark, SLUGS, "doc_id, s"))
+    return rows.select(F.col("doc_id").cast("bigint"), T.slugify("s").alias("slug"))
 
 
 @query("""
@@ -364,10 +379,16 @@ def ordered_distinct(spark, sf_dir):
     return R.ordered_distinct(rows, "text_md5", pos="doc_id").select("doc_id", "text_md5")
 
 
-@query("SELECT conv_id, CAST(count(*) FILTER (text <> '') AS BIGINT) AS thread_length, count(*) > 1 AS is_thread, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY conv_id")
+@query("""
+WITH t AS (SELECT conv_id, turn, text FROM conversations WHERE text <> ''), b AS (SELECT conv_id, count(*) AS n, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS body FROM t GROUP BY conv_id)
+SELECT conv_id, n > 1 AS is_thread, CAST(n AS INTEGER) AS thread_length, """+_duck_words("body")+""" AS words, CASE WHEN length(body) <= 80 THEN replace(left(body, 80), chr(10), ' ') ELSE regexp_replace(replace(left(body, 80), chr(10), ' '), '^((?s).*) [^ ]*$', '\\1') || '...' END AS title FROM b
+""")
 def thread_stats(spark, sf_dir):
-    rows = _table(spark, sf_dir, "conversations")
-    return rows.groupBy("conv_id").agg(F.count_if(F.col("text") != "").alias("thread_length"), (F.count(F.lit(1)) > 1).alias("is_thread"), F.sum(F.length("text")).alias("chars"))
+    """Conversations as threads, a turn a post."""
+    rows = _table(spark, sf_dir, "conversations").where("text <> ''")
+    posts = F.array_sort(F.collect_list(F.struct(F.col("turn").alias("seq"), F.lit("").alias("heading"), F.lit(2).alias("level"), F.col("text").alias("body"))))
+    is_thread, length, words, title = threads.thread_stats("s")
+    return rows.groupBy("conv_id").agg(posts.alias("s")).select("conv_id", is_thread.alias("is_thread"), length.alias("thread_length"), words.alias("words"), title.alias("title"))
 
 
 @query(f"{_CLASSIFIED} SELECT content_type, count(*) AS n FROM c GROUP BY content_type")
@@ -376,26 +397,10 @@ def type_counts(spark, sf_dir):
     return R.type_counts(R.routed(items.withColumn("pos", F.lit(0))))
 
 
-@query("SELECT event_type, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS total, count(*) AS n FROM events GROUP BY event_type")
+@query("""
+SELECT event_type, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS total, count(*) AS n FROM events GROUP BY event_type
+""")
 def json_props(spark, sf_dir):
-    rows = _table(spark, sf_dir, "events").select("event_type", F.from_json("props", "k bigint")["k"].alias("k"))
-    return rows.groupBy("event_type").agg(F.sum("k").alias("total"), F.count(F.lit(1)).alias("n"))
-
-
-@query()
-def chunk_text(spark, sf_dir):
-    from loomtext.operators import chunks
-    from loomtext.runtime import ship
-
-    ship(spark)
-    return chunks.chunk_text(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-
-
-@query()
-def article_documents(spark, sf_dir):
-    from loomtext.plans import pipelines
-    from loomtext.runtime import ship
-
-    ship(spark)
-    rows = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url", "html")
-    return pipelines.pages(rows).select("doc_id", "title", "language", "word_count", "error_type", "markdown")
+    """Properties as lines of a tool's answer, one for each event."""
+    rows = structured.ndjson(_table(spark, sf_dir, "events").select(F.col("event_type").alias("doc_id"), "props"), "k bigint", "props")
+    return rows.groupBy(F.col("doc_id").alias("event_type")).agg(F.sum("x.k").alias("total"), F.count(F.lit(1)).alias("n"))

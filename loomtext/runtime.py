@@ -7,9 +7,12 @@ import tempfile
 import uuid
 from pathlib import Path
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
+#: Bytes of an Arrow batch that goes to a Python worker, at most, but for its last row.
+BATCH_BYTES, _BATCH = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _fallback: dict[str, str] = {}
 
@@ -17,8 +20,11 @@ _fallback: dict[str, str] = {}
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package: its parent folder joins the workers' PYTHONPATH.
 
-    On a cluster whose machines do not hold the repository, submit the package with ``--py-files`` instead.
+    On a cluster whose machines do not hold the repository, submit the package with ``--py-files`` instead. Batches are
+    cut at BATCH_BYTES unless the session names a limit of its own, as 10,000 long texts do not fit in a worker.
     """
+    if spark.sparkContext.getConf().get(_BATCH) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     env = spark.sparkContext.environment
     have = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in have:
@@ -30,6 +36,8 @@ def scratch_root(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
     app = spark.sparkContext.applicationId
     if app not in _fallback:
         _fallback[app] = tempfile.mkdtemp(prefix="loomtext-")
@@ -49,9 +57,21 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write df as Parquet in the shared folder and read it back: lineage ends there and survives lost executors."""
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df on the executors' disks, for tables that are used more than once and soon dropped by unpersist(). Lineage stays:
+    what a lost executor held is computed again, so its inputs must outlive it."""
+    return df.persist(StorageLevel.DISK_ONLY)

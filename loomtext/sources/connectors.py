@@ -6,7 +6,9 @@ that sessions are opened once in each worker, and failures become columns.
 
 from __future__ import annotations
 
+import re
 import time
+import zlib
 from collections import deque
 from dataclasses import dataclass, field
 from functools import partial
@@ -17,8 +19,17 @@ from pyspark.sql import DataFrame
 
 from loomtext.runtime import ship
 
-# Verdicts on messages of a video tool, most telling first.
-TOOL_MESSAGES = (("unavailable", "VideoUnavailableError"), ("private video", "VideoUnavailableError"), ("sign in", "AuthRequiredError"), ("cookies", "AuthRequiredError"), ("429", "retry"), ("timed out", "retry"), ("connection", "retry"))
+# What a video tool's messages mean, in the order in which they are tried.
+UNAVAILABLE = ("video unavailable", "private video", "this video has been removed")
+AUTHENTICATION = ("sign in", "requires authentication", "members-only", "member", "join this channel")
+NETWORK = ("unable to download", "http error", "connection", "urlopen error", "timed out")
+TOOL_MESSAGES = tuple((part, what) for parts, what in ((UNAVAILABLE, "VideoUnavailableError"), (AUTHENTICATION, "AuthRequiredError"), (NETWORK, "retry")) for part in parts)
+# Headers of requests, and what is asked for by kind.
+HEADERS = {"Accept": "text/html,application/xhtml+xml,application/xml;q=0.9,*/*;q=0.8", "Accept-Language": "en-US,en;q=0.9", "Accept-Encoding": "gzip, deflate", "Connection": "keep-alive", "Upgrade-Insecure-Requests": "1"}
+ACCEPTED = {"pdf": "application/pdf,*/*", "image": "image/*,*/*"}
+AGENTS = ("Mozilla/5.0 (X11; Linux x86_64; rv:128.0) Gecko/20100101 Firefox/128.0", "Mozilla/5.0 (Windows NT 10.0; Win64; x64; rv:128.0) Gecko/20100101 Firefox/128.0")
+#: Tokens that an image counts beside its text, and file types of subtitles in the order in which they are looked for.
+IMAGE_TOKENS, SUBTITLE_TYPES = 85, ("vtt", "srt", "ass", "lrc")
 
 
 class Fatal(Exception):
@@ -59,6 +70,7 @@ def verdict(status: int) -> str:
 
 
 def tool_verdict(message: str) -> str:
+    """An error's class, `retry`, or `fatal` for messages that aren't known."""
     low = message.lower()
     return next((what for part, what in TOOL_MESSAGES if part in low), "fatal")
 
@@ -107,9 +119,27 @@ class Limiter:
         entry[1] = tokens
 
 
-def _fetch(connector: Connector, retries: int, batches):
+def headers(kind: str = "html", url: str = "", rotate: bool = True) -> dict[str, str]:
+    """Request headers; which agent is named depends on the URL alone, so that a task that runs again asks the same."""
+    agent = AGENTS[zlib.crc32(url.encode()) % len(AGENTS)] if rotate else AGENTS[0]
+    return {"User-Agent": agent, **HEADERS, **({"Accept": ACCEPTED[kind]} if kind in ACCEPTED else {})}
+
+
+def decoded(answer: Answer) -> str:
+    """A page's text: by the charset of its header, else of its markup, else UTF-8."""
+    told = re.search(r"charset=[\"']?([\w-]+)", answer.content_type) or re.search(r"charset=[\"']?([\w-]+)", answer.body[:2048].decode("latin-1"))
+    try:
+        return answer.body.decode(told.group(1) if told else "utf-8", "replace")
+    except LookupError:
+        return answer.body.decode("utf-8", "replace")
+
+
+def _fetch(connector: Connector, retries: int, base: float, kind: str, batches):
     def once(url: str) -> Answer:
-        answer = connector.get(url)
+        try:
+            answer = connector.get(url)
+        except (ConnectionError, TimeoutError) as e:
+            raise Retry(str(e)) from e
         what = verdict(answer.status)
         if what == "retry":
             raise Retry(f"HTTP {answer.status}")
@@ -121,15 +151,203 @@ def _fetch(connector: Connector, retries: int, batches):
         rows = []
         for doc_id, url in zip(batch["doc_id"], batch["url"], strict=True):
             try:
-                a = with_retries(partial(once, url), retries, sleep=lambda s: None if isinstance(connector, Recorded) else time.sleep(s))
-                rows.append((doc_id, url, a.body, a.content_type, None, None))
+                a = with_retries(partial(once, url), 1 if kind == "image" else retries, base, sleep=lambda s: None if isinstance(connector, Recorded) else time.sleep(s))
+                picture = kind != "image" or "image" in a.content_type or "octet-stream" in a.content_type
+                rows.append((doc_id, url, a.body if picture else b"", decoded(a) if kind == "html" else None, a.content_type, None, None))
             except Fatal as e:
-                rows.append((doc_id, url, None, None, "NetworkError", str(e)))
-        yield pd.DataFrame(rows, columns=["doc_id", "url", "content", "content_type_header", "error_type", "error_message"])
+                rows.append((doc_id, url, b"", None, None, None, None) if kind == "image" else (doc_id, url, None, None, None, "NetworkError", str(e)))
+        yield pd.DataFrame(rows, columns=["doc_id", "url", "content", "html", "content_type_header", "error_type", "error_message"])
 
 
-def fetched(items: DataFrame, connector: Connector, retries: int = 3) -> DataFrame:
-    """Items (doc_id, url) with content, or with an error."""
+def fetched(items: DataFrame, connector: Connector, retries: int = 3, base: float = 2.0, kind: str = "html") -> DataFrame:
+    """Items (doc_id, url) with content (and html, for pages), or with an error. Images are tried once, and are empty on any
+    failure or where the answer is no image."""
+    schema = "url string, content binary, html string, content_type_header string, error_type string, error_message string"
+    return _mapped(items.select("doc_id", "url"), partial(_fetch, connector, retries, base, kind), schema)
+
+
+def _mapped(items: DataFrame, each, schema: str) -> DataFrame:
     ship(items.sparkSession)
-    kind = items.schema["doc_id"].dataType.simpleString()
-    return items.select("doc_id", "url").mapInPandas(partial(_fetch, connector, retries), f"doc_id {kind}, url string, content binary, content_type_header string, error_type string, error_message string")
+    return items.mapInPandas(each, f"doc_id {items.schema['doc_id'].dataType.simpleString()}, {schema}")
+
+
+class Tool(Protocol):
+    """A video tool: lines of metadata (one JSON each), subtitle files by name, an audio file."""
+
+    def metadata(self, url: str) -> str: ...
+
+    def subtitles(self, url: str, lang: str, is_auto: bool) -> dict[str, str]: ...
+
+    def audio(self, url: str) -> bytes: ...
+
+
+@dataclass
+class RecordedTool:
+    lines: dict[str, str] = field(default_factory=dict)
+    files: dict[tuple[str, str, bool], dict[str, str]] = field(default_factory=dict)
+    sounds: dict[str, bytes] = field(default_factory=dict)
+
+    def _of(self, table: dict, key):
+        if key not in table:
+            raise Fatal("VideoUnavailableError: Video unavailable")
+        return table[key]
+
+    def metadata(self, url: str) -> str:
+        return self._of(self.lines, url)
+
+    def subtitles(self, url: str, lang: str, is_auto: bool) -> dict[str, str]:
+        return self.files.get((url, lang, is_auto), {})
+
+    def audio(self, url: str) -> bytes:
+        return self._of(self.sounds, url)
+
+
+def _metadata(tool: Tool, whole: bool, batches):
+    for batch in batches:
+        rows = []
+        for doc_id, url in zip(batch["doc_id"], batch["url"], strict=True):
+            try:
+                text = tool.metadata(url)
+                rows.append((doc_id, url, text if whole else text.split("\n", 1)[0], None, None))
+            except (Fatal, Retry) as e:
+                kind, _, message = str(e).partition(": ")
+                rows.append((doc_id, url, None, kind if message else "PipelineError", message or kind))
+        yield pd.DataFrame(rows, columns=["doc_id", "url", "json", "error_type", "error_message"])
+
+
+def video_metadata(items: DataFrame, tool: Tool, whole: bool = False) -> DataFrame:
+    """Items (doc_id, url) with json, the first line that the tool tells, or with all lines for playlists (`whole`)."""
+    return _mapped(items.select("doc_id", "url"), partial(_metadata, tool, whole), "url string, json string, error_type string, error_message string")
+
+
+def subtitle_file(names, lang: str) -> str | None:
+    """The file to read: of the language by type, else any VTT, else any SubRip file."""
+    names = sorted(names)
+    wanted = [n for t in SUBTITLE_TYPES for n in names if n.endswith(f".{lang}.{t}")] + [n for t in ("vtt", "srt") for n in names if n.endswith(f".{t}")]
+    return wanted[0] if wanted else None
+
+
+def _subtitles(tool: Tool, batches):
+    for batch in batches:
+        rows = []
+        for doc_id, url, lang, auto in zip(*(batch[c] for c in ("doc_id", "url", "lang", "is_auto")), strict=True):
+            files = tool.subtitles(url, lang, bool(auto)) if lang else {}
+            name = subtitle_file(files, lang or "")
+            rows.append((doc_id, name, files.get(name), lang, auto, None if name else "NoSubtitlesError"))
+        yield pd.DataFrame(rows, columns=["doc_id", "path", "text", "lang", "is_auto", "error_type"])
+
+
+def subtitle_files(tracks: DataFrame, tool: Tool) -> DataFrame:
+    """Chosen tracks (doc_id, url, lang, is_auto) with the path and text of their files, or with an error."""
+    return _mapped(tracks.select("doc_id", "url", "lang", "is_auto"), partial(_subtitles, tool), "path string, text string, lang string, is_auto boolean, error_type string")
+
+
+class Speech(Protocol):
+    """Speech recognition: (segments as (start, end, text), language). The device is its own choice."""
+
+    def transcribe(self, audio: bytes, language: str | None) -> tuple[list[tuple[float, float, str]], str]: ...
+
+
+def _speech(tool: Tool, speech: Speech, batches):
+    for batch in batches:
+        rows = []
+        for doc_id, url, lang in zip(batch["doc_id"], batch["url"], batch["language"], strict=True):
+            base = (lang or "").split("-")[0].lower()
+            try:
+                segments, found = speech.transcribe(tool.audio(url), base if 0 < len(base) <= 3 else None)
+            except (Fatal, Retry):
+                continue
+            said = [(a, b, t.strip()) for a, b, t in segments if t.strip()]
+            rows += [(doc_id, i, float(a), float(b), t, found or base or "und") for i, (a, b, t) in enumerate(said)]
+        yield pd.DataFrame(rows, columns=["doc_id", "seq", "start_seconds", "end_seconds", "text", "language"])
+
+
+def transcribed(items: DataFrame, tool: Tool, speech: Speech) -> DataFrame:
+    """Cues of the audio of items (doc_id, url, language); blank segments go, and what can't be heard has no cues."""
+    return _mapped(items.select("doc_id", "url", "language"), partial(_speech, tool, speech), "seq bigint, start_seconds double, end_seconds double, text string, language string")
+
+
+class Converter(Protocol):
+    """Layout conversion of a PDF: Markdown, JSON properties, pictures by name. `pages` is as page_range tells."""
+
+    def convert(self, content: bytes, pages: str | None) -> tuple[str, str, dict[str, bytes]]: ...
+
+
+def _converted(converter: Converter, pages: str | None, least: int, batches):
+    for batch in batches:
+        rows = []
+        for doc_id, content in zip(batch["doc_id"], batch["content"], strict=True):
+            try:
+                text, properties, pictures = converter.convert(bytes(content or b""), pages)
+                short = len(text.strip()) < least
+                rows.append((doc_id, text, properties, [{"ref": k, "image_bytes": v} for k, v in sorted(pictures.items())], "PDFExtractionError" if short else None))
+            except (Fatal, Retry, ValueError):
+                rows.append((doc_id, None, None, [], "PDFExtractionError"))
+        yield pd.DataFrame(rows, columns=["doc_id", "text", "json", "pictures", "error_type"])
+
+
+def converted_pdfs(pdfs: DataFrame, converter: Converter, pages: str | None = None, min_content_length: int = 200) -> DataFrame:
+    """PDF files (doc_id, content) as Markdown text, json and pictures, or with an error."""
+    schema = "text string, json string, pictures array<struct<ref:string,image_bytes:binary>>, error_type string"
+    return _mapped(pdfs.select("doc_id", "content"), partial(_converted, converter, pages, min_content_length), schema)
+
+
+class Model(Protocol):
+    """A language model: (answer, prompt tokens, answer tokens). `image` with its media type for vision."""
+
+    def complete(self, system: str, user: str, image: bytes | None = None, media_type: str | None = None) -> tuple[str, int, int]: ...
+
+
+def estimate(text: str) -> int:
+    return max(1, len(text) // 4)
+
+
+def asked(model: Model, limiter: Limiter, system: str, user: str, image: bytes | None = None, media_type: str | None = None, patterns: tuple[str, ...] = ()) -> str:
+    """One answer within the limits. An answer that holds one of the patterns of errors is a failure, but not for images."""
+    entry = limiter.acquire(estimate(system + user) + (IMAGE_TOKENS if image is not None else 0))
+    answer, prompt, told = model.complete(system, user, image, media_type)
+    limiter.record(entry, prompt + told)
+    if image is None and (bad := next((p for p in patterns if p.lower() in answer.lower()), None)):
+        raise Fatal(f"error pattern: {bad}")
+    return answer
+
+
+def _answers(model: Model, system: str, patterns: tuple[str, ...], limits: dict, keys: list[str], batches):
+    limiter = Limiter(**limits)
+    for batch in batches:
+        rows = []
+        for *key, user in zip(*(batch[c] for c in keys), batch["message"], strict=True):
+            try:
+                rows.append((*key, asked(model, limiter, system, user, patterns=patterns), None))
+            except (Fatal, Retry) as e:
+                rows.append((*key, None, str(e)))
+        yield pd.DataFrame(rows, columns=[*keys, "answer", "error_message"])
+
+
+def answered(work: DataFrame, model: Model, system: str, patterns: tuple[str, ...] = ("rate limit", "overloaded"), limits: dict | None = None) -> DataFrame:
+    """Work (keys, message) with the model's answers, a task's partition after the other; failures are null answers. Limits
+    hold in each task: divide a budget by the number of tasks that run at once."""
+    ship(work.sparkSession)
+    keys = [c for c in work.columns if c != "message"]
+    schema = ", ".join(f"`{c}` {work.schema[c].dataType.simpleString()}" for c in keys)
+    return work.mapInPandas(partial(_answers, model, system, patterns, limits or {}, keys), f"{schema}, answer string, error_message string")
+
+
+def _described(model: Model, system: str, user: str, limits: dict, batches):
+    limiter = Limiter(**limits)
+    for batch in batches:
+        rows = []
+        for doc_id, mark, image, media, label, alt in zip(*(batch[c] for c in ("doc_id", "position_marker", "image_bytes", "media_type", "source_label", "alt_text")), strict=True):
+            about = user.format(label=label or "", alt=alt or "")
+            try:
+                rows.append((doc_id, mark, asked(model, limiter, system, about, bytes(image), media).strip() or None))
+            except (Fatal, Retry):
+                rows.append((doc_id, mark, None))
+        yield pd.DataFrame(rows, columns=["doc_id", "position_marker", "description"])
+
+
+def described(images: DataFrame, model: Model, system: str = "Describe the image.", user: str = "Source: {label}. Text: {alt}", limits: dict | None = None) -> DataFrame:
+    """Images (doc_id, position_marker, image_bytes, media_type, source_label, alt_text) with a description each, null where
+    the model fails."""
+    rows = images.select("doc_id", "position_marker", "image_bytes", "media_type", "source_label", "alt_text")
+    return _mapped(rows, partial(_described, model, system, user, limits or {}), "position_marker string, description string")

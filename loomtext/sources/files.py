@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.functions.text import universal_newlines
+from loomtext import patterns as P
+from loomtext.functions.text import col, universal_newlines
 from loomtext.operators import sections as S
 from loomtext.sources import office
 
@@ -24,8 +25,29 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("path").alias("doc_id"), "path", "content", F.col("modificationTime").alias("modified"))
 
 
-def _suffix(name: str = "path"):
-    return F.lower(F.regexp_extract(name, r"(\.[^./\\]+)\z", 1))
+def suffix(path="path") -> Column:
+    return F.lower(F.regexp_extract(col(path), r"(\.[^./\\]+)\z", 1))
+
+
+def stem(path="path") -> Column:
+    return F.regexp_extract(col(path), r"([^/\\]*?)(?:\.[^./\\]*)?\z", 1)
+
+
+def file_uri(path="path") -> Column:
+    """The path as a file URI, percent-encoded but for slashes and unreserved characters; one that is a URI stays."""
+    coded = F.url_encode(col(path))
+    for code, char in (("+", "%20"), ("*", "%2A"), ("%2F", "/"), ("%7E", "~")):
+        coded = F.replace(coded, F.lit(code), F.lit(char))
+    return F.when(col(path).rlike("^[A-Za-z][A-Za-z0-9+.-]+:/"), col(path)).otherwise(F.concat(F.lit("file://"), coded))
+
+
+def file_date(modified="modified") -> Column:
+    return F.date_format(col(modified), "yyyy-MM-dd")
+
+
+def decoded(content="content") -> Column:
+    """Bytes as UTF-8 with line ends made one; bytes that are none become replacement characters."""
+    return universal_newlines(F.make_valid_utf8(col(content).cast("string")))
 
 
 def front_matter(docs: DataFrame) -> DataFrame:
@@ -34,21 +56,62 @@ def front_matter(docs: DataFrame) -> DataFrame:
     parts = F.split(whole, "---", 3)
     has = F.startswith(whole, F.lit("---")) & (F.size(parts) == 3)
     lines = F.filter(F.split(parts[1], "\n"), lambda x: x.rlike(r"^[A-Za-z_][\w-]*:\s*\S"))
-    pairs = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"^([\w-]+):", 1).alias("key"), F.regexp_replace(F.regexp_extract(x, r"^[\w-]+:\s*(.*?)\s*\z", 1), r"""^(["'])(.*)\1\z""", "$2").alias("value")))
+    raw = lambda x: F.regexp_extract(x, r"^[\w-]+:\s*(.*?)\s*\z", 1)
+    quoted = r"^(?:\"([^\"]*)\"|'([^']*)')(?:\s+#.*)?\z"
+    value = lambda x: F.when(raw(x).rlike(quoted), F.regexp_replace(raw(x), quoted, "$1$2")).otherwise(F.regexp_replace(raw(x), r"\s+#.*\z", ""))
+    pairs = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"^([\w-]+):", 1).alias("key"), value(x).alias("value")))
     # Of equal keys the last counts, as YAML readers have it.
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda q: q["key"] == p["key"]))
+    last = S.let(pairs, lambda ps: F.filter(ps, lambda p, i: ~F.exists(F.slice(ps, i + 2, F.greatest(F.size(ps) - i - 1, F.lit(0))), lambda q: q["key"] == p["key"])))
     none = F.create_map().cast("map<string,string>")
     return docs.withColumn("meta", F.when(has, F.map_from_entries(last)).otherwise(none)).withColumn("text", F.when(has, parts[2]).otherwise(whole))
 
 
+def markdown_documents(files: DataFrame) -> DataFrame:
+    """Markdown files (doc_id, path, content, modified) as documents; without any section, the text is one."""
+    rows = front_matter(files.select("doc_id", "path", "modified", decoded().alias("text")))
+    get = lambda *names: F.coalesce(*(F.try_element_at("meta", F.lit(n)) for n in names))
+    rows = rows.select("*", S.markdown("text", False).alias("found"))
+    sections = F.when(F.size("found") > 0, F.col("found")).otherwise(S.whole(F.lit("")))
+    return _document(rows.withColumn("sections", sections), get("title"), get("author"), get("date"), get("language", "lang"), get("description"))
+
+
+def text_documents(files: DataFrame, detect_headings: bool = True) -> DataFrame:
+    rows = files.select("doc_id", "path", "modified", decoded().alias("text")).select("*", (S.plain("text") if detect_headings else S.whole("text")).alias("found"))
+    return _document(rows.withColumn("sections", F.when(F.size("found") > 0, F.col("found")).otherwise(S.whole("text"))))
+
+
+def _document(rows: DataFrame, title: Column | None = None, author: Column | None = None, date: Column | None = None, language: Column | None = None, description: Column | None = None) -> DataFrame:
+    """What all files become. Title: the file's own, else the first heading, else the stem; date: its own, else the file's."""
+    text = lambda x: F.coalesce(F.lit(None).cast("string") if x is None else x, F.lit(""))
+    null = F.lit(None).cast("string")
+    error = F.col("error_message") if "error_message" in rows.columns else null
+    return rows.select(
+        "doc_id", F.coalesce(F.nullif(text(title), F.lit("")), S.first_heading("sections", stem())).alias("title"), file_uri().alias("url"), text(author).alias("author"), F.lit("").alias("site_name"),
+        F.coalesce(F.nullif(text(date), F.lit("")), file_date()).alias("publish_date"), (null if language is None else F.nullif(language, F.lit(""))).alias("language"), text(description).alias("description"),
+        "sections", S.words("sections", True).alias("word_count"), F.when(error.isNotNull(), "LocalFileError").alias("error_type"), error.alias("error_message"),
+    )
+
+
+def local_documents(files: DataFrame, detect_headings: bool = True) -> DataFrame:
+    """Files (doc_id, path, content, modified) of all kinds as documents, one branch by suffix. What can't be read stays as a
+    row that says why."""
+    kind = files.withColumn("suffix", suffix())
+    other = office.read_files(kind.where(~F.col("suffix").isin(*TEXT)).drop("suffix"))
+    numbered = F.transform("sections", lambda s, i: F.struct(i.cast("bigint").alias("seq"), s["heading"].alias("heading"), s["level"].alias("level"), s["body"].alias("body")))
+    other = other.withColumn("sections", numbered).withColumn("error_message", F.col("error"))
+    other = _document(other, F.col("own_title"), F.col("author"), F.col("publish_date"), F.col("language"), F.col("description"))
+    branch = lambda s: kind.where(F.col("suffix") == s)
+    return markdown_documents(branch(".md")).unionByName(text_documents(branch(".txt"), detect_headings)).unionByName(other)
+
+
 def local_sections(files: DataFrame, detect_headings: bool = True) -> DataFrame:
-    """Rows (doc_id, seq, heading, level, body) of files (doc_id, path, content) of all kinds. Unreadable ones give none;
-    office.read_files tells why."""
-    kind = files.withColumn("suffix", _suffix())
-    text = kind.where(F.col("suffix").isin(*TEXT)).select("doc_id", "suffix", F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
-    markdown = S.markdown_sections(front_matter(text.where("suffix = '.md'")), pdf_cleanup=False)
-    plain = text.where("suffix = '.txt'")
-    plain = S.text_sections(plain) if detect_headings else plain.select("doc_id", F.lit(0).cast("bigint").alias("seq"), F.lit("").alias("heading"), F.lit(2).alias("level"), F.regexp_replace("text", "\n{3,}", "\n\n").alias("body"))
-    other = office.read_files(kind.where(~F.col("suffix").isin(*TEXT)))
-    other = other.select("doc_id", F.posexplode("sections").alias("seq", "s")).select("doc_id", F.col("seq").cast("bigint"), "s.heading", "s.level", "s.body")
-    return markdown.unionByName(plain).unionByName(other)
+    """Rows (doc_id, seq, heading, level, body) of files of all kinds; those that can't be read give none."""
+    if "modified" not in files.columns:
+        files = files.withColumn("modified", F.lit(None).cast("timestamp"))
+    return S.exploded(local_documents(files, detect_headings).where("error_type IS NULL"), F.col("sections"))
+
+
+def image_files(files: DataFrame) -> DataFrame:
+    """Pictures among scanned files, as images of the folder that they are in: (folder, name, format, image_bytes)."""
+    rows = files.withColumn("format", F.substring(suffix(), 2, 10)).where(F.col("format").isin(*P.IMAGE_FORMATS))
+    return rows.select(F.regexp_extract("path", r"^(.*)/[^/]*\z", 1).alias("folder"), F.regexp_extract("path", r"([^/]*)\z", 1).alias("name"), "format", F.col("content").alias("image_bytes"))

@@ -121,10 +121,12 @@ def read_html(data: bytes) -> dict:
 def read_xlsx(data: bytes) -> dict:
     z = zipfile.ZipFile(io.BytesIO(data))
     shared = [("".join(t.text or "" for t in e.iter(f"{X}t"))) for e in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in z.namelist() else []
-    sheets = [e.get("name") for e in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{X}sheet")]
+    rels = {}
+    if "xl/_rels/workbook.xml.rels" in z.namelist():
+        rels = {e.get("Id"): "xl/" + e.get("Target", "").removeprefix("/xl/") for e in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
     out = []
-    for i, name in enumerate(sheets, 1):
-        path = f"xl/worksheets/sheet{i}.xml"
+    for i, sheet in enumerate(ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{X}sheet"), 1):
+        name, path = sheet.get("name"), rels.get(sheet.get(f"{REL}id"), f"xl/worksheets/sheet{i}.xml")
         if path not in z.namelist():
             continue
         rows = []
@@ -211,8 +213,11 @@ def _read(path: pd.Series, content: pd.Series) -> pd.DataFrame:
 
 
 def read_files(files: DataFrame) -> DataFrame:
-    """Files (doc_id, path, content) as documents: title falls back to the first heading, then to the file's stem."""
-    rows = files.withColumn("f", F.pandas_udf(_read, SCHEMA)("path", "content")).select("doc_id", "path", "f.*")
+    """Files (doc_id, path, content, columns beside) as documents: title falls back to the first heading, then to the file's
+    stem; own_title is what the file itself says."""
+    keep = [c for c in files.columns if c in ("doc_id", "path", "modified")]
+    rows = files.withColumn("f", F.pandas_udf(_read, SCHEMA)("path", "content")).select(*keep, "f.*")
     first = F.get(F.filter(F.transform("sections", lambda s: s["heading"]), lambda h: h != ""), 0)
     stem = F.regexp_extract("path", r"([^/\\]*?)(?:\.[^./\\]*)?\z", 1)
-    return rows.withColumn("title", F.coalesce(F.nullif("title", F.lit("")), first, stem)).withColumn("error_type", F.when(F.col("error").isNotNull(), "LocalFileError"))
+    own = F.col("title")
+    return rows.withColumn("own_title", own).withColumn("title", F.coalesce(F.nullif("title", F.lit("")), first, stem)).withColumn("error_type", F.when(F.col("error").isNotNull(), "LocalFileError"))

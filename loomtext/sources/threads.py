@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.functions.dates import post_date
-from loomtext.functions.text import make_title, word_count
+from loomtext.functions.dates import UNKNOWN, post_date
+from loomtext.functions.text import col, make_title, strip, word_count
 from loomtext.functions.urls import canonical_post_url
+from loomtext.operators.sections import body_text
 
 VOID = {"br", "img", "hr", "meta", "link", "input", "source", "wbr"}
 #: A mirror's short links; each is looked up, not guessed.
@@ -18,13 +20,14 @@ SHORT_LINK = r"https://t\.co/[A-Za-z0-9]+"
 
 
 class _Thread(HTMLParser):
-    """Texts of the main thread's items, in order, and the date of the first."""
+    """Texts of the main thread's items, in order, or of all items where there is no thread; the main item's author and date."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, set[str]]] = []
-        self.texts: list[str] = []
-        self.date = self.handle = ""
+        self.main: list[list[str]] = []
+        self.all: list[list[str]] = []
+        self.date = self.handle = self.name = self.link = self.title = ""
 
     def within(self, *names: str) -> bool:
         return all(any(name in classes for _, classes in self.open) for name in names)
@@ -32,17 +35,17 @@ class _Thread(HTMLParser):
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
         classes = set(a.get("class", "").split())
-        if tag == "br" and self.within("main-thread", "timeline-item", "tweet-content") and self.texts:
-            self.texts[-1] += "\n"
         if tag in VOID:
             return
         self.open.append((tag, classes))
-        if "tweet-content" in classes and self.within("main-thread", "timeline-item"):
-            self.texts.append("")
-        if tag == "a" and self.within("main-thread", "tweet-date") and not self.date:
+        if "tweet-content" in classes:
+            self.all.append([])
+            if self.within("main-thread", "timeline-item") or self.within("main-tweet"):
+                self.main.append(self.all[-1])
+        if tag == "a" and self.within("tweet-date") and (self.within("main-tweet") or self.within("main-thread")) and not self.date:
             self.date = a.get("title", "")
-        if tag == "a" and "username" in classes and not self.handle:
-            self.handle = a.get("href", "").strip("/")
+        if tag == "a" and ("username" in classes or self.within("tweet-avatar")) and not self.link:
+            self.link = a.get("href", "").strip("/")
 
     def handle_endtag(self, tag):
         for i in range(len(self.open) - 1, -1, -1):
@@ -51,8 +54,17 @@ class _Thread(HTMLParser):
                 return
 
     def handle_data(self, data):
-        if self.texts and self.within("main-thread", "timeline-item", "tweet-content"):
-            self.texts[-1] += data
+        text = data.strip()
+        if not text:
+            return
+        if self.all and self.within("tweet-content"):
+            self.all[-1].append(text)
+        elif self.within("main-tweet", "fullname") and not self.name:
+            self.name = text
+        elif self.within("main-tweet", "username") and not self.handle:
+            self.handle = text
+        elif self.open and self.open[-1][0] == "title":
+            self.title += data
 
 
 def read_thread(html: str) -> dict:
@@ -60,26 +72,39 @@ def read_thread(html: str) -> dict:
     page = _Thread()
     page.feed(html or "")
     page.close()
-    n = len(page.texts)
-    sections = [{"heading": f"@{page.handle} ({i}/{n})" if n > 1 else "", "level": 2, "body": t.strip()} for i, t in enumerate(page.texts, 1) if t.strip()]
-    return {"author": page.handle, "raw_date": page.date, "sections": sections}
+    texts = ["\n".join(parts) for parts in page.main or page.all]
+    n, handle = len(texts), page.handle
+    if not handle:
+        titled = re.match(r"(@?\w+):", page.title)
+        handle = "@" + titled.group(1).lstrip("@") if titled else f"@{page.link}" if page.link else ""
+    sections = [{"seq": i - 1, "heading": f"{handle} ({i}/{n})" if n > 1 else "", "level": 2, "body": t} for i, t in enumerate(texts, 1) if t]
+    return {"author": handle, "author_name": page.name or handle.lstrip("@"), "raw_date": page.date, "found": n, "sections": sections}
 
 
-THREAD = "struct<author:string,raw_date:string,sections:array<struct<heading:string,level:int,body:string>>>"
+THREAD = "struct<author:string,author_name:string,raw_date:string,found:int,sections:array<struct<seq:bigint,heading:string,level:int,body:string>>>"
 
 
 def _read(html: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([read_thread(h) for h in html], columns=["author", "raw_date", "sections"])
+    return pd.DataFrame([read_thread(h) for h in html], columns=["author", "author_name", "raw_date", "found", "sections"])
+
+
+def thread_stats(sections) -> tuple:
+    """(is_thread, thread_length, word_count, title) of a thread's sections: blank ones do not count, headings neither."""
+    body = body_text(sections, False)
+    return F.size(col(sections)) > 1, F.size(col(sections)), word_count(body), make_title(body)
 
 
 def threads(pages: DataFrame) -> DataFrame:
-    """Pages (doc_id, url, html) as posts with sections, is_thread and thread_length; empty ones carry an error."""
+    """Pages (doc_id, url, html) as posts with sections, is_thread and thread_length; those without any post carry an error.
+    A date that isn't read stays as it is written."""
     rows = pages.withColumn("t", F.pandas_udf(_read, THREAD)("html")).select("doc_id", "url", "t.*")
-    body = F.array_join(F.transform("sections", lambda s: s["body"]), "\n\n")
-    n = F.size("sections")
+    is_thread, length, words, title = thread_stats("sections")
+    read = post_date(F.regexp_extract("raw_date", r"(\w+ \d+, \d{4})", 1))
+    date = F.when(read != UNKNOWN, read).otherwise(F.coalesce(F.nullif(strip("raw_date"), F.lit("")), F.lit(UNKNOWN)))
+    none = F.col("found") == 0
     return rows.select(
-        "doc_id", canonical_post_url("url").alias("url"), "author", post_date("raw_date").alias("publish_date"), "sections", (n > 1).alias("is_thread"), n.alias("thread_length"), make_title(body).alias("title"),
-        word_count(body).alias("word_count"), F.when(n == 0, "TweetFetchError").alias("error_type"),
+        "doc_id", canonical_post_url("url").alias("url"), "author", "author_name", date.alias("publish_date"), title.alias("title"), "sections", words.alias("word_count"), is_thread.alias("is_thread"),
+        length.alias("thread_length"), F.lit("tweet").alias("tweet_subtype"), F.when(none, "TweetFetchError").alias("error_type"), F.when(none, "no post on the page").alias("error_message"),
     )
 
 

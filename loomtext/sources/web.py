@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from html.parser import HTMLParser
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.functions.dates import normalise_date
-from loomtext.functions.text import strip, word_count
+from loomtext.functions.text import strip
+from loomtext.operators import sections as S
 
 # Elements that hold no article text, that end a paragraph, and that never have content.
 SKIPPED = {"script", "style", "nav", "footer", "header", "aside", "form", "noscript", "svg", "button", "template"}
@@ -63,7 +66,7 @@ class _Page(HTMLParser):
             return
         if tag == "img":
             self.flush()
-            self.images.append({"src": a.get("data-src") or a.get("src", ""), "width": a.get("width", ""), "height": a.get("height", ""), "alt_text": a.get("alt", ""), "anchor_text": self.last_text[-80:]})
+            self.images.append({"at": len(self.items), "src": a.get("data-src") or a.get("src", ""), "width": a.get("width", ""), "height": a.get("height", ""), "alt_text": a.get("alt", ""), "anchor_text": self.last_text[-80:]})
         if tag == "br":
             self.text.append("\n")
         if tag in BLOCKS or re.fullmatch("h[1-6]", tag):
@@ -104,11 +107,15 @@ class _Page(HTMLParser):
         self.flush()
         self.spans += [(rank, first, len(self.items)) for _, rank, first in self.starts]
         best = min(self.spans, key=lambda s: (s[0], s[1] - s[2]), default=(9, 0, len(self.items)))
-        return self.items[best[1] : best[2]] if best[2] > best[1] else self.items
+        if best[2] <= best[1]:
+            return self.items
+        self.images = [i for i in self.images if best[1] <= i["at"] <= best[2]]
+        return self.items[best[1] : best[2]]
 
 
 def read_page(html: str) -> dict:
-    """Metadata, sections (heading, level, body) and images of a page. Sections without paragraphs are dropped."""
+    """Metadata, sections and images of a page. Sections without paragraphs are dropped; where that leaves none, all text
+    of the page is one. Images are those of the element that the text is taken from."""
     page = _Page()
     page.feed(html or "")
     page.close()
@@ -120,15 +127,17 @@ def read_page(html: str) -> dict:
             body.append(text)
             continue
         if body:
-            sections.append({"heading": heading, "level": level, "body": "\n\n".join(body)})
+            sections.append({"seq": len(sections), "heading": heading, "level": level, "body": "\n\n".join(body)})
         heading, level, body = text, depth, []
+    if not sections and (plain := "\n".join(text for _, _, text in page.items)):
+        sections.append({"seq": 0, "heading": "", "level": 2, "body": plain})
     return {
         "title": first("og:title") or " ".join(page.title.split()), "author": first("author", "article:author"), "site_name": first("og:site_name"), "raw_date": first("article:published_time", "date", "dc.date"),
         "description": first("description", "og:description"), "language": page.lang, "sections": sections, "images": page.images,
     }
 
 
-PAGE = "struct<title:string,author:string,site_name:string,raw_date:string,description:string,language:string,sections:array<struct<heading:string,level:int,body:string>>,images:array<struct<src:string,width:string,height:string,alt_text:string,anchor_text:string>>>"
+PAGE = "struct<title:string,author:string,site_name:string,raw_date:string,description:string,language:string,sections:array<struct<seq:bigint,heading:string,level:int,body:string>>,images:array<struct<src:string,width:string,height:string,alt_text:string,anchor_text:string>>>"
 
 
 def _read(html: pd.Series) -> pd.DataFrame:
@@ -137,28 +146,76 @@ def _read(html: pd.Series) -> pd.DataFrame:
 
 def articles(pages: DataFrame, min_content_length: int = 100) -> DataFrame:
     """Pages (doc_id, url, html) as documents with sections; too short ones carry an error and stay."""
-    rows = pages.withColumn("page", F.pandas_udf(_read, PAGE)("html")).select("doc_id", "url", "page.*")
-    text = F.array_join(F.flatten(F.transform("sections", lambda s: F.filter(F.array(s["heading"], s["body"]), lambda x: x != ""))), "\n\n")
-    rows = rows.withColumn("word_count", word_count(text)).withColumn("publish_date", normalise_date(F.nullif("raw_date", F.lit(""))))
-    first = F.get(F.filter(F.transform("sections", lambda s: s["heading"]), lambda h: h != ""), 0)
-    rows = rows.withColumn("title", F.coalesce(F.nullif("title", F.lit("")), first, F.lit("Untitled")))
-    short = F.col("word_count") < max(1, min_content_length // 5)
-    return rows.drop("raw_date").withColumn("error_type", F.when(short, "ContentExtractionError")).withColumn("error_message", F.when(short, "too little content"))
+    return _articles(pages.withColumn("page", F.pandas_udf(_read, PAGE)("html")).select("doc_id", "url", "page.*"), min_content_length)
+
+
+def _articles(rows: DataFrame, min_content_length: int) -> DataFrame:
+    rows = rows.withColumn("word_count", S.words("sections", True)).withColumn("publish_date", normalise_date(F.nullif("raw_date", F.lit(""))))
+    rows = rows.withColumn("title", F.coalesce(F.nullif("title", F.lit("")), S.first_heading("sections")))
+    short, none = F.col("word_count") < max(1, min_content_length // 5), F.size("sections") == 0
+    message = F.when(none, "no content found").when(short, F.concat(F.lit("too little content ("), F.col("word_count").cast("string"), F.lit(" words)")))
+    return rows.drop("raw_date").withColumn("error_type", F.when(none | short, "ContentExtractionError")).withColumn("error_message", message)
+
+
+def read_extracted(xml: str, images: bool = False) -> dict:
+    """Sections of an extractor's XML, in document order: `head` opens one (its level is the first number of `rend`, its
+    heading the text before any child), `p` adds all its text, `graphic` a marker and an image if asked for."""
+    try:
+        root = ElementTree.fromstring(xml or "")
+    except ElementTree.ParseError:
+        return {"sections": [], "images": []}
+    sections, found, heading, level, body = [], [], "", 2, []
+    for e in [*root.iter(), None]:
+        name = "" if e is None else e.tag.rpartition("}")[2]
+        if e is None or name == "head":
+            if body:
+                sections.append({"seq": len(sections), "heading": heading, "level": level, "body": "\n\n".join(body)})
+            if e is not None:
+                number = re.search("[0-9]+", e.get("rend", "h2"))
+                heading, level, body = (e.text or "").strip(), int(number.group()) if number else 2, []
+        elif name == "p":
+            if text := "".join(e.itertext()).strip():
+                body.append(text)
+        elif name == "graphic" and images and e.get("src", "").startswith("http"):
+            mark = f"<!--IMG:{hashlib.sha256(f'{xml}|{len(found)}'.encode()).hexdigest()[:32]}-->"
+            found.append({"src": e.get("src"), "alt_text": e.get("title") or e.get("alt") or "", "position_marker": mark})
+            body.append(mark)
+    return {"sections": sections, "images": found}
+
+
+EXTRACTED = "struct<sections:array<struct<seq:bigint,heading:string,level:int,body:string>>,images:array<struct<src:string,alt_text:string,position_marker:string>>>"
+
+
+def extracted(rows: DataFrame, images: bool = False) -> DataFrame:
+    """An extractor's XML (doc_id, xml) with its sections and images."""
+
+    def read(xml: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([read_extracted(x, images) for x in xml], columns=["sections", "images"])
+
+    return rows.withColumn("x", F.pandas_udf(read, EXTRACTED)("xml")).select("doc_id", "x.*")
 
 
 def sections_of(articles: DataFrame) -> DataFrame:
-    return articles.select("doc_id", F.posexplode("sections").alias("seq", "s")).select("doc_id", "seq", "s.*")
+    return S.exploded(articles, F.col("sections"))
 
 
 def images_of(articles: DataFrame, least_side: int = 50) -> DataFrame:
-    """Images worth fetching: no data URIs or vector graphics, no small sides, and an anchor that a section holds."""
+    """Images worth fetching: no data URIs or vector graphics, no small sides, and an anchor that a section holds. Their
+    alt_text becomes the anchor, by which descriptions are placed."""
     rows = articles.select("doc_id", "sections", F.posexplode("images").alias("seq", "i")).select("doc_id", "sections", "seq", "i.*")
     side = lambda c: F.col(c).try_cast("int")
     small = F.coalesce((side("width") > 0) & (side("width") < least_side), F.lit(False)) | F.coalesce((side("height") > 0) & (side("height") < least_side), F.lit(False))
     held = F.exists("sections", lambda s: F.contains(s["body"], F.col("anchor_text")))
+    rows = rows.withColumn("alt_text", F.col("anchor_text")).where("src <> ''")
     return rows.where(~F.startswith("src", F.lit("data:")) & ~F.lower(F.split_part("src", F.lit("?"), F.lit(1))).endswith(".svg") & ~small & held & (F.col("anchor_text") != "")).drop("sections")
 
 
+def images_with_bytes(images: DataFrame, fetched: DataFrame, least_bytes: int = 5000) -> DataFrame:
+    """Images with what was fetched for them (src, image_bytes), small files dropped; the format by the URL."""
+    rows = images.join(fetched, "src").where(F.length("image_bytes") >= least_bytes)
+    return rows.withColumn("format", F.when(F.lower("src").rlike(r"\.jpe?g"), "jpeg").otherwise("png")).withColumn("source_label", F.lit("Article image"))
+
+
 # Native forms for pages whose markup is regular: no Python, so that scans, filters and counts stay in generated code.
 def article_html(html: str = "html") -> Column:
     return F.regexp_extract(F.col(html), r"(?s)<article>(.*)</article>", 1)
@@ -184,3 +241,9 @@ def page_paragraphs(pages: DataFrame) -> DataFrame:
     """Rows (page_id, seq, text) of the paragraphs of each page's article."""
     found = F.regexp_extract_all(article_html(), F.lit(r"(?s)<p>(.*?)</p>"), F.lit(1))
     return pages.select("page_id", F.posexplode(found).alias("seq", "p")).select("page_id", F.col("seq").cast("bigint"), plain_text("p").alias("text"))
+
+
+def page_links(pages: DataFrame) -> DataFrame:
+    """Rows (page_id, seq, href) of all links of each page, in order."""
+    found = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
+    return pages.select("page_id", F.posexplode(found).alias("seq", "href")).select("page_id", F.col("seq").cast("bigint"), "href")

@@ -61,19 +61,21 @@ def test_dates(spark):
     check(spark, {"D:20240506101112+00'00'": "2024-05-06", "20240506": "2024-05-06", "May": "unknown"}, D.pdf_date)
     check(spark, {"1:02:03": 3723, "62:03": 3723, "59.9": 59, "x": 0, "1:x": 0}, D.feed_duration)
     check(spark, {0: "0:00", 59: "0:59", 3599: "59:59", 3661: "1:01:01"}, D.format_duration, "int")
-    check(spark, {"Mon, 06 May 2024 07:08:09 +0200": "2024-05-06", "6 May 2024 07:08:09 GMT": "2024-05-06", "soon": "unknown"}, D.feed_date)
+    check(spark, {"Mon, 06 May 2024 07:08:09 +0200": "2024-05-06", "6 May 2024 07:08:09 GMT": "2024-05-06", "Mon, 06 May 2024 23:30:00 -0100": "2024-05-07", "Mon, 06 May 2024 00:30 +0530": "2024-05-05", "06 May 2024 22:00:00 EST": "2024-05-07", "6 May 2024": "2024-05-06", "soon": "unknown"}, D.feed_date)
     check(spark, {"2024-05-06T07:08:09.000Z": "2024-05-06", "May 6, 2024 · 7:08 PM UTC": "2024-05-06", "December 6, 2024": "2024-12-06", "?": "unknown"}, D.post_date)
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="ab .。,，\n", max_size=300), st.integers(5, 60))
 def test_chunks_put_together_give_the_text(text, size):
-    pieces = split_at_punctuation(text, size)
+    wide = split_at_punctuation(text, size, 7)
+    pieces = split_at_punctuation(text, size, 0)
+    assert [p["chunk"][p["overlap"] :] for p in wide] == [p["chunk"] for p in pieces]
     assert "".join(p["chunk"] for p in pieces) == text
     assert all(len(p["chunk"]) <= size + 1 for p in pieces)
 
 
 def test_chunks_cut_at_sentences():
-    assert [p["chunk"] for p in split_at_punctuation("One two. Three four five", 12)] == ["One two.", " Three four ", "five"]
+    assert [p["chunk"] for p in split_at_punctuation("One two. Three four five", 12, 0)] == ["One two.", " Three four ", "five"]
 
 

@@ -40,7 +40,7 @@ def test_entry_without_the_other_subpackage(monkeypatch):
 
     def refuse(name, *args, **kwargs):
         if name.startswith(("loomtext.llm", "corpus_pipeline")):
-            raise ImportError(name)
+            raise ModuleNotFoundError(name, name=name)
         return real(name, *args, **kwargs)
 
     monkeypatch.setattr(builtins, "__import__", refuse)

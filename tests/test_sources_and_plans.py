@@ -49,7 +49,9 @@ def test_pages(spark):
     df = spark.createDataFrame([(1, "http://a", PAGE), (2, "http://b", None), (3, "http://c", "<p>short")], "doc_id int, url string, html string")
     rows = {r["doc_id"]: r for r in pipelines.pages(df).collect()}
     assert rows[1]["error_type"] is None and rows[1]["publish_date"] == "2024-05-06"
-    assert rows[1]["markdown"].startswith('---\ntitle: "The & Title"\nurl: "http://a"\nauthor: "A. B."\ndate: "2024-05-06"\nlanguage: "en"\nword_count: 38\npolished: false\n---\n\n# The & Title\n\n# Head\n\nOne two three')
+    assert rows[1]["markdown"].startswith('---\ntitle: "The & Title"\nurl: "http://a"\nauthor: "A. B."\ndate: "2024-05-06"\nlanguage: "en"\nword_count: 38\ncontent_type: "article"\npolished: false\n---\n\n# The & Title\n\n> Author: A. B. | Date: 2024-05-06 | 38 words\n\n# Head\n\nOne two three')
+    plan = pipelines.pages(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan
     assert rows[2]["error_type"] == rows[3]["error_type"] == "ContentExtractionError" and rows[3]["title"] == "Untitled"
     assert [r["src"] for r in web.images_of(web.articles(df)).collect()] == ["a.png"]
 
@@ -99,9 +101,22 @@ def test_local_files(spark, tmp_path):
     scanned = files.scan(spark, str(tmp_path))
     got = {(r["doc_id"].rpartition("/")[2], r["heading"], r["body"]) for r in files.local_sections(scanned).collect()}
     assert got == {("a.md", "H", "body"), ("b.txt", "PART ONE", "text"), ("c.html", "Q", "r")}
+    (tmp_path / "d.md").write_bytes(b"---\ntitle: 'It' # so\nlang: fr\ndate: 2024-01-02\n---\nbad \xff byte")
+    (tmp_path / "e f.ppt").write_bytes(b"old")
+    docs = {r["doc_id"].rpartition("/")[2]: r for r in files.local_documents(files.scan(spark, str(tmp_path))).collect()}
+    d = docs["d.md"]
+    assert (d["title"], d["language"], d["publish_date"], d["sections"][0]["body"], d["word_count"], d["error_type"]) == ("It", "fr", "2024-01-02", "bad \ufffd byte", 3, None)
+    assert docs["a.md"]["title"] == "T" and docs["b.txt"]["title"] == "PART ONE" and len(docs["b.txt"]["publish_date"]) == 10
+    assert docs["e%20f.ppt"]["error_type"] == "LocalFileError" if "e%20f.ppt" in docs else docs["e f.ppt"]["error_type"] == "LocalFileError"
+    made = {r["doc_id"].rpartition("/")[2]: r for r in pipelines.local_files(files.scan(spark, str(tmp_path))).collect()}
+    assert 'content_type: "local_file"' in made["c.html"]["markdown"] and made["c.html"]["markdown"].endswith("## Q\n\nr\n")
+    uris = spark.createDataFrame([("/a b/ü~*.md",)], "path string").select(files.file_uri().alias("u")).first()["u"]
+    import pathlib
+
+    assert uris == pathlib.PurePosixPath("/a b/ü~*.md").as_uri()
     meta = files.front_matter(spark.createDataFrame([("x", (tmp_path / "a.md").read_text())], "doc_id string, text string")).first()["meta"]
     assert meta == {"title": "T", "n": "2"}
-    assert files.listing(spark, str(tmp_path)).count() == 3
+    assert files.listing(spark, str(tmp_path)).count() == 5
 
 
 RSS = """<rss><channel><title>Show</title><language>en</language>
@@ -134,21 +149,61 @@ def test_structured(spark):
 
 def test_posts(spark):
     one = {"__typename": "Tweet", "user": {"screen_name": "h", "name": "H"}, "created_at": "2024-05-06T07:08:09.000Z", "text": "short", "note_tweet": {"note_tweet_results": {"result": {"text": "a longer note"}}}, "mediaDetails": [{"type": "photo", "media_url_https": "u"}, {"type": "video", "media_url_https": "v"}]}
-    rows = [("a", "https://twitter.com/h/status/1?s=2", json.dumps(one)), ("b", "https://x.com/h/status/2", json.dumps({"__typename": "TweetTombstone"})), ("c", "https://x.com/h/status/3", json.dumps({"__typename": "Tweet", "user": {"screen_name": "h", "name": "H"}, "text": "see https://t.co/x", "article": {"title": "Art", "preview_text": "pre"}}))]
-    got = {r["doc_id"]: r for r in pipelines.social(spark.createDataFrame(rows, "doc_id string, url string, json string")).collect()}
-    assert (got["a"]["tweet_subtype"], got["a"]["body"], got["a"]["photos"], got["a"]["url"]) == ("note_tweet", "a longer note", ["u"], "https://x.com/h/status/1")
-    assert got["b"]["error_type"] == "TweetFetchError" and (got["c"]["title"], got["c"]["tweet_subtype"]) == ("Art", "x_article")
-    assert got["a"]["markdown"] == '---\ntitle: "a longer note"\nurl: "https://x.com/h/status/1"\nauthor: "@h"\nauthor_name: "H"\ndate: "2024-05-06"\nsubtype: "note_tweet"\nword_count: 3\npolished: false\n---\n\n# a longer note\n\na longer note\n'
-    e = structured.embedded_posts(spark.createDataFrame([("e", "https://x.com/q/status/1", json.dumps({"author_name": "Q", "author_url": "https://twitter.com/q", "html": '<blockquote><p lang="en">hi &amp; bye<br>x</p>&mdash; Q <a href="u">May 6, 2024</a></blockquote>'}))], "doc_id string, url string, json string")).first()
-    assert (e["author"], e["body"], e["publish_date"]) == ("q", "hi & bye\nx", "2024-05-06")
+    art = {"__typename": "Tweet", "user": {"screen_name": "h", "name": "H"}, "text": "see https://t.co/x", "article": {"title": "Art", "preview_text": "pre view", "rest_id": "9"}}
+    link = {"user": {"screen_name": "h"}, "text": " https://t.co/x https://a.b/c "}
+    rows = [("a", "https://twitter.com/h/status/1?s=2", json.dumps(one)), ("b", "https://x.com/h/status/2", json.dumps({"__typename": "TweetTombstone", "tombstone": {"text": {"text": "gone"}}})), ("c", "https://x.com/h/status/3", json.dumps(art)), ("d", "https://x.com/h/status/4", json.dumps(link)), ("e", "https://x.com/h/status/5", "{}"), ("f", "https://x.com/h/status/6", "no json")]
+    schema = "doc_id string, url string, json string"
+    answers = spark.createDataFrame(rows, schema)
+    items = spark.createDataFrame([(k, u) for k, u, _ in rows], "doc_id string, url string")
+    sections = "array<struct<seq:bigint,heading:string,level:int,body:string>>"
+    linked = spark.createDataFrame([("d", "Linked page", [(0, "", 2, "from the page")])], f"doc_id string, title string, sections {sections}")
+    got = {r["doc_id"]: r for r in pipelines.social(items, answers, linked=linked).collect()}
+    assert (got["a"]["tweet_subtype"], got["a"]["body"], got["a"]["url"]) == ("note_tweet", "a longer note", "https://x.com/h/status/1")
+    assert got["b"]["error_type"] == "TweetFetchError" and got["b"]["error_message"] == "Tweet deleted or unavailable: gone"
+    assert (got["c"]["title"], got["c"]["tweet_subtype"], got["c"]["word_count"]) == ("Art", "x_article", 2) and [s["heading"] for s in got["c"]["sections"]] == ["Art", "Note"]
+    assert (got["d"]["title"], got["d"]["body"], got["d"]["author_name"], got["d"]["tweet_subtype"]) == ("Linked page", "from the page", "h", "tweet")
+    assert got["f"]["error_message"].startswith("All tweet fetch methods failed for https://x.com/h/status/6:\n  - Syndication: ") and "Nitter: no answer" in got["e"]["error_message"]
+    assert got["a"]["markdown"] == '---\ntitle: "a longer note"\nurl: "https://x.com/h/status/1"\nauthor: "@h"\nauthor_name: "H"\ndate: "2024-05-06"\nword_count: 3\nis_thread: false\nthread_length: 1\ntweet_subtype: "note_tweet"\ncontent_type: "tweet"\npolished: false\n---\n\n# a longer note\n\n> Author: @h (H) | Date: 2024-05-06 | 3 words\n\na longer note\n'
+    full = spark.createDataFrame([("c", None, None, [(0, "Head", 1, "whole text here")])], f"doc_id string, title string, note string, sections {sections}")
+    whole = {r["doc_id"]: r for r in structured.posts(answers, full, cookies=True).collect()}["c"]
+    assert (whole["title"], whole["word_count"], [s["heading"] for s in whole["sections"]]) == ("Art", 3, ["Head"])
+    marked, images = structured.with_photo_markers(structured.posts(answers))
+    mark = images.first()["position_marker"]
+    assert images.count() == 1 and {r["doc_id"]: r for r in marked.collect()}["a"]["sections"][0]["body"] == f"a longer note\n\n{mark}"
+    shown = pipelines.preview_posts(pipelines.social(items, answers)).where("doc_id = 'a'").first()
+    assert (shown["author"], shown["preview"]) == ("@h", "a longer note")
+
+
+EMBED = '<blockquote><p lang="en">hi &amp; <a href="x">bye</a><br>x</p>&mdash; Q <a href="u">May 6, 2024</a></blockquote>'
+
+
+def test_cascade(spark):
+    embedded = spark.createDataFrame([("e", "https://x.com/q/status/1", json.dumps({"author_name": "Q", "author_url": "https://twitter.com/q", "html": EMBED}))], "doc_id string, url string, json string")
+    e = structured.embedded_posts(embedded).first()
+    assert (e["author"], e["sections"][0]["body"], e["publish_date"], e["title"]) == ("@q", "hi &\nbye\nx", "2024-05-06", "hi & bye x")
+    items = spark.createDataFrame([("e", "https://x.com/q/status/1"), ("t", "https://x.com/q/status/2"), ("x", "https://x.com/q/status/3")], "doc_id string, url string")
+    page = '<div class="main-thread"><div class="timeline-item"><div class="tweet-content">one</div></div><div class="timeline-item"><div class="tweet-content">two</div></div></div>'
+    pages = spark.createDataFrame([("t", "https://x.com/q/status/2", page), ("x", "https://x.com/q/status/3", "<p>none")], "doc_id string, url string, html string")
+    none = spark.createDataFrame([("t", "https://x.com/q/status/2", "")], "doc_id string, url string, json string")
+    got = {r["doc_id"]: r for r in pipelines.social(items, none, embedded, pages).collect()}
+    assert got["e"]["body"] == "hi &\nbye\nx" and got["t"]["is_thread"] and got["t"]["thread_length"] == 2
+    assert "*Thread (2 posts)*" in got["t"]["markdown"] and got["x"]["error_message"].endswith("Nitter: no post on the page")
 
 
 def test_videos(spark):
-    meta = [("v", json.dumps({"id": "v", "title": "T", "webpage_url": "http://v", "channel": "C", "upload_date": "20240506", "duration": 130, "chapters": [{"title": "A", "start_time": 0, "end_time": 60}, {"title": "B", "start_time": 60, "end_time": 90}, {"title": "End", "start_time": 600, "end_time": 700}]})), ("n", "{}")]
-    subs = spark.createDataFrame([("v", "a.vtt", VTT, True)], "doc_id string, path string, text string, is_auto boolean")
-    got = {r["doc_id"]: r for r in pipelines.videos(spark.createDataFrame(meta, "doc_id string, json string"), subs).collect()}
+    meta = [("v", json.dumps({"id": "v", "title": "T", "webpage_url": "http://v", "channel": "C", "upload_date": "20240506", "duration": 130, "language": "en", "chapters": [{"title": "A", "start_time": 0, "end_time": 60}, {"title": "B", "start_time": 60, "end_time": 90}, {"title": "End", "start_time": 600, "end_time": 700}]})), ("n", "{}"), ("h", json.dumps({"title": "Heard"}))]
+    schema = "doc_id string, path string, text string, is_auto boolean"
+    subs = spark.createDataFrame([("v", "a.en.vtt", VTT, True), ("v", "a.fr.vtt", VTT.replace("Hello", "Bonjour"), True)], schema)
+    df = spark.createDataFrame(meta, "doc_id string, json string")
+    asr = spark.createDataFrame([("h", 0, 0.0, 1.0, "heard it", "de"), ("v", 0, 0.0, 1.0, "not used", "de")], "doc_id string, seq bigint, start_seconds double, end_seconds double, text string, language string")
+    got = {r["doc_id"]: r for r in pipelines.videos(df, subs, asr=asr).collect()}
     assert got["n"]["error_type"] == "NoSubtitlesError"
-    assert got["v"]["markdown"].endswith(render.NOTICE_AUTO + "\n\n## A\n\nHello there & you\n\n## B\n\nSecond line\n\n## End\n\n*(No transcript for this section)*\n")
+    assert got["v"]["markdown"] == '---\ntitle: "T"\nurl: "http://v"\nchannel: "C"\ndate: "2024-05-06"\nlanguage: "en"\nduration: "2:10"\nauto_generated: true\ncontent_type: "transcript"\npolished: false\n---\n\n# T\n\n> Channel: C | Date: 2024-05-06 | Duration: 2:10\n\n' + render.NOTICE_AUTO + "\n\n## A\n\nHello there & you\n\n## B\n\nSecond line\n\n## End\n\n*(No transcript for this section)*\n"
+    assert got["h"]["markdown"].endswith(render.NOTICE_ASR + "\n\nheard it\n") and "whisper_transcribed: true" in got["h"]["markdown"] and got["h"]["sub_language"] == "de"
+    forced = config.load(options={"subtitles": {"lang": "fr"}})
+    assert "Bonjour" in {r["doc_id"]: r for r in pipelines.videos(df, subs, forced).collect()}["v"]["markdown"]
+    first = {r["doc_id"]: r for r in pipelines.preview_videos(spark.createDataFrame([("p", json.dumps({"title": "P", "subtitles": {"live_chat": [], "en": []}, "automatic_captions": {f"l{i}": [] for i in range(12)}}))], "doc_id string, json string")).collect()}["p"]
+    assert (first["manual"], len(first["auto"]), first["more_auto"], first["language"]) == (["en"], 10, True, "unknown")
 
 
 def test_papers_and_podcasts(spark):
@@ -157,12 +212,72 @@ def test_papers_and_podcasts(spark):
     props = spark.createDataFrame([("p", json.dumps({"number_of_pages": 3, "author": "A, B, C, D", "creation_date": "D:20240506"}))], "doc_id string, json string")
     r = pipelines.papers(md, props).first()
     assert (r["title"], r["abstract"], r["has_math"], r["page_count"], r["error_type"]) == ("Title", "own abstract", True, 3, None)
-    assert 'authors: "A, B, C et al. (4 authors)"' in r["markdown"] and "gone" not in r["markdown"] and r["markdown"].count("own abstract") == 1
+    assert 'authors: "A, B, C, D"' in r["markdown"] and "> Authors: A, B, C et al. (4 authors) | Date: 2024-05-06 | 3 pages | 63 words" in r["markdown"]
+    assert "gone" not in r["markdown"] and r["markdown"].count("own abstract") == 1 and render.NOTICE_MATH in r["markdown"]
     api = structured.papers(spark.createDataFrame([("p", ATOM)], "doc_id string, xml string"))
     assert pipelines.papers(md, props, api).first()["abstract"] == "s t"
     asr = spark.createDataFrame([("http://a/1.mp3", 0, 0.0, 1.0, "hello")], "audio_url string, seq bigint, start_seconds double, end_seconds double, text string")
-    got = {r["title"]: r for r in pipelines.podcasts(spark.createDataFrame([("f", RSS)], "doc_id string, xml string"), asr).collect()}
+    feeds = spark.createDataFrame([("f", RSS)], "doc_id string, xml string")
+    got = {r["title"]: r for r in pipelines.podcasts(structured.feed_episodes(feeds), asr).collect()}
     assert got["One"]["markdown"].endswith(render.NOTICE_ASR + "\n\nhello\n") and got["Three"]["error_type"] == "WhisperError"
+    assert "> Show: Show | Episode: 7 | Date: 2024-05-06 | Duration: 1:02" in got["One"]["markdown"]
+    shown = pipelines.preview_podcasts(structured.feed_episodes(feeds)).first()
+    assert (shown["feed"], shown["episodes"], shown["first"], shown["more"]) == ("Show", 2, ["One (1:02)", "Three (0:00)"], 0)
+    told = pipelines.preview_papers(spark.createDataFrame([("p", "https://arxiv.org/abs/2301.00001"), ("q", "http://a/b.pdf")], "doc_id string, url string"), api).orderBy("doc_id").collect()
+    assert (told[0]["authors"], told[0]["paper_id"], told[1]["title"]) == ("X, Y", "2301.00001", None)
+
+
+def test_feeds_resolve(spark):
+    urls = spark.createDataFrame([("http://rss",), ("http://tool",), ("http://none",)], "doc_id string")
+    feeds = spark.createDataFrame([("http://rss", RSS), ("http://none", "no feed")], "doc_id string, xml string")
+    lines = "\n".join([json.dumps({"title": "E1", "album": "Al", "url": "http://t/1", "duration": 61.5, "upload_date": "20240506"}), "not json", "", json.dumps({"channel": "Ch", "webpage_url": "http://t/2", "episode_number": 3})])
+    tool = spark.createDataFrame([("http://tool", lines), ("http://rss", lines)], "doc_id string, text string")
+    got = {(r["doc_id"], r["pos"]): r for r in structured.resolved_feeds(urls, feeds, tool).collect()}
+    assert {k for k in got} == {("http://rss", 0), ("http://rss", 2), ("http://tool", 0), ("http://tool", 1), ("http://none", 0)}
+    one, two = got["http://tool", 0], got["http://tool", 1]
+    assert (one["title"], one["show_name"], one["audio_url"], one["duration"], one["publish_date"]) == ("E1", "Al", "http://t/1", 61, "2024-05-06")
+    assert (two["title"], two["show_name"], two["audio_url"], two["episode_number"], two["publish_date"]) == ("Untitled Episode", "Ch", "http://t/2", "3", "unknown")
+    assert got["http://none", 0]["audio_url"] == "http://none"
+    entries = structured.playlist_entries(spark.createDataFrame([("u", '{"id": "a", "url": "x"}\n{"id": "b"}\n{"webpage_url": "w"}')], "doc_id string, text string"))
+    assert [tuple(r) for r in entries.orderBy("n").collect()] == [("u", 0, "x", "a"), ("u", 2, "w", "")]
+
+
+def test_extracted_xml_and_dom(spark):
+    xml = '<doc><main><p>intro <hi>x</hi></p><head rend="h3">Top<b>lost</b></head><list><item>gone</item></list><p>a</p><graphic src="http://i/1.png" alt="A"/><graphic src="data:"/><head>Empty</head></main></doc>'
+    rows = spark.createDataFrame([(1, xml), (2, "broken <"), (3, None)], "doc_id int, xml string")
+    got = {r["doc_id"]: r for r in web.extracted(rows, images=True).collect()}
+    first = got[1]["sections"]
+    assert [(s["heading"], s["level"]) for s in first] == [("", 2), ("Top", 3)] and first[0]["body"] == "intro x"
+    assert first[1]["body"] == "a\n\n" + got[1]["images"][0]["position_marker"] and got[2]["sections"] == got[3]["sections"] == []
+    nodes = [("block", "longform-header-one", "T", "", 0, 0), ("img", "", "", "http://a.png", 10, 10), ("img", "", "", "http://b.png", 10, 90), ("img", "", "", "x.svg", 0, 0), ("block", "longform-ordered-list-item", " one ", "", 0, 0)]
+    items = structured.dom_items(spark.createDataFrame([(1, i, *n) for i, n in enumerate(nodes)], "doc_id int, pos int, type string, cls string, text string, src string, width int, height int"))
+    assert [r["type"] for r in items.orderBy("pos").collect()] == ["header-one", "image", "ordered-list-item"]
+    body = structured.block_sections(items).first()
+    assert body["heading"] == "T" and body["body"].endswith("\n\n1. one") and body["body"].startswith("<!--IMG:")
+
+
+def test_pictures_of_papers(spark):
+    from loomtext.operators import images
+
+    docs = spark.createDataFrame([(1, "a ![x](p/1.png) b ![y](data:q) c ![z](gone.png) ![t](tiny.png)"), (2, "none")], "doc_id int, text string")
+    pictures = spark.createDataFrame([(1, "p/1.png", bytearray(200)), (1, "q/1.png", bytearray(300)), (1, "tiny.png", bytearray(5))], "doc_id int, ref string, image_bytes binary")
+    texts, found = images.markdown_images(docs, pictures)
+    (one,) = found.collect()
+    assert (one["source_label"], one["alt_text"], one["format"], len(one["image_bytes"])) == ("PDF figure 1", "x", "png", 200)
+    assert {r["doc_id"]: r["text"] for r in texts.collect()} == {1: f"a {one['position_marker']} b  c  ", 2: "none"}
+    withs = texts.select("doc_id", F.array(F.struct(F.lit(0).cast("bigint").alias("seq"), F.lit("").alias("heading"), F.lit(2).alias("level"), F.col("text").alias("body"))).alias("sections"))
+    said = found.select("doc_id", "position_marker", F.lit("a plot").alias("description"))
+    got = {r["doc_id"]: r["sections"][0]["body"] for r in images.with_descriptions(withs, said).collect()}
+    assert got == {1: "a \n\n*Image:*\n\na plot\n\n b  c  ", 2: "none"}
+    assert images.with_descriptions(withs, said.where("false")).where("doc_id = 1").first()["sections"][0]["body"] == f"a {images.UNAVAILABLE} b  c  "
+
+
+def test_runner_keeps_every_item(spark):
+    items = spark.createDataFrame([(0, "http://b", "article", 6), (1, "http://v", "youtube", 1), (2, "http://c.pdf", "pdf", 3), (3, "http://d", "article", 6)], "pos int, url string, content_type string, type_rank int")
+    plan = lambda rows: rows.where("url != 'http://d'").select("doc_id", F.lit("T").alias("title"), F.concat(F.lit("md "), "url").alias("markdown"))
+    cfg = config.load(options={"pdf": {"enabled": False}})
+    got = [(r["pos"], r["markdown"], r["error_type"], r["error_message"]) for r in pipelines.run(items, {"article": plan, "pdf": plan}, cfg).collect()]
+    assert got == [(1, None, "PipelineError", "this kind of content is switched off"), (2, None, "PipelineError", "this kind of content is switched off"), (0, "md http://b", None, None), (3, None, "PipelineError", "nothing was extracted")]
 
 
 def test_sinks(spark, tmp_path):
@@ -172,8 +287,22 @@ def test_sinks(spark, tmp_path):
     md = df.withColumn("markdown", F.lit("---\npolished: false\n---\n\nraw\n"))
     out = {r["doc_id"]: r["markdown"] for r in sinks.with_polish(md, spark.createDataFrame([("d", "fine")], "doc_id string, polished_body string")).collect()}
     assert out == {"d": "---\npolished: true\n---\n\nfine\n", "e": "---\npolished: false\n---\n\nraw\n"}
-    sinks.write_documents(md.withColumn("path", F.col("doc_id")), str(tmp_path / "o"))
-    assert spark.read.parquet(str(tmp_path / "o")).count() == 2
+    named = md.select(F.col("doc_id").alias("path"), F.lit("article").alias("basename"), "markdown")
+    out = str(tmp_path / "o")
+    sinks.write_documents(named.where("path = 'd'"), out)
+    sinks.write_documents(named, out)
+    assert sorted(r["path"] for r in spark.read.parquet(out).collect()) == ["d", "e"]
+    files_out = str(tmp_path / "files")
+    for _ in range(2):
+        sinks.write_files(named, files_out)
+    assert spark.read.text(files_out).count() == 2 * 6
+    sinks.write_files(named.where("path = 'd'").withColumn("markdown", F.lit("new")), files_out, overwrite=True)
+    assert sorted({r["value"] for r in spark.read.text(files_out).where("path = 'd'").collect()}) == ["new"] and spark.read.text(files_out).where("path = 'e'").count() == 6
+    kinds = spark.createDataFrame([("d", "p", "youtube", "raw"), ("e", "q", "article", "art")], "doc_id string, path string, content_type string, markdown string")
+    both = {(r["path"], r["basename"]): r["markdown"] for r in sinks.with_raw(kinds, spark.createDataFrame([("d", "better")], "doc_id string, markdown string")).collect()}
+    assert both == {("p", "transcript"): "better", ("p", "transcript.unpolished"): "raw", ("q", "article"): "art"}
+    stored = spark.createDataFrame([("f", "article.md", "A"), ("g", "tweet.unpolished.md", "T"), ("archive", "x.md", "X")], "folder string, name string, markdown string")
+    assert [tuple(r) for r in sinks.backfill(stored).collect()] == [("f", "article", "batch-process/f.md", "A"), ("g", "tweet", None, None)]
     names = spark.createDataFrame([("f", "tweet.md"), ("f", "article.md"), ("g", "other.md"), ("archive", "tweet.md")], "folder string, name string")
     assert [tuple(r) for r in sinks.detect_basenames(names).collect()] == [("f", "article"), ("g", "transcript")]
 
@@ -200,9 +329,63 @@ def test_connectors(spark):
 
 
 def test_config(tmp_path):
-    (tmp_path / "c.json").write_text(json.dumps({"retries": 5, "content": {"max_images": 3, "unknown": 1}}))
-    c = config.load(str(tmp_path / "c.json"), {"content": {"max_images": 4}})
-    assert (c.network.retries, c.content.max_images, c.text.paragraph_gap) == (5, 4, 4.0)
+    (tmp_path / "c.json").write_text(json.dumps({"network": {"retries": 5}, "vision": {"max_images": 3, "unknown": 1}, "llm": {"rate_limit": {"rpm": 7}}, "urls": ["u"]}))
+    c = config.load(str(tmp_path / "c.json"), {"vision": {"max_images": 4}})
+    assert (c.network.retries, c.vision.max_images, c.text.paragraph_gap_seconds, c.llm.rate_limit.rpm, c.llm.rate_limit.tpm, c.urls) == (5, 4, 4.0, 7, 150_000, ("u",))
+    (tmp_path / "old.json").write_text(json.dumps({"retries": 5, "no_whisper": True, "cookie_args": ["--cookies-from-browser", "x"], "urls": "u", "whisper_model": "m", "other": 1}))
+    old = config.load(str(tmp_path / "old.json"))
+    assert (old.network.retries, old.whisper.enabled, old.auth.cookies_from_browser, old.urls, old.whisper.model) == (5, False, "x", ("u",), "m")
+    assert config.cookie_args(old) == ["--cookies-from-browser", "x"] and config.cookie_args(c) == []
+    (tmp_path / "cookies.txt").write_text("")
+    assert config.cookie_args(c, str(tmp_path / "cookies.txt")) == ["--cookies", str(tmp_path / "cookies.txt")]
+    assert config._made(config.Config, json.loads(config.template())) == config.Config()
+
+
+class Echo:
+    """A language model that answers in capitals."""
+
+    def complete(self, system, user, image=None, media_type=None):
+        if "fail" in user:
+            raise connectors.Fatal("no")
+        return (f"{media_type} {len(image)}" if image is not None else user.upper()), 1, 1
+
+
+class Says:
+    def transcribe(self, audio, language):
+        return [(0.0, 1.0, " " + audio.decode() + " "), (1.0, 2.0, " ")], language or "xx"
+
+
+class Layout:
+    def convert(self, content, pages):
+        if not content:
+            raise ValueError("empty")
+        return content.decode() + f" {pages}", "{}", {"b.png": b"1", "a.png": b"2"}
+
+
+def test_models_and_tools(spark):
+    work = spark.createDataFrame([(1, 0, "hi"), (1, 1, "fail"), (2, 0, "Rate Limit hit")], "doc_id int, chunk_no int, message string")
+    got = {(r["doc_id"], r["chunk_no"]): (r["answer"], r["error_message"]) for r in connectors.answered(work, Echo(), "sys").collect()}
+    assert got == {(1, 0): ("HI", None), (1, 1): (None, "no"), (2, 0): (None, "error pattern: rate limit")}
+    images = spark.createDataFrame([(1, "m", bytearray(7), "image/png", "Label", "alt"), (1, "n", bytearray(1), "image/png", "fail", None)], "doc_id int, position_marker string, image_bytes binary, media_type string, source_label string, alt_text string")
+    assert {r["position_marker"]: r["description"] for r in connectors.described(images, Echo()).collect()} == {"m": "image/png 7", "n": None}
+    tool = connectors.RecordedTool({"u": '{"id": "1"}\n{"id": "2"}'}, {("u", "en", True): {"x.fr.vtt": "F", "x.en.srt": "S", "x.en.vtt": "V"}, ("u", "de", False): {"y.srt": "Y"}}, {"u": b"spoken"})
+    items = spark.createDataFrame([(1, "u", "en-US"), (2, "w", None)], "doc_id int, url string, language string")
+    meta = {r["doc_id"]: (r["json"], r["error_type"]) for r in connectors.video_metadata(items, tool).collect()}
+    assert meta == {1: ('{"id": "1"}', None), 2: (None, "VideoUnavailableError")}
+    tracks = spark.createDataFrame([(1, "u", "en", True), (2, "u", "de", False), (3, "u", "it", False), (4, "u", None, None)], "doc_id int, url string, lang string, is_auto boolean")
+    assert {r["doc_id"]: (r["path"], r["error_type"]) for r in connectors.subtitle_files(tracks, tool).collect()} == {1: ("x.en.vtt", None), 2: ("y.srt", None), 3: (None, "NoSubtitlesError"), 4: (None, "NoSubtitlesError")}
+    assert [(r["doc_id"], r["text"], r["language"]) for r in connectors.transcribed(items, tool, Says()).collect()] == [(1, "spoken", "en")]
+    pdfs = spark.createDataFrame([(1, bytearray(b"x" * 300)), (2, bytearray(b"short")), (3, None)], "doc_id int, content binary")
+    made = {r["doc_id"]: r for r in connectors.converted_pdfs(pdfs, Layout(), structured.page_range(2)).collect()}
+    assert made[1]["text"].endswith(" 0,1") and [p["ref"] for p in made[1]["pictures"]] == ["a.png", "b.png"] and made[2]["error_type"] == made[3]["error_type"] == "PDFExtractionError"
+    assert structured.page_range(0) is None
+    pictures = connectors.Recorded({"i": connectors.Answer(200, b"img", "image/png"), "h": connectors.Answer(200, b"<p>", "text/html")})
+    asked = spark.createDataFrame([(1, "i"), (2, "h"), (3, "none")], "doc_id int, url string")
+    assert {r["doc_id"]: bytes(r["content"]) for r in connectors.fetched(asked, pictures, kind="image").collect()} == {1: b"img", 2: b"", 3: b""}
+    latin = connectors.Recorded({"l": connectors.Answer(200, "é".encode("latin-1"), "text/html; charset=ISO-8859-1")})
+    assert connectors.fetched(spark.createDataFrame([(1, "l")], "doc_id int, url string"), latin).first()["html"] == "é"
+    assert connectors.headers("pdf", "u")["Accept"] == "application/pdf,*/*" and connectors.headers(url="u") == connectors.headers(url="u")
+    assert connectors.tool_verdict("Join this channel") == "AuthRequiredError" and connectors.tool_verdict("odd") == "fatal" and connectors.tool_verdict("HTTP Error 429") == "retry"
 
 
 def test_streams_and_sql(spark, tmp_path):
