@@ -79,7 +79,8 @@ def polish_work(docs: DataFrame, size: int = 1000, cjk_size: int = 500, context:
     one = F.array(F.struct(F.lit(-1).cast("bigint").alias("section"), flat_parts("preamble")["text"].alias("text")))
     many = F.transform(F.filter("sections", lambda s: (s["seq"] > 0) & (s["body"] != "")), lambda s: F.struct((s["seq"] - 1).alias("section"), s["body"].alias("text")))
     rows = rows.select("doc_id", "size", F.explode(F.when(flat, one).otherwise(many)).alias("s"))
-    rows = rows.select("doc_id", "size", "s.section", F.posexplode(_split(0)("s.text", "size")).alias("chunk_no", "p")).select("doc_id", "size", "section", "chunk_no", F.col("p.chunk").alias("chunk"))
+    rows = rows.select("doc_id", "size", "s.section", F.col("s.text").alias("text")).select("doc_id", "size", "section", _split(0)("text", "size").alias("pieces"))
+    rows = rows.select("doc_id", "size", "section", F.posexplode("pieces").alias("chunk_no", "p")).select("doc_id", "size", "section", "chunk_no", F.col("p.chunk").alias("chunk"))
     before = F.lag("chunk").over(Window.partitionBy("doc_id").orderBy("section", "chunk_no"))
     return rows.withColumn("context", F.coalesce(F.right(before, F.floor(F.col("size") * context).cast("int")), F.lit(""))).drop("size")
 

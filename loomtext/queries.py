@@ -404,3 +404,6 @@ def json_props(spark, sf_dir):
     """Properties as lines of a tool's answer, one for each event."""
     rows = structured.ndjson(_table(spark, sf_dir, "events").select(F.col("event_type").alias("doc_id"), "props"), "k bigint", "props")
     return rows.groupBy(F.col("doc_id").alias("event_type")).agg(F.sum("x.k").alias("total"), F.count(F.lit(1)).alias("n"))
+
+
+from loomtext import queries_documents, queries_formats  # noqa: E402, F401  they add theirs

@@ -63,11 +63,21 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write df as Parquet in the shared folder and read it back: lineage ends there and survives lost executors."""
+    """Write df as Parquet in the shared folder and read it back: lineage ends there and survives lost executors.
+
+    Shuffle files of the write are dropped when it ends, as nothing reads them again."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
