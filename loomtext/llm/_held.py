@@ -11,11 +11,14 @@ import gc
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
+
 _state: dict[Any, Any] = {}
 
 
 def _trim() -> None:
-    """Give freed memory back to the system, where the C library can."""
+    """Give freed memory back to the system, Arrow's and, where it can, the C library's."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):

@@ -67,12 +67,7 @@ def op5_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = tiff.encode_texts(table(spark, sf_dir, "documents"))
-    pages = tiff.pages(media, keep=("doc_id", "n_bytes"))
-    return pages.select(
-        "doc_id", "n_bytes", F.length("pixels").cast("bigint").alias("payload_bytes"), F.sha2("pixels", 256).alias("payload_sha256"),
-        F.crc32(F.substring("pixels", -64, 64)).alias("tail_crc32"), F.length("media").cast("bigint").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
-    )
+    return tiff.text_digests(table(spark, sf_dir, "documents"))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

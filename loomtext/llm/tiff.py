@@ -4,11 +4,16 @@ The reader walks the image directories of classic and big TIFF files in either b
 (none, PackBits, LZW, deflate), undoes the horizontal and the floating-point predictor and joins planes. Null or
 empty files give no rows; a file or page that can't be decoded gives one row with `error` set and null pixels; a
 directory that occurs twice ends the walk. Samples keep their width; pixels are rows of interleaved samples in
-little-endian order. Bit depths under 8 stay packed, so that each row ends at a byte.
+little-endian order. Bit depths under 8 stay packed, so that each row ends at a byte. A page that claims more pixels than
+its blocks can hold, or tags of other kinds than the format names, is undecodable; no block is inflated beyond its size.
+
+Repeated rows give their pages each, in no order among them; an empty table gives none. Very long texts are one page of
+many strips. Of other columns only those asked for are carried along, and these must not be named as a page's columns.
 """
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import zlib
 from functools import partial
@@ -19,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from loomtext.llm._arrays import binary_column, slices
+from loomtext.llm._held import release
 from loomtext.runtime import ship
 
 # Fixed values of the format: tags, field types' sizes and codes, compressions.
@@ -28,9 +34,12 @@ FIELDS = {1: (1, "B"), 2: (1, "c"), 3: (2, "H"), 4: (4, "I"), 6: (1, "b"), 8: (2
 RAW, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 NAMES = {RAW: "none", LZW: "lzw", DEFLATE: "deflate", OLD_DEFLATE: "deflate", PACKBITS: "packbits"}
 
+#: Bytes that one byte of a block can stand for, at most, by compression.
+EXPANSION = {RAW: 1, PACKBITS: 64, LZW: 2600, DEFLATE: 1040, OLD_DEFLATE: 1040}
+
 #: Samples in a row and rows in a strip of written pages; bytes of text handled at a time.
 ROW, STRIP = 64, 256
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 1 << 20
 
 
 def packbits_decode(data: bytes) -> bytes:
@@ -67,13 +76,13 @@ def packbits_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
-    """The format's LZW: codes from the high bit on, 9 to 12 bits, 256 clears, 257 ends; widths grow one code early."""
-    table: list[bytes] = []
+def lzw_decode(data: bytes, size: int | None = None) -> bytes:
+    """The format's LZW: codes from the high bit on, 9 to 12 bits, 256 clears, 257 ends; widths grow one code early.
+    Stops once `size` bytes are there."""
     out, bits, held, width, last, at = [], 0, 0, 9, None, 0
     fresh = [bytes((i,)) for i in range(256)] + [b"", b""]
-    table = fresh[:]
-    while True:
+    table, made = fresh[:], 0
+    while size is None or made < size:
         while held < width:
             if at >= len(data):
                 return b"".join(out)
@@ -92,10 +101,12 @@ def lzw_decode(data: bytes) -> bytes:
         else:
             raise ValueError("LZW code out of range")
         out.append(word)
-        if last is not None:
+        made += len(word)
+        if last is not None and len(table) < 4096:
             table.append(last + word[:1])
             width = min(12, max(9, (len(table) + 1).bit_length()))
         last = word
+    return b"".join(out)
 
 
 def lzw_encode(data: bytes) -> bytes:
@@ -138,15 +149,16 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def inflate(data: bytes, compression: int) -> bytes:
+def inflate(data: bytes, compression: int, size: int) -> bytes:
+    """The block's bytes, `size` of them at most where it was compressed."""
     if compression == RAW:
         return bytes(data)
     if compression == PACKBITS:
         return packbits_decode(data)
     if compression == LZW:
-        return lzw_decode(data)
+        return lzw_decode(data, size)
     if compression in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, max(1, size))
     raise ValueError(f"compression {compression} isn't supported")
 
 
@@ -202,9 +214,18 @@ def _block(raw: bytes, order: str, rows: int, width: int, samples: int, bits: in
 
 
 def read_page(data: bytes, order: str, tags: dict) -> dict:
-    one = lambda tag, default: tags.get(tag, [default])[0]
+    used = (WIDTH, LENGTH, BITS, COMPRESSION, STRIPS, SAMPLES, STRIP_ROWS, STRIP_BYTES, PLANAR, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILES, TILE_BYTES)
+    if any(not isinstance(v, int) or v < 0 for tag in used for v in tags.get(tag, ())):
+        raise ValueError("a tag that isn't a whole number")
+    one = lambda tag, default: (tags.get(tag) or [default])[0]
     width, height, samples, bits = one(WIDTH, 0), one(LENGTH, 0), one(SAMPLES, 1), one(BITS, 1)
+    if not 1 <= samples <= 65535 or not 1 <= bits <= 64:
+        raise ValueError("no samples, or of a width that isn't supported")
     compression, predictor, planes = one(COMPRESSION, RAW), one(PREDICTOR, 1), samples if one(PLANAR, 1) == 2 else 1
+    if predictor not in (1, 2, 3) or (predictor == 3 and bits not in (16, 32, 64)):
+        raise ValueError(f"predictor {predictor} isn't supported for {bits} bits")
+    if compression not in EXPANSION:
+        raise ValueError(f"compression {compression} isn't supported")
     within = samples // planes
     if len(set(tags.get(BITS, [1]))) > 1 or (bits < 8 and planes * within > 1 and planes > 1):
         raise ValueError("samples of unlike widths")
@@ -213,10 +234,15 @@ def read_page(data: bytes, order: str, tags: dict) -> dict:
     else:
         wide, high = width, min(one(STRIP_ROWS, height), height) or 1
         places, sizes = tags[STRIPS], tags.get(STRIP_BYTES) or [len(data)]
-    across, down = max(1, -(-width // wide)) if wide else 1, -(-height // high)
+    if TILES in tags and not (wide and high):
+        raise ValueError("tiles without width or height")
+    across, down = max(1, -(-width // wide)) if wide else 1, max(1, -(-height // high))
     if bits < 8 and across > 1 and wide * within * bits % 8:
         raise ValueError("tiles that end within a byte")
     row_bytes, block_bytes = (width * within * bits + 7) // 8, (wide * within * bits + 7) // 8
+    held = sum(max(0, min(place + size, len(data)) - place) for place, size in zip(places, sizes, strict=False))
+    if max(planes * height * row_bytes, high * block_bytes) > EXPANSION[compression] * min(held, len(data)) + 4096:
+        raise ValueError("more pixels than the blocks can hold")
     out = np.zeros((planes, height, row_bytes), np.uint8)
     for i, (place, size) in enumerate(zip(places, sizes, strict=False)):
         plane, j = divmod(i, across * down)
@@ -224,7 +250,7 @@ def read_page(data: bytes, order: str, tags: dict) -> dict:
             break
         y, x = j // across * high, j % across * block_bytes
         rows = high if TILES in tags else min(high, height - y)
-        got = _block(inflate(data[place : place + size], compression), order, rows, wide, within, bits, predictor)
+        got = _block(inflate(data[place : place + size], compression, rows * block_bytes), order, rows, wide, within, bits, predictor)
         got = got[: height - y, : row_bytes - x]
         out[plane, y : y + got.shape[0], x : x + got.shape[1]] = got
     if planes > 1:
@@ -294,13 +320,14 @@ def read_tiff(data: bytes):
             try:
                 page = read_page(data, order, tags)
                 yield {"page": number, "error": None, "feature": feature_of(page["pixels"]), **page}
-            except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
+            except (ValueError, KeyError, IndexError, TypeError, OverflowError, struct.error, zlib.error) as e:
                 yield {"page": number, "error": f"{type(e).__name__}: {e}"}
-    except (ValueError, struct.error) as e:
+    except (ValueError, OverflowError, struct.error) as e:
         yield {"page": number, "error": f"{type(e).__name__}: {e}"}
 
 
 def _pages(column: str, batches):
+    release()
     for batch in batches:
         schema = pa.schema([*batch.schema, *_PAGE])
         media = batch.schema.get_field_index(column)
@@ -314,6 +341,30 @@ def _pages(column: str, batches):
             yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array([p.get(n) for p in pages], t) for n, t in _PAGE)], schema=schema)
 
 
+_DIGESTS = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
+DIGESTS = "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+
+
+def _digests(key: str, batches):
+    release()
+    for batch in _encode(key, batches):
+        rows = []
+        for size, media in zip(batch.column("n_bytes").to_pylist(), batch.column("media"), strict=True):
+            media = media.as_py()
+            for page in read_tiff(media):
+                pixels = page["pixels"]
+                rows.append((size, len(pixels), hashlib.sha256(pixels).hexdigest(), zlib.crc32(pixels[-ROW:]), len(media), hashlib.sha256(media).hexdigest(), page["feature"]))
+        columns = zip(*rows, strict=True) if rows else [()] * len(_DIGESTS)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, (_, t) in zip(columns, _DIGESTS, strict=True))], names=[key, *(n for n, _ in _DIGESTS)])
+
+
+def text_digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (key, columns of DIGESTS): each text written as by encode_texts, read back as by pages, and hashed, in one
+    worker, so that neither files nor pixels are moved."""
+    ship(df.sparkSession)
+    return df.select(key, text).mapInArrow(partial(_digests, key), f"`{key}` {df.schema[key].dataType.simpleString()}, {DIGESTS}")
+
+
 def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, n_bytes, media): each text's UTF-8 bytes as the samples of one page; null counts as empty."""
     ship(df.sparkSession)

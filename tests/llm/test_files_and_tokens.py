@@ -127,6 +127,7 @@ def test_tiff_codecs():
 
 def test_tiff_pages_of_every_kind():
     pages = [bytes(range(256)) * 5, b"\7" * 64, bytes(range(64)) * 300]
+        assert r["feature"] == "".join(f"{sum(b >> 4 == i for b in payload) * 65535 // len(payload):04x}" for i in range(16))
     for compression in (tiff.RAW, tiff.PACKBITS, tiff.LZW, tiff.DEFLATE):
         for predictor in (1, 2):
             found = list(tiff.read_tiff(tiff.write_tiff(pages, compression=compression, predictor=predictor, strip=7)))
@@ -140,6 +141,40 @@ def test_tiff_pages_of_every_kind():
 def test_tiff_big_endian_tiles_with_planes():
     """A hand-made big-endian file: 20 x 20 pixels of 16 bits, two planes, tiles of 16 x 16, predictor 2."""
     import struct
+def test_lzw_published_example():
+    """The example that the PDF reference prints for the same code: 45 45 45 45 45 65 45 45 45 66."""
+    assert tiff.lzw_decode(bytes.fromhex("800B6050220C0C8501")) == bytes([45, 45, 45, 45, 45, 65, 45, 45, 45, 66])
+
+
+def test_tiff_feature():
+    """Shares of 16 ranges of byte values, in 1/65535: three quarters below 16, a quarter from 240 on."""
+    assert tiff.feature_of(b"\x0f" * 48 + b"\xf0" * 16) == "bfff" + "0000" * 14 + "3fff"
+
+
+def test_malformed_tiffs_are_rows_with_errors():
+    import struct
+
+    def file(tags):
+        return b"II*\0\x08\0\0\0" + struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", *t) for t in tags) + b"\0\0\0\0" + b"\0" * 64
+
+    plain = [(256, 4, 1, 4), (257, 4, 1, 4), (258, 3, 1, 8), (259, 3, 1, 1), (273, 4, 1, 100), (278, 4, 1, 4), (279, 4, 1, 16)]
+    for change in ([(257, 4, 1, 2**32 - 16)], [(256, 2, 1, 65)], [(256, 11, 1, 0)], [(322, 4, 1, 16), (323, 4, 1, 0), (324, 4, 1, 8), (325, 4, 1, 4)], [(277, 3, 1, 0)], [(258, 3, 1, 0)], [(317, 3, 1, 3)], [(259, 3, 1, 999)], [(256, 9, 1, 2**32 - 5)]):
+        own = {t[0]: t for t in [*plain, *change]}
+        assert [p["error"] is None for p in tiff.read_tiff(file(sorted(own.values())))] == [False], change
+    pick, pages = random.Random(4), [bytes(range(256)) * 3, b"\7" * 64]
+    for compression in (tiff.RAW, tiff.PACKBITS, tiff.LZW, tiff.DEFLATE):
+        whole = tiff.write_tiff(pages, compression=compression, strip=5)
+        for _ in range(400):
+            broken = bytearray(whole)
+            for _ in range(pick.randint(1, 12)):
+                broken[pick.randrange(len(broken))] = pick.choice((0, 1, 255, pick.randrange(256)))
+            for page in tiff.read_tiff(bytes(broken[: pick.randint(1, len(broken))])):
+                assert page["error"] is None or "pixels" not in page
+    for _ in range(300):
+        for page in tiff.read_tiff(b"II*\0" + pick.randbytes(pick.randint(0, 80))):
+            assert page["error"] is None or "pixels" not in page
+
+
 
     image = np.arange(800, dtype=np.uint16).reshape(2, 20, 20) * 71
     out, places, sizes = bytearray(b"MM\0*\0\0\0\0"), [], []
