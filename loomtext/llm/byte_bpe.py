@@ -26,10 +26,11 @@ from loomtext.llm._held import held
 from loomtext.llm.chunks import cut
 from loomtext.runtime import ship
 
-#: Entries that a worker's memos of chunks and of pieces hold before these become the old ones and new ones begin.
-CHUNK_ENTRIES, PIECE_ENTRIES = 320_000, 160_000
-#: Pairs of tokens whose compatibility a worker remembers.
-FIT_ENTRIES = 400_000
+#: Entries that a worker's memos of chunks and of other pieces hold before these become the old ones and new ones begin.
+#: An entry takes some 150 bytes, so both memos stay near 100 MB.
+CHUNK_ENTRIES, PIECE_ENTRIES = 280_000, 30_000
+#: Pairs of tokens whose compatibility a worker remembers, of some 85 bytes each.
+FIT_ENTRIES = 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -44,8 +45,10 @@ class ByteBpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
-        self.bytes_of = {i: token for token, i in ranks.items()}
-        self.length = {i: len(token) for token, i in ranks.items()}
+        self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, i in ranks.items():
+            self.bytes_of[i] = token
+        self.length = list(map(len, self.bytes_of))
         self.automaton = ahocorasick.Automaton()
         for token, i in ranks.items():
             self.automaton.add_word(token.decode("latin-1"), i)
@@ -130,7 +133,7 @@ class ByteBpe:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        length, fits = self.length, self.fits
+        length, known, fits = self.length, self._fits.get, self.fits
         longest = [0] * len(piece)
         reach = [0] * len(piece)
         for end, token in self.automaton.iter(piece.decode("latin-1")):
@@ -143,7 +146,7 @@ class ByteBpe:
         while at < size:
             while token >= 0:
                 end = at + length[token]
-                if open_at[end] and (not out or fits(out[-1], token)):
+                if open_at[end] and (not out or (fit := known(out[-1] << 32 | token)) or (fit is None and fits(out[-1], token))):
                     out.append(token)
                     at = end
                     token = longest[at] if at < size else -1
@@ -155,42 +158,51 @@ class ByteBpe:
                 at -= length[token]
         return out
 
+    def packed(self, piece: str) -> bytes:
+        found = self.encode_piece(piece.encode())
+        return struct.pack(f"<{len(found)}I", *found)
+
+    def remembered(self, piece: str) -> bytes:
+        """Ids of one match of the pattern. One that begins with a space is kept as the chunk behind that space."""
+        if piece[0] == " " and len(piece) > 1:
+            key, now, old = piece[1:], self._chunks, self._old_chunks
+        else:
+            key, now, old = piece, self._pieces, self._old_pieces
+        ids = now.get(key)
+        if ids is None:
+            ids = old.get(key)
+            if ids is None:
+                ids = self.packed(piece)
+            if now is self._pieces and len(now) >= PIECE_ENTRIES:
+                self._old_pieces, self._pieces = now, {}
+                now = self._pieces
+            now[key] = ids
+        return ids
+
     def encode_pieces(self, text: str) -> bytes:
         """Ids of a text, as little-endian unsigned 32-bit integers, each match of the pattern separately."""
-        memo, out = self._pieces, []
-        for piece in self.pattern.findall(text):
-            ids = memo.get(piece)
-            if ids is None:
-                ids = self._old_pieces.get(piece)
-                if ids is None:
-                    found = self.encode_piece(piece.encode())
-                    ids = struct.pack(f"<{len(found)}I", *found)
-                if len(memo) >= PIECE_ENTRIES:
-                    self._old_pieces = memo
-                    memo = self._pieces = {}
-                memo[piece] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.remembered, self.pattern.findall(text)))
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, as little-endian unsigned 32-bit integers."""
+        if len(self._chunks) >= CHUNK_ENTRIES:
+            self._old_chunks, self._chunks = self._chunks, {}
         chunks = cut(text)
         if chunks is None:
             return self.encode_pieces(text)
-        first, memo = self.encode_pieces(chunks[0]), self._chunks
+        first, memo, old = self.encode_pieces(chunks[0]), self._chunks, self._old_chunks
         out = list(map(memo.get, chunks))
         out[0] = first
         if None in out:
-            if len(memo) >= CHUNK_ENTRIES:
-                self._old_chunks = memo
-                memo = self._chunks = {}
-            old = self._old_chunks
             for i in [i for i, ids in enumerate(out) if ids is None]:
                 chunk = chunks[i]
                 ids = memo.get(chunk)
                 if ids is None:
                     ids = old.get(chunk)
-                    memo[chunk] = ids = self.encode_pieces(" " + chunk) if ids is None else ids
+                    if ids is None:
+                        pieces = self.pattern.findall(" " + chunk)
+                        ids = self.packed(pieces[0]) if len(pieces) == 1 else b"".join(map(self.remembered, pieces))
+                    memo[chunk] = ids
                 out[i] = ids
         return b"".join(out)
 
