@@ -61,9 +61,7 @@ def op4_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "shards")
     repair_tokens.write_shards(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), 2, parts_of(spark))
-    rows = repair_tokens.read_shards(spark, path).select("doc_id", "part", "shard", "at", "n_tokens", F.crc32("ids").alias("ids_crc32"))
-    starts = repair_tokens.shard_starts(spark, path)
-    return rows.join(starts, ["part", "shard"]).select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    return repair_tokens.starts(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op6_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,13 @@
 """Token-id output compressed by Re-Pair.
 
 Documents are tokenized, ended by an end id and written in ascending key order as shards. Within a shard, frequent
-pairs of neighbouring ids are replaced by new symbols (nonterminals), round after round; each round replaces all the
-pairs that it picked at once, the more frequent pair first where two overlap. No pair begins with a document's end,
-so that each document is a run of whole symbols and can be decoded alone.
+pairs of neighbouring ids are replaced by new symbols (nonterminals), round after round until no pair is frequent; each
+round replaces all the pairs that it picked at once, the more frequent pair first where two overlap. No pair begins with
+a document's end, so that each document is a run of whole symbols and can be decoded alone.
 
 File format: a Parquet table, one row per shard, ordered by (part, shard).
   part, shard   position; part is the range partition, shard counts within it
+  before        ids of the part's shards before this one
   doc_ids       the documents' keys, in order
   symbol_ends   per document, where its symbols end
   n_ids         ids that the shard stands for
@@ -16,18 +17,20 @@ File format: a Parquet table, one row per shard, ordered by (part, shard).
   base, width   first nonterminal; 2 or 4
 
 Null texts count as empty and give the end id alone; equal keys keep their rows, ordered by text; null keys come
-first. An empty table gives no shards.
+first. An empty table gives no shards. A text longer than a shard is a shard of its own. Columns beside key and text
+are not carried along, whatever their names.
 """
 
 from __future__ import annotations
 
 import os
 from functools import partial
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm._arrays import slices
@@ -37,17 +40,21 @@ from loomtext.runtime import ship
 
 #: Ids in a shard, about; a longer document is a shard of its own.
 SHARD_IDS = 1 << 20
-#: Rounds of replacement, pairs replaced in one, and how often a pair must occur.
-ROUNDS, PAIRS, LEAST = 4, 3000, 24
-#: Entries that a worker's memo of chunks holds before it starts anew, and text bytes encoded at a time.
-MEMO_ENTRIES, TEXT_BYTES = 800_000, 4 << 20
-
-SHARDS = "part int, shard int, doc_ids array<bigint>, symbol_ends array<bigint>, n_ids bigint, rules binary, expansions binary, symbols binary, base int, width int"
+#: Pairs replaced in a round, how often a pair must occur, and how often it must be replaced to be worth a rule.
+PAIRS, LEAST, WORTH = 4000, 24, 4
+#: Bits of the hash by which pairs are counted first.
+SLOT_BITS = 18
+#: Entries that a worker's memo of chunks holds, at some 170 bytes each, before it becomes the old one and a new one
+#: begins; and text bytes encoded at a time.
+MEMO_ENTRIES, TEXT_BYTES = 500_000, 4 << 20
+
+SHARDS = "part int, shard int, before bigint, doc_ids array<bigint>, symbol_ends array<bigint>, n_ids bigint, rules binary, expansions binary, symbols binary, base int, width int"
 DECODED = "doc_id bigint, part int, shard int, at bigint, n_tokens bigint, ids binary"
 
 
 class Encoder:
-    """The tokenizers library with a memo of chunks between spaces."""
+    """The tokenizers library with a memo of chunks between spaces. Texts that hold an added token's name (as the end of
+    text's), which the library makes that token wherever it stands, are encoded whole."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -55,55 +62,83 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = self.tokenizer.get_vocab_size()
         vocabulary = self.tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a byte-level token has a character a byte
         self.bytes_of[list(vocabulary.values())] = [len(x) for x in vocabulary]
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.stops = {c: self.plain([c])[0] for c in ".,"}
 
     def plain(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
     def learn(self, chunks: list[str]) -> None:
-        """Encode new chunks, each with the space before it. Most are encoded as one text, which is cut by bytes again."""
-        odd = [c for c in chunks if not c or c[0].isspace() or c[-1].isspace()]
-        self.memo.update(zip(odd, self.plain([" " + c for c in odd]), strict=True))
-        odd_ones = set(odd)
-        for i in range(0, len(chunks), 20_000):
-            even = [c for c in chunks[i : i + 20_000] if c not in odd_ones]
-            if not even:
-                continue
-            whole = self.plain([" " + " ".join(even)])[0]
-            ends = np.cumsum(self.bytes_of[np.frombuffer(whole, "<u4")])
-            stops = np.searchsorted(ends, np.cumsum([len(c.encode()) + 1 for c in even])) + 1
+        """Encode new chunks, each with the space before it. Most are encoded as one text, which is cut by bytes again.
+
+        Between a letter and a full stop or comma that ends the chunk every pre-token ends, so that such a chunk's ids
+        are those of the two parts."""
+        memo, old, whole, ended = self.memo, self.old, [], []
+        for c in chunks:
+            if c[-1:] in (".", ",") and c[:-1].isalpha():
+                ids = memo.get(c[:-1]) or old.get(c[:-1])
+                if ids is None:
+                    ended.append(c)
+                    whole.append(c[:-1])
+                else:
+                    memo[c] = ids + self.stops[c[-1]]
+            else:
+                whole.append(c)
+        odd = [c for c in whole if not c or c[0].isspace() or c[-1].isspace()]
+        memo.update(zip(odd, self.plain([" " + c for c in odd]), strict=True))
+        even = list(dict.fromkeys(c for c in whole if c and not c[0].isspace() and not c[-1].isspace()))
+        for i in range(0, len(even), 20_000):
+            part = even[i : i + 20_000]
+            ids = self.plain([" " + " ".join(part)])[0]
+            ends = np.cumsum(self.bytes_of[np.frombuffer(ids, "<u4")])
+            sizes = [len(c) if c.isascii() else len(c.encode()) for c in part]
+            stops = np.searchsorted(ends, np.cumsum(sizes) + np.arange(1, len(part) + 1)) + 1
             start = 0
-            for c, stop in zip(even, (4 * stops).tolist(), strict=True):
-                self.memo[c] = whole[start:stop]
+            for c, stop in zip(part, (4 * stops).tolist(), strict=True):
+                memo[c] = ids[start:stop]
                 start = stop
+        for c in ended:
+            memo[c] = memo[c[:-1]] + self.stops[c[-1]]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts, as little-endian unsigned 32-bit integers."""
         if len(self.memo) >= MEMO_ENTRIES:
-            self.memo.clear()
-        memo, first, rest, new = self.memo, [], [], {}
+            self.old, self.memo = self.memo, {}
+        memo, old, first, rest, new = self.memo, self.old, [], [], {}
         for text in texts:
-            chunks = cut(text)
+            chunks = None if any(t in text for t in self.added) else cut(text)
             if chunks is None:
                 first.append(text)
-                rest.append(((), ()))
+                rest.append(None)
                 continue
             first.append(chunks[0])
             del chunks[0]
-            found = list(map(memo.get, chunks))
+            found, holes = list(map(memo.get, chunks)), []
             if None in found:
-                new.update((c, None) for c, ids in zip(chunks, found, strict=True) if ids is None)
-            rest.append((chunks, found))
+                for i in [i for i, ids in enumerate(found) if ids is None]:
+                    c = chunks[i]
+                    if (ids := old.get(c)) is not None:
+                        memo[c] = found[i] = ids
+                    else:
+                        new[c] = None
+                        holes.append((i, c))
+            rest.append((found, holes))
         self.learn(list(new))
         out = []
-        for ids, (chunks, found) in zip(self.plain(first), rest, strict=True):
-            out.append(ids + b"".join(map(memo.__getitem__, chunks) if None in found else found))
+        for ids, more in zip(self.plain(first), rest, strict=True):
+            if more:
+                found, holes = more
+                for i, c in holes:
+                    found[i] = memo[c]
+                ids += b"".join(found)
+            out.append(ids)
         return out
 
 
@@ -111,37 +146,36 @@ def encoder(path: str) -> Encoder:
     return held(("repair_tokens", path), lambda: Encoder(path))
 
 
-def _slots(keys: np.ndarray) -> np.ndarray:
-    return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
+def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int | None = None, pairs: int = PAIRS, least: int = LEAST):
+    """Symbols, their documents' ends, rules and expansion lengths. `ends`: where each document's ids end.
 
-
-def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST):
-    """Symbols, their documents' ends, rules and expansion lengths. `ends`: where each document's ids end."""
-    seq, ends = ids.astype(np.uint32), ends.astype(np.int64)
-    lefts, rights = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
+    Goes on until no pair occurs `least` times, or for so many rounds. Each round makes rules of at most `pairs` pairs.
+    """
+    seq, ends = ids.astype(np.int64), ends.astype(np.int64)
+    lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     lengths = np.ones(base, np.uint32)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        kind, half = (np.uint32, 16) if len(lengths) + pairs <= 1 << 16 else (np.uint64, 32)
-        key = seq[:-1].astype(kind) << kind(half) | seq[1:].astype(kind)
-        border = ends[ends < len(seq)] - 1
-        whole = key.copy()
-        whole[border] = kind(-1 % (1 << 2 * half))  # no pair: its left symbol is past all symbols
-        found, counts = np.unique(whole, return_counts=True)
-        often = np.flatnonzero((counts >= least) & (found != kind(-1 % (1 << 2 * half))))
+    while len(seq) >= 2 and (rounds is None or len(lefts) <= rounds):
+        key = seq[:-1] << 32 | seq[1:]
+        # Counts by a hash pass most positions by: a slot's count is no less than that of any of its pairs.
+        slot = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
+        likely = (np.bincount(slot, minlength=1 << SLOT_BITS) >= least)[slot]
+        likely[ends[ends < len(seq)] - 1] = False  # no pair begins with a document's end
+        at = np.flatnonzero(likely)
+        own, own_slot = key[at], slot[at]
+        found, counts = np.unique(own, return_counts=True)
+        often = np.flatnonzero(counts >= least)
         if not len(often):
             break
-        often = often[np.argsort(-counts[often], kind="stable")][:pairs]
-        # A small hash table finds each position's pair; of pairs that share a slot, the most frequent is taken.
-        picked = found[often]
-        picked = picked[np.sort(np.unique(_slots(picked), return_index=True)[1])]
-        table = np.full(1 << 16, len(picked), np.uint16)
-        table[_slots(picked)] = np.arange(len(picked), dtype=np.uint16)
-        rank = table[_slots(whole)]
-        hits = np.flatnonzero(np.append(picked, kind(0))[rank] == whole)
-        hits = hits[rank[hits] < len(picked)]
-        rank = rank[hits].astype(np.int32)
+        picked = found[often[np.argsort(-counts[often], kind="stable")][:pairs]]
+        # Of pairs that share a slot, the most frequent is taken; the others are found again in the next round.
+        of = ((picked.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
+        only = np.sort(np.unique(of, return_index=True)[1])
+        picked, of = picked[only], of[only]
+        table = np.full(1 << SLOT_BITS, len(picked), np.int32)
+        table[of] = np.arange(len(picked), dtype=np.int32)
+        rank = table[own_slot]
+        hit = np.append(picked, -1)[rank] == own
+        hits, rank = at[hit], rank[hit]
         joined = np.diff(hits, prepend=-2) == 1
         before = np.where(joined, np.roll(rank, 1), len(picked))
         after = np.where(np.append(joined[1:], False), np.roll(rank, -1), len(picked))
@@ -150,15 +184,20 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS,
         start = np.maximum.accumulate(np.where(rank != before, place, 0))
         taken = (rank <= after) & (before[start] > rank) & ((place - start) % 2 == 0)
         at, rank = hits[taken], rank[taken]
+        # Pairs that lost most places to more frequent ones get no rule in this round.
+        worth = np.bincount(rank, minlength=len(picked)) >= min(WORTH, least)
+        worth[0] = True
+        at, rank = at[worth[rank]], (np.cumsum(worth) - 1)[rank[worth[rank]]]
+        pair = picked[worth]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq[at] = len(lengths) + rank
-        lefts.append((picked >> kind(half)).astype(np.uint32))
-        rights.append((picked & kind((1 << half) - 1)).astype(np.uint32))
+        lefts.append(pair >> 32)
+        rights.append(pair & 0xFFFFFFFF)
         lengths = np.concatenate((lengths, lengths[lefts[-1]] + lengths[rights[-1]]))
         ends = np.cumsum(keep, dtype=np.int64)[ends - 1]
         seq = seq[keep]
-    return seq, ends, np.stack((np.concatenate(lefts), np.concatenate(rights)), 1), lengths[base:]
+    return seq.astype(np.uint32), ends, np.stack((np.concatenate(lefts), np.concatenate(rights)), 1).astype(np.uint32), lengths[base:]
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> bytes:
@@ -174,20 +213,20 @@ def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> bytes:
     return book[np.repeat(shift, each) + np.arange(int(each.sum()))].astype("<u4").tobytes()
 
 
-def _shard(part: int, number: int, keys: list, ids: list[bytes], base: int) -> pa.RecordBatch:
+def _shard(part: int, number: int, before: int, keys: list, ids: list[bytes], base: int) -> pa.RecordBatch:
     flat = np.frombuffer(b"".join(ids), "<u4")
     ends = np.cumsum([len(x) // 4 for x in ids])
     symbols, symbol_ends, rules, lengths = compress(flat, ends, base)
     width = 2 if not len(symbols) or int(symbols.max()) < 1 << 16 else 4
     row = {
-        "part": part, "shard": number, "doc_ids": keys, "symbol_ends": symbol_ends.tolist(), "n_ids": len(flat), "rules": rules.astype("<u4").tobytes(),
+        "part": part, "shard": number, "before": before, "doc_ids": keys, "symbol_ends": symbol_ends.tolist(), "n_ids": len(flat), "rules": rules.astype("<u4").tobytes(),
         "expansions": lengths.astype("<u4").tobytes(), "symbols": symbols.astype(f"<u{width}").tobytes(), "base": base, "width": width,
     }
     return pa.RecordBatch.from_pylist([row], schema=_SHARD_SCHEMA)
 
 
 _SHARD_SCHEMA = pa.schema([
-    ("part", pa.int32()), ("shard", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("symbol_ends", pa.list_(pa.int64())), ("n_ids", pa.int64()),
+    ("part", pa.int32()), ("shard", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("symbol_ends", pa.list_(pa.int64())), ("n_ids", pa.int64()),
     ("rules", pa.binary()), ("expansions", pa.binary()), ("symbols", pa.binary()), ("base", pa.int32()), ("width", pa.int32()),
 ])
 _DECODED_SCHEMA = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("shard", pa.int32()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
@@ -196,20 +235,20 @@ _DECODED_SCHEMA = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("sha
 def _write(path: str, end_id: int, shard_ids: int, batches):
     encode, part, number = encoder(path), TaskContext.get().partitionId(), 0
     base, end = max(encode.size, end_id + 1), end_id.to_bytes(4, "little")
-    keys, ids, held = [], [], 0
+    keys, ids, held, before = [], [], 0, 0
     for batch in batches:
         for piece in slices(batch, batch.schema.names[1], TEXT_BYTES):
             texts = [t or "" for t in piece.column(1).to_pylist()]
             for key, found in zip(piece.column(0).to_pylist(), encode(texts), strict=True):
                 found += end
                 if keys and held + len(found) // 4 > shard_ids:
-                    yield _shard(part, number, keys, ids, base)
-                    keys, ids, held, number = [], [], 0, number + 1
+                    yield _shard(part, number, before, keys, ids, base)
+                    keys, ids, held, number, before = [], [], 0, number + 1, before + held
                 keys.append(key)
                 ids.append(found)
                 held += len(found) // 4
     if keys:
-        yield _shard(part, number, keys, ids, base)
+        yield _shard(part, number, before, keys, ids, base)
 
 
 def read_documents(row: dict, wanted: range | None = None):
@@ -237,7 +276,7 @@ def _read(batches):
     for batch in batches:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1).to_pylist()[0]
-            held, size, at = [], 0, 0
+            held, size, at = [], 0, row["before"]
             for k, ids in read_documents(row):
                 held.append((row["doc_ids"][k], row["part"], row["shard"], at, len(ids) // 4, bytes(ids)))
                 size, at = size + len(ids), at + len(ids) // 4
@@ -257,14 +296,19 @@ def write_shards(df: DataFrame, path: str, tokenizer_path: str, end_id: int, par
 
 
 def read_shards(spark, path: str) -> DataFrame:
-    """Rows (doc_id, part, shard, at, n_tokens, ids) of all documents; `at` counts ids within the shard."""
+    """Rows (doc_id, part, shard, at, n_tokens, ids) of all documents; `at` counts ids within the part."""
     ship(spark)
     return spark.read.schema(SHARDS).parquet(path).mapInArrow(_read, DECODED)
 
 
-def shard_starts(spark, path: str) -> DataFrame:
-    """Ids before each shard. A row per shard, of about SHARD_IDS ids, passes through one task."""
-    before = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)
-    return spark.read.schema(SHARDS).parquet(path).select("part", "shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("before"))
+def part_starts(spark, path: str) -> DataFrame:
+    """Rows (part, before): ids of all parts before. There are as many as parts, a number that write_shards was given."""
+    shards = spark.read.schema(SHARDS).parquet(path)
+    sizes = sorted(shards.groupBy("part").agg(F.max(F.col("before") + F.col("n_ids")).alias("n")).collect())
+    before = [0, *accumulate(n for _, n in sizes)]
+    return spark.createDataFrame(pa.table({"part": pa.array([p for p, _ in sizes], pa.int32()), "before_part": pa.array(before[: len(sizes)], pa.int64())}))
 
 
+def starts(spark, path: str) -> DataFrame:
+    """Rows of read_shards with `start`, the ids of all documents before. What is broadcast has a row for each part."""
+    return read_shards(spark, path).join(F.broadcast(part_starts(spark, path)), "part").withColumn("start", F.col("before_part") + F.col("at")).drop("before_part")

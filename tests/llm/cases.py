@@ -14,6 +14,8 @@ TEXTS = [
     (10, "Bonjour, le monde est à nous et la vie est belle. " * 40),
     (None, "a row without key"),
     (12, "!!!! ...."),
+    (13, "ends here <|endoftext|> and goes on <|endoftext|>, <|endoftext"),
+    (14, "word, Word. word.\nOther's, it's. ça. naïve, é. 12. a1, don't."),
 ]
 
 

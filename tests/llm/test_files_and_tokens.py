@@ -103,6 +103,21 @@ def test_repair_grammar():
     assert len(repair_tokens.compress(np.zeros(1000, np.uint32), np.array([1000]), 5, 6, 10, 2)[0]) < 40  # runs halve
 
 
+def test_repair_goes_on_to_the_end():
+    """Without a limit of rounds no pair within a document is left that is frequent."""
+    from collections import Counter
+
+    pick = np.random.default_rng(5)
+    for n, top in ((20000, 3), (20000, 60), (4000, 1)):
+        ids, ends = pick.integers(0, top, n).astype(np.uint32), np.array([n // 3, n // 3 + 1, n])
+        symbols, symbol_ends, rules, lengths = repair_tokens.compress(ids, ends, top, pairs=7, least=5)
+        assert repair_tokens.expand(symbols, rules, top) == ids.astype("<u4").tobytes()
+        cuts = set((symbol_ends - 1).tolist())
+        left = Counter((a, b) for i, (a, b) in enumerate(zip(symbols.tolist(), symbols[1:].tolist())) if i not in cuts)
+        assert max(left.values(), default=0) < 5
+        assert int(lengths.sum()) == sum(len(repair_tokens.expand(np.array([top + i]), rules, top)) // 4 for i in range(len(rules)))
+
+
 def test_tiff_query(spark, docs_dir):
     found = {(r["doc_id"], r["n_bytes"]): r for r in rows_of(queries.op6_tiff_pages(spark, docs_dir))}
     for k, t in TEXTS:
