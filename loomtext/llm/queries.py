@@ -20,11 +20,10 @@ def parts_of(spark: SparkSession) -> int:
 
 def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    keys = pages.select("page_id", F.sha1(html).alias("sha"), F.length(html).alias("size"))
+    keys = arc_warc.page_keys(pages)
     records = arc_warc.arc_to_warc(arc_warc.pages_to_arc(pages))
     path = scratch(spark, "warc")
-    arc_warc.write_warc(arc_warc.with_revisits(records, keys), path)
+    arc_warc.write_warc(arc_warc.with_revisits(records, keys), path, file_records=arc_warc.records_of(keys))
     return arc_warc.read_warcs(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

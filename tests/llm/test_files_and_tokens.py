@@ -127,6 +127,7 @@ def test_tiff_query(spark, docs_dir):
         assert (r["payload_bytes"], r["payload_sha256"]) == (len(payload), hashlib.sha256(payload).hexdigest())
         assert r["tail_crc32"] == zlib.crc32(payload[-64:])
         assert r["media_sha256"] == hashlib.sha256(tiff.write_tiff([payload])).hexdigest()
+        assert r["feature"] == "".join(f"{sum(b >> 4 == i for b in payload) * 65535 // len(payload):04x}" for i in range(16))
     assert sum(1 for _ in found) == len({(k, len((t or "").encode())) for k, t in TEXTS})
 
 
@@ -140,22 +141,6 @@ def test_tiff_codecs():
     assert tiff.packbits_decode(bytes.fromhex("FEAA02800 02AFDAA0380002A22F7AA".replace(" ", ""))) == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")
 
 
-def test_tiff_pages_of_every_kind():
-    pages = [bytes(range(256)) * 5, b"\7" * 64, bytes(range(64)) * 300]
-        assert r["feature"] == "".join(f"{sum(b >> 4 == i for b in payload) * 65535 // len(payload):04x}" for i in range(16))
-    for compression in (tiff.RAW, tiff.PACKBITS, tiff.LZW, tiff.DEFLATE):
-        for predictor in (1, 2):
-            found = list(tiff.read_tiff(tiff.write_tiff(pages, compression=compression, predictor=predictor, strip=7)))
-            assert [p["pixels"] for p in found] == pages and [p["page"] for p in found] == [0, 1, 2]
-    assert [p["error"] is None for p in tiff.read_tiff(b"II*\0")] == [False]
-    broken = bytearray(tiff.write_tiff(pages))
-    broken[8:20] = b"\xff" * 12
-    assert [p["error"] is None for p in tiff.read_tiff(bytes(broken))] == [False, True, True]
-
-
-def test_tiff_big_endian_tiles_with_planes():
-    """A hand-made big-endian file: 20 x 20 pixels of 16 bits, two planes, tiles of 16 x 16, predictor 2."""
-    import struct
 def test_lzw_published_example():
     """The example that the PDF reference prints for the same code: 45 45 45 45 45 65 45 45 45 66."""
     assert tiff.lzw_decode(bytes.fromhex("800B6050220C0C8501")) == bytes([45, 45, 45, 45, 45, 65, 45, 45, 45, 66])
@@ -190,6 +175,21 @@ def test_malformed_tiffs_are_rows_with_errors():
             assert page["error"] is None or "pixels" not in page
 
 
+def test_tiff_pages_of_every_kind():
+    pages = [bytes(range(256)) * 5, b"\7" * 64, bytes(range(64)) * 300]
+    for compression in (tiff.RAW, tiff.PACKBITS, tiff.LZW, tiff.DEFLATE):
+        for predictor in (1, 2):
+            found = list(tiff.read_tiff(tiff.write_tiff(pages, compression=compression, predictor=predictor, strip=7)))
+            assert [p["pixels"] for p in found] == pages and [p["page"] for p in found] == [0, 1, 2]
+    assert [p["error"] is None for p in tiff.read_tiff(b"II*\0")] == [False]
+    broken = bytearray(tiff.write_tiff(pages))
+    broken[8:20] = b"\xff" * 12
+    assert [p["error"] is None for p in tiff.read_tiff(bytes(broken))] == [False, True, True]
+
+
+def test_tiff_big_endian_tiles_with_planes():
+    """A hand-made big-endian file: 20 x 20 pixels of 16 bits, two planes, tiles of 16 x 16, predictor 2."""
+    import struct
 
     image = np.arange(800, dtype=np.uint16).reshape(2, 20, 20) * 71
     out, places, sizes = bytearray(b"MM\0*\0\0\0\0"), [], []
@@ -302,6 +302,66 @@ def test_warc_query(spark, tmp_path):
     assert queries.op1_arc_to_warc(spark, saved(spark, tmp_path, pages(spark, []), "pages")).collect() == []
 
 
+def written(spark, path, arcs):
+    """Archives (key, ARC bytes) converted, written, read back."""
+    from pyspark.sql import functions as F
+
+    records = arc_warc.arc_to_warc(spark.createDataFrame([(k, bytearray(a)) for k, a in arcs], "page_id bigint, arc binary"))
+    keys = records.select("page_id", F.sha1("payload").alias("sha"), F.length("payload").alias("size"), "record_id")
+    arc_warc.write_warc(arc_warc.with_revisits(records, keys), str(path), file_records=3)
+    return records, arc_warc.read_warcs(spark, str(path))
+
+
+def test_odd_archives(spark, tmp_path):
+    """Heads with bare line feeds, without an end, odd version lines, cut records, lines between records."""
+    head = b"HTTP/1.0 200 OK\nA: b\n\n"
+    one = arc_warc.arc_file([("http://a/x y", "1.2.3.4", "20010203040506", "text/html", head + b"line\r\n\r\nbody")], 1)
+    odd = one.replace(b"1 0 loomtext", b"1x 0 loomtx")
+    cut = arc_warc.arc_file([("http://b", "1.2.3.4", "20010203040506", "text/html", head + b"tail")], 1)[:-5]
+    endless = arc_warc.arc_file([("http://c", "1.2.3.4", "20010203040506", "text/html", b"HTTP/1.0 204 No")], 2)
+    noise = one + b"some noise\nmore 12 noise\n" + b"http://d 1.2.3.4 20010203040506 text/plain 2\nhi\n"
+    records, back = written(spark, tmp_path / "w", [(1, one), (2, odd), (3, cut), (4, endless), (5, noise), (6, b""), (7, b"\0\xff\n\n junk"), (8, one)])
+    errors = sorted((r["page_id"], r["error"].split(":")[0]) for r in records.where("error IS NOT NULL").collect())
+    assert errors == [(3, "declared length runs past the end"), (5, "no record line"), (7, "no record line")]
+    got = {(r["page_id"], r["uri"]): r for r in back.collect()}
+    assert {k for k in got} == {(1, "http://a/x y"), (2, "http://a/x y"), (3, "http://b"), (4, "http://c"), (5, "http://a/x y"), (5, "http://d"), (8, "http://a/x y")}
+    assert got[1, "http://a/x y"]["payload_bytes"] == len(b"line\r\n\r\nbody") and got[4, "http://c"]["payload_bytes"] == 0 and got[3, "http://b"]["payload_bytes"] == 0
+    assert [got[k, "http://a/x y"]["record_type"] for k in (1, 2, 5, 8)] == ["response", "revisit", "revisit", "revisit"]
+    assert {got[k, "http://a/x y"]["refers_to_id"] for k in (2, 5, 8)} == {got[1, "http://a/x y"]["record_id"]}
+
+
+def test_fuzzed_archives():
+    pick = random.Random(9)
+    whole = arc_warc.arc_file([(f"http://a/{i}", "1.2.3.4", "20010203040506", "text/html", b"HTTP/1.1 200 OK\r\n\r\nbody" * 3) for i in range(4)], 2)
+    for _ in range(1500):
+        broken = bytearray(whole)
+        for _ in range(pick.randint(1, 10)):
+            broken[pick.randrange(len(broken))] = pick.choice((0, 10, 32, 255, pick.randrange(256)))
+        for found in arc_warc.read_arc(bytes(broken[: pick.randint(0, len(broken))])):
+            row = arc_warc.convert(*found)
+            assert b"\r\n\r\n" in row["http_head"] and arc_warc.warc_record(row).startswith(b"WARC/1.1\r\n")
+    for _ in range(300):
+        for found in arc_warc.read_arc(pick.randbytes(pick.randint(0, 200))):
+            arc_warc.convert(*found)
+
+
+def test_archives_begin_with_their_own_record(spark, tmp_path):
+    import glob
+    import gzip
+
+    arcs = [(i, arc_warc.arc_file([("http://a", "0.0.0.0", "20010203040506", "text/html", str(i).encode())], 1)) for i in range(20)]
+    _, back = written(spark, tmp_path / "w", arcs)
+    names = glob.glob(str(tmp_path / "w" / "part-*"))
+    heads = [list(arc_warc.read_warc(gzip.open(n))) for n in names]
+    assert len(names) > 5 and all(h[0][0]["warc-type"] == "warcinfo" and 1 < len(h) <= 3 for h in heads) and back.count() == 20
+
+
+def test_revisits_refer_to_record_ids(spark):
+    found = {r["page_id"]: r for r in arc_warc.page_keys(spark.createDataFrame([(1, "http://a\nb", "x"), (2, None, None), (None, "", "y"), (3, "http://c", "é")], "page_id bigint, url string, html string")).collect()}
+    records = arc_warc.arc_to_warc(arc_warc.pages_to_arc(spark.createDataFrame([(1, "http://a\nb", "x"), (2, None, None), (None, "", "y"), (3, "http://c", "é")], "page_id bigint, url string, html string")))
+    assert {r["page_id"]: r["record_id"] for r in records.collect()} == {k: r["record_id"] for k, r in found.items()}
+
+
 def test_warc_oracle(spark):
     db = duckdb.connect()
     db.sql(f"CREATE VIEW pages AS SELECT * FROM '{SMALL}/pages.parquet'")
