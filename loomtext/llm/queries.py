@@ -70,9 +70,10 @@ def op6_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.find_spans(docs, pii.train(docs))
-    of_kind = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("bigint")
-    counts = [of_kind(i).alias(f"n_{name}") for i, name in enumerate(pii.KINDS[: pii.BASE])]
-    return found.select("doc_id", *counts, F.sha2(pii.written("base").cast("binary"), 256).alias("base_sha256"), pii.written("spans").alias("spans"))
+    of_kind = lambda spans, i: F.size(F.filter(spans, lambda s: s["kind"] == i)).cast("bigint")
+    counts = [of_kind("base", i).alias(f"n_{name}") for i, name in enumerate(pii.KINDS[: pii.BASE])]
+    more = [of_kind("spans", i).alias(f"n_{name}") for i, name in list(enumerate(pii.KINDS))[pii.BASE :]]
+    return found.select("doc_id", *counts, F.sha2(pii.written("base").cast("binary"), 256).alias("base_sha256"), pii.written("spans").alias("spans"), *more, F.size("spans").cast("bigint").alias("n_spans"))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,7 +73,10 @@ def test_all_spans_hold_the_base(found):
 
 def test_estimation_equals_plain_loop(spark):
     table = [((1, 1, 0, 1, 0), 40), ((-1, -1, 0, 1, 0), 90), ((1, 0, 1, -1, 1), 7), ((0, 1, 1, 1, 0), 25), ((-1, 0, 0, -1, 0), 60)]
-    got = {tuple(r["votes"]): r["q"] for r in pii._fit(spark.createDataFrame([(list(v), n) for v, n in table], "votes array<int>, n bigint")).collect()}
+    other = [((1, 1, 1, 1, 1), 3), ((-1, 0, 0, 0, 0), 500)]  # another kind, which must not matter
+    rows = [(4, list(v), n) for v, n in table] + [(5, list(v), n) for v, n in other]
+    fitted = pii._fit(spark.createDataFrame(rows, "kind int, votes array<int>, n bigint")).collect()
+    got = {tuple(r["votes"]): r["q"] for r in fitted if r["kind"] == 4}
     weights = [[math.log(0.05 / 0.35), math.log(0.35 / 0.45), math.log(0.6 / 0.2)] for _ in range(5)]
     bias = 0.0
     chance = lambda v: 1 / (1 + math.exp(-bias - sum(weights[i][x + 1] for i, x in enumerate(v))))
@@ -98,6 +101,64 @@ def test_secrets_are_added_and_dates_are_not(spark):
     assert row["r"] == 'use password=<secret> or token = "<secret>" on 2020 11 12.'
 
 
+def plain_spans(text, model):
+    """All spans by the model, read directly: base spans, and candidates whose odds are over zero and that touch none."""
+    kind_of = lambda c: "edge" if not c else "letter" if re.match("[A-Za-z]", c) else "digit" if re.match("[0-9]", c) else "blank" if c in " \t\n\x0b\f\r" else "sign" if c in "=:\"'" else "other"
+    spans = [(int(s.split(":")[1]), pii.KINDS.index(s.split(":")[0]), int(s.split(":")[2])) for s in base_spans(text)]
+    base = list(spans)
+    for kind in range(pii.BASE, len(pii.KINDS)):
+        end = 0
+        for m in re.finditer(pii.PATTERNS[kind], text or ""):
+            left = text[end : m.start()][-pii.CONTEXT :].lower()
+            end = m.end()
+            n, digits = len(m.group()), len(re.sub("[^0-9]", "", m.group()))
+            after = re.search(pii.PATTERNS[kind], text[end:])
+            right = text[end : end + 1] if after is None or after.start() > 0 else ""
+            features = {"size": min(n // 4, 8), "digits": math.floor(digits / n * 4), "before": kind_of(left[-1:]), "after": kind_of(right), "cue": str(bool(re.search(pii.CUES[kind], left))).lower()}
+            score = model["bias"].get(kind, -99) + sum(model["odds"].get(f"{kind}:{k}={v}", 0.0) for k, v in features.items())
+            if score > 0 and not any(b[0] < m.end() and m.start() < b[2] for b in base):
+                spans.append((m.start(), kind, m.end()))
+    return ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
+
+
+MADE = [
+    "password: hunter2-horse9 and api_key=sk-live_4eC39HqLyjWDarjtT1zdp7dc!", "ghp_16C7e42F292c6912E7710c838347Ae178B4a", "covid-19 in 2020-11-12, b-52 and mp3 abcdefgh1 route-66", "ssn 078-05-1120 call (555) 123 4567", "Bearer eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9 x",
+]
+
+
+def test_all_spans_equal_direct_reading(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    model = pii.train(docs)
+    rows = [(r["doc_id"], r["text"]) for r in docs.limit(300).collect()] + [(-1 - i, t) for i, t in enumerate([*MADE, *(t for t in TRICKY if len(t) < 5000)])]
+    got = {r["doc_id"]: r["w"] for r in pii.find_spans(spark.createDataFrame(rows, "doc_id bigint, text string"), model).select("doc_id", pii.written("spans").alias("w")).collect()}
+    assert got == {k: plain_spans(t, model) for k, t in rows}
+
+
+def test_planted_secrets_are_found(spark):
+    """Recall of each kind of secret, planted in every tenth document, and no span in texts without digits and at signs."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    k, hashed = F.col("doc_id") % 10, F.sha2(F.col("doc_id").cast("string"), 256)
+    planted = F.when(k == 0, F.concat(F.lit("password="), F.left(hashed, F.lit(18)))).when(k == 1, F.concat(F.lit("AKIA"), F.upper(F.left(hashed, F.lit(16))))).when(k == 2, F.concat(F.lit('token = "'), F.left(hashed, F.lit(40)), F.lit('"'))).when(k == 3, F.concat(F.lit("api_key: sk_live_"), F.left(hashed, F.lit(24))))
+    docs = docs.withColumn("text", F.concat_ws(" ", "text", planted, F.lit("and more")))
+    found = [(r["text"], r["w"].split(",")) for r in pii.find_spans(docs, pii.train(docs)).select("doc_id", "text", pii.written("spans").alias("w")).collect()]
+    for name, pattern in {"password": r"password=([0-9a-f]{18})", "access key": r"\b(AKIA[A-F0-9]{16})\b", "token": r'token = "([0-9a-f]{40})"', "api key": r"(sk_live_[0-9a-f]{24})"}.items():
+        asked = [(w, m.span(1)) for t, w in found for m in re.finditer(pattern, t or "")]
+        caught = sum(f"secret:{a}:{b}" in w for w, (a, b) in asked)
+        assert len(asked) >= 90 and caught >= 0.9 * len(asked), (name, caught, len(asked))
+    clean = [w for t, w in found if not re.search("[0-9@]", t or "")]
+    assert len(clean) > 300 and all(w == [""] for w in clean)
+
+
+def test_overlapping_spans_are_redacted_whole(spark):
+    text = "call +1 555 123 4567.jane@x.org now 1.2.3.4111 1111 1111 1111 end"
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    row = pii.find_spans(docs, {"bias": {}, "odds": {}, "reliable": {}}).select(pii.written("spans").alias("w"), pii.redacted().alias("r")).first()
+    assert row["w"] == ",".join(base_spans(text)) and "jane" not in row["r"] and "1111" not in row["r"]
+    assert row["r"].startswith("call <phone>")
+
+
 def test_running_sums(spark):
     df = spark.range(1).selectExpr("transform(sequence(1, 1000), x -> x % 7L) AS a")
     got = df.select(pii._running(df.a).alias("r")).first()["r"]
