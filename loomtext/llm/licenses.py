@@ -6,14 +6,17 @@ bigrams of the text, or with the whole text if that is shorter. For sizes a and
 2 * overlap / (a + b), overlap counting repeated bigrams, so it can reach the threshold only if
 a >= b * t / (2 - t), and only if a window holds ceil(t * (a + b) / 2) bigrams of the template at all: running sums of
 such hits prune templates and windows before any is counted. Of windows that overlap, the best is kept, the first of
-equal ones; of templates of one licence the best window counts.
+equal ones; of templates of one licence the best window counts. Whole licence texts, which hold notices themselves, come
+before notices, whatever the coefficients.
 
-Whole texts are scanned. Null, empty and blank texts have no match; repeated rows are scanned each.
+Whole texts are scanned, however long. Null, empty and blank texts have no match, an empty table gives no rows, repeated
+rows are scanned each, and other columns are not carried along, whatever their names.
 """
 
 from __future__ import annotations
 
 from functools import partial
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -92,8 +95,10 @@ def bigrams(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Book:
     """Templates as bigram numbers: `known` holds all bigrams' hashes, ascending."""
 
-    def __init__(self, templates=TEMPLATES, threshold: int = THRESHOLD):
+    def __init__(self, templates=TEMPLATES, threshold: int = THRESHOLD, whole: tuple = ()):
         self.threshold = threshold
+        self.notices = len(templates)  # templates from this number on are whole texts
+        templates = (*templates, *whole)
         self.names = [name for name, _ in templates]
         flat, at = utf8_flat(pa.array([text for _, text in templates]))
         pairs, word_at = bigrams(flat, at)
@@ -144,8 +149,14 @@ class Book:
         return found
 
 
-def _scan(key: str, templates: tuple, threshold: int, batches):
-    book = held(("licenses", templates, threshold), lambda: Book(templates, threshold))
+def full_texts() -> tuple[tuple[str, str], ...]:
+    """Whole texts of long licences, as published, by SPDX identifier: the files of the folder `texts`."""
+    folder = resources.files("loomtext.llm") / "texts"
+    return tuple((f.name.removesuffix(".txt"), f.read_text(encoding="utf-8")) for f in sorted(folder.iterdir(), key=lambda f: f.name) if f.name.endswith(".txt"))
+
+
+def _scan(key: str, templates: tuple, threshold: int, whole: tuple, batches):
+    book = held(("licenses", templates, threshold, whole), lambda: Book(templates, threshold, whole))
     kinds = [pa.list_(pa.struct([("license", pa.string()), ("start_word", pa.int64()), ("end_word", pa.int64()), ("dice", pa.float64())]))]
     for batch in batches:
         for piece in slices(batch, batch.schema.names[1], PIECE_BYTES):
@@ -153,17 +164,18 @@ def _scan(key: str, templates: tuple, threshold: int, batches):
             numbers = book.numbers(pairs)
             rows = []
             for a, b in zip(word_at[:-1].tolist(), word_at[1:].tolist(), strict=True):
-                found = sorted((-2 * overlap / sizes, start, end, book.names[i]) for start, end, i, overlap, sizes in book.matches(numbers[a : max(a, b - 1)])) if b - a > 1 else []
+                found = sorted((i < book.notices, -2 * overlap / sizes, start, end, book.names[i]) for start, end, i, overlap, sizes in book.matches(numbers[a : max(a, b - 1)])) if b - a > 1 else []
                 kept: list[tuple[float, int, int, str]] = []
-                for dice, start, end, name in found:
+                for _, dice, start, end, name in found:
                     if all(end <= s or e <= start for _, s, e, _ in kept):
                         kept.append((dice, start, end, name))
                 rows.append([{"license": name, "start_word": start, "end_word": end + 1, "dice": -dice} for dice, start, end, name in sorted(kept, key=lambda x: x[1:])])
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(rows, kinds[0])], names=[key, "matches"])
 
 
-def scan(df: DataFrame, templates: tuple = TEMPLATES, threshold: int = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (key, matches): licences found, in order of place, with words from and to and the Dice coefficient."""
+def scan(df: DataFrame, templates: tuple = TEMPLATES, threshold: int = THRESHOLD, key: str = "doc_id", text: str = "text", whole: tuple | None = None) -> DataFrame:
+    """Rows (key, matches): licences found, in order of place, with words from and to and the Dice coefficient. `whole`:
+    whole licence texts, those of full_texts() unless given."""
     ship(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(partial(_scan, key, templates, threshold), f"`{key}` {kind}, matches array<struct<license string, start_word bigint, end_word bigint, dice double>>")
+    return df.select(key, text).mapInArrow(partial(_scan, key, templates, threshold, full_texts() if whole is None else whole), f"`{key}` {kind}, matches array<struct<license string, start_word bigint, end_word bigint, dice double>>")

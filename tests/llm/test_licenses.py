@@ -49,7 +49,7 @@ def test_scan_equals_all_windows(spark):
             notice[pick.randrange(len(notice))] = pick.choice(["other", "", "THE", "licence,"])
         texts.append(f"{parts[0]}\n{' '.join(notice)}\n{parts[1]} {pick.choice(licenses.TEMPLATES)[1].upper()}. {parts[2]}")
     rows = [*((i, t) for i, t in enumerate(texts)), (100, None), (101, ""), (102, "MIT"), (103, "released under"), (104, "Released, under the “MIT” — License")]
-    got = {r["doc_id"]: [(m["license"], m["start_word"], m["end_word"], m["dice"]) for m in r["matches"]] for r in licenses.scan(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    got = {r["doc_id"]: [(m["license"], m["start_word"], m["end_word"], m["dice"]) for m in r["matches"]] for r in licenses.scan(spark.createDataFrame(rows, "doc_id int, text string"), whole=()).collect()}
     for k, t in rows:
         assert got[k] == plain_scan(t, licenses.TEMPLATES, licenses.THRESHOLD), t
     assert sum(map(len, got.values())) > 60
@@ -74,3 +74,27 @@ def test_notices_are_told_from_their_neighbours(spark):
     rows = [(i, f"{around} {text} {around}") for i, (_, text) in enumerate(notices) for around in ("", "some other words stand here " * 9)]
     for r in licenses.scan(spark.createDataFrame(rows, "doc_id int, text string")).collect():
         assert {m["license"] for m in r["matches"]} == {notices[r["doc_id"]][0]}, notices[r["doc_id"]]
+
+
+def test_whole_texts_with_small_edits(spark):
+    """Each long licence, some words changed, dropped and added, with a copyright line and other text around it."""
+    pick, rows, want = random.Random(11), [], {}
+    for name, text in licenses.full_texts():
+        words = text.split(" ")
+        for _ in range(len(words) // 40):
+            words[pick.randrange(len(words))] = pick.choice(["", "other", "so it is", "Acme Corp"])
+        rows.append((len(rows), "Copyright 2024 Acme. " + "some words stand here " * 30 + " ".join(words) + " the end of it " * 30))
+        want[len(rows) - 1] = name
+    assert len(rows) == 13
+    got = {r["doc_id"]: [m for m in r["matches"] if m["end_word"] - m["start_word"] > 500] for r in licenses.scan(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert {k: [m["license"] for m in ms] for k, ms in got.items()} == {k: [name] for k, name in want.items()}
+    assert all(m["dice"] > 0.9 for ms in got.values() for m in ms)
+
+
+def test_whole_texts_equal_all_windows(spark):
+    """Small made-up texts as whole ones: they come before notices, whatever the coefficients."""
+    notices, whole = (("N", "a b c d e f"), ("M", "x y z")), (("W", "one two a b c d e f three four five six x y z seven eight nine ten"),)
+    texts = ["one two a b c d e f three four five six x y z seven eight nine ten", "zero two a b c d e f three four five six x y z seven eight nine ten x y z", "a b c d e f and x y z", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r["doc_id"]: [m["license"] for m in r["matches"]] for r in licenses.scan(rows, notices, whole=whole).collect()}
+    assert got == {0: ["W"], 1: ["W", "M"], 2: ["N", "M"], 3: []}
