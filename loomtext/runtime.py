@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark import StorageLevel
@@ -66,18 +67,23 @@ def exists(spark: SparkSession, path: str) -> bool:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write df as Parquet in the shared folder and read it back: lineage ends there and survives lost executors.
-
-    Shuffle files of the write are dropped when it ends, as nothing reads them again."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
+@contextmanager
+def cleaned(spark: SparkSession):
+    """Shuffle files of queries that run within are dropped as each ends, as nothing reads them again."""
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.set(_CLEANUP, before)
+
+
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write df as Parquet in the shared folder and read it back: lineage ends there and survives lost executors."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    with cleaned(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
