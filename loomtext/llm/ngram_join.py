@@ -10,9 +10,10 @@ one n-gram, and overlaps are bounded before they are counted:
 3. First each block links its members to one hub, the one with the fewest rare shingles, which settles most of a large
    group of near copies by as many pairs as it has members. Links found join classes to components.
 4. Then every block pairs those members that are not yet in one component and whose sizes, positions and parities of
-   512 counters (two sets differ in as many shingles as parities, at least) allow the overlap that they need. So no link between components is missed, and none within one is needed.
-5. Pairs of either step are discarded if 256 counters of their sets bound the overlap below what they need; overlaps of
-   the rest are counted on the whole sets.
+   512 counters (two sets differ in as many shingles as parities, at least) allow the overlap that they need. So no link
+   between components is missed, and none within one is needed.
+5. Pairs of either step are discarded if the parities bound their difference above what is allowed; overlaps of the rest
+   are counted on the whole sets.
 6. Links are counted in full, too: all of a class's links are in its component, whose classes are dealt into chunks.
    Each two chunks are a tile, in which the incidence rows of whole sets are multiplied, so overlaps of all pairs of a
    component are counted, and a set is moved once for each chunk of its component, not for each pair.
@@ -28,18 +29,19 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm._arrays import slices, utf8_flat
 from loomtext.llm._held import release
 from loomtext.llm.shingles import mixed, shingle_sets
-from loomtext.runtime import drop_path, ship, stored
+from loomtext.runtime import cleaned, drop_path, kept, ship, stored
 
 #: Counters of the sketch, slices in which they are summed, and levels to each doubling of a count.
 CELLS, SLICES, STEPS = 1 << 22, 64, 4
-#: Counters that bound an overlap, and 64-bit words of parities that bound a difference.
-COUNTERS, WORDS = 256, 8
+#: 64-bit words of parities that bound a difference.
+WORDS = 8
 PIECE_BYTES = 1 << 20
 #: Shingles and sets of a chunk, about, and shingles that are multiplied at a time.
 CHUNK_SHINGLES, CHUNK_SETS, SLAB = 1 << 16, 512, 4096
@@ -75,6 +77,7 @@ def _sketch(n: int, cells: int, batches):
 
 
 def _summed(batches):
+    release()
     totals: dict[int, np.ndarray] = {}
     for batch in batches:
         for i, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -97,8 +100,8 @@ def levels(df: DataFrame, text: str, n: int, cells: int = CELLS) -> np.ndarray:
     return np.concatenate([np.rint(STEPS * np.log2(np.maximum(1, c / mean))).astype(np.uint8) for c in counts])
 
 
-_SETS = [("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("v", pa.int64()), ("rare", pa.int32()), ("prefix", pa.list_(pa.int64())), ("counters", pa.binary()), ("odd", pa.list_(pa.int64()))]
-SETS = "doc_id bigint, mark bigint, n bigint, v bigint, rare int, prefix array<bigint>, counters binary, odd array<bigint>"
+_SETS = [("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("v", pa.int64()), ("rare", pa.int32()), ("prefix", pa.list_(pa.int64())), ("odd", pa.list_(pa.int64()))]
+SETS = "doc_id bigint, mark bigint, n bigint, v bigint, rare int, prefix array<bigint>, odd array<bigint>"
 
 
 def _set_key(own: np.ndarray) -> int:
@@ -117,53 +120,84 @@ def _sets(n: int, num: int, den: int, shared, batches):
             sizes = np.diff(at)
             high = level[(flat >> shift).astype(np.int64)]
             cell = (flat >> np.uint64(55)).astype(np.int64)
-            keys, rare, prefix, counters, odd = [], [], [], [], []
+            keys, rare, prefix, odd = [], [], [], []
             for start, size in zip(at[:-1].tolist(), sizes.tolist(), strict=True):
                 if not size:
                     keys.append(None)
                     rare.append(None)
                     prefix.append(None)
-                    counters.append(None)
                     odd.append(None)
                     continue
                 own, own_level = flat[start : start + size], high[start : start + size]
-                # Sets are ascending, so a stable sort by level gives the order (level, hash).
+                # Sets are ascending, so a stable sort by level gives the order (level, hash). Prefixes hold places in this
+                # order, the level before the hash's highest bits; places are numbers over zero, so they sort as it does.
                 first = np.argsort(own_level, kind="stable")[: prefix_size(size, num, den)]
                 keys.append(_set_key(own))
                 rare.append(int(1000 * (own_level[first] < STEPS).mean()))
-                prefix.append(own[first].view(np.int64))
-                counted = np.bincount(cell[start : start + size], minlength=64 * WORDS)
-                counters.append(np.minimum(counted.reshape(COUNTERS, -1).sum(1), 65535).astype("<u2").tobytes())
-                odd.append(np.packbits(counted & 1).view(np.int64))
-            columns = [piece.column(0), piece.column(2), pa.array(sizes, pa.int64()), keys, rare, prefix, counters, odd]
+                prefix.append((own_level[first].astype(np.int64) << 55) | (own[first] >> np.uint64(9)).astype(np.int64))
+                odd.append(np.packbits(np.bincount(cell[start : start + size], minlength=64 * WORDS) & 1).view(np.int64))
+            columns = [piece.column(0), piece.column(2), pa.array(sizes, pa.int64()), keys, rare, prefix, odd]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, (_, t) in zip(columns, _SETS, strict=True)], schema=pa.schema(_SETS))
 
 
-def _whole_sets(n: int, batches):
+def _whole_sets(n: int, shared, batches):
+    """Rows (id, text) -> (id, whole) of those whose id the bitmap holds."""
     release()
+    bitmap = np.frombuffer(shared.value, np.uint8)
     for batch in batches:
-        for piece in slices(batch, batch.schema.names[1], PIECE_BYTES):
+        wanted = pa.array(_held(bitmap, np.asarray(batch.column(0))))
+        for piece in slices(batch.filter(wanted), batch.schema.names[1], PIECE_BYTES):
             flat, at = shingle_sets(*utf8_flat(piece.column(1)), n)
             sets = [flat[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(sets, pa.binary())], names=["v", "whole"])
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(sets, pa.binary())], names=["id", "whole"])
+
+
+def _held(bitmap: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Which of the 64-bit marks a bitmap has."""
+    place = marks & (8 * len(bitmap) - 1)
+    return bitmap[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1
 
 
-def _bounded(num: int, den: int, batches):
-    """Pairs whose counters allow the overlap that they need. A counter of 65535 may stand for more: it bounds nothing."""
+def _picked(shared, batches):
+    """Rows (v, n, prefix) of the classes that the bitmap holds."""
+    release()
+    bitmap = np.frombuffer(shared.value, np.uint8)
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, COUNTERS) for c in ("counters_a", "counters_b"))
-        least = np.minimum(a, b)
-        bound = least.sum(1, dtype=np.int64)
-        bound[(least == 65535).any(1)] = 1 << 60
-        sizes = [np.asarray(batch.column(c)).astype(np.int64) for c in ("n_a", "n_b")]
-        kept = batch.filter(pa.array(bound >= needed(*sizes, num, den)))
-        yield kept.select(["a", "b", "n_a", "n_b"])
+        yield batch.filter(pa.array(_held(bitmap, np.asarray(batch.column(0)))))
+
+
+def _common(shared, batches):
+    """Rows (v, n, rare, prefix) -> (v, n, rare, pos, h): the places that the bitmap holds, and where in the prefix they are."""
+    release()
+    bitmap = np.frombuffer(shared.value, np.uint8)
+    for batch in batches:
+        prefix = batch.column(3)
+        ends = np.asarray(prefix.offsets).astype(np.int64)
+        flat = np.asarray(prefix.values)[ends[0] : ends[-1]]
+        ends -= ends[0]
+        here = _held(bitmap, flat)
+        pos = (np.arange(len(flat)) - np.repeat(ends[:-1], np.diff(ends)))[here]
+        cuts = pa.array(np.concatenate((np.zeros(1, np.int64), np.cumsum(here)))[ends], pa.int32())
+        lists = [pa.ListArray.from_arrays(cuts, pa.array(x, t)) for x, t in ((pos, pa.int32()), (flat[here], pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *lists], names=["v", "n", "rare", "pos", "h"])
+
+
+def _bitmap(marks: DataFrame, column: str, n: int) -> bytes:
+    """Bits of the marks' lowest bits, as a filter that lets no mark go: some 16 bits for each of n marks, 2^28 at most,
+    whatever the input. Bits are set by Spark, so that what reaches the driver is the bitmap."""
+    bits = min(28, max(18, (16 * n).bit_length()))
+    place = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
+    rows = marks.select((place / (1 << 15)).cast("int").alias("bucket"), (place % (1 << 15)).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = bytearray(1 << (bits - 3))
+    with cleaned(marks.sparkSession):
+        for row in rows.collect():
+            out[row["bucket"] << 12 : (row["bucket"] + 1) << 12] = row["bits"]
+    return bytes(out)
 
 
 def _counted(num: int, den: int, batches):
-    """Pairs whose sets' overlap is what they need."""
+    """Pairs whose sets' overlap is what they need. A batch holds at most a few MB of sets (`ship`)."""
+    release()
     for batch in batches:
         kept = []
         for a, b in zip(batch.column("whole_a"), batch.column("whole_b"), strict=True):
@@ -240,33 +274,53 @@ def _tiles(num: int, den: int, pairs: bool, batches):
         yield from of(now, rows)
 
 
-PAIRS = "a bigint, b bigint, n_a bigint, n_b bigint"
+def _row_id(key, mark) -> Column:
+    """One number for a row's key, which may be null or repeated, and its text's hash."""
+    return F.xxhash64(F.coalesce(key, F.lit(0)), key.isNull(), mark)
 
 
 class _Join:
     def __init__(self, df: DataFrame, text: str, n: int, num: int, den: int, classes: DataFrame):
         self.df, self.text, self.n, self.num, self.den, self.classes = df, text, n, num, den, classes
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """Of distinct pairs (a, b, n_a, n_b), those that link; stored."""
-        sides = [self.classes.select(F.col("v").alias(c), F.col("counters").alias(f"counters_{c}")) for c in ("b", "a")]
-        bounded = pairs.join(sides[0], "b").join(sides[1], "a").mapInArrow(partial(_bounded, self.num, self.den), PAIRS)
-        bounded, path = stored(bounded, "bounded")
-        whole, whole_path = self.whole(bounded.select(F.explode(F.array("a", "b")).alias("v")).distinct())
-        both = bounded.join(whole.select(F.col("v").alias("b"), F.col("whole").alias("whole_b")), "b").join(whole.select(F.col("v").alias("a"), F.col("whole").alias("whole_a")), "a")
-        out, _ = stored(both.mapInArrow(partial(_counted, self.num, self.den), "a bigint, b bigint"), "links")
-        for p in (path, whole_path):
-            drop_path(self.df.sparkSession, p)
+        self.need = f"-floor(-{num} * (n_a + n_b) / {den + num})"
+
+    def links(self, pairs: DataFrame) -> tuple[DataFrame, str]:
+        """Of distinct pairs (a, b), those that link; stored, and where.
+
+        Prefixes bound the overlap first: a place of one that isn't past the other's last, and isn't in it, is in no place of
+        that set. What is left is counted on whole sets."""
+        spark = self.df.sparkSession
+        pairs, pairs_path = stored(pairs, "pairs")
+        some = pairs.select(F.explode(F.array("a", "b")).alias("v"))
+        shared = spark.sparkContext.broadcast(_bitmap(some, "v", 2 * pairs.count()))
+        told = self.classes.select("v", "n", "prefix").mapInArrow(partial(_picked, shared), "v bigint, n bigint, prefix array<bigint>")
+        both = pairs
+        for c in ("b", "a"):
+            both = both.join(told.select(F.col("v").alias(c), F.col("n").alias(f"n_{c}"), F.col("prefix").alias(f"p_{c}")), c)
+        last = "least(element_at(p_a, -1), element_at(p_b, -1))"
+        missing = lambda x, y: f"size(array_except(filter(p_{x}, p -> p <= {last}), p_{y})) <= n_{x} - ({self.need})"
+        left, left_path = stored(both.where(missing("a", "b")).where(missing("b", "a")).select("a", "b"), "bounded")
+        shared.destroy()
+        drop_path(spark, pairs_path)
+        whole, whole_path = self.whole(left.select(F.explode(F.array("a", "b")).alias("v")).distinct())
+        both = left.join(whole.select(F.col("v").alias("b"), F.col("whole").alias("whole_b")), "b").join(whole.select(F.col("v").alias("a"), F.col("whole").alias("whole_a")), "a")
+        out = stored(both.mapInArrow(partial(_counted, self.num, self.den), "a bigint, b bigint"), "links")
+        for path in (left_path, whole_path):
+            drop_path(spark, path)
         return out
 
     def whole(self, some: DataFrame) -> tuple[DataFrame, str]:
-        """Rows (v, whole) of some classes (v), by a row of each: its key, which may be null or repeated, and its text's hash."""
-        ids, ids_path = stored(some.join(self.classes.select("v", F.col("sample.doc_id").alias("of"), F.col("sample.mark").alias("mark")), "v"), "ids")
-        # The size of ids is known, so that Spark broadcasts it only if it is small.
-        found = self.df.join(ids.withColumnRenamed("mark", "of_mark"), F.col("key").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark")))
-        found = found.select("v", self.text).dropDuplicates(["v"])
-        whole, path = stored(found.mapInArrow(partial(_whole_sets, self.n), "v bigint, whole binary"), "whole")
-        drop_path(self.df.sparkSession, ids_path)
+        """Rows (v, whole) of some classes (v), by a row of each.
+
+        Texts are not moved: sets are made where the texts are read, of those rows that a bitmap of ids lets through. Rows of
+        one id are alike (their key and text are), so that one is taken where they are joined, and sets are moved once."""
+        spark = self.df.sparkSession
+        ids = kept(some.join(self.classes.select("v", _row_id(F.col("sample.doc_id"), F.col("sample.mark")).alias("id")), "v"))
+        shared = spark.sparkContext.broadcast(_bitmap(ids, "id", ids.count()))
+        sets = self.df.select(_row_id(F.col("key"), F.col("mark")).alias("id"), self.text).mapInArrow(partial(_whole_sets, self.n, shared), "id bigint, whole binary")
+        whole, path = stored(sets.join(ids, "id").dropDuplicates(["id"]).select("v", "whole"), "whole")
+        shared.destroy()
+        ids.unpersist()
         return whole, path
 
 
@@ -303,49 +357,54 @@ def _grouped(df: DataFrame, key: str, text: str, n: int, num: int, den: int, cel
     docs = df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
     shared = spark.sparkContext.broadcast(levels(docs, "text", n, cells).tobytes())
     sets, _ = stored(docs.mapInArrow(partial(_sets, n, num, den, shared), SETS), "sets")
+    shared.destroy()
     some = sets.where("n > 0")
-    one = [F.first(c).alias(c) for c in ("n", "rare", "prefix", "counters", "odd")]
+    one = [F.first(c).alias(c) for c in ("n", "rare", "prefix", "odd")]
     classes, _ = stored(some.groupBy("v").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "mark")).alias("sample"), F.count(F.lit(1)).alias("copies"), *one), "classes")
     join = _Join(docs, "text", n, num, den, classes)
 
-    rows = classes.select("v", "n", "rare", F.posexplode("prefix").alias("pos", "h"))
+    # Most shingles of prefixes are in one set alone: counts of the bare places tell the others, of which a bitmap is made.
+    places, size = classes.select(F.explode("prefix").alias("h")), classes.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
+    common = places.groupBy("h").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("h")
+    seen = spark.sparkContext.broadcast(_bitmap(common, "h", size // 4))
+    rows = classes.select("v", "n", "rare", "prefix").mapInArrow(partial(_common, seen), "v bigint, n bigint, rare int, pos array<int>, h array<bigint>")
+    rows = rows.select("v", "n", "rare", F.explode(F.arrays_zip("pos", "h")).alias("x")).select("v", "n", "rare", "x.pos", "x.h")
     # The fewest rare shingles, then any fixed order; one number, so that the minimum is a hash aggregate.
     order = F.shiftleft(F.col("rare").cast("bigint"), 50) + F.shiftrightunsigned("v", 14)
     hubs = rows.groupBy("h").agg(F.min_by("v", order).alias("hub"), F.min_by("n", order).alias("hub_n"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    hubs, hubs_path = stored(hubs.drop("members"), "hubs")
-    blocks, _ = stored(rows.drop("rare").join(hubs, "h"), "blocks")
-    drop_path(spark, hubs_path)
+    blocks, blocks_path = stored(rows.drop("rare").join(hubs.drop("members"), "h"), "blocks")
+    seen.destroy()
 
     alike = lambda a, b: den * F.least(a, b) >= num * F.greatest(a, b)
-    star = blocks.where((F.col("v") != F.col("hub")) & alike(F.col("n"), F.col("hub_n")))
-    star = star.select(F.col("hub").alias("a"), F.col("v").alias("b"), F.col("hub_n").alias("n_a"), F.col("n").alias("n_b")).distinct()
-    links = join.links(star)
-    found, found_path = stored(components(links), "found")
-
-    left = blocks.select("h", "v", "n", "pos").join(found, "v", "left").withColumn("root", F.coalesce("root", "v"))
+    need = join.need
+    few_odd = " + ".join(f"bit_count(odd_a[{i}] ^ odd_b[{i}])" for i in range(WORDS)) + f" <= n_a + n_b - 2 * ({need})"
+    star = blocks.where((F.col("v") != F.col("hub")) & alike(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("v").alias("b")).distinct()
+    for c in ("b", "a"):
+        star = star.join(classes.select(F.col("v").alias(c), F.col("n").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}")), c)
+    links, star_path = join.links(star.where(few_odd).select("a", "b"))
+    left = blocks.select("h", "v", "n", "pos").join(components(links), "v", "left").withColumn("root", F.coalesce("root", "v"))
     left, left_path = stored(left, "left")
     # Blocks of the same members are one: the first in order of them has each pair's positions least.
     members = [F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("v") % (1 << 40)).alias("total"), F.bit_xor(F.xxhash64("v", F.lit(1))).alias("mark"), F.min_by("pos", "v").alias("place")]
     mixed_blocks = left.groupBy("h").agg(F.min("root").alias("least"), F.max("root").alias("most"), *members).where("least != most")
     mixed_blocks = mixed_blocks.groupBy("least", "most", "members", "total", "mark").agg(F.min_by("h", "place").alias("h")).select("h")
-    mixed_blocks, mixed_path = stored(mixed_blocks, "mixed")
-    odd = [F.col("odd")[i].alias(f"odd{i}") for i in range(WORDS)]
-    open_rows, open_path = stored(left.join(mixed_blocks, "h").join(classes.select("v", *odd), "v"), "open")
-    a, b = (open_rows.select("h", *(F.col(c).alias(f"{c}_{side}") for c in ("v", "n", "pos", "root", *(f"odd{i}" for i in range(WORDS))))) for side in ("a", "b"))
-    need = f"-floor(-{num} * (n_a + n_b) / {den + num})"
+    open_rows, open_path = stored(left.join(mixed_blocks, "h").join(classes.select("v", "odd"), "v"), "open")
+    a, b = (open_rows.select("h", *(F.col(c).alias(f"{c}_{side}") for c in ("v", "n", "pos", "root", "odd"))) for side in ("a", "b"))
     wanted = (
         F.expr("(n_a < n_b OR (n_a = n_b AND v_a < v_b)) AND root_a != root_b")
         & F.expr(f"{num} * n_b <= {den} * n_a")
         & F.expr(f"n_a - pos_a >= {need} AND n_b - pos_b >= {need}")
-        & F.expr(" + ".join(f"bit_count(odd{i}_a ^ odd{i}_b)" for i in range(WORDS)) + f" <= n_a + n_b - 2 * ({need})")
+        & F.expr(few_odd)
     )
     pairs = a.where(F.expr(f"pos_a < n_a + floor(-2 * {num} * n_a / {den + num}) + 1")).join(b, "h").where(wanted)
-    more = join.links(pairs.select(F.col("v_a").alias("a"), F.col("v_b").alias("b"), "n_a", "n_b").distinct())
-    for p in (found_path, left_path, mixed_path, open_path):
-        drop_path(spark, p)
+    more, more_path = join.links(pairs.select(F.col("v_a").alias("a"), F.col("v_b").alias("b")).distinct())
+    for path in (blocks_path, left_path, open_path):
+        drop_path(spark, path)
 
     linked = components(links.unionByName(more)).join(classes.select("v", "first"), "v")
     linked, _ = stored(linked, "linked")
+    for p in (star_path, more_path):
+        drop_path(spark, p)
     return sets, classes, linked, join
 
 
