@@ -402,3 +402,41 @@ def test_streams_and_sql(spark, tmp_path):
     sql.register(spark)
     assert spark.sql("SELECT html_unescape('&lt;') AS a, nfkc('ﬁ') AS b").first() == ("<", "fi")
     assert spark.sql("SELECT count(*) FROM split_text('One two. Three four five', 12)").first()[0] == 3
+
+
+def test_fetching(spark):
+    """Connectors before the readers, with recorded answers."""
+    from loomtext.sources import fetching
+
+    answer = connectors.Answer
+    long = "<article><p>" + "word " * 40 + "</p><img src='http://i/1.jpg'></article>"
+    posts_at = lambda k: fetching.SYNDICATION + str(k)
+    web_of = connectors.Recorded({
+        "http://a": answer(200, long.encode()), "http://down": answer(500), fetching.PAPER_API + "2301.00001": answer(200, ATOM.encode(), "application/xml"), "https://arxiv.org/pdf/2301.00001": answer(200, b"%PDF", "application/pdf"), "http://feed/rss": answer(200, RSS.encode()),
+        posts_at(1): answer(200, json.dumps({"user": {"screen_name": "h"}, "text": "https://t.co/x http://a"}).encode()), fetching.EMBED + "https%3A%2F%2Fx.com%2Fh%2Fstatus%2F2": answer(200, json.dumps({"author_name": "Q", "html": EMBED}).encode()),
+        "https://nitter.privacydev.net/h/status/3": answer(200, b"<div class='main-tweet'><div class='tweet-content'>mirrored</div></div>"), "https://nitter.poast.org/h/status/3": answer(200, b"<p>busy"), "http://i/1.jpg": answer(200, b"x" * 6000, "image/jpeg"), "http://i/2.png": answer(200, b"small", "image/png"),
+    })
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id int, url string")
+    got = {r["doc_id"]: r for r in fetching.articles(frame([(1, "http://a"), (2, "http://down")]), web_of).collect()}
+    assert got[1]["html"] == long and got[2]["error_type"] == "NetworkError"
+    assert [r["title"] for r in fetching.papers(frame([(1, "https://arxiv.org/abs/2301.00001"), (2, "http://a")]), web_of).collect()] == ["A title"]
+    assert bytes(fetching.pdf_files(frame([(1, "https://arxiv.org/abs/2301.00001")]), web_of).first()["content"]) == b"%PDF"
+    vtt = {"v.en.vtt": VTT}
+    tool = connectors.RecordedTool({"http://feed/tool": '{"title": "E", "url": "http://t/1"}', "http://y/playlist?l": '{"id": "q", "url": "x"}', "http://v": json.dumps({"title": "T", "language": "en", "subtitles": {"en": []}})}, {("http://v", "en", False): vtt})
+    episodes = {(r["doc_id"], r["title"]) for r in fetching.feeds(frame([(1, "http://feed/rss"), (2, "http://feed/tool"), (3, "http://feed/none")]), web_of, tool).collect()}
+    assert episodes == {("http://feed/rss", "One"), ("http://feed/rss", "Three"), ("http://feed/tool", "E"), ("http://feed/none", "Episode")}
+    listed = spark.createDataFrame([(0, " http://y/playlist?l "), (1, "# no"), (2, ""), (3, "http://y/@gone"), (4, "https://www.youtube.com/watch?v=q")], "pos int, url string")
+    assert [r["url"] for r in fetching.videos(listed, tool).orderBy("pos").collect()] == ["https://www.youtube.com/watch?v=q", "http://y/@gone"]
+    meta, subs = fetching.subtitles(frame([(1, "http://v"), (2, "http://gone")]), tool)
+    made = {r["doc_id"]: r for r in pipelines.videos(meta.where("json IS NOT NULL"), subs).collect()}
+    assert "Hello there & you" in made[1]["markdown"] and {r["doc_id"]: r["error_type"] for r in meta.collect()} == {1: None, 2: "VideoUnavailableError"}
+    items = frame([(1, "https://twitter.com/h/status/1?s=1"), (2, "https://x.com/h/status/2"), (3, "https://x.com/h/status/3"), (4, "https://x.com/h/status/4")])
+    synd = fetching.syndicated(items, web_of)
+    linked = fetching.linked_pages(synd.select("doc_id", F.get_json_object("json", "$.text").alias("text")), web_of)
+    done = {r["doc_id"]: r for r in pipelines.social(items, synd, fetching.embedded(items, web_of), fetching.mirrored(items, web_of), linked=linked).collect()}
+    assert done[1]["body"].startswith("word word") and done[2]["body"] == "hi &\nbye\nx" and done[3]["body"] == "mirrored" and done[4]["error_type"] == "TweetFetchError"
+    pictures = spark.createDataFrame([(1, 0, "http://i/1.jpg"), (1, 1, "http://i/2.png"), (2, 0, "http://i/none")], "doc_id int, seq int, src string")
+    assert [(r["src"], r["media_type"], r["format"]) for r in fetching.images(pictures, web_of).collect()] == [("http://i/1.jpg", "image/jpeg", "jpeg")]
+    nodes = spark.createDataFrame([(1, 0, "block", "longform-header-one", "H", "", 0, 0), (1, 1, "block", "", "text", "", 0, 0)], "doc_id int, pos int, type string, cls string, text string, src string, width int, height int")
+    r = fetching.rendered(items, nodes).first()
+    assert (r["title"], r["sections"][0]["body"]) == ("H", "text")
