@@ -22,8 +22,9 @@ WORDS, NUM, DEN = 5, 80, 100
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found, with it as lang, row by row. Those without a letter go, and those whose best
-    code is far longer than those of labelled documents that were held out of training."""
+    """Documents whose language is found, with it as lang, row by row. Those without a letter go (null and empty texts among
+    them), and those whose best code is far longer than those of labelled documents that were held out of training. Of
+    languages with equally short codes the first in order is told. Without any labelled text no document is kept."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     model = ppm.train(docs.where(~held))
     bound = ppm.far_bound(ppm.coded(docs.where(held & F.col("lang").isNotNull()).select("doc_id", "text"), model))
@@ -33,7 +34,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar documents one row: that of the smallest doc_id, null last, of its texts that of the
-    least hash, and of rows alike in both the least in other columns. Rows without a word are in no group."""
+    least hash, and of rows alike in both the least in other columns. Rows without a word, null and empty texts among
+    them, are in no group and stay, each."""
     rows = ngram_join.similar_rows(docs, n=WORDS, num=NUM, den=DEN).where("root IS NOT NULL")
     ids, path = stored(rows.groupBy("root", "doc_id", "mark").agg(F.count(F.lit(1)).alias("times")), "row-ids")
     one = ids.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("one")).select("root", F.col("one.doc_id").alias("one_id"), F.col("one.mark").alias("one_mark"))
@@ -52,19 +54,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind."""
+    """All documents, with personal data replaced by its kind; spans that overlap are one. Null texts become empty."""
     found = pii.find_spans(docs, pii.train(docs), keep=("lang", "source"))
     clean = found.select("doc_id", pii.redacted().alias("text"), "lang", "source")
     return clean.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: every document at least once, those of sources below their weight again."""
+    """The mix: every document at least once, those of sources below their weight again. A null source is a source; rows of
+    one source come in the order of their keys' hashes, ties by key, so that repeated rows are each taken."""
     return pfair_mix.mix(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each document, and whether they decode to its text."""
+    """Number and digest of each document's ids, and the digest of the bytes that they decode to; a null text has none."""
     how = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     rows = byte_bpe.round_trip(docs, *how)
     return rows.select("doc_id", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 PERIOD, BLOCK, POWER = 1024, 16, 0.8
 #: Slots that each source can have in a period that is not given.
 FINE = 32
-#: Hexadecimal digits of the order's hash that tell a bucket: 16 ** 2 buckets of each source are ranked apart.
-DIGITS = 2
+#: Hexadecimal digits of the order's hash that tell a bucket, at least, and rows of a bucket, about: the buckets of each
+#: source are ranked apart, and there are more of them where the largest source has more rows.
+DIGITS, BUCKET_ROWS = 2, 1 << 20
 
 #: One period's schedule: at each slot the index of the source taken. `ks` holds each source's blocks in a period.
 SCHEDULE = """
@@ -64,6 +65,15 @@ def period_for(weighed: DataFrame) -> int:
     return period
 
 
+def digits_for(rows: DataFrame) -> int:
+    """Hex digits of a bucket, so that a bucket of the largest source holds some BUCKET_ROWS rows. Ranks do not depend on it."""
+    most = rows.groupBy("mix_key").count().agg(F.max("count")).first()[0] or 0
+    digits = DIGITS
+    while digits < 8 and most > BUCKET_ROWS << 4 * digits:
+        digits += 1
+    return digits
+
+
 def schedule(shares: DataFrame, period: int = PERIOD, block: int = BLOCK, until: str = "all") -> DataFrame:
     """Rows (mix_key, n, k) -> (mix_key, k, blocks, given, slots): slots of a source's blocks in a period, how many
     blocks it has, and how many it is given in the whole mix."""
@@ -87,7 +97,7 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", power: float
     """
     added = ("epoch", "block", "slot", "release", "deadline", "mix_key", "mix_hash", "mix_bucket")
     rows = df.select(*(c for c in df.columns if c not in added)).withColumn("mix_key", F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")))
-    rows = rows.withColumn("mix_hash", F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))).withColumn("mix_bucket", F.left("mix_hash", F.lit(DIGITS)))
+    rows = rows.withColumn("mix_hash", F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))).withColumn("mix_bucket", F.left("mix_hash", F.lit(digits_for(rows))))
     # Ranks in two steps, so that no source's rows meet in one task: rows of the buckets before, then rows within.
     sizes = rows.groupBy("mix_key", "mix_bucket").agg(F.count(F.lit(1)).alias("size"))
     before = F.sum("size").over(Window.partitionBy("mix_key").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1))

@@ -12,6 +12,7 @@ covers whole texts.
 Texts are lower-cased first. A null text or one without a letter gives `und` and score 0. Score is the probability of
 the predicted language if every language were alike before, with the difference of code lengths counted for at most
 SCORE_BYTES bytes of the text. Ties go to the language first in order. Without labelled texts all rows give `und`.
+Repeated rows are predicted each and learned from once; an empty table gives no rows; extra columns are not carried along.
 
 How far a text is from all languages is told by its best code length: `far_bound` sets bits a byte that texts of known
 language stay below by a wide margin, and `is_far` allows SLACK bits more, so that no text is rejected for few bytes.
@@ -37,6 +38,8 @@ from loomtext.runtime import ship
 
 #: Bytes of context; bound of the training sample for each language; how often a context of ORDER bytes must occur.
 ORDER, TRAIN_TEXTS, TRAIN_BYTES, LEAST = 3, 300, 600_000, 3
+#: Languages that are learned at most.
+LANGUAGES = 200
 #: Code lengths are kept in units of 1/1024 bit.
 UNIT = 1024
 SCORE_BYTES = 64
@@ -170,12 +173,12 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang") -> Model | None
     """Fit on the labelled rows of df; only the bounded sample reaches the driver. None without any text.
 
     Of each language, distinct texts under a bound of their hash are taken, so that about TRAIN_TEXTS are expected; no
-    text is moved to choose them.
+    text is moved to choose them. Where labels are unclean, the LANGUAGES labels with the most texts are learned.
     """
     span = float(1 << 62)
     rows = df.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     rows = rows.withColumn("hash", F.shiftrightunsigned(F.xxhash64("text"), 2))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return None
     bound = F.create_map(*[x for name, n in counts.items() for x in (F.lit(name), F.lit(int(span * min(1.0, TRAIN_TEXTS / max(n, 1)))))])
