@@ -8,7 +8,9 @@ points is one gram, one of fewer than w hashes one window, an empty one has no f
 A fingerprint is written as hexadecimal: 8 digits of hash and 8 of position for each kept gram, in order. Likeness is
 the Jaccard coefficient of the sets of hashes; 1 if both are empty.
 
-Null texts count as empty, null keys come last in descending order, equal keys are ordered by text.
+Null texts count as empty, null keys come last in descending order, equal keys are ordered by text; repeated rows are
+documents each, so that the next of one may be its copy. An empty table gives no rows, a single document is its own next.
+Very long texts are fingerprinted whole. Columns beside key and text are not carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm._arrays import slices
+from loomtext.llm._held import release
 from loomtext.runtime import ship
 
 #: Code points in a gram, hashes in a window: matches of K + W - 1 = 64 code points are found.
@@ -85,6 +88,7 @@ def points_of(text: str) -> np.ndarray:
 
 
 def _fingerprints(key: str, k: int, w: int, batches):
+    release()
     for batch in batches:
         for piece in slices(batch, batch.schema.names[1], PIECE_BYTES):
             texts = [text_of(*winnow(points_of(t.as_py() or ""), k, w)) for t in piece.column(1)]
@@ -175,6 +179,7 @@ def edits(df: DataFrame, parts: int, key: str = "doc_id", text: str = "text", k:
 
 def _edits_by_range(k: int, w: int, batches):
     """Several ranges may share a task: each is handled on its own, and only the first of its guests counts."""
+    release()
 
     def pieces():
         for batch in batches:
