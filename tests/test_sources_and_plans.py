@@ -399,6 +399,15 @@ def test_streams_and_sql(spark, tmp_path):
         q = frame.writeStream.format("memory").queryName(f"s{i}").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / f"q{i}")).start()
         q.awaitTermination(90)
         assert spark.sql(f"SELECT count(*) FROM s{i}").first()[0] > 0
+    # Cues that come one file after another are compared with the last cue of the batch before.
+    cues = tmp_path / "cues"
+    schema = "doc_id string, seq bigint, text string"
+    for i, rows in enumerate(([("a", 0, "x\ny"), ("b", 0, "q")], [("a", 1, "y\nz"), ("a", 2, "z")], [("a", 3, "z\nw\nw"), ("b", 1, None), ("b", 2, "q")])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(cues / f"{i}"))
+    rolled = tmp_path / "rolled"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(cues))
+    ingest.rolling_lines(stream).writeStream.format("parquet").option("path", str(rolled)).option("checkpointLocation", str(tmp_path / "rl")).trigger(availableNow=True).start().awaitTermination(120)
+    assert sorted((r["doc_id"], r["seq"], r["text"]) for r in spark.read.parquet(str(rolled)).collect()) == [("a", 0, "x y"), ("a", 1, "z"), ("a", 3, "w w"), ("b", 0, "q")]
     sql.register(spark)
     assert spark.sql("SELECT html_unescape('&lt;') AS a, nfkc('ﬁ') AS b").first() == ("<", "fi")
     assert spark.sql("SELECT count(*) FROM split_text('One two. Three four five', 12)").first()[0] == 3
