@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import argparse
 import json
 import os
 from dataclasses import asdict, dataclass, field, fields, is_dataclass
@@ -245,6 +246,40 @@ def load(path: str | None = None, options: dict | None = None) -> Config:
     return _made(Config, merged(merged(asdict(Config()), nested(given) if is_flat(given) else given), options or {}))
 
 
+# Options of the command line, where they are in the settings, and what a flag sets.
+OPTIONS = {
+    "output_dir": ("output", "dir", str), "overwrite": ("output", "overwrite", True), "lang": ("subtitles", "lang", str), "prefer_auto": ("subtitles", "prefer_auto", True), "cookies_from_browser": ("auth", "cookies_from_browser", str),
+    "cookies": ("auth", "cookies", str), "retries": ("network", "retries", int), "no_whisper": ("whisper", "enabled", False), "whisper_model": ("whisper", "model", str), "whisper_device": ("whisper", "device", str), "polish_model": ("llm", "polish_model", str),
+    "no_chapters": ("flags", "no_chapters", True), "include_description": ("flags", "include_description", True), "no_abstract": ("pdf", "include_abstract", False), "strip_references": ("pdf", "strip_references", True), "max_pages": ("pdf", "max_pages", int),
+    "max_episodes": ("podcast", "max_episodes", int), "nitter_instance": ("twitter", "nitter_instance", str), "no_speaker_notes": ("local_files", "include_speaker_notes", False), "no_images": ("vision", "enabled", False),
+}
+
+
+def parser() -> argparse.ArgumentParser:
+    """Options of the command line: those of OPTIONS, inputs, a list file, a settings file, dry run and backfill."""
+    p = argparse.ArgumentParser(prog="loomtext", description="Texts of files, pages, papers, feeds, videos and posts as Markdown documents.")
+    p.add_argument("urls", nargs="*", help="URLs, files or folders")
+    p.add_argument("-f", "--file", help="a file with one URL a line")
+    p.add_argument("--config", help="a settings file, JSON or YAML")
+    p.add_argument("--dry-run", action="store_true", help="tell what would be done")
+    p.add_argument("--backfill-batch", action="store_true", help="copy the documents of all folders to the batch folder")
+    for name, (group, key, kind) in OPTIONS.items():
+        flag = ["-o"] if name == "output_dir" else []
+        how = {"type": kind, "default": None} if isinstance(kind, type) else {"action": "store_true"}
+        p.add_argument(*flag, f"--{name.replace('_', '-')}", help=f"{group}.{key}", **how)
+    return p
+
+
+def overrides(args: argparse.Namespace) -> dict:
+    """The options that were given, by group; given inputs take the place of those in the settings."""
+    out: dict = {"urls": list(args.urls)} if args.urls else {}
+    for name, (group, key, kind) in OPTIONS.items():
+        given = getattr(args, name)
+        if given is not None and given is not False:
+            out.setdefault(group, {})[key] = given if isinstance(kind, type) else kind
+    return out
+
+
 def template() -> str:
     """All settings with their defaults, as a file to begin with."""
     return json.dumps(asdict(Config()), indent=2)

@@ -91,7 +91,7 @@ def pages(html: DataFrame, cfg: Config = Config(), described: DataFrame | None =
 def papers(texts: DataFrame, properties: DataFrame, api: DataFrame | None = None, cfg: Config = Config(), descriptions: DataFrame | None = None) -> DataFrame:
     """Layout converters' Markdown (doc_id, text[, url]) and properties (doc_id, json) to documents; api: rows of
     structured.papers, which win where they say something. Words are counted before descriptions take the place of markers."""
-    sections = S.without_references(S.markdown("text"))
+    sections = S.without_references(S.markdown("text")) if cfg.pdf.strip_references else S.markdown("text")
     url = F.col("url") if "url" in texts.columns else F.lit(None).cast("string")
     rows = texts.select("doc_id", url.alias("url"), (F.length(F.trim("text")) < cfg.pdf.min_content_length).alias("short"), sections.alias("sections"))
     rows = rows.withColumns({"word_count": S.words("sections", False), "has_math": has_math(F.array_join(F.transform("sections", lambda s: s["body"]), "\n")), "first_heading": S.first_heading("sections", "Untitled PDF")})

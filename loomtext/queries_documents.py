@@ -516,7 +516,7 @@ def paper_markdown(spark, sf_dir):
     props = d.select("doc_id", F.when(k == 3, "no json").otherwise(_json(number_of_pages=F.col("doc_id") % 30, title=F.when(k == 1, " Own title "), author=F.when(k == 1, "X, Y,, Z , W"), creation_date=F.when(k == 1, "D:20240506101010+02'00'"))).alias("json"))
     text_of = lambda x: F.lit(x)
     api = d.where(k == 0).select("doc_id", text_of("API title").alias("title"), F.array(F.lit("A"), F.lit("B")).alias("authors"), text_of("from the API").alias("abstract"), text_of("2020-01-02").alias("publish_date"), text_of("10.1/x").alias("doi"), F.array(F.lit("cs.CL"), F.lit("cs.AI")).alias("categories"), text_of("en").alias("language"), F.lit(None).cast("string").alias("error_type"))
-    return pipelines.papers(texts, props, api).select("doc_id", "title", "error_type", _md5(F.col("markdown")).alias("markdown_md5"))
+    return pipelines.papers(texts, props, api, load(options={"pdf": {"strip_references": True}})).select("doc_id", "title", "error_type", _md5(F.col("markdown")).alias("markdown_md5"))
 
 
 @query(f"""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,13 +16,13 @@ from loomtext.sources import office
 TEXT = (".md", ".txt")
 
 
-def listing(spark: SparkSession, path: str) -> DataFrame:
+def listing(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Rows (path, modified, length) without contents: the scan reads none of them."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select(F.regexp_replace("path", "^file:(?://)?", "").alias("path"), F.col("modificationTime").alias("modified"), "length")
 
 
-def scan(spark: SparkSession, path: str) -> DataFrame:
+def scan(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Rows (doc_id, path, content, modified); doc_id is the path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select(F.col("path").alias("doc_id"), "path", "content", F.col("modificationTime").alias("modified"))
@@ -50,20 +53,36 @@ def decoded(content="content") -> Column:
     return universal_newlines(F.make_valid_utf8(col(content).cast("string")))
 
 
+def _plain(head: str) -> dict:
+    """Lines `key: value`, the last of equal keys, for where no YAML reader is installed."""
+    found = (re.match(r"([A-Za-z_][\w-]*):[ \t]*(.*?)[ \t]*\Z", line) for line in head.split("\n"))
+    return {m[1]: re.sub(r"\A([\"'])(.*?)\1(?:\s+#.*)?\Z", r"\2", m[2]) if m[2][:1] in "\"'" else re.sub(r"\s+#.*\Z", "", m[2]) for m in found if m and m[2]}
+
+
+def read_meta(head: str | None) -> dict[str, str]:
+    """A front matter's keys with their values as text; nothing where it is no mapping. Null values are empty."""
+    try:
+        import yaml
+
+        found = yaml.safe_load(head or "")
+    except ImportError:
+        found = _plain(head or "")
+    except Exception:  # whatever a broken head raises
+        found = {}
+    return {str(k): "" if v is None else str(v) for k, v in found.items()} if isinstance(found, dict) else {}
+
+
+def _meta(head: pd.Series) -> pd.Series:
+    return head.map(read_meta)
+
+
 def front_matter(docs: DataFrame) -> DataFrame:
-    """Markdown texts with meta (map of plain `key: value` lines between the first two `---`) and the rest as text."""
+    """Markdown texts with meta (map of what stands between the first two `---`, read as YAML) and the rest as text."""
     whole = universal_newlines("text")
-    parts = F.split(whole, "---", 3)
-    has = F.startswith(whole, F.lit("---")) & (F.size(parts) == 3)
-    lines = F.filter(F.split(parts[1], "\n"), lambda x: x.rlike(r"^[A-Za-z_][\w-]*:\s*\S"))
-    raw = lambda x: F.regexp_extract(x, r"^[\w-]+:\s*(.*?)\s*\z", 1)
-    quoted = r"^(?:\"([^\"]*)\"|'([^']*)')(?:\s+#.*)?\z"
-    value = lambda x: F.when(raw(x).rlike(quoted), F.regexp_replace(raw(x), quoted, "$1$2")).otherwise(F.regexp_replace(raw(x), r"\s+#.*\z", ""))
-    pairs = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"^([\w-]+):", 1).alias("key"), value(x).alias("value")))
-    # Of equal keys the last counts, as YAML readers have it.
-    last = S.let(pairs, lambda ps: F.filter(ps, lambda p, i: ~F.exists(F.slice(ps, i + 2, F.greatest(F.size(ps) - i - 1, F.lit(0))), lambda q: q["key"] == p["key"])))
-    none = F.create_map().cast("map<string,string>")
-    return docs.withColumn("meta", F.when(has, F.map_from_entries(last)).otherwise(none)).withColumn("text", F.when(has, parts[2]).otherwise(whole))
+    rows = docs.withColumn("parts_", F.split(whole, "---", 3))
+    has = F.startswith(whole, F.lit("---")) & (F.size("parts_") == 3)
+    rows = rows.withColumn("head_", F.when(has, F.col("parts_")[1])).withColumn("meta", F.pandas_udf(_meta, "map<string,string>")("head_"))
+    return rows.withColumn("text", F.when(has, F.col("parts_")[2]).otherwise(whole)).drop("parts_", "head_")
 
 
 def markdown_documents(files: DataFrame) -> DataFrame:

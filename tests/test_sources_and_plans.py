@@ -210,7 +210,9 @@ def test_papers_and_podcasts(spark):
     text = "# Title\n\n" + "word " * 60 + "\n\n## Abstract\n\nown abstract\n\n## Part\n\n(1)\n\n## References\n\ngone"
     md = spark.createDataFrame([("p", text)], "doc_id string, text string")
     props = spark.createDataFrame([("p", json.dumps({"number_of_pages": 3, "author": "A, B, C, D", "creation_date": "D:20240506"}))], "doc_id string, json string")
-    r = pipelines.papers(md, props).first()
+    strip = config.load(options={"pdf": {"strip_references": True}})
+    assert "gone" in pipelines.papers(md, props).first()["markdown"]
+    r = pipelines.papers(md, props, cfg=strip).first()
     assert (r["title"], r["abstract"], r["has_math"], r["page_count"], r["error_type"]) == ("Title", "own abstract", True, 3, None)
     assert 'authors: "A, B, C, D"' in r["markdown"] and "> Authors: A, B, C et al. (4 authors) | Date: 2024-05-06 | 3 pages | 63 words" in r["markdown"]
     assert "gone" not in r["markdown"] and r["markdown"].count("own abstract") == 1 and render.NOTICE_MATH in r["markdown"]
@@ -449,3 +451,24 @@ def test_fetching(spark):
     nodes = spark.createDataFrame([(1, 0, "block", "longform-header-one", "H", "", 0, 0), (1, 1, "block", "", "text", "", 0, 0)], "doc_id int, pos int, type string, cls string, text string, src string, width int, height int")
     r = fetching.rendered(items, nodes).first()
     assert (r["title"], r["sections"][0]["body"]) == ("H", "text")
+
+
+def test_command_line(spark, tmp_path):
+    from loomtext import __main__ as cli
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.md").write_text("---\ntitle: [not, text]\nauthor: null\n---\n# H\nbody")
+    (tmp_path / "in" / "b.txt").write_text("plain words")
+    (tmp_path / "in" / "c.ppt").write_text("old")
+    given = [str(tmp_path / "in"), "https://x.com/h/status/1", "-o", str(tmp_path / "out"), "--no-whisper", "--max-pages", "3"]
+    args = config.parser().parse_args(given)
+    cfg = config.load(options=config.overrides(args))
+    assert (cfg.whisper.enabled, cfg.pdf.max_pages, cfg.output.dir, cfg.output.overwrite, cfg.network.retries) == (False, 3, str(tmp_path / "out"), False, 3)
+    shown = {r["url"].rpartition("/")[2]: (r["content_type"], r["format"]) for r in cli.main([*given, "--dry-run"], spark).collect()}
+    assert shown == {"a.md": ("local_file", ".md"), "b.txt": ("local_file", ".txt"), "c.ppt": ("local_file", ".ppt"), "1": ("twitter", None)}
+    done = {r["url"].rpartition("/")[2]: r for r in cli.main(given, spark).collect()}
+    assert done["a.md"]["title"] == "['not', 'text']" and done["b.txt"]["title"] == "b" and done["c.ppt"]["error_type"] == "LocalFileError" and done["1"]["error_type"] == "PipelineError"
+    cli.main(given, spark)
+    kept = spark.read.parquet(str(tmp_path / "out" / "documents"))
+    assert kept.count() == 3 and any("plain words" in r["markdown"] for r in kept.collect())
+    assert {r["file"].partition("/")[0] for r in cli.main([*given, "--backfill-batch"], spark).collect()} == {"batch-process"}
