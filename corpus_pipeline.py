@@ -40,17 +40,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ids, path = stored(rows.groupBy("root", "doc_id", "mark").agg(F.count(F.lit(1)).alias("times")), "row-ids")
     one = ids.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("one")).select("root", F.col("one.doc_id").alias("one_id"), F.col("one.mark").alias("one_mark"))
     ids = ids.join(one, "root").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("mark") == F.col("one_mark")))
-    # Repeated rows of a kept one go as well: they alone are moved.
-    told, _ = stored(ids.where("NOT kept OR times > 1").select(F.col("doc_id").alias("told_id"), F.col("mark").alias("told_mark"), "kept"), "duplicates")
+    # Repeated rows of a kept one go as well. Rows of groups are told from the rest where they are read; they alone are moved.
+    told, _ = stored(ids.where("NOT kept OR times > 1").select(F.col("doc_id").alias("told_id"), F.col("mark").alias("told_mark"), "kept", ngram_join.row_id(F.col("doc_id"), F.col("mark")).alias("id")), "duplicates")
     drop_path(spark, path)
-    docs = docs.select(*COLUMNS, F.xxhash64("text").alias("mark"))
-    same = F.col("doc_id").eqNullSafe(F.col("told_id")) & (F.col("mark") == F.col("told_mark"))
-    out = docs.join(told, same, "left_anti").select(*COLUMNS)
-    again = told.where("kept")
-    if again.isEmpty():
-        return out
-    least = F.min(F.struct(*COLUMNS)).alias("row")
-    return out.unionByName(docs.join(again, same, "left_semi").groupBy("doc_id", "mark").agg(least).select("row.*"))
+    sieve = ngram_join.Sieve(told, "id")
+    docs = docs.select(*COLUMNS)
+    own = ngram_join.row_id(F.col("doc_id"), F.xxhash64("text"))
+    some, _ = stored(sieve.inside(docs, own).withColumn("mark", F.xxhash64("text")), "of-groups")
+    some = some.join(told, F.col("doc_id").eqNullSafe(F.col("told_id")) & (F.col("mark") == F.col("told_mark")), "left")
+    once = some.where("kept").groupBy("doc_id", "mark").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return sieve.outside(docs, own).unionByName(some.where("kept IS NULL").select(*COLUMNS)).unionByName(once)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

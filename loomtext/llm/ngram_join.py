@@ -3,8 +3,8 @@
 The document by n-gram incidence matrix is multiplied with its transpose block by block, a block being the rows of
 one n-gram, and overlaps are bounded before they are counted:
 
-1. A sketch of CELLS counters over all documents gives every shingle a level, the more frequent the higher. It has a
-   fixed size and only sets an order (level, hash), so results do not depend on it.
+1. A sketch of counters over all documents gives every shingle a level, the more frequent the higher. It has MOST_CELLS
+   of them at most and only sets an order (level, hash), so results do not depend on it.
 2. Documents with equal sets form one class. Of a class, only the first shingles in that order enter the product:
    a set of size a has |a| - ceil(t |a|) + 1 of them, since any other set that is alike must share one of these.
 3. First each block links its members to one hub, the one with the fewest rare shingles, which settles most of a large
@@ -19,7 +19,10 @@ one n-gram, and overlaps are bounded before they are counted:
    component are counted, and a set is moved once for each chunk of its component, not for each pair.
 
 Null, empty and blank texts have no shingles and are alone, each its own component; equal texts fall in one class;
-component_id is the smallest non-null key reachable, or null if there is none. Rows of one key with unlike texts each go with their own text.
+component_id is the smallest non-null key reachable, or null if there is none. Rows of one key with unlike texts each go
+with their own text, rows alike in both are told each, and so are rows without a key. An empty table gives no rows. Very
+long texts are whole sets, handled one at a time. Columns beside key and text are not carried along, whatever their names.
+Sets are told apart by a 64-bit number of all their shingles.
 """
 
 from __future__ import annotations
@@ -38,8 +41,8 @@ from loomtext.llm._held import release
 from loomtext.llm.shingles import mixed, shingle_sets
 from loomtext.runtime import cleaned, drop_path, kept, ship, stored
 
-#: Counters of the sketch, slices in which they are summed, and levels to each doubling of a count.
-CELLS, SLICES, STEPS = 1 << 22, 64, 4
+#: Counters of the sketch, at least and at most, slices in which they are summed, and levels to each doubling of a count.
+CELLS, MOST_CELLS, SLICES, STEPS = 1 << 22, 1 << 25, 64, 4
 #: 64-bit words of parities that bound a difference.
 WORDS = 8
 PIECE_BYTES = 1 << 20
@@ -69,7 +72,7 @@ def _sketch(n: int, cells: int, batches):
     for batch in batches:
         for piece in slices(batch, batch.schema.names[0], PIECE_BYTES):
             flat, _ = shingle_sets(*utf8_flat(piece.column(0)), n)
-            counts += np.bincount((flat >> shift).astype(np.int64), minlength=cells).astype(np.uint32)
+            np.add.at(counts, (flat >> shift).astype(np.int64), np.uint32(1))
     each = cells // SLICES
     for i in range(SLICES):
         planes = np.ascontiguousarray(counts[i * each : (i + 1) * each].view(np.uint8).reshape(-1, 4).T)
@@ -158,6 +161,35 @@ def _held(bitmap: np.ndarray, marks: np.ndarray) -> np.ndarray:
     return bitmap[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1
 
 
+def _sieved(inside: bool, shared, batches):
+    """Rows whose first column, an id, the bitmap holds, or those of which it doesn't, without the id."""
+    release()
+    bitmap = np.frombuffer(shared.value, np.uint8)
+    for batch in batches:
+        kept = batch.filter(pa.array(_held(bitmap, np.asarray(batch.column(0))) == inside))
+        yield pa.RecordBatch.from_arrays(kept.columns[1:], names=kept.schema.names[1:])
+
+
+class Sieve:
+    """A bitmap of ids by which the few rows that a join concerns are told from the rest, so that the rest isn't moved.
+
+    `inside` has all rows with one of the ids and some others by chance, `outside` the rest; together they are all rows."""
+
+    def __init__(self, ids: DataFrame, column: str):
+        spark = ids.sparkSession
+        ship(spark)
+        self.shared = spark.sparkContext.broadcast(_bitmap(ids, column, ids.count()))
+
+    def _of(self, df: DataFrame, ids: Column, inside: bool) -> DataFrame:
+        return df.select(ids.alias("sieve_id"), *df.columns).mapInArrow(partial(_sieved, inside, self.shared), df.schema)
+
+    def inside(self, df: DataFrame, ids: Column) -> DataFrame:
+        return self._of(df, ids, True)
+
+    def outside(self, df: DataFrame, ids: Column) -> DataFrame:
+        return self._of(df, ids, False)
+
+
 def _picked(shared, batches):
     """Rows (v, n, prefix) of the classes that the bitmap holds."""
     release()
@@ -274,7 +306,7 @@ def _tiles(num: int, den: int, pairs: bool, batches):
         yield from of(now, rows)
 
 
-def _row_id(key, mark) -> Column:
+def row_id(key, mark) -> Column:
     """One number for a row's key, which may be null or repeated, and its text's hash."""
     return F.xxhash64(F.coalesce(key, F.lit(0)), key.isNull(), mark)
 
@@ -315,9 +347,9 @@ class _Join:
         Texts are not moved: sets are made where the texts are read, of those rows that a bitmap of ids lets through. Rows of
         one id are alike (their key and text are), so that one is taken where they are joined, and sets are moved once."""
         spark = self.df.sparkSession
-        ids = kept(some.join(self.classes.select("v", _row_id(F.col("sample.doc_id"), F.col("sample.mark")).alias("id")), "v"))
+        ids = kept(some.join(self.classes.select("v", row_id(F.col("sample.doc_id"), F.col("sample.mark")).alias("id")), "v"))
         shared = spark.sparkContext.broadcast(_bitmap(ids, "id", ids.count()))
-        sets = self.df.select(_row_id(F.col("key"), F.col("mark")).alias("id"), self.text).mapInArrow(partial(_whole_sets, self.n, shared), "id bigint, whole binary")
+        sets = self.df.select(row_id(F.col("key"), F.col("mark")).alias("id"), self.text).mapInArrow(partial(_whole_sets, self.n, shared), "id bigint, whole binary")
         whole, path = stored(sets.join(ids, "id").dropDuplicates(["id"]).select("v", "whole"), "whole")
         shared.destroy()
         ids.unpersist()
@@ -350,11 +382,13 @@ def components(links: DataFrame) -> DataFrame:
     return roots.unionByName(edges.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct())
 
 
-def _grouped(df: DataFrame, key: str, text: str, n: int, num: int, den: int, cells: int) -> tuple[DataFrame, DataFrame, DataFrame, _Join]:
+def _grouped(df: DataFrame, key: str, text: str, n: int, num: int, den: int, cells: int | None) -> tuple[DataFrame, DataFrame, DataFrame, _Join]:
     """Sets of all rows, the classes of equal ones, and (v, root, first) of the classes that have links."""
     spark = df.sparkSession
     ship(spark)
     docs = df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
+    # More documents, more counters, so that rare shingles stay apart: a fourth as many as documents.
+    cells = cells or min(MOST_CELLS, max(CELLS, 1 << (df.count() // 4).bit_length()))
     shared = spark.sparkContext.broadcast(levels(docs, "text", n, cells).tobytes())
     sets, _ = stored(docs.mapInArrow(partial(_sets, n, num, den, shared), SETS), "sets")
     shared.destroy()
@@ -416,13 +450,13 @@ def _named(sets: DataFrame, classes: DataFrame, linked: DataFrame) -> DataFrame:
     return sets.select("doc_id", "mark", F.col("n").alias("n_shingles"), "v").join(ids, "v", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
 
 
-def similar_rows(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, num: int = 85, den: int = 100, cells: int = CELLS) -> DataFrame:
+def similar_rows(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, num: int = 85, den: int = 100, cells: int | None = None) -> DataFrame:
     """Rows (doc_id, mark, n_shingles, component_id, v, root) of all rows: mark is the text's xxhash64, v the set and
     root the component, which tell rows apart whose keys are null or repeated."""
     return _named(*_grouped(df, key, text, n, num, den, cells)[:3])
 
 
-def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, num: int = 85, den: int = 100, cells: int = CELLS) -> DataFrame:
+def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, num: int = 85, den: int = 100, cells: int | None = None) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id) of all rows: sets link when den * overlap >= num * union."""
     return similar_rows(df, key, text, n, num, den, cells).select("doc_id", "n_shingles", "component_id")
 
@@ -445,7 +479,7 @@ def _tiled(classes: DataFrame, linked: DataFrame, join: _Join, pairs: bool) -> D
     return out
 
 
-def similar_links(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, num: int = 85, den: int = 100, cells: int = CELLS) -> DataFrame:
+def similar_links(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, num: int = 85, den: int = 100, cells: int | None = None) -> DataFrame:
     """Rows (doc_id_a, copies_a, doc_id_b, copies_b): each link between different sets once, by a row of each set (the
     least key) and how many rows have it. There are as many as links, so the square of a group's size where all are alike."""
     sets, classes, linked, join = _grouped(df, key, text, n, num, den, cells)
@@ -455,7 +489,7 @@ def similar_links(df: DataFrame, key: str = "doc_id", text: str = "text", n: int
     return out.select("doc_id_a", "copies_a", "doc_id_b", "copies_b")
 
 
-def link_counts(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, num: int = 85, den: int = 100, cells: int = CELLS) -> DataFrame:
+def link_counts(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, num: int = 85, den: int = 100, cells: int | None = None) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, n_links) of all rows: n_links is the number of other rows that a row's
     set links with, those of equal sets included."""
     sets, classes, linked, join = _grouped(df, key, text, n, num, den, cells)
