@@ -51,15 +51,16 @@ def videos(meta: DataFrame, files: DataFrame, cfg: Config = Config(), asr: DataF
         heard = asr.join(cues.select("doc_id").distinct(), "doc_id", "left_anti")
         language = F.col("language") if "language" in asr.columns else F.lit(None).cast("string")
         cues = cues.unionByName(heard.withColumns({"is_auto": F.lit(False), "is_asr": F.lit(True), "sub_language": language}).select(*cues.columns))
-    told = cues.groupBy("doc_id").agg(*(F.first(c).alias(c) for c in flags))
     chapters = structured.chapters_of(info)
     if cfg.flags.no_chapters:
         chapters = chapters.where("false")
-    aligned = C.align_to_chapters(cues.select("doc_id", "seq", "start_seconds", "end_seconds", "text"), chapters)
-    with_chapters = render.chapter_text(chapters, C.cues_to_text(aligned, ("doc_id", "chapter_idx"), **_text(cfg)))
-    flat = C.cues_to_text(cues.join(chapters.select("doc_id").distinct(), "doc_id", "left_anti"), **_text(cfg))
-    rows = info.join(with_chapters.unionByName(flat), "doc_id", "left").join(told, "doc_id", "left")
-    rows = rows.withColumn("body", F.when(F.col("is_auto").isNotNull(), F.col("body")))
+        info = info.withColumn("chapters", F.slice("chapters", 1, 0))
+    # Without chapters all cues are of chapter 0, so one pass gives the texts of both kinds of videos.
+    aligned = C.align_to_chapters(cues.select("doc_id", "seq", "start_seconds", "end_seconds", "text", *flags), chapters)
+    texts = C.cues_to_text(aligned, ("doc_id", "chapter_idx", *flags), **_text(cfg))
+    told = texts.groupBy("doc_id", *flags).agg(F.map_from_entries(F.collect_list(F.struct("chapter_idx", "body"))).alias("texts"))
+    rows = info.join(told, "doc_id", "left")
+    rows = rows.withColumn("body", F.when(F.col("texts").isNotNull(), F.when(F.size("chapters") > 0, render.chapters_text("chapters", "texts")).otherwise(F.try_element_at("texts", F.lit(0))))).drop("texts")
     rows = _with_error(rows, "NoSubtitlesError").withColumn("content_type", F.lit("youtube"))
     return rows.withColumn("markdown", render.transcript(rows, cfg.flags.include_description))
 

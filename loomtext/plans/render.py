@@ -43,12 +43,10 @@ def section_lines(sections, empty: str = NO_SECTION) -> Column:
     return F.array_join(F.transform(col(sections), each), "\n\n")
 
 
-def chapter_text(chapters: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Rows (doc_id, body): a heading per chapter, empty ones too. bodies: (doc_id, chapter_idx, body)."""
-    rows = chapters.join(bodies.withColumnRenamed("chapter_idx", "idx"), ["doc_id", "idx"], "left")
-    piece = F.concat(F.lit("## "), "title", F.lit("\n\n"), F.coalesce(nonempty("body"), F.lit(NO_CHAPTER)))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("idx", piece.alias("p")))), lambda x: x["p"])
-    return rows.groupBy("doc_id").agg(F.array_join(parts, "\n\n").alias("body"))
+def chapters_text(chapters, texts) -> Column:
+    """A heading per chapter, empty ones too, from an array of chapters and a map from their places to texts."""
+    text = lambda i: F.coalesce(nonempty(F.try_element_at(col(texts), i)), F.lit(NO_CHAPTER))
+    return F.array_join(F.transform(col(chapters), lambda c, i: F.concat(F.lit("## "), F.coalesce(c["title"], F.lit("")), F.lit("\n\n"), text(i))), "\n\n")
 
 
 def details(title: str, text: Column) -> Column:
