@@ -16,7 +16,7 @@ import pyarrow as pa
 _state: dict[Any, Any] = {}
 
 
-def _trim() -> None:
+def trim() -> None:
     """Give freed memory back to the system, Arrow's and, where it can, the C library's."""
     pa.default_memory_pool().release_unused()
     try:
@@ -30,7 +30,7 @@ def release() -> None:
     if _state:
         _state.clear()
         gc.collect()
-    _trim()
+    trim()
 
 
 def held(key: Any, build: Callable[[], Any]) -> Any:

@@ -22,15 +22,15 @@ import regex
 from pyspark.sql import DataFrame
 
 from loomtext.llm._arrays import binary_column
-from loomtext.llm._held import held
+from loomtext.llm._held import held, release
 from loomtext.llm.chunks import cut
 from loomtext.runtime import ship
 
 #: Entries that a worker's memos of chunks and of other pieces hold before these become the old ones and new ones begin.
-#: An entry takes some 150 bytes, so both memos stay near 100 MB.
-CHUNK_ENTRIES, PIECE_ENTRIES = 280_000, 30_000
-#: Pairs of tokens whose compatibility a worker remembers, of some 85 bytes each.
-FIT_ENTRIES = 300_000
+#: An entry takes some 150 bytes, so both memos stay near 70 MB.
+CHUNK_ENTRIES, PIECE_ENTRIES = 200_000, 30_000
+#: Pairs of tokens whose compatibility a worker remembers, of some 120 bytes each.
+FIT_ENTRIES = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -221,6 +221,8 @@ def _encode(path: str, pattern: str, key: str, batches):
     for batch in batches:
         ids = [bpe.encode(text.as_py() or "") for text in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), binary_column(ids)], names=[key, "ids"])
+    del bpe
+    release()  # a task warms its memos within a second, and workers that wait hold none
 
 
 def _decode(path: str, pattern: str, key: str, batches):
@@ -228,10 +230,13 @@ def _decode(path: str, pattern: str, key: str, batches):
     for batch in batches:
         texts = [bpe.decode(ids.as_py() or b"") for ids in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), binary_column(texts)], names=[key, "ids", "decoded"])
+    del bpe
+    release()
 
 
 def _round_trip(path: str, pattern: str, key: str, batches):
-    return _decode(path, pattern, key, _encode(path, pattern, key, batches))
+    yield from _decode(path, pattern, key, _encode(path, pattern, key, batches))
+    release()
 
 
 def _typed(df: DataFrame, key: str) -> str:
