@@ -27,10 +27,10 @@ from loomtext.llm.chunks import cut
 from loomtext.runtime import ship
 
 #: Entries that a worker's memos of chunks and of other pieces hold before these become the old ones and new ones begin.
-#: An entry takes some 150 bytes, so both memos stay near 70 MB.
-CHUNK_ENTRIES, PIECE_ENTRIES = 200_000, 30_000
+#: An entry takes some 150 bytes, so both memos stay near 100 MB.
+CHUNK_ENTRIES, PIECE_ENTRIES = 300_000, 30_000
 #: Pairs of tokens whose compatibility a worker remembers, of some 120 bytes each.
-FIT_ENTRIES = 200_000
+FIT_ENTRIES = 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
