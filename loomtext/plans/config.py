@@ -8,7 +8,7 @@ import os
 from dataclasses import asdict, dataclass, field, fields, is_dataclass
 
 
-# Settings by group, with their defaults.
+# Settings by group, with their defaults.
 @dataclass(frozen=True)
 class Output:
     dir: str = "content"
