@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import arc_warc, byte_bpe, filter_audit, licenses, ngram_join, pfair_mix, pii, ppm, repair_tokens, tiff, winnow
+from loomtext.llm import arc_warc, byte_bpe, filter_audit, filtering_lloyd, licenses, ngram_join, pfair_mix, pii, ppm, repair_tokens, tiff, winnow
 from loomtext.runtime import scratch
 
 
@@ -100,6 +100,10 @@ def op10_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op11_filtering_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filtering_lloyd.compress(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", F.col("lost_good").alias("good_lost"), F.col("lost_toxic").alias("toxic_lost"), "shapley")
@@ -117,6 +121,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_ppm_language": op10_ppm_language,
+    "op11_filtering_lloyd": op11_filtering_lloyd,
     "op12_filter_audit": op12_filter_audit,
 }
 ORACLES = {"op1_arc_to_warc": OP1_SQL, "op4_pfair_mix": pfair_mix.sql(), "op12_filter_audit": filter_audit.SQL}
