@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import arc_warc, byte_bpe, filter_audit, filtering_lloyd, licenses, ngram_join, pfair_mix, pii, ppm, repair_tokens, tiff, winnow
+from loomtext.llm import arc_warc, byte_bpe, chat_format, filter_audit, filtering_lloyd, licenses, ngram_join, pfair_mix, pii, ppm, repair_tokens, tiff, winnow
 from loomtext.runtime import scratch
 
 
@@ -109,6 +109,14 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", F.col("lost_good").alias("good_lost"), F.col("lost_toxic").alias("toxic_lost"), "shapley")
 
 
+def op13_chat_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, i, role, chat_format.PLANTED) for i, role in enumerate(("user", "assistant"))], "conv_id bigint, turn bigint, role string, text string")
+    path = scratch(spark, "chats")
+    chat_format.write_chats(chats.unionByName(more), path)
+    return chat_format.digests(spark, path).withColumnRenamed("conv", "conv_id")
+
+
 QUERIES = {
     "op1_arc_to_warc": op1_arc_to_warc,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -123,5 +131,6 @@ QUERIES = {
     "op10_ppm_language": op10_ppm_language,
     "op11_filtering_lloyd": op11_filtering_lloyd,
     "op12_filter_audit": op12_filter_audit,
+    "op13_chat_prefixes": op13_chat_prefixes,
 }
-ORACLES = {"op1_arc_to_warc": OP1_SQL, "op4_pfair_mix": pfair_mix.sql(), "op12_filter_audit": filter_audit.SQL}
+ORACLES = {"op1_arc_to_warc": OP1_SQL, "op4_pfair_mix": pfair_mix.sql(), "op12_filter_audit": filter_audit.SQL, "op13_chat_prefixes": chat_format.SQL}
