@@ -18,8 +18,12 @@ from loomtext.sources import files
 
 
 def _spread(items: DataFrame, listed: DataFrame) -> DataFrame:
-    """Items (pos, url) with folders put in full by a listing (path); places stay apart and in order."""
-    inside = listed.join(items, F.startswith("path", F.concat(F.rtrim(F.col("url"), F.lit("/")), F.lit("/")))).select("pos", F.col("path").alias("url"))
+    """Items (pos, url) with folders put in full by a listing (path); places stay apart and in order. A file is looked up
+    by each folder that it is in, so the join is one of equal keys."""
+    steps = F.split("path", "/")
+    parents = listed.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda n: F.array_join(F.slice(steps, 1, n), "/"))).alias("parent"))
+    asked = items.select("pos", F.rtrim(F.col("url"), F.lit("/")).alias("parent"))
+    inside = parents.join(asked, "parent").select("pos", F.col("path").alias("url"))
     rows = items.join(inside.select("pos").distinct(), "pos", "left_anti").unionByName(inside)
     place = F.row_number().over(Window.partitionBy("pos").orderBy("url"))
     return rows.select((F.shiftleft(F.col("pos").cast("bigint"), 40) + place).alias("pos"), "url")
@@ -31,11 +35,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> Da
     cfg = config.load(args.config, config.overrides(args))
     spark = spark or SparkSession.builder.appName("loomtext").getOrCreate()
     ship(spark)
-    out = f"{cfg.output.dir}/documents"
+    out = f"{cfg.output.dir}/output"
     if args.backfill_batch:
-        there = spark.read.parquet(out).select(F.col("path").alias("folder"), F.lit("document.md").alias("name"), "markdown")
-        done = sinks.backfill(there)
-        sinks.write_documents(done.where("file IS NOT NULL").select(F.col("file").alias("path"), "markdown"), f"{cfg.output.dir}/batch-process", True)
+        done = sinks.backfill(sinks.read_files(spark, out))
+        sinks.write_files(sinks.batch_copies(done), out, overwrite=True)
         return done.select("folder", "file")
     listed_text = spark.read.text(args.file, wholetext=True).select(F.col("value").alias("text")) if args.file else None
     items = R.inputs([], list(cfg.urls), spark, listed_text)
@@ -52,7 +55,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> Da
 
     done = pipelines.run(items, {"local_file": local} if here else {}, cfg)
     folders = sinks.unique_paths(done.where("markdown IS NOT NULL").withColumn("folder", sinks.folder(max_length=cfg.output.slug_max_length)))
-    sinks.write_documents(folders, out, cfg.output.overwrite)
+    sinks.write_files(folders.withColumn("basename", sinks.basename()), out, cfg.output.overwrite, copies=True)
     return done.select("url", "content_type", "title", "error_type", "error_message")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,41 +60,6 @@ def with_descriptions(docs: DataFrame, descriptions: DataFrame) -> DataFrame:
     return docs.join(told, "doc_id", "left").withColumn("sections", F.transform("sections", made)).drop("told_")
 
 
-def anchored(images: DataFrame, sections: DataFrame) -> DataFrame:
-    """Images whose anchor text occurs in a body of their document."""
-    bodies = sections.select(F.col("doc_id").alias("of"), "body")
-    return images.join(bodies, (images["doc_id"] == bodies["of"]) & F.contains(bodies["body"], images["anchor_text"]), "left_semi")
-
-
-def insert_at_anchors(sections: DataFrame, images: DataFrame) -> DataFrame:
-    """Descriptions as quoted lines after their anchor texts, each time further on; those without place in a last
-    section `Figures`. images: (doc_id, seq, anchor_text, description)."""
-    both = sections.select("doc_id", F.lit(0).alias("kind"), "seq", "heading", "level", "body").unionByName(images.select("doc_id", F.lit(1).alias("kind"), "seq", F.col("anchor_text").alias("heading"), F.lit(0).alias("level"), F.col("description").alias("body")))
-
-    def place(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["kind", "seq"])
-        parts = rows[rows.kind == 0][["doc_id", "seq", "heading", "level", "body"]].to_dict("records")
-        after: dict[tuple, int] = {}
-        left = []
-        for image in rows[rows.kind == 1].itertuples():
-            line = f"\n\n> [Image: {image.body}]\n\n"
-            for i, part in enumerate(parts):
-                at = part["body"].find(image.heading, after.get((i, image.heading), 0)) if image.heading else -1
-                if at >= 0:
-                    end = at + len(image.heading)
-                    part["body"] = part["body"][:end] + line + part["body"][end:]
-                    after[i, image.heading] = end + len(line)
-                    break
-            else:
-                left.append(line.strip())
-        if left:
-            parts.append({"doc_id": rows.doc_id.iloc[0], "seq": max((p["seq"] for p in parts), default=-1) + 1, "heading": "Figures", "level": 2, "body": "\n\n".join(left)})
-        return pd.DataFrame(parts, columns=["doc_id", "seq", "heading", "level", "body"])
-
-    kind = sections.schema["doc_id"].dataType.simpleString()
-    return both.groupBy("doc_id").applyInPandas(place, f"doc_id {kind}, seq bigint, heading string, level int, body string")
-
-
 def markdown_images(docs: DataFrame, files: DataFrame, least_bytes: int = 100) -> tuple[DataFrame, DataFrame]:
     """(texts, images): Markdown texts (doc_id, text) with references to pictures that a listing (doc_id, ref, image_bytes)
     has replaced by markers, all other references dropped, and the pictures, numbered as figures."""

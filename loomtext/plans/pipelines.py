@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from loomtext.functions.dates import format_duration
 from loomtext.functions.text import has_math
 from loomtext.functions.urls import paper_id, paper_pdf_url
+from loomtext.operators import anchors as A
 from loomtext.operators import cues as C
 from loomtext.operators import images as I
 from loomtext.operators import sections as S
@@ -81,10 +82,7 @@ def pages(html: DataFrame, cfg: Config = Config(), described: DataFrame | None =
     descriptions (doc_id, seq, anchor_text, description) of pictures, put after their anchors."""
     found = web.articles(html, cfg.articles.min_content_length)
     if described is not None:
-        placed = I.insert_at_anchors(S.exploded(found, F.col("sections")), described)
-        own = F.array_sort(F.collect_list(F.struct("seq", "heading", "level", "body")))
-        found = found.drop("sections").join(placed.groupBy("doc_id").agg(own.alias("sections")), "doc_id", "left")
-        found = found.withColumn("sections", F.coalesce("sections", F.array().cast(structured.SECTIONS)))
+        found = A.insert_at_anchors(found, described).drop("image_places")
     found = found.drop("images").withColumn("body", S.body_text("sections")).withColumn("content_type", F.lit("article"))
     return found.withColumn("markdown", render.article(found, cfg.flags.include_description))
 

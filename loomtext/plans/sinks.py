@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomtext import patterns as P
 from loomtext.functions.text import slugify
-from loomtext.runtime import exists
+from loomtext.plans.document_files import BATCH_FOLDER, COLUMNS, DocumentFiles
+from loomtext.runtime import exists, ship
 
 
 def folder(title: str = "title", date: str = "publish_date", stamp: str = "", max_length: int = 80) -> Column:
@@ -27,13 +28,12 @@ def basename() -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.col("content_type"))
 
 
-def _new(df: DataFrame, out: str, *keys: str, form: str = "parquet") -> DataFrame:
-    """Rows whose keys the folder does not hold yet."""
+def _new(df: DataFrame, out: str, key: str) -> DataFrame:
+    """Rows whose keys the table does not hold yet."""
     spark = df.sparkSession
     if not exists(spark, out):
         return df
-    there = spark.read.option("basePath", out).format(form).load(out)
-    return df.join(there.select(*(F.col(k).cast("string").alias(k) for k in keys)).distinct(), list(keys), "left_anti") if set(keys) <= set(there.columns) else df
+    return df.join(spark.read.parquet(out).select(key).distinct(), key, "left_anti")
 
 
 def write_documents(df: DataFrame, out: str, overwrite: bool = False) -> None:
@@ -42,13 +42,20 @@ def write_documents(df: DataFrame, out: str, overwrite: bool = False) -> None:
     (rows if overwrite else _new(rows, out, "path")).write.mode("overwrite" if overwrite else "append").parquet(out)
 
 
-def write_files(df: DataFrame, out: str, overwrite: bool = False) -> None:
-    """Rows (path, basename, markdown) as text files under out/path=.../basename=..., by Spark's writer. Documents that are
-    there are skipped, or replaced each for itself."""
-    rows = df.select("path", "basename", F.col("markdown").alias("value"))
-    rows = rows if overwrite else _new(rows, out, "path", "basename", form="text")
-    write = rows.write.partitionBy("path", "basename").option("lineSep", "\n")
-    (write.option("partitionOverwriteMode", "dynamic").mode("overwrite") if overwrite else write.mode("append")).text(out)
+def write_files(df: DataFrame, out: str, overwrite: bool = False, copies: bool = False) -> None:
+    """Rows (path, basename, markdown) as files <out>/<path>/<basename>.md, one for each document. Documents that are there
+    are left as they are, or replaced each for itself; copies: also as <out>/batch-process/<path>.md."""
+    spark = df.sparkSession
+    ship(spark)
+    spark.dataSource.register(DocumentFiles)
+    df.select(*COLUMNS).write.format("document_files").option("copies", str(copies).lower()).mode("overwrite" if overwrite else "append").save(out)
+
+
+def read_files(spark: SparkSession, out: str) -> DataFrame:
+    """Rows (folder, name, markdown) of the Markdown files below a folder; the folder is relative to it, and empty for its own."""
+    ship(spark)
+    spark.dataSource.register(DocumentFiles)
+    return spark.read.format("document_files").load(out)
 
 
 def with_raw(df: DataFrame, polished: DataFrame) -> DataFrame:
@@ -68,9 +75,9 @@ def detect_basenames(files: DataFrame) -> DataFrame:
     return rows.groupBy("folder").agg(F.coalesce(F.min_by("own", "rank"), F.lit("transcript")).alias("basename")).orderBy("folder")
 
 
-def batch_copies(df: DataFrame) -> DataFrame:
-    """Rows (file, markdown) of the batch folder: one file per document, named as its folder."""
-    return df.select(F.concat(F.lit("batch-process/"), "path", F.lit(".md")).alias("file"), "markdown")
+def batch_copies(done: DataFrame) -> DataFrame:
+    """Rows of backfill() as files (path, basename, markdown) of the batch folder, one for each folder, named as it."""
+    return done.where("file IS NOT NULL").select(F.lit(BATCH_FOLDER).alias("path"), F.col("folder").alias("basename"), "markdown")
 
 
 def backfill(files: DataFrame) -> DataFrame:

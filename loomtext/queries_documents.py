@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import io
 import zipfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from loomtext import patterns as P
 from loomtext.functions import dates as D
 from loomtext.functions import text as T
 from loomtext.functions import urls as U
+from loomtext.operators import anchors as A
 from loomtext.operators import chunks as K
 from loomtext.operators import images as I
 from loomtext.operators import relational as R
@@ -21,7 +23,7 @@ from loomtext.plans import pipelines, render, sinks
 from loomtext.plans.config import load
 from loomtext.queries import _BODY, _CLASSIFIED, _MD, _STRIP, URLS, WS2, _duck_any, _duck_cut, _duck_values, _duck_words, _markdown_docs, _table, _values, query
 from loomtext.queries_formats import _json, _pad, _stamp, _TURNS, _joined
-from loomtext.runtime import ship
+from loomtext.runtime import scratch, ship
 from loomtext.sources import files, office, structured, threads, web
 
 NL, NL2 = "chr(10)", "chr(10) || chr(10)"
@@ -151,20 +153,38 @@ def marker_replace(spark, sf_dir):
     return I.with_descriptions(docs, told).select("doc_id", _md5(F.col("sections")[0]["body"]).alias("body_md5"))
 
 
+def _duck_put(n: int, before: str, anchor: str, line: str, first: bool) -> str:
+    """A step of the SQL of anchor_insert: picture n after its anchor's next place in b0, else in b1. o0 and o1: from where, if that is a."""
+    from0, from1 = ("0", "0") if first else tuple(f"CASE WHEN {anchor} = a THEN {o} ELSE 0 END" for o in ("o0", "o1"))
+    at = lambda b, o: f"CASE WHEN {anchor} <> '' AND strpos(substr({b}, {o} + 1), {anchor}) > 0 THEN {o} + strpos(substr({b}, {o} + 1), {anchor}) - 1 + length({anchor}) END"
+    put = lambda b, e: f"CASE WHEN {e} IS NOT NULL THEN left({b}, {e}) || {line} || substr({b}, {e} + 1) ELSE {b} END"
+    return f"""e{n} AS (SELECT *, {at("b0", from0)} AS e0, {at("b1", from1)} AS e1 FROM {before}), f{n} AS (SELECT * REPLACE (CASE WHEN e0 IS NULL THEN e1 END AS e1) FROM e{n}),
+ s{n} AS (SELECT doc_id, a, c, {put("b0", "e0")} AS b0, {put("b1", "e1")} AS b1, coalesce(e0 + length({line}), {from0}) AS o0, coalesce(e1 + length({line}), {from1}) AS o1,
+   {"list_value()" if n == 1 else "miss"} || CASE WHEN e0 IS NULL AND e1 IS NULL THEN ['> [Image: ' || chr({96 + n}) || doc_id || ']'] ELSE [] END AS miss FROM f{n})"""
+
+
+# What was put in is one sign at first, as it is not searched.
+_PUT = lambda n: f"chr({n + 1})"
+_SHOWN = lambda b: reduce(lambda x, n: f"replace({x}, {_PUT(n)}, {NL2} || '> [Image: {chr(96 + n)}' || doc_id || ']' || {NL})", range(1, 5), b)
+
+
 @query(f"""
-WITH {_two_lines()}, x AS (SELECT *, left(a, 12) AS w, {NL2} || '> [Image: pic ' || doc_id || ']' || {NL2} AS q FROM d),
- s AS (SELECT doc_id, 0 AS seq, '' AS heading, CASE WHEN doc_id % 3 = 0 OR w = '' THEN a ELSE w || q || substr(a, length(w) + 1) END AS body FROM x UNION ALL SELECT doc_id, 1, 'Next', b FROM x
-  UNION ALL SELECT doc_id, 2, 'Figures', '> [Image: pic ' || doc_id || ']' FROM x WHERE doc_id % 3 = 0 OR w = '')
-SELECT doc_id, CAST(seq AS BIGINT) AS seq, heading, md5(body) AS body_md5 FROM s
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), {NL}) AS ls FROM documents),
+ s0 AS (SELECT doc_id, left(ls[1], 6) AS a, substr(ls[1], 4, 6) AS c, ls[1] AS b0, coalesce(list_aggregate(ls[2:], 'string_agg', {NL}), '') AS b1 FROM d),
+ {_duck_put(1, "s0", "a", _PUT(1), True)}, {_duck_put(2, "s1", "a", _PUT(2), False)}, {_duck_put(3, "s2", "c", _PUT(3), False)}, {_duck_put(4, "s3", "chr(1)", _PUT(4), True)}
+SELECT doc_id, CAST(0 AS BIGINT) AS seq, '' AS heading, md5({_SHOWN('b0')}) AS body_md5 FROM s4 UNION ALL SELECT doc_id, 1, 'Next', md5({_SHOWN('b1')}) FROM s4
+UNION ALL SELECT doc_id, 2, 'Figures', md5(list_aggregate(miss, 'string_agg', {NL2})) FROM s4
 """)
 def anchor_insert(spark, sf_dir):
-    """A picture after the first words of each document; those of every third have an anchor that occurs nowhere."""
-    ship(spark)
-    d = _table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("ls"))
-    both = F.array(F.struct(F.lit(0).cast("bigint").alias("seq"), F.lit("").alias("heading"), F.col("ls")[0].alias("body")), F.struct(F.lit(1).cast("bigint").alias("seq"), F.lit("Next").alias("heading"), F.coalesce(F.get("ls", 1), F.lit("")).alias("body")))
-    rows = d.select("doc_id", F.explode(both).alias("s")).select("doc_id", "s.seq", "s.heading", F.lit(2).alias("level"), "s.body")
-    pictures = d.select("doc_id", F.lit(0).cast("bigint").alias("seq"), F.when(F.col("doc_id") % 3 == 0, "\u0001").otherwise(F.left(F.col("ls")[0], F.lit(12))).alias("anchor_text"), F.concat(F.lit("pic "), F.col("doc_id").cast("string")).alias("description"))
-    return I.insert_at_anchors(rows, pictures).select("doc_id", "seq", "heading", _md5(F.col("body")).alias("body_md5"))
+    """Four pictures in each document's whole text: two after the same words, so that the second goes to their next place in
+    either section, one after words that overlap them, and one whose words occur nowhere."""
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("ls"))
+    part = lambda seq, heading, body: F.struct(F.lit(seq).cast("bigint").alias("seq"), F.lit(heading).alias("heading"), F.lit(2).alias("level"), body.alias("body"))
+    docs = d.select("doc_id", F.array(part(0, "", F.col("ls")[0]), part(1, "Next", F.array_join(F.slice("ls", 2, F.size("ls")), "\n"))).alias("sections"))
+    first = F.col("ls")[0]
+    anchors = F.array(F.left(first, F.lit(6)), F.left(first, F.lit(6)), F.substring(first, 4, 6), F.lit("\u0001"))
+    pictures = d.select("doc_id", F.posexplode(anchors).alias("seq", "anchor_text")).withColumn("description", F.concat(F.char(F.col("seq") + 97), F.col("doc_id").cast("string")))
+    return A.insert_at_anchors(docs, pictures).select("doc_id", F.explode("sections").alias("s")).select("doc_id", "s.seq", "s.heading", _md5(F.col("s.body")).alias("body_md5"))
 
 
 @query(f"""
@@ -394,6 +414,23 @@ def polished_files(spark, sf_dir):
     return sinks.with_raw(d, better)
 
 
+@query("""
+WITH d AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'new ' || text ELSE text END AS text FROM documents WHERE text IS NOT NULL)
+SELECT 'd' || doc_id AS folder, ['transcript', 'article', 'paper'][doc_id % 3 + 1] || '.md' AS name, md5(text) AS md5 FROM d
+UNION ALL SELECT 'batch-process', 'd' || doc_id || '.md', md5(text) FROM d
+""")
+def document_files(spark, sf_dir):
+    """Each document as a file of its own and a copy in the batch folder, written, written again with other texts, which adds
+    and changes nothing, then replaced for every seventh document, and read back."""
+    kind = F.element_at(F.array(*map(F.lit, ("transcript", "article", "paper"))), (F.col("doc_id") % 3 + 1).cast("int"))
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), kind.alias("basename"), F.col("text").alias("markdown"))
+    out = scratch(spark, "files")
+    sinks.write_files(d, out, copies=True)
+    sinks.write_files(d.withColumn("markdown", F.lit("other")).where("doc_id % 2 = 0"), out, copies=True)
+    sinks.write_files(d.where("doc_id % 7 = 0").withColumn("markdown", F.concat(F.lit("new "), "markdown")), out, overwrite=True, copies=True)
+    return sinks.read_files(spark, out).select("folder", "name", _md5(F.col("markdown")).alias("md5"))
+
+
 # Documents --------------------------------------------------------------------------------------------------------------
 
 

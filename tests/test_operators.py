@@ -159,9 +159,6 @@ def test_images(spark):
     said = spark.createDataFrame([(mark, "a cat")], "position_marker string, description string")
     got = {r["seq"]: r["body"] for r in images.replace_markers(body, said).collect()}
     assert got == {0: f"a \n\n*Image:*\n\na cat\n\n b {images.UNAVAILABLE}", 1: "none"}
-    anchors = spark.createDataFrame([(1, 0, "non", "first"), (1, 1, "nowhere", "second")], "doc_id int, seq bigint, anchor_text string, description string")
-    out = images.insert_at_anchors(body.where("seq = 1"), anchors).orderBy("seq").collect()
-    assert [(r["heading"], r["body"]) for r in out] == [("", "non\n\n> [Image: first]\n\ne"), ("Figures", "> [Image: second]")]
     assert [r["t"] for r in df.limit(1).select(images.media_type("format").alias("t")).collect()] == ["image/png"]
 
 

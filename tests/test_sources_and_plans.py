@@ -294,12 +294,6 @@ def test_sinks(spark, tmp_path):
     sinks.write_documents(named.where("path = 'd'"), out)
     sinks.write_documents(named, out)
     assert sorted(r["path"] for r in spark.read.parquet(out).collect()) == ["d", "e"]
-    files_out = str(tmp_path / "files")
-    for _ in range(2):
-        sinks.write_files(named, files_out)
-    assert spark.read.text(files_out).count() == 2 * 6
-    sinks.write_files(named.where("path = 'd'").withColumn("markdown", F.lit("new")), files_out, overwrite=True)
-    assert sorted({r["value"] for r in spark.read.text(files_out).where("path = 'd'").collect()}) == ["new"] and spark.read.text(files_out).where("path = 'e'").count() == 6
     kinds = spark.createDataFrame([("d", "p", "youtube", "raw"), ("e", "q", "article", "art")], "doc_id string, path string, content_type string, markdown string")
     both = {(r["path"], r["basename"]): r["markdown"] for r in sinks.with_raw(kinds, spark.createDataFrame([("d", "better")], "doc_id string, markdown string")).collect()}
     assert both == {("p", "transcript"): "better", ("p", "transcript.unpolished"): "raw", ("q", "article"): "art"}
@@ -468,7 +462,12 @@ def test_command_line(spark, tmp_path):
     assert shown == {"a.md": ("local_file", ".md"), "b.txt": ("local_file", ".txt"), "c.ppt": ("local_file", ".ppt"), "1": ("twitter", None)}
     done = {r["url"].rpartition("/")[2]: r for r in cli.main(given, spark).collect()}
     assert done["a.md"]["title"] == "['not', 'text']" and done["b.txt"]["title"] == "b" and done["c.ppt"]["error_type"] == "LocalFileError" and done["1"]["error_type"] == "PipelineError"
-    cli.main(given, spark)
-    kept = spark.read.parquet(str(tmp_path / "out" / "documents"))
-    assert kept.count() == 3 and any("plain words" in r["markdown"] for r in kept.collect())
+    cli.main([*given, "--overwrite"], spark)
+    out = tmp_path / "out" / "output"
+    kept = {p.parent.name: p.read_text() for p in out.rglob("document.md")}
+    assert len(kept) == 3 and any("plain words" in text for text in kept.values())
+    assert {p.stem: p.read_text() for p in (out / "batch-process").iterdir()} == kept
+    for p in (out / "batch-process").iterdir():
+        p.unlink()
     assert {r["file"].partition("/")[0] for r in cli.main([*given, "--backfill-batch"], spark).collect()} == {"batch-process"}
+    assert {p.stem: p.read_text() for p in (out / "batch-process").iterdir()} == kept
