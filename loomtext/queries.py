@@ -406,4 +406,4 @@ def json_props(spark, sf_dir):
     return rows.groupBy(F.col("doc_id").alias("event_type")).agg(F.sum("x.k").alias("total"), F.count(F.lit(1)).alias("n"))
 
 
-from loomtext import queries_documents, queries_formats  # noqa: E402, F401  they add theirs
+from loomtext import queries_documents, queries_formats, queries_runs  # noqa: E402, F401  they add theirs

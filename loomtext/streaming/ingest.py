@@ -14,7 +14,8 @@ def arriving(spark: SparkSession, path: str, schema: str, form: str = "parquet",
 
 
 def into_table(stream: DataFrame, plan: Callable[[DataFrame], DataFrame], out: str, checkpoint: str):
-    """Each batch through a batch plan, written once: a batch that is tried again replaces its own folder."""
+    """Each batch through a batch plan, written once: a batch that is tried again replaces its own folder. Rows that later
+    ones replace go to a ledger.LatestTable instead."""
 
     def each(batch: DataFrame, number: int) -> None:
         plan(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
