@@ -26,9 +26,10 @@ from loomtext.llm._held import held, release
 from loomtext.llm.chunks import cut
 from loomtext.runtime import ship
 
-#: Entries that a worker's memos of chunks and of other pieces hold before these become the old ones and new ones begin.
-#: An entry takes some 150 bytes, so both memos stay near 100 MB.
-CHUNK_ENTRIES, PIECE_ENTRIES = 300_000, 30_000
+#: Bytes that a worker's memos of chunks and of other pieces hold, about, before these become the old ones and new ones
+#: begin, so that all four stay below 100 MB; what an entry takes besides its text and ids; characters of what is kept at
+#: most, as longer chunks (of texts without spaces) hardly come again.
+CHUNK_BYTES, PIECE_BYTES, ENTRY_BYTES, LONG = 43_000_000, 5_000_000, 160, 64
 #: Pairs of tokens whose compatibility a worker remembers, of some 120 bytes each.
 FIT_ENTRIES = 300_000
 
@@ -60,6 +61,7 @@ class ByteBpe:
         self._old_pieces: dict[str, bytes] = {}
         self._chunks: dict[str, bytes] = {}
         self._old_chunks: dict[str, bytes] = {}
+        self._chunk_bytes = self._piece_bytes = 0
 
     def merge(self, token: bytes, below: int | None = None) -> list[int]:
         """Merging by rank, step by step; with `below`, only merges of a lower rank than that."""
@@ -164,45 +166,52 @@ class ByteBpe:
 
     def remembered(self, piece: str) -> bytes:
         """Ids of one match of the pattern. One that begins with a space is kept as the chunk behind that space."""
+        if len(piece) > LONG:
+            return self.packed(piece)
         if piece[0] == " " and len(piece) > 1:
-            key, now, old = piece[1:], self._chunks, self._old_chunks
-        else:
-            key, now, old = piece, self._pieces, self._old_pieces
-        ids = now.get(key)
-        if ids is None:
-            ids = old.get(key)
+            ids = self._chunks.get(piece[1:])
             if ids is None:
-                ids = self.packed(piece)
-            if now is self._pieces and len(now) >= PIECE_ENTRIES:
-                self._old_pieces, self._pieces = now, {}
-                now = self._pieces
-            now[key] = ids
+                ids = self._old_chunks.get(piece[1:]) or self.packed(piece)
+                self._keep_chunk(piece[1:], ids)
+            return ids
+        ids = self._pieces.get(piece)
+        if ids is None:
+            ids = self._old_pieces.get(piece) or self.packed(piece)
+            self._pieces[piece] = ids
+            self._piece_bytes += len(piece) + len(ids) + ENTRY_BYTES
+            if self._piece_bytes > PIECE_BYTES:
+                self._old_pieces, self._pieces, self._piece_bytes = self._pieces, {}, 0
         return ids
 
+    def _keep_chunk(self, chunk: str, ids: bytes) -> None:
+        self._chunks[chunk] = ids
+        self._chunk_bytes += len(chunk) + len(ids) + ENTRY_BYTES
+        if self._chunk_bytes > CHUNK_BYTES:
+            self._old_chunks, self._chunks, self._chunk_bytes = self._chunks, {}, 0
+
     def encode_pieces(self, text: str) -> bytes:
         """Ids of a text, as little-endian unsigned 32-bit integers, each match of the pattern separately."""
         return b"".join(map(self.remembered, self.pattern.findall(text)))
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, as little-endian unsigned 32-bit integers."""
-        if len(self._chunks) >= CHUNK_ENTRIES:
-            self._old_chunks, self._chunks = self._chunks, {}
         chunks = cut(text)
         if chunks is None:
             return self.encode_pieces(text)
-        first, memo, old = self.encode_pieces(chunks[0]), self._chunks, self._old_chunks
-        out = list(map(memo.get, chunks))
+        first = self.encode_pieces(chunks[0])
+        out = list(map(self._chunks.get, chunks))
         out[0] = first
         if None in out:
             for i in [i for i, ids in enumerate(out) if ids is None]:
                 chunk = chunks[i]
-                ids = memo.get(chunk)
+                ids = self._chunks.get(chunk)
                 if ids is None:
-                    ids = old.get(chunk)
+                    ids = self._old_chunks.get(chunk)
                     if ids is None:
                         pieces = self.pattern.findall(" " + chunk)
                         ids = self.packed(pieces[0]) if len(pieces) == 1 else b"".join(map(self.remembered, pieces))
-                    memo[chunk] = ids
+                    if len(chunk) <= LONG:
+                        self._keep_chunk(chunk, ids)
                 out[i] = ids
         return b"".join(out)
 

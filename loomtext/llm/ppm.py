@@ -38,7 +38,7 @@ from loomtext.runtime import ship
 
 #: Bytes of context; bound of the training sample for each language; how often a context of ORDER bytes must occur.
 ORDER, TRAIN_TEXTS, TRAIN_BYTES, LEAST = 3, 300, 600_000, 3
-#: Languages that are learned at most.
+#: Labels that train() takes unless told otherwise: a language's tables take some megabytes of each worker.
 LANGUAGES = 200
 #: Code lengths are kept in units of 1/1024 bit.
 UNIT = 1024
@@ -169,16 +169,18 @@ class Model:
         return out / UNIT
 
 
-def train(df: DataFrame, text: str = "text", lang: str = "lang") -> Model | None:
+def train(df: DataFrame, text: str = "text", lang: str = "lang", languages: int = LANGUAGES) -> Model | None:
     """Fit on the labelled rows of df; only the bounded sample reaches the driver. None without any text.
 
     Of each language, distinct texts under a bound of their hash are taken, so that about TRAIN_TEXTS are expected; no
-    text is moved to choose them. Where labels are unclean, the LANGUAGES labels with the most texts are learned.
+    text is moved to choose them. More labels than `languages` are an error, as texts of those left out would get another's.
     """
     span = float(1 << 62)
     rows = df.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     rows = rows.withColumn("hash", F.shiftrightunsigned(F.xxhash64("text"), 2))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n")).limit(languages + 1).collect()}
+    if len(counts) > languages:
+        raise ValueError(f"more than {languages} labels: clean them, or give train() the number of languages that workers can hold")
     if not counts:
         return None
     bound = F.create_map(*[x for name, n in counts.items() for x in (F.lit(name), F.lit(int(span * min(1.0, TRAIN_TEXTS / max(n, 1)))))])

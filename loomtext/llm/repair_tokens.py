@@ -44,9 +44,9 @@ SHARD_IDS = 1 << 20
 PAIRS, LEAST, WORTH = 4000, 24, 4
 #: Bits of the hash by which pairs are counted first.
 SLOT_BITS = 18
-#: Entries that a worker's memo of chunks holds, at some 170 bytes each, before it becomes the old one and a new one
-#: begins; and text bytes encoded at a time.
-MEMO_ENTRIES, TEXT_BYTES = 500_000, 4 << 20
+#: Bytes that a worker's memo of chunks holds, about, before it becomes the old one and a new one begins; what an entry
+#: takes besides its text and ids; characters of a chunk that is kept at most; and text bytes encoded at a time.
+MEMO_BYTES, ENTRY_BYTES, LONG, TEXT_BYTES = 48_000_000, 170, 64, 4 << 20
 
 SHARDS = "part int, shard int, before bigint, doc_ids array<bigint>, symbol_ends array<bigint>, n_ids bigint, rules binary, expansions binary, symbols binary, base int, width int"
 DECODED = "doc_id bigint, part int, shard int, at bigint, n_tokens bigint, ids binary"
@@ -69,6 +69,7 @@ class Encoder:
         self.bytes_of[list(vocabulary.values())] = [len(x) for x in vocabulary]
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.held = 0
         self.stops = {c: self.plain([c])[0] for c in ".,"}
 
     def plain(self, texts: list[str]) -> list[bytes]:
@@ -109,8 +110,8 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts, as little-endian unsigned 32-bit integers."""
-        if len(self.memo) >= MEMO_ENTRIES:
-            self.old, self.memo = self.memo, {}
+        if self.held > MEMO_BYTES:
+            self.old, self.memo, self.held = self.memo, {}, 0
         memo, old, first, rest, new = self.memo, self.old, [], [], {}
         for text in texts:
             chunks = None if any(t in text for t in self.added) else cut(text)
@@ -126,6 +127,7 @@ class Encoder:
                     c = chunks[i]
                     if (ids := old.get(c)) is not None:
                         memo[c] = found[i] = ids
+                        self.held += len(c) + len(ids) + ENTRY_BYTES
                     else:
                         new[c] = None
                         holes.append((i, c))
@@ -139,6 +141,12 @@ class Encoder:
                     found[i] = memo[c]
                 ids += b"".join(found)
             out.append(ids)
+        for c in new:  # a long chunk, of a text without spaces, hardly comes again
+            if len(c) > LONG:
+                memo.pop(c, None)
+                memo.pop(c[:-1], None)
+            else:
+                self.held += len(c) + len(memo[c]) + ENTRY_BYTES
         return out
 
 

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import sys
 import zlib
 
 import duckdb
@@ -56,8 +57,8 @@ def test_bpe_in_two_steps(spark):
 
 
 def test_bpe_memos_roll_over(monkeypatch):
-    for name in ("CHUNK_ENTRIES", "PIECE_ENTRIES", "FIT_ENTRIES"):
-        monkeypatch.setattr(byte_bpe, name, 3)
+    for name in ("CHUNK_BYTES", "PIECE_BYTES", "FIT_ENTRIES"):
+        monkeypatch.setattr(byte_bpe, name, 500)
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     bpe = byte_bpe.ByteBpe(ranks, public_tokenizers.PATTERN)
     plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -65,6 +66,33 @@ def test_bpe_memos_roll_over(monkeypatch):
         assert np.frombuffer(bpe.encode(text), "<u4").tolist() == plain.encode_ordinary(text)
 
 
+def held_bytes(*memos):
+    return sum(sys.getsizeof(k) + sys.getsizeof(v) + 100 for memo in memos for k, v in memo.items())
+
+
+def test_memos_are_bounded_by_bytes():
+    """Texts without spaces are not kept; many short chunks roll over. No memo goes beyond 100 MB, and ids stay right."""
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    bpe, encode = byte_bpe.ByteBpe(ranks, public_tokenizers.PATTERN), repair_tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    pick = random.Random(3)
+    letters = "".join(map(chr, range(0x4E00, 0x5600)))
+    for i in range(10):
+        dense = "".join(pick.choices(letters, k=30_000)) + "。" + base64.b64encode(pick.randbytes(100_000)).decode()
+        assert np.frombuffer(bpe.encode(dense), "<u4").tolist() == plain.encode_ordinary(dense)
+        encode([dense, "a " + dense])
+    before = held_bytes(bpe._chunks, bpe._old_chunks, bpe._pieces, bpe._old_pieces), held_bytes(encode.memo, encode.old)
+    assert before[0] < 16_000_000 and before[1] < 100_000  # short pieces within such texts alone
+    for i in range(40):
+        many = " ".join(f"w{i}x{j}" for j in range(25_000))
+        bpe.encode(many)
+        encode([many])
+        assert held_bytes(bpe._chunks, bpe._old_chunks, bpe._pieces, bpe._old_pieces) < 110_000_000 and held_bytes(encode.memo, encode.old) < 110_000_000
+    for text in (many, dense):
+        assert np.frombuffer(bpe.encode(text), "<u4").tolist() == plain.encode_ordinary(text)
+        assert np.frombuffer(encode([text])[0], "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_bpe_on_random_bytes():
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})

@@ -182,3 +182,10 @@ def test_language_of_odd_rows(spark, tmp_path):
     assert queries.op10_ppm_language(spark, saved(spark, tmp_path, documents(spark, []))).collect() == []
     bare = documents(spark, [(2, "some words")])
     assert [r["lang_pred"] for r in queries.op10_ppm_language(spark, saved(spark, tmp_path, bare)).collect()] == ["und"]
+
+
+def test_more_labels_than_given(spark):
+    df = spark.createDataFrame([(f"text of language {i}", f"l{i}") for i in range(6)], "text string, lang string")
+    with pytest.raises(ValueError, match="more than 5 labels"):
+        ppm.train(df, languages=5)
+    assert len(ppm.train(df, languages=6).languages) == 6
