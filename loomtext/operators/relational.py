@@ -26,9 +26,9 @@ def first_n(df: DataFrame, n: int, by: str, *order) -> DataFrame:
 
 
 def input_list(text: DataFrame, keep_all: bool = True) -> DataFrame:
-    """Rows (pos, url) of a list file's text: each line as it is. With keep_all=False, as for playlists and channels, lines
+    """Rows (pos, url) of list files' texts, with the files' other columns: each line as it is. With keep_all=False, as for playlists and channels, lines
     are trimmed and blank ones and comments dropped."""
-    rows = text.select(F.posexplode(F.split(strip("text"), "\n")).alias("pos", "url"))
+    rows = text.select(*(c for c in text.columns if c != "text"), F.posexplode(F.split(strip("text"), "\n")).alias("pos", "url"))
     return rows if keep_all else rows.withColumn("url", strip("url")).where("url <> '' AND NOT startswith(url, '#')")
 
 
@@ -67,8 +67,9 @@ def type_counts(items: DataFrame) -> DataFrame:
     return items.groupBy("content_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def outcome_counts(items: DataFrame) -> DataFrame:
-    return items.agg(F.count_if(F.col("error_type").isNull()).alias("succeeded"), F.count_if(F.col("error_type").isNotNull()).alias("failed"))
+def outcome_counts(items: DataFrame, *by: str) -> DataFrame:
+    """How many items succeeded and failed, in all or for each value of some columns."""
+    return items.groupBy(*by).agg(F.count_if(F.col("error_type").isNull()).alias("succeeded"), F.count_if(F.col("error_type").isNotNull()).alias("failed"))
 
 
 def cascade(base: DataFrame, sources: list[DataFrame], key: str, columns: list[str]) -> DataFrame:

@@ -319,24 +319,31 @@ def last_episode(spark, sf_dir):
     return R.last_by_key(rows, "user_id").select("user_id", "event_type", "value")
 
 
-PATHS = [("r\"/data/a b.PDF\"",), ("'/data/x.md'",), ("/data/none.md",), ("/data/y.exe",), ("\"/data/z.docx\"",), ("# a comment",), ("",), ("  https://youtu.be/q  ",)]
-LISTED = [("/data/a b.PDF",), ("/data/x.md",), ("/data/y.exe",), ("/data/z.docx",)]
+#: Lines of list files by doc_id modulo their number; {} is the id. What is listed exists.
+LINES = ['r"/data/a {}.PDF"', "'/data/{}.md'", "/data/{}.txt", "/data/{}.exe", '"/data/{}.docx"', "# comment {}", "  https://youtu.be/{}  ", "https://arxiv.org/abs/{}", "http://a.org/{}.pdf", "https://x.com/u/status/{}", "https://feeds.a.org/{}/rss", "'http://b.org/{}"]
+_PATHS = ["/data/a {}.PDF", "/data/{}.md", "/data/{}.txt", "/data/{}.exe", "/data/{}.docx"]
 _QUOTED = "CASE WHEN regexp_matches(u, '^r?\"(?s).*\"$') OR regexp_matches(u, '^r?''(?s).*''$') THEN regexp_replace(u, '^r?[\"'']((?s).*)[\"'']$', '\\1') ELSE u END"
+_duck_list = lambda xs: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
 
 
 @query(f"""
-WITH l AS (SELECT string_split({_STRIP("(SELECT string_agg(url, chr(10) ORDER BY n) FROM (SELECT url, row_number() OVER () AS n FROM " + _duck_values([*PATHS, *URLS], 'url') + "))")}, chr(10)) AS ls), r AS (SELECT i - 1 AS pos, {_STRIP('ls[i]')} AS u FROM l, LATERAL (SELECT unnest(range(1, len(ls) + 1)) AS i)),
- q AS (SELECT pos, {_QUOTED} AS url FROM r), x AS (SELECT pos, url, trim(lower(url), ' ') AS x, url IN (SELECT path FROM {_duck_values(LISTED, 'path')}) AS there FROM q),
- c AS (SELECT pos, url, CASE WHEN there AND lower(url) LIKE '%.pdf' THEN 'pdf' WHEN there AND (lower(url) LIKE '%.md' OR lower(url) LIKE '%.docx') THEN 'local_file' WHEN {_duck_any('x', P.VIDEO)} THEN 'youtube' WHEN {_duck_any('x', P.PAPER)} OR ends_with(x, '.pdf') THEN 'pdf' WHEN {_duck_any('x', P.POST_HOSTS)} AND contains(x, '/status/') THEN 'twitter'
-  WHEN {_duck_any('x', P.PODCAST)} OR {_duck_any('x', P.FEED_STRONG)} OR ({_duck_any('x', P.FEED_WEAK)} AND {_duck_any('x', P.FEED_WORDS)}) THEN 'podcast' ELSE 'article' END AS content_type FROM x)
-SELECT CAST(pos AS INTEGER) AS pos, url, content_type, CAST(list_position(['youtube', 'podcast', 'pdf', 'local_file', 'twitter', 'article'], content_type) AS INTEGER) AS type_rank, row_number() OVER (ORDER BY list_position(['youtube', 'podcast', 'pdf', 'local_file', 'twitter', 'article'], content_type), pos) AS place FROM c
+WITH d AS (SELECT doc_id, doc_id // 100 AS file, replace({_duck_list(LINES)}[doc_id % {len(LINES)} + 1], '{{}}', CAST(doc_id AS VARCHAR)) AS line, CASE WHEN doc_id % {len(LINES)} < 5 AND doc_id % 7 <> 0 THEN replace({_duck_list(_PATHS)}[doc_id % {len(LINES)} + 1], '{{}}', CAST(doc_id AS VARCHAR)) END AS path FROM documents),
+ l AS (SELECT file, string_split({_STRIP("string_agg(line, chr(10) ORDER BY doc_id)")}, chr(10)) AS ls FROM d GROUP BY file), r AS (SELECT file, i - 1 AS pos, {_STRIP('ls[i]')} AS u FROM l, LATERAL (SELECT unnest(range(1, len(ls) + 1)) AS i)),
+ q AS (SELECT file, pos, {_QUOTED} AS url FROM r), x AS (SELECT file, pos, url, trim(lower(url), ' ') AS x, url IN (SELECT path FROM d WHERE path IS NOT NULL) AS there FROM q),
+ c AS (SELECT file, pos, url, CASE WHEN there AND lower(url) LIKE '%.pdf' THEN 'pdf' WHEN there AND (lower(url) LIKE '%.md' OR lower(url) LIKE '%.docx' OR lower(url) LIKE '%.txt') THEN 'local_file' WHEN {_duck_any('x', P.VIDEO)} THEN 'youtube' WHEN {_duck_any('x', P.PAPER)} OR ends_with(x, '.pdf') THEN 'pdf'
+  WHEN {_duck_any('x', P.POST_HOSTS)} AND contains(x, '/status/') THEN 'twitter' WHEN {_duck_any('x', P.PODCAST)} OR {_duck_any('x', P.FEED_STRONG)} OR ({_duck_any('x', P.FEED_WEAK)} AND {_duck_any('x', P.FEED_WORDS)}) THEN 'podcast' ELSE 'article' END AS content_type FROM x)
+SELECT file, CAST(pos AS INTEGER) AS pos, url, content_type, CAST(list_position({_duck_list(P.TYPE_ORDER)}, content_type) AS INTEGER) AS type_rank, row_number() OVER (PARTITION BY file ORDER BY list_position({_duck_list(P.TYPE_ORDER)}, content_type), pos) AS place FROM c
 """)
 def route_items(spark, sf_dir):
-    """A list file's lines, quoted paths and comments among them, routed with a listing of files and put in the order of kinds."""
-    text = spark.createDataFrame([("\n".join(u for (u,) in [*PATHS, *URLS]),)], "text string")
-    items = R.routed(R.input_list(text), spark.createDataFrame(LISTED, "path string"))
-    order = Window.partitionBy(F.lit(0)).orderBy("type_rank", "pos")
-    return items.select("pos", "url", "content_type", "type_rank", F.row_number().over(order).cast("bigint").alias("place"))
+    """List files of a hundred lines, one for each document: quoted paths, of which some exist, comments and URLs of all
+    kinds, routed with a listing of files and put in the order of kinds within their file."""
+    k, n = F.col("doc_id").cast("string"), (F.col("doc_id") % len(LINES) + 1).cast("int")
+    named = lambda xs: F.replace(F.try_element_at(F.array(*map(F.lit, xs)), n), F.lit("{}"), k)
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / 100).alias("file"), named(LINES).alias("line"), named(_PATHS).alias("path"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "line"))), lambda x: x["line"])
+    items = R.routed(R.input_list(d.groupBy("file").agg(F.array_join(lines, "\n").alias("text"))), d.where("path IS NOT NULL AND doc_id % 7 <> 0").select("path"))
+    order = Window.partitionBy("file").orderBy("type_rank", "pos")
+    return items.select("file", "pos", "url", "content_type", "type_rank", F.row_number().over(order).cast("bigint").alias("place"))
 
 
 @query("""
@@ -353,7 +360,7 @@ def cascade_merge(spark, sf_dir):
 def outcome_counts(spark, sf_dir):
     """Events as items of a batch, every third of which failed."""
     e = R.with_errors(R.with_errors(_table(spark, sf_dir, "events"), F.col("event_id") % 3 == 0, "NetworkError", "every third"), F.col("value") < 0, "PipelineError", "negative")
-    return e.groupBy("event_type").agg(F.count_if(F.col("error_type").isNull()).alias("succeeded"), F.count_if(F.col("error_type").isNotNull()).alias("failed"))
+    return R.outcome_counts(e, "event_type")
 
 
 @query(f"""
@@ -366,8 +373,7 @@ def batch_run(spark, sf_dir):
     """Pages and URLs of all kinds through a runner with plans for two kinds, which lose every fourth item."""
     rows = _table(spark, sf_dir, "pages").select("url").unionByName(_values(spark, URLS, "url"))
     pos = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("url")) - 1
-    items = rows.select(pos.cast("bigint").alias("pos"), "url", U.classify_url("url").alias("content_type"))
-    items = items.withColumn("type_rank", F.array_position(F.array(*map(F.lit, P.TYPE_ORDER)), F.col("content_type")).cast("int"))
+    items = R.routed(rows.select(pos.cast("bigint").alias("pos"), "url"))
     plan = lambda df: df.where("doc_id % 4 <> 0").select("doc_id", F.concat(F.lit("T"), F.col("doc_id").cast("string")).alias("title"), F.col("url").alias("markdown"))
     cfg = load(options={"twitter": {"enabled": False}})
     return pipelines.run(items, {"article": plan, "podcast": plan, "twitter": plan}, cfg).select("pos", "content_type", "title", "error_type", "error_message")
@@ -704,13 +710,14 @@ def previews(spark, sf_dir):
 # Streams and SQL --------------------------------------------------------------------------------------------------------
 
 
-def _streamed(spark, source: DataFrame, plan, name: str) -> DataFrame:
-    """A table written as a stream's source, read in files, through a plan into a table."""
+def _streamed(spark, source: DataFrame, plan, name: str, files: int = 1 << 30) -> DataFrame:
+    """A table written as a stream's source, read in files, through a plan into a table. All files are one batch unless
+    `files` says otherwise, so that no event comes after the watermark."""
     from loomtext.runtime import scratch, stored
     from loomtext.streaming import ingest
 
     _, path = stored(source, f"{name}-in")
-    stream = plan(ingest.arriving(spark, path, source.schema, files_per_trigger=100))
+    stream = plan(ingest.arriving(spark, path, source.schema, files_per_trigger=files))
     out = scratch(spark, f"{name}-out")
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, f"{name}-log")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
@@ -731,15 +738,15 @@ def stream_rolling_lines(spark, sf_dir):
 
 
 @query("""
-WITH m AS (SELECT max(epoch_us(ts)) AS top FROM events), w AS (SELECT epoch_us(ts) // 86400000000 AS day, CAST(round(value * 100) AS BIGINT) AS cents FROM events)
-SELECT day * 86400 AS since, CAST(sum(cents) AS BIGINT) AS used, count(*) AS requests FROM w GROUP BY day HAVING (day + 1) * 86400000000 <= (SELECT top FROM m) - 3600000000
+WITH m AS (SELECT max(epoch_us(ts)) AS top FROM events), w AS (SELECT epoch_us(ts) // 21600000000 - s AS start, CAST(round(value * 100) AS BIGINT) AS cents FROM events, (SELECT unnest([0, 1, 2, 3]) AS s))
+SELECT start * 21600 AS since, CAST(sum(cents) AS BIGINT) AS used, count(*) AS requests FROM w GROUP BY start HAVING (start + 4) * 21600000000 <= (SELECT top FROM m) - 3600000000
 """)
 def stream_usage(spark, sf_dir):
-    """Daily windows of events, as far as the watermark has closed them."""
+    """Windows of a day that begin every six hours, as far as the watermark has closed them."""
     from loomtext.streaming import ingest
 
     e = _table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.round(F.col("value") * 100).cast("bigint").alias("cents"))
-    done = _streamed(spark, e.coalesce(1), lambda s: ingest.usage(s, "ts", "cents", "1 day", "1 day", "1 hour"), "usage")
+    done = _streamed(spark, e, lambda s: ingest.usage(s, "ts", "cents", "1 day", "6 hours", "1 hour"), "usage")
     return done.select(F.unix_seconds("window.start").alias("since"), "used", "requests")
 
 
@@ -753,7 +760,7 @@ def stream_sessions(spark, sf_dir):
     from loomtext.streaming import ingest
 
     e = _table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id")
-    done = _streamed(spark, e.coalesce(1), lambda s: ingest.sessions(s, "ts", "user_id", "12 hours", "1 hour"), "sessions")
+    done = _streamed(spark, e, lambda s: ingest.sessions(s, "ts", "user_id", "12 hours", "1 hour"), "sessions")
     return done.select("user_id", F.unix_seconds("session_window.start").alias("since"), "n")
 
 
