@@ -16,6 +16,7 @@ from loomtext.functions.urls import paper_id, paper_pdf_url
 from loomtext.operators import anchors as A
 from loomtext.operators import cues as C
 from loomtext.operators import images as I
+from loomtext.operators import layout as L
 from loomtext.operators import sections as S
 from loomtext.plans import render
 from loomtext.plans.config import Config, enabled
@@ -87,6 +88,12 @@ def pages(html: DataFrame, cfg: Config = Config(), described: DataFrame | None =
     return found.withColumn("markdown", render.article(found, cfg.flags.include_description))
 
 
+def paper_texts(spans: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """Positioned spans (doc_id, page, x0, y0, x1, y1, text) of PDF pages to texts for papers(), by the settings
+    pdf.reading_order and pdf.max_pages."""
+    return L.page_texts(spans, cfg.pdf.reading_order, cfg.pdf.max_pages)
+
+
 def papers(texts: DataFrame, properties: DataFrame, api: DataFrame | None = None, cfg: Config = Config(), descriptions: DataFrame | None = None) -> DataFrame:
     """Layout converters' Markdown (doc_id, text[, url]) and properties (doc_id, json) to documents; api: rows of
     structured.papers, which win where they say something. Words are counted before descriptions take the place of markers."""

@@ -1,13 +1,16 @@
-"""Queries of runs: limits on calls, budgets, tables kept up by streams."""
+"""Queries of runs: limits on calls, budgets, tables kept up by streams, redirects, reading order and models' answers."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomtext.operators import budgets
+from loomtext.operators import budgets, redirects
+from loomtext.plans import pipelines
+from loomtext.plans.config import load
 from loomtext.queries import _table, query
 from loomtext.queries_documents import _md5, _streamed
 from loomtext.runtime import scratch, ship, stored
+from loomtext.sources import connectors
 from loomtext.streaming import ingest, ledger, limits
 
 #: Microseconds in a day, and of the window and the margin of the queries below.
@@ -77,3 +80,62 @@ def stream_upsert(spark, sf_dir):
             raise
     table.follow(stream(), log).awaitTermination()
     return table.read().select("doc_id", "version", _md5(F.col("text")).alias("text_md5"))
+
+
+# Chains of fifty URLs; each seventh is a cycle, and each seventh behind it leads into that cycle.
+_TARGET = "CASE WHEN doc_id % 50 < 49 THEN 'u' || (doc_id + 1) WHEN doc_id // 50 % 7 = 3 THEN 'u' || (doc_id - 49) WHEN doc_id // 50 % 7 = 4 THEN 'u' || (doc_id - 70) ELSE 'http://full/' || doc_id END"
+
+
+@query(f"""
+WITH RECURSIVE e AS (SELECT 'u' || doc_id AS url, {_TARGET} AS target FROM documents),
+ w AS (SELECT url, target AS cur, 1 AS hops FROM e UNION ALL SELECT w.url, e.target, hops + 1 FROM w JOIN e ON e.url = w.cur WHERE hops < 200),
+ f AS (SELECT url, cur, hops FROM w WHERE cur NOT IN (SELECT url FROM e))
+SELECT e.url, f.cur AS final, CAST(f.hops AS BIGINT) AS hops, f.url IS NULL AS cyclic FROM e LEFT JOIN f ON f.url = e.url
+""")
+def redirect_chains(spark, sf_dir):
+    """Documents as redirects of up to fifty hops, some into cycles, followed by doubling."""
+    k = F.col("doc_id")
+    turn = F.floor(k / 50) % 7
+    target = F.when(k % 50 < 49, k + 1).when(turn == 3, k - 49).when(turn == 4, k - 70)
+    named = F.coalesce(F.concat(F.lit("u"), target.cast("string")), F.concat(F.lit("http://full/"), k.cast("string")))
+    rows = _table(spark, sf_dir, "documents").select(F.concat(F.lit("u"), k.cast("string")).alias("url"), named.alias("target"))
+    return redirects.followed(rows)
+
+
+#: Words of a line, lines of a column, and how a page of the query below is laid out.
+_WORDS, _LINES = 6, 40
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, string_split(text, ' ') AS ws, 2 + doc_id % 2 AS columns FROM documents WHERE text IS NOT NULL),
+ l AS (SELECT doc_id, columns, i, array_to_string(ws[i * {_WORDS} + 1:i * {_WORDS} + {_WORDS}], ' ') AS line FROM (SELECT *, unnest(range(0, (len(ws) + {_WORDS - 1}) // {_WORDS})) AS i FROM d)),
+ p AS (SELECT doc_id, i // (columns * {_LINES}) AS page, string_agg(line, chr(10) ORDER BY i) AS body FROM l GROUP BY ALL)
+SELECT doc_id, md5(string_agg('Page ' || page || chr(10) || body, chr(10) ORDER BY page)) AS text_md5 FROM p GROUP BY doc_id
+""")
+def reading_order(spark, sf_dir):
+    """Whole documents set in two or three columns below a page's head, as spans in no order, read back in order."""
+    d = _table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.split("text", " ").alias("ws"), (2 + F.col("doc_id") % 2).alias("columns"))
+    lines = F.transform(F.sequence(F.lit(0), F.floor((F.size("ws") - 1) / _WORDS).cast("int")), lambda i: F.array_join(F.slice("ws", i * _WORDS + 1, F.lit(_WORDS)), " "))
+    rows = d.select("doc_id", "columns", F.posexplode(lines).alias("i", "text"))
+    page, column, line = F.floor(F.col("i") / (F.col("columns") * _LINES)), F.floor(F.col("i") / _LINES) % F.col("columns"), F.col("i") % _LINES
+    box = lambda x0, y0, x1, y1: [x.cast("double").alias(c) for x, c in zip((x0, y0, x1, y1), ("x0", "y0", "x1", "y1"))]
+    spans = rows.select("doc_id", page.alias("page"), *box(column * 200, 50 + line * 12, column * 200 + 180, 60 + line * 12), "text")
+    heads = rows.where(F.col("i") % (F.col("columns") * _LINES) == 0).select("doc_id", page.alias("page"), *box(F.lit(0), F.lit(10), F.col("columns") * 200 - 20, F.lit(30)), F.concat(F.lit("Page "), page.cast("string")).alias("text"))
+    return pipelines.paper_texts(spans.unionByName(heads), load()).select("doc_id", _md5(F.col("text")).alias("text_md5"))
+
+
+class _Counting:
+    """A recorded model that answers with the length of what it is asked, and fails at what holds a sign."""
+
+    def complete(self, system, user, image=None, media_type=None):
+        return ("overloaded" if "$" in user else f"{system} {len(user)}"), len(user), 5
+
+
+@query("""
+SELECT doc_id, CASE WHEN NOT contains(text, '$') THEN 'Count. ' || length(text) END AS answer, CASE WHEN contains(text, '$') THEN 'error pattern: overloaded' END AS error_message FROM documents
+""")
+def model_answers(spark, sf_dir):
+    """Each whole document as a question; equal ones are asked once, eight at a time in each task."""
+    work = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("message"))
+    many = {"tokens": 1 << 60, "requests": 1 << 60}
+    return connectors.answered(work, _Counting(), "Count.", limits=many)

@@ -7,15 +7,19 @@ that sessions are opened once in each worker, and failures become columns.
 from __future__ import annotations
 
 import re
+import threading
 import time
 import zlib
 from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import partial
-from typing import Protocol
+from typing import Any, Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from loomtext.runtime import ship
 
@@ -93,6 +97,7 @@ class Limiter:
     def __init__(self, tokens: int = 150_000, requests: int = 100, threshold: float = 0.8, window: float = 60.0, clock=time.monotonic, sleep=time.sleep):
         self.tokens, self.requests, self.window, self.clock, self.sleep = tokens * threshold, int(requests * threshold), window, clock, sleep
         self.used: deque[list] = deque()
+        self.lock = threading.Lock()
 
     def wait_for(self, estimate: int) -> float:
         """Seconds until a request of so many tokens fits; 0 if it does now."""
@@ -109,10 +114,13 @@ class Limiter:
         return self.window
 
     def acquire(self, estimate: int = 0) -> list:
-        while (wait := self.wait_for(estimate)) > 0 and self.used:
+        while True:
+            with self.lock:
+                if (wait := self.wait_for(estimate)) <= 0 or not self.used:
+                    entry = [self.clock(), 0]
+                    self.used.append(entry)
+                    return entry
             self.sleep(wait)
-        self.used.append([self.clock(), 0])
-        return self.used[-1]
 
     @staticmethod
     def record(entry: list, tokens: int) -> None:
@@ -312,42 +320,63 @@ def asked(model: Model, limiter: Limiter, system: str, user: str, image: bytes |
     return answer
 
 
-def _answers(model: Model, system: str, patterns: tuple[str, ...], limits: dict, keys: list[str], batches):
+def in_order(calls: Iterable[Callable[[], Any]], in_flight: int) -> Iterator[Any]:
+    """What calls give, in their order, with at most so many of them begun and not taken."""
+    with ThreadPoolExecutor(max_workers=in_flight) as pool:
+        running: deque = deque()
+        for call in calls:
+            if len(running) >= in_flight:
+                yield running.popleft().result()
+            running.append(pool.submit(call))
+        while running:
+            yield running.popleft().result()
+
+
+def _answers(model: Model, system: str, patterns: tuple[str, ...], limits: dict, keys: list[str], in_flight: int, batches):
     limiter = Limiter(**limits)
+
+    def one(user: str) -> tuple[str | None, str | None]:
+        try:
+            return asked(model, limiter, system, user, patterns=patterns), None
+        except (Fatal, Retry) as e:
+            return None, str(e)
+
     for batch in batches:
-        rows = []
-        for *key, user in zip(*(batch[c] for c in keys), batch["message"], strict=True):
-            try:
-                rows.append((*key, asked(model, limiter, system, user, patterns=patterns), None))
-            except (Fatal, Retry) as e:
-                rows.append((*key, None, str(e)))
-        yield pd.DataFrame(rows, columns=[*keys, "answer", "error_message"])
+        told = list(in_order((partial(one, user) for user in batch["message"]), in_flight))
+        yield batch[keys].assign(answer=[a for a, _ in told], error_message=[e for _, e in told])
 
 
-def answered(work: DataFrame, model: Model, system: str, patterns: tuple[str, ...] = ("rate limit", "overloaded"), limits: dict | None = None) -> DataFrame:
-    """Work (keys, message) with the model's answers, a task's partition after the other; failures are null answers. Limits
-    hold in each task: divide a budget by the number of tasks that run at once."""
+def answered(work: DataFrame, model: Model, system: str, patterns: tuple[str, ...] = ("rate limit", "overloaded"), limits: dict | None = None, in_flight: int = 8) -> DataFrame:
+    """Work (keys, message) with the model's answers; failures are null answers.
+
+    Equal messages are asked once, told by their digest, and their rows share the answer. A task has `in_flight` calls at a
+    time at most. Limits hold in each task: divide a budget by the number of tasks that run at once, or plan the calls'
+    times by budgets.shared_budget. Rows without a message are not asked and have no answer.
+    """
     ship(work.sparkSession)
-    keys = [c for c in work.columns if c != "message"]
-    schema = ", ".join(f"`{c}` {work.schema[c].dataType.simpleString()}" for c in keys)
-    return work.mapInPandas(partial(_answers, model, system, patterns, limits or {}, keys), f"{schema}, answer string, error_message string")
+    rows = work.withColumn("digest_", F.sha2("message", 256))
+    once = rows.where("message IS NOT NULL").groupBy("digest_").agg(F.first("message").alias("message"))
+    each = partial(_answers, model, system, patterns, limits or {}, ["digest_"], in_flight)
+    told = once.mapInPandas(each, "digest_ string, answer string, error_message string")
+    return rows.drop("message").join(told, "digest_", "left").drop("digest_")
 
 
-def _described(model: Model, system: str, user: str, limits: dict, batches):
+def _described(model: Model, system: str, user: str, limits: dict, in_flight: int, batches):
     limiter = Limiter(**limits)
+
+    def one(image: bytes, media: str, label: str | None, alt: str | None) -> str | None:
+        try:
+            return asked(model, limiter, system, user.format(label=label or "", alt=alt or ""), bytes(image), media).strip() or None
+        except (Fatal, Retry):
+            return None
+
     for batch in batches:
-        rows = []
-        for doc_id, mark, image, media, label, alt in zip(*(batch[c] for c in ("doc_id", "position_marker", "image_bytes", "media_type", "source_label", "alt_text")), strict=True):
-            about = user.format(label=label or "", alt=alt or "")
-            try:
-                rows.append((doc_id, mark, asked(model, limiter, system, about, bytes(image), media).strip() or None))
-            except (Fatal, Retry):
-                rows.append((doc_id, mark, None))
-        yield pd.DataFrame(rows, columns=["doc_id", "position_marker", "description"])
+        calls = (partial(one, *r) for r in zip(*(batch[c] for c in ("image_bytes", "media_type", "source_label", "alt_text")), strict=True))
+        yield batch[["doc_id", "position_marker"]].assign(description=list(in_order(calls, in_flight)))
 
 
-def described(images: DataFrame, model: Model, system: str = "Describe the image.", user: str = "Source: {label}. Text: {alt}", limits: dict | None = None) -> DataFrame:
+def described(images: DataFrame, model: Model, system: str = "Describe the image.", user: str = "Source: {label}. Text: {alt}", limits: dict | None = None, in_flight: int = 8) -> DataFrame:
     """Images (doc_id, position_marker, image_bytes, media_type, source_label, alt_text) with a description each, null where
     the model fails."""
     rows = images.select("doc_id", "position_marker", "image_bytes", "media_type", "source_label", "alt_text")
-    return _mapped(rows, partial(_described, model, system, user, limits or {}), "position_marker string, description string")
+    return _mapped(rows, partial(_described, model, system, user, limits or {}, in_flight), "position_marker string, description string")
