@@ -8,13 +8,22 @@ any number of slots each source has had less than one block more or less than it
 
 The schedule repeats after a period of PERIOD slots or, where sources are many or a weight is small, of that doubled
 until each source can have FINE slots, both on average and by its own weight. So k_i / period is off the weight by less
-than 2 / FINE of it; the bound of a block holds for k_i / period. The schedule is made by one fold in one row, from a table with a row per source; slot
-numbers are as many as the period, which bounds what is broadcast. Blocks go on from a source's start where its documents end; `until="all"` stops when every document has
-been taken once, `until="first"` when the first source is at its end, so that none is repeated.
-
-Null sources form one source of their own. Repeated rows each take their place. Null keys are ordered first. An empty
-table gives no rows. Sources that given weights do not name, weights of zero or less, and more sources than a period
-that is given are errors.
+than 2 / FINE of it; the bound of a block holds for k_i / period. The schedule is made by one fold in one row, from a
+table with a row per source; slot numbers are as many as the period, which bounds what is broadcast.
+
+The period is bounded. Without given weights, sources of less than LEAST of the whole share places of the schedule: by
+size, as many of them as come to LEAST, or with the smallest source that has it, form one pool, whose documents are mixed
+as those of one source and whose weight is the sum of theirs; the bound of a block holds for the pool. So at most
+1 / LEAST sources and pools take FINE / LEAST slots or twice as many. With given weights, which are kept, a weight that
+would take more than MOST_SLOTS is an error that names the least one possible.
+
+Blocks go on from a source's start where its documents end; `until="all"` stops when every document has been taken once,
+`until="first"` when the first source is at its end, so that none is repeated.
+
+Null sources form one source of their own. Repeated rows each take their place. Rows are ordered by a hash of their key,
+equal keys and null keys by a hash of the whole row, so that many rows of one key are spread and a task that runs again
+gives the same. An empty table gives no rows. Sources that given weights do not name, weights of zero or less, and more
+sources than a period that is given are errors.
 """
 
 from __future__ import annotations
@@ -26,6 +35,8 @@ from pyspark.sql import functions as F
 PERIOD, BLOCK, POWER = 1024, 16, 0.8
 #: Slots that each source can have in a period that is not given.
 FINE = 32
+#: Share of the whole below which sources are pooled; slots that a period has at most for weights that are given.
+LEAST, MOST_SLOTS = 1 / 256, 1 << 14
 #: Hexadecimal digits of the order's hash that tell a bucket, at least, and rows of a bucket, about: the buckets of each
 #: source are ranked apart, and there are more of them where the largest source has more rows.
 DIGITS, BUCKET_ROWS = 2, 1 << 20
@@ -61,10 +72,28 @@ def period_for(weighed: DataFrame) -> int:
     n, least, whole = weighed.agg(F.count(F.lit(1)), F.min("weight"), F.sum("weight")).first()
     period = PERIOD
     while n and (period < n * FINE or period * least < FINE * whole):
+        if 2 * period > MOST_SLOTS:
+            raise ValueError(f"{n} sources of least weight {least} take more than {MOST_SLOTS} slots: at most {MOST_SLOTS // FINE} sources and weights of {FINE * whole / MOST_SLOTS:.6g} and more are possible")
         period *= 2
     return period
 
 
+def pools(weighed: DataFrame) -> DataFrame:
+    """Rows (mix_key, n, weight) -> (mix_key, n, weight, pool): sources of LEAST of the whole are pools of their own, named as
+    they are; smaller ones are put together, in order of weight, until they come to that."""
+    every = Window.partitionBy(F.lit(0))  # a row per source
+    rows = weighed.withColumn("share", F.col("weight") / F.sum("weight").over(every)).withColumn("small", F.col("share") < LEAST)
+    rows = rows.withColumn("all_small", F.sum(F.when(F.col("small"), F.col("share")).otherwise(0.0)).over(every))
+    rows = rows.withColumn("next_key", F.min_by("mix_key", F.when(~F.col("small"), F.struct("share", "mix_key"))).over(every))
+    before = F.sum(F.when(F.col("small"), F.col("share")).otherwise(0.0)).over(Window.partitionBy(F.lit(0)).orderBy("share", "mix_key").rowsBetween(Window.unboundedPreceding, -1))
+    # Spans of twice LEAST, of which none ends more than LEAST late; what the last one lacks, the one before has.
+    bins = F.greatest(F.floor(F.col("all_small") / (2 * LEAST)), F.lit(1))
+    number = F.least(F.floor(F.coalesce(before, F.lit(0.0)) / (2 * LEAST)), bins - 1)
+    alone = (F.col("all_small") >= LEAST) | F.col("next_key").isNull()
+    pool = F.when(~F.col("small"), F.col("mix_key")).when(alone, F.concat(F.lit("+"), number.cast("string"))).otherwise(F.col("next_key"))
+    return rows.select("mix_key", "n", "weight", pool.alias("pool"))
+
+
 def digits_for(rows: DataFrame) -> int:
     """Hex digits of a bucket, so that a bucket of the largest source holds some BUCKET_ROWS rows. Ranks do not depend on it."""
     most = rows.groupBy("mix_key").count().agg(F.max("count")).first()[0] or 0
@@ -95,16 +124,26 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", power: float
     `weights` are targets by source, of any sum; without them a source's weight is its number of documents to the power
     `power`. Without `period` it is chosen by the sources. Extra columns are carried along; columns of the names added are replaced.
     """
-    added = ("epoch", "block", "slot", "release", "deadline", "mix_key", "mix_hash", "mix_bucket")
+    added = ("epoch", "block", "slot", "release", "deadline", "mix_key", "mix_hash", "mix_bucket", "mix_tie")
     rows = df.select(*(c for c in df.columns if c not in added)).withColumn("mix_key", F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")))
-    rows = rows.withColumn("mix_hash", F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))).withColumn("mix_bucket", F.left("mix_hash", F.lit(digits_for(rows))))
+    if weights is None:
+        counted = rows.groupBy("mix_key").agg(F.count(F.lit(1)).alias("n"))
+        pooled = pools(counted.withColumn("weight", F.pow(F.col("n").cast("double"), F.lit(power))))
+        moved = {r["mix_key"]: r["pool"] for r in pooled.where("mix_key <> pool").collect()}  # a row per small source
+        if moved:
+            names = df.sparkSession.createDataFrame(list(moved.items()), "mix_key string, pool string")
+            rows = rows.join(names, "mix_key", "left").withColumn("mix_key", F.coalesce("pool", "mix_key")).drop("pool")
+    whole_row = F.xxhash64(*(F.col(f.name) for f in rows.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()))
+    rows = rows.withColumn("mix_tie", whole_row)
+    rows = rows.withColumn("mix_hash", F.md5(F.coalesce(F.col(key).cast("string"), F.concat(F.lit("null "), F.col("mix_tie").cast("string"))).cast("binary")))
+    rows = rows.withColumn("mix_bucket", F.left("mix_hash", F.lit(digits_for(rows))))
     # Ranks in two steps, so that no source's rows meet in one task: rows of the buckets before, then rows within.
     sizes = rows.groupBy("mix_key", "mix_bucket").agg(F.count(F.lit(1)).alias("size"))
     before = F.sum("size").over(Window.partitionBy("mix_key").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("mix_key", "mix_bucket", F.coalesce(before, F.lit(0)).alias("offset"))
     counts = sizes.groupBy("mix_key").agg(F.sum("size").alias("n"))
     if weights is None:
-        weighed = counts.withColumn("weight", F.pow(F.col("n").cast("double"), F.lit(power)))
+        weighed = pooled.groupBy(F.col("pool").alias("mix_key")).agg(F.sum("n").alias("n"), F.sum("weight").alias("weight"))
     else:
         if not all(0 < w < float("inf") for w in weights.values()):
             raise ValueError("weights must be positive")
@@ -114,7 +153,7 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", power: float
     period = period or period_for(weighed)
     shares = blocks_in_period(weighed, period)
     plan = schedule(shares, period, block, until)
-    within = F.row_number().over(Window.partitionBy("mix_key", "mix_bucket").orderBy("mix_hash", F.col(key).asc_nulls_first())) - 1
+    within = F.row_number().over(Window.partitionBy("mix_key", "mix_bucket").orderBy("mix_hash", F.col(key).asc_nulls_first(), "mix_tie")) - 1
     placed = rows.withColumn("mix_rank", within).join(offsets, ["mix_key", "mix_bucket"]).withColumn("mix_block", F.floor((F.col("mix_rank") + F.col("offset")) / block))
     placed = placed.join(F.broadcast(plan), "mix_key").where("mix_block < given")
     placed = placed.withColumn("epoch", F.explode(F.expr("sequence(0L, (given - 1 - mix_block) div blocks)")))
