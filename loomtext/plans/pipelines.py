@@ -81,7 +81,7 @@ def podcasts(episodes: DataFrame, asr: DataFrame, cfg: Config = Config()) -> Dat
 def pages(html: DataFrame, cfg: Config = Config(), described: DataFrame | None = None) -> DataFrame:
     """Pages (doc_id, url, html) to documents: one pass of the reader over each page, all else in its row. described:
     descriptions (doc_id, seq, anchor_text, description) of pictures, put after their anchors."""
-    found = web.articles(html, cfg.articles.min_content_length)
+    found = web.articles(html, cfg.articles.min_content_length, density=True)
     if described is not None:
         found = A.insert_at_anchors(found, described).drop("image_places")
     found = found.drop("images").withColumn("body", S.body_text("sections")).withColumn("content_type", F.lit("article"))

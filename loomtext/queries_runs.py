@@ -8,9 +8,9 @@ from loomtext.operators import budgets, redirects
 from loomtext.plans import pipelines
 from loomtext.plans.config import load
 from loomtext.queries import _table, query
-from loomtext.queries_documents import _md5, _streamed
+from loomtext.queries_documents import _ARTICLE, _md5, _streamed
 from loomtext.runtime import scratch, ship, stored
-from loomtext.sources import connectors
+from loomtext.sources import connectors, web
 from loomtext.streaming import ingest, ledger, limits
 
 #: Microseconds in a day, and of the window and the margin of the queries below.
@@ -139,3 +139,36 @@ def model_answers(spark, sf_dir):
     work = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("message"))
     many = {"tokens": 1 << 60, "requests": 1 << 60}
     return connectors.answered(work, _Counting(), "Count.", limits=many)
+
+
+_FRAME = "'All that is on these pages belongs to ' || host || ' and its friends, who ask all readers to write to them.'"
+
+
+@query(f"""
+WITH {_ARTICLE}, h AS (SELECT page_id, head, ps, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM a),
+ b AS (SELECT page_id, host, [struct_pack(k := 'p', t := 'Home of ' || host, l := length('Home of ' || host)), struct_pack(k := 'p', t := 'Read more', l := 9), struct_pack(k := 'head', t := head, l := 0)]
+   || list_transform(ps, lambda x: struct_pack(k := 'p', t := x, l := 0)) || [struct_pack(k := 'p', t := {_FRAME}, l := 0), struct_pack(k := 'p', t := 'About us', l := 8)] AS bs FROM h),
+ e AS (SELECT page_id, host, i, bs[i].k AS k, bs[i].t AS t, bs[i].l AS l FROM (SELECT *, unnest(range(1, len(bs) + 1)) AS i FROM b) WHERE bs[i].t <> ''),
+ c AS (SELECT host, t FROM (SELECT host, t, count(DISTINCT page_id) AS n FROM e GROUP BY ALL) JOIN (SELECT host, count(*) AS pages FROM h GROUP BY host) USING (host) WHERE n >= 3 AND n >= 0.05 * pages),
+ v AS (SELECT e.*, c.t IS NOT NULL AS framed FROM e LEFT JOIN c ON c.host = e.host AND c.t = e.t),
+ tries AS (SELECT page_id, i, k, t, l, 1 AS try FROM v WHERE NOT framed UNION ALL SELECT page_id, i, k, t, l, 2 FROM v),
+ s AS (SELECT *, sum(length(t) - 3 * l - CASE WHEN k = 'p' THEN 20 ELSE 0 END) OVER (PARTITION BY page_id, try ORDER BY i) AS p, row_number() OVER (PARTITION BY page_id, try ORDER BY i) AS n FROM tries),
+ z AS (SELECT page_id, try, n, p FROM s UNION ALL SELECT DISTINCT page_id, try, 0, 0 FROM s),
+ m AS (SELECT x.page_id, x.try, x.n, arg_max(struct_pack(s := y.n, g := x.p - y.p), [-y.p, y.n]) AS f FROM z x JOIN z y ON y.page_id = x.page_id AND y.try = x.try AND y.n < x.n GROUP BY x.page_id, x.try, x.n, x.p),
+ r AS (SELECT page_id, try, arg_max(struct_pack(a := f.s + 1, b := n), [f.g, -n]) AS w FROM m WHERE f.g > 0 GROUP BY ALL), best AS (SELECT page_id, min(try) AS try FROM r GROUP BY ALL),
+ o AS (SELECT s.page_id, s.n, s.k, s.t FROM s JOIN best USING (page_id, try) JOIN r USING (page_id, try) WHERE s.n BETWEEN r.w.a AND r.w.b)
+SELECT page_id AS doc_id, coalesce(max(t) FILTER (k = 'head' AND n < last), '') AS heading, md5(coalesce(string_agg(t, chr(10) || chr(10) ORDER BY n) FILTER (k = 'p'), string_agg(t, chr(10) ORDER BY n))) AS body_md5 FROM (SELECT *, max(n) OVER (PARTITION BY page_id) AS last FROM o) GROUP BY page_id
+""")
+def page_density(spark, sf_dir):
+    """Pages whose article is in no element of its own, between links and a frame that all pages of a host have: a head and
+    long paragraphs are found by density."""
+    ship(spark)
+    host = F.regexp_extract("url", "^https?://([^/]+)", 1)
+    own = web.article_html()
+    html = F.concat(
+        F.lit('<html><body><ul><li><a href="/">Home of '), host, F.lit('</a></li><li><a href="/m">Read more</a></li></ul>'), own, F.lit("<p>All that is on these pages belongs to "), host,
+        F.lit(' and its friends, who ask all readers to write to them.</p><div><a href="/a">About us</a></div></body></html>'),
+    )
+    found = web.articles(_table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url", html.alias("html")), density=True)
+    first = F.col("sections")[0]
+    return found.select("doc_id", first["heading"].alias("heading"), _md5(first["body"]).alias("body_md5"))

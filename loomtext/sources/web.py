@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from loomtext.functions.dates import normalise_date
 from loomtext.functions.text import strip
 from loomtext.operators import sections as S
+from loomtext.runtime import stored
 
 # Elements that hold no article text, that end a paragraph, and that never have content.
 SKIPPED = {"script", "style", "nav", "footer", "header", "aside", "form", "noscript", "svg", "button", "template"}
@@ -37,6 +38,8 @@ class _Page(HTMLParser):
         self.spans: list[tuple[int, int, int]] = []  # rank, first item, end
         self.starts: list[tuple[int, int, int]] = []  # depth, rank, first item
         self.text: list[str] = []
+        self.links: list[int] = []  # of each item, characters of its text that are links
+        self.linked = self.anchor = 0
         self.heading = 0
         self.in_title = False
         self.last_text = ""
@@ -46,6 +49,8 @@ class _Page(HTMLParser):
         self.text = []
         if text:
             self.items.append(("head" if self.heading else "p", self.heading, text))
+            self.links.append(min(self.linked, len(text)))
+        self.linked = 0
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
@@ -67,6 +72,8 @@ class _Page(HTMLParser):
         if tag == "img":
             self.flush()
             self.images.append({"at": len(self.items), "src": a.get("data-src") or a.get("src", ""), "width": a.get("width", ""), "height": a.get("height", ""), "alt_text": a.get("alt", ""), "anchor_text": self.last_text[-80:]})
+        if tag == "a":
+            self.anchor += 1
         if tag == "br":
             self.text.append("\n")
         if tag in BLOCKS or re.fullmatch("h[1-6]", tag):
@@ -85,6 +92,8 @@ class _Page(HTMLParser):
             return
         if tag == "title":
             self.in_title = False
+        if tag == "a":
+            self.anchor = max(0, self.anchor - 1)
         if tag in BLOCKS or re.fullmatch("h[1-6]", tag):
             self.flush()
             self.heading = 0
@@ -100,6 +109,8 @@ class _Page(HTMLParser):
             self.title += data
         elif not self.skip:
             self.text.append(data)
+            if self.anchor:
+                self.linked += len(" ".join(data.split()))
             if data.strip():
                 self.last_text = data.strip()
 
@@ -134,19 +145,96 @@ def read_page(html: str) -> dict:
     return {
         "title": first("og:title") or " ".join(page.title.split()), "author": first("author", "article:author"), "site_name": first("og:site_name"), "raw_date": first("article:published_time", "date", "dc.date"),
         "description": first("description", "og:description"), "language": page.lang, "sections": sections, "images": page.images,
+        # Of pages without an element for their article, all that could be it.
+        "blocks": None if any(end > start for _, start, end in page.spans) else [{"kind": k, "level": n, "text": t, "links": links} for (k, n, t), links in zip(page.items, page.links)],
     }
 
 
-PAGE = "struct<title:string,author:string,site_name:string,raw_date:string,description:string,language:string,sections:array<struct<seq:bigint,heading:string,level:int,body:string>>,images:array<struct<src:string,width:string,height:string,alt_text:string,anchor_text:string>>>"
+PAGE = "struct<title:string,author:string,site_name:string,raw_date:string,description:string,language:string,sections:array<struct<seq:bigint,heading:string,level:int,body:string>>,images:array<struct<src:string,width:string,height:string,alt_text:string,anchor_text:string>>,blocks:array<struct<kind:string,level:int,text:string,links:int>>>"
 
 
 def _read(html: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([read_page(h) for h in html], columns=["title", "author", "site_name", "raw_date", "description", "language", "sections", "images"])
-
-
-def articles(pages: DataFrame, min_content_length: int = 100) -> DataFrame:
-    """Pages (doc_id, url, html) as documents with sections; too short ones carry an error and stay."""
-    return _articles(pages.withColumn("page", F.pandas_udf(_read, PAGE)("html")).select("doc_id", "url", "page.*"), min_content_length)
+    return pd.DataFrame([read_page(h) for h in html], columns=["title", "author", "site_name", "raw_date", "description", "language", "sections", "images", "blocks"])
+
+
+def articles(pages: DataFrame, min_content_length: int = 100, density: bool = False) -> DataFrame:
+    """Pages (doc_id, url, html) as documents with sections; too short ones carry an error and stay. With density, the text
+    of pages that have no element for it is told by dense_sections(); otherwise it is all text."""
+    rows = _parsed(pages)
+    if density:
+        # Of most pages the markup tells that they have such an element, so that they are parsed once.
+        rows = dense_sections(rows, frames(_parsed(pages.where(~F.coalesce(F.col("html").rlike(_CONTAINER), F.lit(False))))))
+    return _articles(rows.drop("blocks"), min_content_length)
+
+
+def _parsed(pages: DataFrame) -> DataFrame:
+    return pages.withColumn("page", F.pandas_udf(_read, PAGE)("html")).select("doc_id", "url", "page.*")
+
+
+# Article text by density ------------------------------------------------------------------------------------------------
+
+#: What a character of a link and a paragraph itself cost; pages of a host that have the same block, at least, and as a share of
+#: those pages, for it to be taken for a part of the host's frame.
+LINK_COST, BLOCK_COST, REPEATS, REPEAT_SHARE = 3, 20, 3, 0.05
+_CONTAINER = r"(?i)<(?:article|main)\b|\brole\s*=\s*[\"']?main\b"
+_SECTIONS = "array<struct<seq:bigint,heading:string,level:int,body:string>>"
+
+
+def best_run(blocks) -> Column:
+    """The run of blocks of the greatest sum of scores, a block's being its characters less what its links and, but
+    for headings, itself cost: of equal ones that which ends first, and of those the shortest. Empty where no block scores more than 0. One fold."""
+    scored = F.transform(blocks, lambda b, i: F.struct(i.alias("i"), (F.length(b["text"]) - LINK_COST * b["links"] - F.when(b["kind"] == "p", BLOCK_COST).otherwise(0)).alias("score")))
+    start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("since"), F.lit(0).alias("best"), F.lit(0).alias("first"), F.lit(-1).alias("last"))
+
+    def step(s: Column, b: Column) -> Column:
+        fresh = s["sum"] <= 0
+        now, since = F.when(fresh, b["score"]).otherwise(s["sum"] + b["score"]), F.when(fresh, b["i"]).otherwise(s["since"])
+        better = now > s["best"]
+        keep = lambda new, old: F.when(better, new).otherwise(s[old]).alias(old)
+        return F.struct(now.alias("sum"), since.alias("since"), keep(now, "best"), keep(since, "first"), keep(b["i"], "last"))
+
+    return S.let(F.aggregate(scored, start, step), lambda s: F.slice(blocks, s["first"] + 1, s["last"] - s["first"] + 1))
+
+
+def sections_of_blocks(blocks) -> Column:
+    """Blocks as sections: a heading opens one, and those without paragraphs are dropped; without any, all text is one."""
+    close = lambda s: F.when(F.size(s["body"]) > 0, F.array(F.struct(F.size(s["done"]).cast("bigint").alias("seq"), s["heading"].alias("heading"), s["level"].alias("level"), F.array_join(s["body"], "\n\n").alias("body"))).cast(_SECTIONS)).otherwise(F.array().cast(_SECTIONS))
+    start = F.struct(F.array().cast(_SECTIONS).alias("done"), F.lit("").alias("heading"), F.lit(2).alias("level"), F.array().cast("array<string>").alias("body"))
+
+    def step(s: Column, b: Column) -> Column:
+        head = b["kind"] == "head"
+        return F.struct(
+            F.when(head, F.concat(s["done"], close(s))).otherwise(s["done"]).alias("done"), F.when(head, b["text"]).otherwise(s["heading"]).alias("heading"),
+            F.when(head, b["level"]).otherwise(s["level"]).alias("level"), F.when(head, F.array().cast("array<string>")).otherwise(F.concat(s["body"], F.array(b["text"]))).alias("body"),
+        )
+
+    plain = F.array(F.struct(F.lit(0).cast("bigint").alias("seq"), F.lit("").alias("heading"), F.lit(2).alias("level"), F.array_join(F.transform(blocks, lambda b: b["text"]), "\n").alias("body"))).cast(_SECTIONS)
+    made = F.aggregate(blocks, start, step, lambda s: F.concat(s["done"], close(s)))
+    return S.let(made, lambda m: F.when(F.size(m) > 0, m).when(F.size(blocks) > 0, plain).otherwise(m))
+
+
+def frames(rows: DataFrame, repeats: int = REPEATS, share: float = REPEAT_SHARE) -> DataFrame:
+    """Of pages (doc_id, url, blocks), the places (doc_id, framed: array of numbers from 0) of blocks that belong to their
+    host's frame: equal blocks on many of its pages. Texts stay where they are; hashes are stored, and counted by host
+    before they move."""
+    host = F.lower(F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit("")))
+    hashes = F.transform("blocks", lambda b: F.xxhash64(b["text"]))
+    pages, _ = stored(rows.where("size(blocks) > 0").select("doc_id", host.alias("host"), hashes.alias("hashes")), "blocks")
+    of_host = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    seen = pages.select("host", F.explode(F.array_distinct("hashes")).alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= repeats)
+    common = seen.join(of_host, "host").where(F.col("n") >= share * F.col("pages")).select("host", "hash")
+    places = pages.select("doc_id", "host", F.posexplode("hashes").alias("at", "hash"))
+    return places.join(common, ["host", "hash"]).groupBy("doc_id").agg(F.collect_set("at").alias("framed"))
+
+
+def dense_sections(rows: DataFrame, framed: DataFrame) -> DataFrame:
+    """Pages (doc_id, url, sections, blocks, ...) with the sections of those that have blocks told by density: their host's
+    frame goes, and of the rest the best run stays. Where that leaves nothing, the best run of all blocks does, or all."""
+    rows = rows.join(framed, "doc_id", "left")
+    kept = F.filter("blocks", lambda b, i: ~F.coalesce(F.array_contains("framed", i), F.lit(False)))
+    first = lambda *runs: F.coalesce(*(F.when(F.size(r) > 0, r) for r in runs), F.col("blocks"))
+    rows = rows.withColumn("blocks", F.when(F.col("blocks").isNotNull(), first(best_run(kept), best_run(F.col("blocks")))))
+    return rows.withColumn("sections", F.when(F.col("blocks").isNotNull(), sections_of_blocks(F.col("blocks"))).otherwise(F.col("sections"))).drop("framed")
 
 
 def _articles(rows: DataFrame, min_content_length: int) -> DataFrame:
