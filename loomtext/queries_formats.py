@@ -211,15 +211,15 @@ def playlist_expand(spark, sf_dir):
 
 
 @query(f"""
-SELECT doc_id, CASE WHEN doc_id % 6 = 5 THEN 'Untitled' ELSE {_STRIP(f"regexp_replace(left(text, 60), '{WS2}+', ' ', 'g')")} || ' & more' END AS title, CASE WHEN doc_id % 6 = 5 THEN '' ELSE {_STRIP("split_part(text, chr(10), 1)")} END AS abstract_head, CASE WHEN doc_id % 6 = 5 THEN 'unknown' ELSE '2024-03-04' END AS publish_date,
+SELECT doc_id, CASE WHEN doc_id % 6 = 5 THEN 'Untitled' ELSE {_STRIP(f"regexp_replace(text, '{WS2}+', ' ', 'g')")} || ' & more' END AS title, CASE WHEN doc_id % 6 = 5 THEN '' ELSE {_STRIP(f"regexp_replace(text, '{WS2}+', ' ', 'g')")} END AS abstract_head, CASE WHEN doc_id % 6 = 5 THEN 'unknown' ELSE '2024-03-04' END AS publish_date,
  CASE WHEN doc_id % 6 = 5 THEN '' ELSE 'A. ' || source || ';' || lang END AS authors, CASE WHEN doc_id % 6 = 5 THEN '' ELSE 'cs.CL;' || lang END AS categories, CASE WHEN doc_id % 2 = 0 AND doc_id % 6 <> 5 THEN '10.1/' || doc_id END AS doi, CASE WHEN doc_id % 6 = 5 THEN 'ArxivAPIError' END AS error_type FROM documents
 """)
 def atom_papers(spark, sf_dir):
     """Documents as Atom answers, every sixth an error."""
     k = F.col("doc_id")
-    broken = F.replace(_XML(F.left("text", F.lit(60))), F.lit(" "), F.lit(" \n  "))
+    broken = F.replace(_XML("text"), F.lit(" "), F.lit(" \n  "))
     good = F.concat(
-        F.lit("<id>http://arxiv.org/abs/1</id><title> "), broken, F.lit("\n &amp;  more</title><author><name>A. "), "source", F.lit("</name></author><author><name>"), "lang", F.lit("</name></author><summary> "), _XML(F.split_part("text", F.lit("\n"), F.lit(1))), F.lit(" </summary><published>2024-03-04T05:06:07Z</published><category term=\"cs.CL\"/><category term=\""),
+        F.lit("<id>http://arxiv.org/abs/1</id><title> "), broken, F.lit("\n &amp;  more</title><author><name>A. "), "source", F.lit("</name></author><author><name>"), "lang", F.lit("</name></author><summary> "), _XML("text"), F.lit(" </summary><published>2024-03-04T05:06:07Z</published><category term=\"cs.CL\"/><category term=\""),
         "lang", F.lit('"/>'), F.when(k % 2 == 0, F.concat(F.lit("<arxiv:doi>10.1/"), k.cast("string"), F.lit("</arxiv:doi>"))).otherwise(""),
     )
     xml = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom" xmlns:arxiv="http://arxiv.org/schemas/atom"><title>query</title><entry>'), F.when(k % 6 == 5, "<id>http://arxiv.org/api/errors#x</id>").otherwise(good), F.lit("</entry><entry><title>second</title></entry></feed>"))

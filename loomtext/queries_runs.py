@@ -10,7 +10,7 @@ from loomtext.plans.config import load
 from loomtext.queries import _table, query
 from loomtext.queries_documents import _ARTICLE, _md5, _streamed
 from loomtext.runtime import scratch, ship, stored
-from loomtext.sources import connectors, web
+from loomtext.sources import connectors, fetch_source, web
 from loomtext.streaming import ingest, ledger, limits
 
 #: Microseconds in a day, and of the window and the margin of the queries below.
@@ -172,3 +172,29 @@ def page_density(spark, sf_dir):
     found = web.articles(_table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url", html.alias("html")), density=True)
     first = F.col("sections")[0]
     return found.select("doc_id", first["heading"].alias("heading"), _md5(first["body"]).alias("body_md5"))
+
+
+@query("""
+WITH h AS (SELECT page_id, url, regexp_extract(url, '^https?://([^/:]+)', 1) AS host, encode(html) AS body FROM pages), u AS (SELECT url, host, min(page_id) AS page_id FROM h GROUP BY ALL),
+ top AS (SELECT host FROM u GROUP BY host ORDER BY count(*) DESC, host LIMIT 5), a AS (SELECT url, arg_min(body, page_id) AS body FROM h GROUP BY url)
+SELECT u.url, CASE WHEN page_id % 10 = 9 THEN NULL ELSE md5(CASE WHEN page_id % 5 = 3 THEN encode('mirror ' || u.url) ELSE body END) END AS md5,
+ CAST(CASE WHEN page_id % 10 = 9 THEN 3 WHEN page_id % 5 = 3 THEN 2 ELSE 1 END AS INTEGER) AS asked, CASE WHEN page_id % 10 = 9 THEN 'NetworkError' END AS error_type FROM u JOIN a USING (url) WHERE host IN (SELECT host FROM top)
+""")
+def fetched_pages(spark, sf_dir):
+    """Pages as recorded answers of their hosts; every fifth is had from its first mirror alone, some from none. The five
+    largest hosts are asked for, by a filter that the source takes."""
+    pages = _table(spark, sf_dir, "pages")
+    host = F.regexp_extract("url", "^https?://([^/:]+)", 1)
+    urls = pages.groupBy("url").agg(F.min("page_id").alias("page_id"), F.min_by("html", "page_id").alias("html")).withColumn("host", host)
+    mirror = lambda n: F.concat(F.lit(f"http://mirror{n}.org/"), F.md5(F.col("url").cast("binary")))
+    body = F.lit("text/html").alias("content_type")
+    there, at_mirror = F.col("page_id") % 5 != 3, (F.col("page_id") % 5 == 3) & (F.col("page_id") % 10 != 9)
+    own = urls.where(there & (F.col("page_id") % 10 != 9)).select("url", F.lit(200).alias("status"), F.col("html").cast("binary").alias("body"), body)
+    other = urls.where(at_mirror).select(mirror(1).alias("url"), F.lit(200).alias("status"), F.concat(F.lit("mirror "), "url").cast("binary").alias("body"), body)
+    failing = urls.where("page_id % 5 = 3").select("url", F.lit(503).alias("status"), F.lit(None).cast("binary").alias("body"), body)
+    answers, requests = scratch(spark, "answers"), scratch(spark, "requests")
+    own.unionByName(other).unionByName(failing).write.parquet(answers)
+    fetch_source.requested(urls.select("url", F.array(mirror(1), mirror(2)).alias("mirrors")), requests)
+    top = [r["host"] for r in urls.groupBy("host").count().orderBy(F.desc("count"), "host").limit(5).collect()]
+    got = fetch_source.fetched(spark, requests, answers).where(F.col("host").isin(*top))
+    return got.select("url", F.md5("content").alias("md5"), "asked", "error_type")

@@ -6,9 +6,14 @@ that sessions are opened once in each worker, and failures become columns.
 
 from __future__ import annotations
 
+import gzip
+import http.client
 import re
+import ssl
 import threading
 import time
+import urllib.error
+import urllib.request
 import zlib
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator
@@ -53,6 +58,7 @@ class Answer:
     status: int = 200
     body: bytes = b""
     content_type: str = "text/html"
+    after: float | None = None  # seconds after which to ask again, if the other side says so
 
 
 class Connector(Protocol):
@@ -142,24 +148,58 @@ def decoded(answer: Answer) -> str:
         return answer.body.decode("utf-8", "replace")
 
 
-def _fetch(connector: Connector, retries: int, base: float, kind: str, batches):
-    def once(url: str) -> Answer:
+def got(connector: Connector, url: str) -> Answer:
+    """One answer, or the kind of its failure."""
+    try:
+        answer = connector.get(url)
+    except (ConnectionError, TimeoutError) as e:
+        raise Retry(str(e)) from e
+    what = verdict(answer.status)
+    if what == "retry":
+        raise Retry(f"HTTP {answer.status}", answer.after)
+    if what == "fatal":
+        raise Fatal(f"HTTP {answer.status}")
+    return answer
+
+
+@dataclass(frozen=True)
+class Http:
+    """A connector that asks over HTTP with the standard library. `kind` tells what is asked for (html, pdf or image);
+    `rotate` names an agent by the URL; without `verify`, certificates are not checked."""
+
+    kind: str = "html"
+    timeout: float = 30.0
+    verify: bool = True
+    rotate: bool = True
+
+    def get(self, url: str) -> Answer:
+        if not url.lower().startswith(("http://", "https://")):
+            return Answer(400)
+        context = None if self.verify else ssl._create_unverified_context()
+        request = urllib.request.Request(url, headers=headers(self.kind, url, self.rotate))
         try:
-            answer = connector.get(url)
-        except (ConnectionError, TimeoutError) as e:
-            raise Retry(str(e)) from e
-        what = verdict(answer.status)
-        if what == "retry":
-            raise Retry(f"HTTP {answer.status}")
-        if what == "fatal":
-            raise Fatal(f"HTTP {answer.status}")
-        return answer
+            with urllib.request.urlopen(request, timeout=self.timeout, context=context) as reply:
+                return Answer(reply.status, _unpacked(reply.read(), reply.headers.get("Content-Encoding")), reply.headers.get("Content-Type") or "")
+        except urllib.error.HTTPError as e:
+            after = e.headers.get("Retry-After") if e.headers else None
+            return Answer(e.code, b"", "", float(after) if after and after.isdigit() else None)
+        except (urllib.error.URLError, http.client.HTTPException, OSError) as e:
+            raise ConnectionError(str(e)) from e
+
 
+def _unpacked(body: bytes, encoding: str | None) -> bytes:
+    """A body without its transfer's compression, which the headers allow for."""
+    if encoding == "gzip":
+        return gzip.decompress(body)
+    return zlib.decompress(body) if encoding == "deflate" else body
+
+
+def _fetch(connector: Connector, retries: int, base: float, kind: str, batches):
     for batch in batches:
         rows = []
         for doc_id, url in zip(batch["doc_id"], batch["url"], strict=True):
             try:
-                a = with_retries(partial(once, url), 1 if kind == "image" else retries, base, sleep=lambda s: None if isinstance(connector, Recorded) else time.sleep(s))
+                a = with_retries(partial(got, connector, url), 1 if kind == "image" else retries, base, sleep=lambda s: None if isinstance(connector, Recorded) else time.sleep(s))
                 picture = kind != "image" or "image" in a.content_type or "octet-stream" in a.content_type
                 rows.append((doc_id, url, a.body if picture else b"", decoded(a) if kind == "html" else None, a.content_type, None, None))
             except Fatal as e:

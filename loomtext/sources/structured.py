@@ -26,42 +26,57 @@ VIDEO = (
 PDF = "number_of_pages int, title string, author string, creation_date string"
 
 
-def _xpath(xml: str, path: str) -> Column:
-    return F.xpath_string(F.col(xml), F.lit(path))
+#: What is read of Atom answers and of RSS feeds, tags by their local names. Tags that may come more than once are arrays, so
+#: that the first can be taken.
+ATOM = (
+    "entry array<struct<id:array<string>,title:array<string>,author:array<struct<name:array<string>>>,summary:array<string>,published:array<string>,"
+    "category:array<struct<_term:string>>,doi:array<string>>>"
+)
+RSS = (
+    "channel struct<title:array<string>,language:array<string>,item:array<struct<title:array<string>,description:array<string>,summary:array<string>,episode:array<string>,pubDate:array<string>,duration:array<string>,"
+    "link:array<struct<_VALUE:string,_href:string,_type:string>>,enclosure:array<struct<_url:string,_type:string>>>>>"
+)
+_AS_IS = {"ignoreNamespace": "true", "ignoreSurroundingSpaces": "false"}
+
+
+def _parsed(xml: Column, schema: str) -> Column:
+    """One parse of a text; nulls where it is no XML. Undeclared prefixes are cut from tags first."""
+    return F.from_xml(F.regexp_replace(xml, r"(</?)[A-Za-z][\w.-]*:", "$1"), schema, _AS_IS)
 
 
 def papers(xml: DataFrame) -> DataFrame:
-    """Atom answers (doc_id, xml) as papers: the first entry; an entry that tells an error carries it."""
-    tag = lambda n: f"//*[local-name()='entry'][1]/*[local-name()='{n}']"
-    text = lambda n: strip(collapse(_xpath("xml", tag(n) + "/text()")))
-    many = lambda p: F.xpath(F.col("xml"), F.lit(p))
-    entry = F.xpath_boolean(F.col("xml"), F.lit("//*[local-name()='entry']"))
-    error = ~entry | F.contains(_xpath("xml", tag("id")), F.lit("api/errors"))
-    return xml.select(
-        "doc_id", F.coalesce(F.nullif(text("title"), F.lit("")), F.lit("Untitled")).alias("title"), many(tag("author") + "/*[local-name()='name']/text()").alias("authors"), text("summary").alias("abstract"),
-        F.coalesce(F.nullif(F.left(text("published"), F.lit(10)), F.lit("")), F.lit(UNKNOWN)).alias("publish_date"), many(tag("category") + "/@term").alias("categories"), F.nullif(text("doi"), F.lit("")).alias("doi"),
+    """Atom answers (doc_id, xml) as papers: the first entry; an entry that tells an error carries it, as does an answer
+    that is no XML. Each answer is parsed once."""
+    rows = xml.select("doc_id", F.get(_parsed(F.col("xml"), ATOM)["entry"], F.lit(0)).alias("e"))
+    text = lambda n: F.coalesce(strip(collapse(F.get(f"e.{n}", F.lit(0)))), F.lit(""))
+    some = lambda xs: F.coalesce(F.filter(xs, lambda x: x.isNotNull()), F.array().cast("array<string>"))
+    error = F.col("e").isNull() | F.contains(text("id"), F.lit("api/errors"))
+    return rows.select(
+        "doc_id", F.coalesce(F.nullif(text("title"), F.lit("")), F.lit("Untitled")).alias("title"), some(F.transform("e.author", lambda a: F.get(a["name"], F.lit(0)))).alias("authors"), text("summary").alias("abstract"),
+        F.coalesce(F.nullif(F.left(text("published"), F.lit(10)), F.lit("")), F.lit(UNKNOWN)).alias("publish_date"), some(F.transform("e.category", lambda c: c["_term"])).alias("categories"), F.nullif(text("doi"), F.lit("")).alias("doi"),
         F.lit("en").alias("language"), F.when(error, "ArxivAPIError").alias("error_type"),
     )
 
 
 def feed_episodes(feeds: DataFrame, limit: int = 10) -> DataFrame:
     """RSS texts (doc_id, xml) as episodes: the first `limit` items (0: all), of which those without audio are then dropped.
+    Each text is parsed once; of one that is no XML there are none.
 
     Audio is the first enclosure of an audio type or suffix, else the first link of an audio type."""
-    items = F.regexp_extract_all("xml", F.lit(r"(?s)<item[\s>].*?</item>"), F.lit(0))
-    # Prefixes are cut from tag names, as a single item does not declare them.
-    rows = feeds.select("doc_id", _xpath("xml", "//channel/title/text()").alias("show_name"), _xpath("xml", "//channel/language/text()").alias("language"), F.posexplode(items).alias("pos", "item"))
-    if limit:
-        rows = rows.where(F.col("pos") < limit)
-    rows = rows.withColumn("item", F.regexp_replace("item", r"(</?)[A-Za-z][\w.-]*:", "$1"))
-    suffixes = " or ".join(f"contains(concat(@url, '|'), '.{x}|')" for x in ("mp3", "m4a", "ogg", "wav", "aac"))
-    enclosed, linked = _xpath("item", f"//enclosure[starts-with(@type, 'audio/') or {suffixes}][1]/@url"), _xpath("item", "//link[starts-with(@type, 'audio/')][1]/@href")
-    rows = rows.withColumn("audio_url", F.coalesce(F.nullif(enclosed, F.lit("")), linked))
-    get = lambda n: F.nullif(strip(_xpath("item", f"/item/{n}[1]/text()")), F.lit(""))
+    rows = feeds.select("doc_id", _parsed(F.col("xml"), RSS)["channel"].alias("c"))
+    items = F.slice("c.item", 1, limit) if limit else F.col("c.item")
+    head = lambda n: F.coalesce(F.get(f"c.{n}", F.lit(0)), F.lit(""))
+    rows = rows.select("doc_id", head("title").alias("show_name"), head("language").alias("language"), F.posexplode(items).alias("pos", "i"))
+    audio = lambda kind: F.startswith(F.coalesce(kind, F.lit("")), F.lit("audio/"))
+    enclosed = F.filter("i.enclosure", lambda e: audio(e["_type"]) | F.coalesce(e["_url"].rlike(r"\.(?:mp3|m4a|ogg|wav|aac)\z"), F.lit(False)))
+    linked = F.filter("i.link", lambda x: audio(x["_type"]))
+    rows = rows.withColumn("audio_url", F.coalesce(F.nullif(F.get(enclosed, F.lit(0))["_url"], F.lit("")), F.get(linked, F.lit(0))["_href"]))
+    get = lambda n: F.nullif(strip(F.get(f"i.{n}", F.lit(0))), F.lit(""))
+    link = F.nullif(strip(F.get("i.link", F.lit(0))["_VALUE"]), F.lit(""))
     described = F.coalesce(get("description"), get("summary"), F.lit(""))
     return rows.where("audio_url <> ''").select(
         "doc_id", "pos", F.coalesce(get("title"), F.lit("Untitled Episode")).alias("title"), F.coalesce(F.nullif("show_name", F.lit("")), F.lit("Unknown Podcast")).alias("show_name"), get("episode").alias("episode_number"),
-        F.coalesce(get("link"), "audio_url").alias("url"), "audio_url", feed_date(get("pubDate")).alias("publish_date"), feed_duration(get("duration")).alias("duration"), F.nullif("language", F.lit("")).alias("language"), described.alias("description"),
+        F.coalesce(link, "audio_url").alias("url"), "audio_url", feed_date(get("pubDate")).alias("publish_date"), feed_duration(get("duration")).alias("duration"), F.nullif("language", F.lit("")).alias("language"), described.alias("description"),
     )
 
 
