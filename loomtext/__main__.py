@@ -1,6 +1,8 @@
-"""python -m loomtext: local files and folders to Markdown documents, dry runs and backfills.
+"""python -m loomtext: files, folders and URLs to Markdown documents, dry runs and backfills.
 
-Items that need a network are routed and kept with an error, as no connector is given here: call the plans with one.
+Pages and posts are asked for over HTTP. What else needs a service takes it by name, as in --service tool=package.module:Tool
+(kinds: web, tool, speech, converter, model, vision); items of kinds without one keep an error. Settings that would change
+nothing are an error, so that no option is silently without effect.
 """
 
 from __future__ import annotations
@@ -12,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomtext.operators import relational as R
-from loomtext.plans import config, pipelines, sinks
-from loomtext.runtime import ship
+from loomtext.plans import config, pipelines, runs, sinks
+from loomtext.runtime import ship, stored
 from loomtext.sources import files
 
 
@@ -32,7 +34,9 @@ def _spread(items: DataFrame, listed: DataFrame) -> DataFrame:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> DataFrame:
     """What was done, a row for each item."""
     args = config.parser().parse_args(argv)
-    cfg = config.load(args.config, config.overrides(args))
+    cfg, services = config.load(args.config, config.overrides(args)), runs.Services.named(args.service)
+    if idle := runs.without_effect(cfg, services):
+        raise SystemExit(f"settings without effect: {', '.join(idle)}")
     spark = spark or SparkSession.builder.appName("loomtext").getOrCreate()
     ship(spark)
     out = f"{cfg.output.dir}/output"
@@ -48,14 +52,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> Da
     if args.dry_run:
         return items.select("url", "content_type").join(pipelines.preview_files(listed).withColumnRenamed("path", "url"), "url", "left")
     scanned = files.scan(spark, here).withColumn("path", F.regexp_replace("path", "^file:(?://)?", "")) if here else None
-
-    def local(rows: DataFrame) -> DataFrame:
-        own = scanned.drop("doc_id").join(rows, scanned["path"] == rows["url"]).drop("url")
-        return pipelines.local_files(own, cfg)
-
-    done = pipelines.run(items, {"local_file": local} if here else {}, cfg)
-    folders = sinks.unique_paths(done.where("markdown IS NOT NULL").withColumn("folder", sinks.folder(max_length=cfg.output.slug_max_length)))
-    sinks.write_files(folders.withColumn("basename", sinks.basename()), out, cfg.output.overwrite, copies=True)
+    done, _ = stored(pipelines.run(items, runs.plans(cfg, services, scanned), cfg), "run")
+    runs.save(done, cfg, out)
     return done.select("url", "content_type", "title", "error_type", "error_message")
 
 

@@ -261,6 +261,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("urls", nargs="*", help="URLs, files or folders")
     p.add_argument("-f", "--file", help="a file with one URL a line")
     p.add_argument("--config", help="a settings file, JSON or YAML")
+    p.add_argument("--service", action="append", default=[], help="kind=module:attribute of a service")
     p.add_argument("--dry-run", action="store_true", help="tell what would be done")
     p.add_argument("--backfill-batch", action="store_true", help="copy the documents of all folders to the batch folder")
     for name, (group, key, kind) in OPTIONS.items():

@@ -78,10 +78,11 @@ def podcasts(episodes: DataFrame, asr: DataFrame, cfg: Config = Config()) -> Dat
     return rows.withColumn("markdown", render.podcast(rows, cfg.flags.include_description))
 
 
-def pages(html: DataFrame, cfg: Config = Config(), described: DataFrame | None = None) -> DataFrame:
+def pages(html: DataFrame, cfg: Config = Config(), described: DataFrame | None = None, density: bool = False) -> DataFrame:
     """Pages (doc_id, url, html) to documents: one pass of the reader over each page, all else in its row. described:
-    descriptions (doc_id, seq, anchor_text, description) of pictures, put after their anchors."""
-    found = web.articles(html, cfg.articles.min_content_length, density=True)
+    descriptions (doc_id, seq, anchor_text, description) of pictures, put after their anchors. density: pages without an
+    element for their article are read by density and without their host's frame, for which hashes are counted."""
+    found = web.articles(html, cfg.articles.min_content_length, density, cfg.articles.include_tables)
     if described is not None:
         found = A.insert_at_anchors(found, described).drop("image_places")
     found = found.drop("images").withColumn("body", S.body_text("sections")).withColumn("content_type", F.lit("article"))
@@ -120,7 +121,8 @@ def papers(texts: DataFrame, properties: DataFrame, api: DataFrame | None = None
 
 def local_files(files: DataFrame, cfg: Config = Config(), descriptions: DataFrame | None = None) -> DataFrame:
     """Scanned files (doc_id, path, content, modified) to documents."""
-    rows = files_of.local_documents(files, cfg.local_files.detect_txt_headings)
+    own = cfg.local_files
+    rows = files_of.local_documents(files, own.detect_txt_headings, own.include_tables, own.include_speaker_notes, own.min_content_length)
     if descriptions is not None:
         rows = I.with_descriptions(rows, descriptions)
     rows = rows.withColumn("body", S.body_text("sections")).withColumn("content_type", F.lit("local_file"))

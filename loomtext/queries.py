@@ -360,12 +360,12 @@ def duration_format(spark, sf_dir):
 
 
 @query("""
-SELECT d.doc_id, '---' || chr(10) || 'title: "' || replace(replace(left(text, 40), '\\', '\\\\'), '"', '\\"') || '"' || chr(10) || coalesce('language: "' || lang || '"' || chr(10), '') || coalesce('quality: ' || quality || chr(10), '')
+SELECT d.doc_id, '---' || chr(10) || 'title: "' || replace(replace(text, '\\', '\\\\'), '"', '\\"') || '"' || chr(10) || coalesce('language: "' || lang || '"' || chr(10), '') || coalesce('quality: ' || quality || chr(10), '')
   || 'polished: false' || chr(10) || '---' AS markdown FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
 """)
 def frontmatter_render(spark, sf_dir):
     rows = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang").join(_table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
-    return rows.select("doc_id", render.front_matter({"title": F.left("text", F.lit(40)), "language": F.col("lang"), "quality": F.col("quality"), "polished": F.lit("false")}, ("quality", "polished")).alias("markdown"))
+    return rows.select("doc_id", render.front_matter({"title": F.col("text"), "language": F.col("lang"), "quality": F.col("quality"), "polished": F.lit("false")}, ("quality", "polished")).alias("markdown"))
 
 
 @query("SELECT user_id, event_id, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM events) WHERE r <= 5")

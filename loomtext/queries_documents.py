@@ -310,6 +310,23 @@ def polish_documents(spark, sf_dir):
     return K.polished(docs, work, answers).select("doc_id", _md5(F.col("markdown")).alias("markdown_md5"))
 
 
+@query(f"""
+WITH {_duck_chunks("300", f"SELECT doc_id, regexp_replace('x ' || replace(text, chr(10), ' '), '{WS2}+$', '') AS text FROM documents WHERE text IS NOT NULL")},
+ p AS (SELECT doc_id, no, substr(text, CAST(pos + 1 AS BIGINT), CAST(stop - pos AS BIGINT)) AS chunk FROM c), q AS (SELECT *, CASE WHEN no = 0 THEN '' ELSE right(lag(chunk) OVER (PARTITION BY doc_id ORDER BY no), 30) END AS context FROM p)
+SELECT doc_id, count(*) AS chunks, md5('# T' || {NL2} || '> q' || {NL2} || string_agg(CASE WHEN no % 3 = 2 THEN chunk ELSE 'said ' || context || '|' || chunk END, {NL2} ORDER BY no)) AS markdown_md5 FROM q GROUP BY doc_id
+""")
+def polish_chunks(spark, sf_dir):
+    """Whole documents of one body, cut into chunks of 300 characters, each with the end of the one before; of every three
+    answers one is missing, whose chunk stands for itself."""
+    ship(spark)
+    body = F.concat(F.lit("# T\n\n> q\n\nx "), F.replace("text", F.lit("\n"), F.lit(" ")))
+    docs = _table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", body.alias("markdown"))
+    work = K.polish_work(docs, 300, 300)
+    answers = work.where("chunk_no % 3 <> 2").select("doc_id", "section", "chunk_no", F.concat(F.lit("said "), "context", F.lit("|"), "chunk").alias("answer"))
+    counts = work.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"))
+    return K.polished(docs, work, answers).join(counts, "doc_id").select("doc_id", "chunks", _md5(F.col("markdown")).alias("markdown_md5"))
+
+
 # Relations --------------------------------------------------------------------------------------------------------------
 
 

@@ -126,7 +126,7 @@ def _json(**fields) -> Column:
 
 
 @query("""
-SELECT doc_id, 'v' || doc_id AS video_id, CASE doc_id % 4 WHEN 0 THEN 'Untitled' WHEN 1 THEN NULL ELSE left(text, 30) END AS title, CASE WHEN doc_id % 3 = 0 THEN 'http://w/' || doc_id WHEN doc_id % 3 = 1 THEN 'http://o/' || doc_id ELSE '' END AS url,
+SELECT doc_id, 'v' || doc_id AS video_id, CASE doc_id % 4 WHEN 0 THEN 'Untitled' WHEN 1 THEN NULL ELSE text END AS title, CASE WHEN doc_id % 3 = 0 THEN 'http://w/' || doc_id WHEN doc_id % 3 = 1 THEN 'http://o/' || doc_id ELSE '' END AS url,
  CASE WHEN doc_id % 5 = 0 THEN 'Unknown' WHEN doc_id % 5 = 1 THEN 'Up' ELSE source END AS channel, CASE WHEN doc_id % 7 = 0 THEN 'unknown' ELSE '2024-' || lpad(CAST(doc_id % 12 + 1 AS VARCHAR), 2, '0') || '-05' END AS publish_date, CAST(n_chars AS INTEGER) AS duration,
  CASE WHEN n_chars >= 3600 THEN (n_chars // 3600) || ':' || lpad(CAST(n_chars // 60 % 60 AS VARCHAR), 2, '0') ELSE CAST(n_chars // 60 AS VARCHAR) END || ':' || lpad(CAST(n_chars % 60 AS VARCHAR), 2, '0') AS duration_text, lang AS language, CAST(CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 0 END AS BIGINT) AS chapters
 FROM documents
@@ -138,7 +138,7 @@ def video_info(spark, sf_dir):
     text = lambda c: F.substring(F.to_json(F.array(c)), 2, 1 << 20)
     quoted = lambda c: F.regexp_replace(text(c), r"\]\z", "")
     fields = F.array(
-        pair("id", quoted(F.concat(F.lit("v"), k.cast("string")))), F.when(k % 4 == 1, '"title": null').when(k % 4 > 1, pair("title", quoted(F.left("text", F.lit(30))))),
+        pair("id", quoted(F.concat(F.lit("v"), k.cast("string")))), F.when(k % 4 == 1, '"title": null').when(k % 4 > 1, pair("title", quoted(F.col("text")))),
         F.when(k % 3 == 0, pair("webpage_url", quoted(F.concat(F.lit("http://w/"), k.cast("string"))))), F.when(k % 3 < 2, pair("original_url", quoted(F.concat(F.lit("http://o/"), k.cast("string"))))),
         F.when(k % 5 > 1, pair("channel", quoted("source"))), F.when(k % 5 == 1, F.lit('"uploader": "Up"')), F.when(k % 7 != 0, pair("upload_date", quoted(F.concat(F.lit("2024"), _pad(k % 12 + 1, 2), F.lit("05"))))),
         pair("duration", F.concat(F.col("n_chars").cast("string"), F.lit(".7"))), pair("language", quoted("lang")), F.when(k % 2 == 0, '"chapters": [{"title": "a", "start_time": 0, "end_time": 1}, {"title": "b", "start_time": 1.5, "end_time": 2}]').when(k % 4 == 1, '"chapters": null'),
@@ -151,7 +151,7 @@ _XML = lambda x: F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"),
 
 
 @query(f"""
-WITH {_TURNS} SELECT conv_id AS doc_id, CAST(i AS INTEGER) AS pos, CASE WHEN i = 4 THEN 'Untitled Episode' ELSE {_STRIP("left(text, 40)")} || ' & <' || i || '>' END AS title, CASE WHEN conv_id % 4 = 0 THEN 'Unknown Podcast' ELSE 'Show ' || conv_id END AS show_name, CASE WHEN i % 2 = 0 THEN CAST(i + 1 AS VARCHAR) END AS episode_number,
+WITH {_TURNS} SELECT conv_id AS doc_id, CAST(i AS INTEGER) AS pos, CASE WHEN i = 4 THEN 'Untitled Episode' ELSE {_STRIP("text")} || ' & <' || i || '>' END AS title, CASE WHEN conv_id % 4 = 0 THEN 'Unknown Podcast' ELSE 'Show ' || conv_id END AS show_name, CASE WHEN i % 2 = 0 THEN CAST(i + 1 AS VARCHAR) END AS episode_number,
  CASE WHEN i % 3 = 0 THEN 'http://page/' || conv_id || '/' || i ELSE 'http://a/' || conv_id || '/' || i || CASE WHEN i = 2 THEN '.ogg' ELSE '.mp3' END END AS url, 'http://a/' || conv_id || '/' || i || CASE WHEN i = 2 THEN '.ogg' ELSE '.mp3' END AS audio_url,
  CASE WHEN i = 0 THEN '2024-05-07' WHEN i = 5 THEN 'unknown' ELSE '2024-05-0' || (i + 1) END AS publish_date, CAST(CASE WHEN i = 0 THEN 3723 WHEN i = 2 THEN 90 WHEN i = 4 THEN 59 ELSE 0 END AS BIGINT) AS duration, CASE WHEN conv_id % 5 > 0 THEN 'fr' END AS language
 FROM t WHERE i < 6 AND i <> 3
@@ -163,7 +163,7 @@ def feed_episodes(spark, sf_dir):
     audio = F.when(i == 3, F.concat(F.lit('<enclosure url="'), at, F.lit('.pdf" type="application/pdf"/>'))).when(i == 1, F.concat(F.lit('<link rel="x" type="audio/mpeg" href="'), at, F.lit('"/>'))).when(i == 2, F.concat(F.lit('<enclosure url="'), at, F.lit('" type=""/>'))).otherwise(F.concat(F.lit('<enclosure url="http://no" type="text/html"/><enclosure type="audio/mpeg" url="'), at, F.lit('"/>')))
     date = F.when(i == 0, "Mon, 06 May 2024 23:30:00 -0500").when(i == 5, "soon").otherwise(F.concat(F.lit("Tue, 0"), (i + 1).cast("string"), F.lit(" May 2024 10:00:00 GMT")))
     item = F.concat(
-        F.lit("<item>"), F.when(i == 4, "").otherwise(F.concat(F.lit("<title> "), _XML(T.strip(F.left("text", F.lit(40)))), F.lit(" &amp; &lt;"), i.cast("string"), F.lit("&gt; </title>"))), audio, F.when(i % 3 == 0, F.concat(F.lit("<link>http://page/"), k, F.lit("/"), i.cast("string"), F.lit("</link>"))).otherwise(""),
+        F.lit("<item>"), F.when(i == 4, "").otherwise(F.concat(F.lit("<title> "), _XML(T.strip("text")), F.lit(" &amp; &lt;"), i.cast("string"), F.lit("&gt; </title>"))), audio, F.when(i % 3 == 0, F.concat(F.lit("<link>http://page/"), k, F.lit("/"), i.cast("string"), F.lit("</link>"))).otherwise(""),
         F.lit("<pubDate>"), date, F.lit("</pubDate>"), F.when(i == 0, "<itunes:duration>1:02:03</itunes:duration>").when(i == 2, "<itunes:duration>1:30</itunes:duration>").when(i == 4, "<duration>59.9</duration>").otherwise(""), F.when(i % 2 == 0, F.concat(F.lit("<itunes:episode>"), (i + 1).cast("string"), F.lit("</itunes:episode>"))).otherwise(""), F.lit("</item>"),
     )
     rows = _joined(_table(spark, sf_dir, "conversations"), item, "\n")
@@ -174,7 +174,7 @@ def feed_episodes(spark, sf_dir):
 
 @query(f"""
 WITH {_TURNS}, l AS (SELECT conv_id, i, text, role FROM t WHERE i % 3 <> 2), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY i) - 1 AS r FROM l)
-SELECT 'http://tool/' || conv_id AS doc_id, CAST(r AS INTEGER) AS pos, CASE WHEN i % 2 = 0 THEN left(text, 20) ELSE 'Untitled Episode' END AS title, CASE WHEN i = 0 THEN 'series' WHEN i = 1 THEN 'album' WHEN i = 3 THEN 'channel' ELSE 'Unknown Podcast' END AS show_name,
+SELECT 'http://tool/' || conv_id AS doc_id, CAST(r AS INTEGER) AS pos, CASE WHEN i % 2 = 0 THEN text ELSE 'Untitled Episode' END AS title, CASE WHEN i = 0 THEN 'series' WHEN i = 1 THEN 'album' WHEN i = 3 THEN 'channel' ELSE 'Unknown Podcast' END AS show_name,
   CASE WHEN i % 2 = 1 THEN CAST(i AS VARCHAR) END AS episode_number, 'http://e/' || i AS audio_url, CASE WHEN i = 1 THEN '2024-02-03' ELSE 'unknown' END AS publish_date, CAST(i * 60 AS BIGINT) AS duration, role AS language FROM r WHERE r < 3 AND conv_id % 3 = 1
 UNION ALL SELECT 'http://tool/' || conv_id, 0, 'Episode', 'Podcast', NULL, 'http://tool/' || conv_id, 'unknown', 0, NULL FROM (SELECT DISTINCT conv_id FROM t) WHERE conv_id % 3 = 2
 UNION ALL SELECT 'http://tool/' || conv_id, 0, 'Only', 'Feed', NULL, 'http://a/x.mp3', '2024-05-06', 61, NULL FROM (SELECT DISTINCT conv_id FROM t) WHERE conv_id % 3 = 0
@@ -184,7 +184,7 @@ def feed_resolver(spark, sf_dir):
     turns = _table(spark, sf_dir, "conversations")
     i = F.col("i")
     line = F.when(i % 3 == 2, F.when(i == 2, "{broken").otherwise("")).otherwise(_json(
-        title=F.when(i % 2 == 0, F.left("text", F.lit(20))), series=F.when(i == 0, "series"), album=F.when(i < 2, "album"), channel=F.when(i < 4, "channel"), episode_number=F.when(i % 2 == 1, i), url=F.when(i % 2 == 0, F.concat(F.lit("http://e/"), i.cast("string"))),
+        title=F.when(i % 2 == 0, F.col("text")), series=F.when(i == 0, "series"), album=F.when(i < 2, "album"), channel=F.when(i < 4, "channel"), episode_number=F.when(i % 2 == 1, i), url=F.when(i % 2 == 0, F.concat(F.lit("http://e/"), i.cast("string"))),
         webpage_url=F.concat(F.lit("http://e/"), i.cast("string")), upload_date=F.when(i == 1, "20240203"), duration=i * 60 + 0.5, language=F.col("role"),
     ))
     url = F.concat(F.lit("http://tool/"), F.col("doc_id").cast("string"))
@@ -241,8 +241,8 @@ _PLAIN = "t AS (SELECT conv_id, turn, conv_id * 10 + turn AS doc_id, text, role,
 
 
 @query(f"""
-WITH {_PLAIN}, p AS (SELECT *, CASE WHEN k = 1 THEN text || ' and the rest of a long note' WHEN k = 8 THEN text || ' as rendered' WHEN k = 6 THEN 'https://t.co/a' || doc_id || '  https://b.c/d' WHEN k = 7 THEN left(text, 15) || ' https://t.co/zz' ELSE text END AS own FROM t),
- s AS (SELECT doc_id, k, role, own, CASE WHEN k IN (3, 4) THEN 'Title ' || doc_id WHEN k = 6 THEN 'Linked' ELSE own END AS base, CASE WHEN k = 3 THEN left(text, 50) WHEN k = 4 THEN 'Body ' || doc_id || chr(10) || chr(10) || 'more' WHEN k = 6 THEN 'page of ' || doc_id ELSE own END AS body FROM p)
+WITH {_PLAIN}, p AS (SELECT *, CASE WHEN k = 1 THEN text || ' and the rest of a long note' WHEN k = 8 THEN text || ' as rendered' WHEN k = 6 THEN 'https://t.co/a' || doc_id || '  https://b.c/d' WHEN k = 7 THEN text || ' https://t.co/zz' ELSE text END AS own FROM t),
+ s AS (SELECT doc_id, k, role, own, CASE WHEN k IN (3, 4) THEN 'Title ' || doc_id WHEN k = 6 THEN 'Linked' ELSE own END AS base, CASE WHEN k = 3 THEN text WHEN k = 4 THEN 'Body ' || doc_id || chr(10) || chr(10) || 'more' WHEN k = 6 THEN 'page of ' || doc_id ELSE own END AS body FROM p)
 SELECT CAST(doc_id AS BIGINT) AS doc_id, CASE WHEN k IN (5) THEN '' ELSE '@' || role END AS author, CASE WHEN k = 5 THEN '' WHEN k = 0 THEN role ELSE 'Name' END AS author_name, CASE WHEN k = 5 THEN 'unknown' WHEN k = 2 THEN 'unknown' ELSE '2024-05-06' END AS publish_date,
  CASE WHEN k = 5 THEN '' ELSE {_duck_title('base')} END AS title, CASE WHEN k = 5 THEN '' WHEN k = 3 THEN 'Title ' || doc_id || ';' || body || ';Note;This is an X Article preview. Export cookies from Chrome and use --cookies cookies.txt for full content.' WHEN k = 4 THEN 'Head;Body ' || doc_id || ';;more' ELSE ';' || body END AS sections,
  CASE WHEN k = 5 THEN 0 ELSE {_duck_words('body')} END AS word_count, CASE WHEN k IN (3, 4) THEN 'x_article' WHEN k IN (1, 8) THEN 'note_tweet' ELSE 'tweet' END AS tweet_subtype, CASE WHEN k = 5 THEN 'Tweet deleted or unavailable: gone' END AS error_message,
@@ -254,11 +254,11 @@ def syndication_posts(spark, sf_dir):
     rows = _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 10 + F.col("turn")).alias("doc_id"), "text", "role", ((F.col("conv_id") + F.col("turn")) % 9).alias("k"))
     k, key = F.col("k"), F.col("doc_id").cast("string")
     note = lambda t: F.struct(F.struct(F.struct(t.alias("text")).alias("result")).alias("note_tweet_results"))
-    text = F.when(k == 6, F.concat(F.lit("https://t.co/a"), key, F.lit("  https://b.c/d"))).when(k == 7, F.concat(F.left("text", F.lit(15)), F.lit(" https://t.co/zz"))).otherwise(F.col("text"))
+    text = F.when(k == 6, F.concat(F.lit("https://t.co/a"), key, F.lit("  https://b.c/d"))).when(k == 7, F.concat("text", F.lit(" https://t.co/zz"))).otherwise(F.col("text"))
     post = _json(
         __typename=F.lit("Tweet"), user=F.struct(F.col("role").alias("screen_name"), F.when(k != 0, "Name").alias("name")), created_at=F.when(k == 2, "last May").otherwise("2024-05-06T23:59:59.000Z"), text=text,
         note_tweet=F.when(k == 1, note(F.concat("text", F.lit(" and the rest of a long note")))).when(k == 2, note(F.lit("x"))), noteTweet=F.when(k == 8, F.struct(F.lit("9").alias("id"))),
-        article=F.when(k.isin(3, 4), F.struct(F.concat(F.lit("Title "), key).alias("title"), F.left("text", F.lit(50)).alias("preview_text"), F.lit("9").alias("rest_id"))),
+        article=F.when(k.isin(3, 4), F.struct(F.concat(F.lit("Title "), key).alias("title"), F.col("text").alias("preview_text"), F.lit("9").alias("rest_id"))),
         mediaDetails=F.when(k == 0, F.array(*(F.struct(F.lit(t).alias("type"), F.lit(u).alias("media_url_https")) for t, u in (("photo", "u1"), ("video", "u2"), ("photo", "u3"))))),
     )
     answers = rows.select("doc_id", F.concat(F.lit("https://x.com/a/status/"), key).alias("url"), F.when(k == 5, '{"__typename": "TweetTombstone", "tombstone": {"text": {"text": "gone"}}}').otherwise(post).alias("json"))
@@ -271,7 +271,7 @@ def syndication_posts(spark, sf_dir):
 
 
 @query(f"""
-WITH {_PLAIN}, p AS (SELECT *, replace({_STRIP("left(text, 120)")}, chr(10), ' ') || chr(10) || 'bold & more' || chr(10) || 'end' AS body FROM t)
+WITH {_PLAIN}, p AS (SELECT *, replace({_STRIP("text")}, chr(10), ' ') || chr(10) || 'bold & more' || chr(10) || 'end' AS body FROM t)
 SELECT CAST(doc_id AS BIGINT) AS doc_id, CASE WHEN k = 0 THEN '' ELSE '@' || role END AS author, 'Name' AS author_name, CASE WHEN k = 1 THEN 'unknown' ELSE '2024-12-0' || (k + 1) END AS publish_date, {_duck_title('body')} AS title, body, {_duck_words('body')} AS word_count FROM p
 """)
 def oembed_posts(spark, sf_dir):
@@ -279,7 +279,7 @@ def oembed_posts(spark, sf_dir):
     ship(spark)
     rows = _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 10 + F.col("turn")).alias("doc_id"), "text", "role", ((F.col("conv_id") + F.col("turn")) % 9).alias("k"))
     k = F.col("k")
-    said = F.replace(T.strip(F.left("text", F.lit(120))), F.lit("\n"), F.lit(" "))
+    said = F.replace(T.strip("text"), F.lit("\n"), F.lit(" "))
     html = F.concat(F.lit('<blockquote class="t"><p lang="en" dir="ltr">'), said, F.lit(' <b>bold &amp; more</b><br>end</p>&mdash; N <a href="a">no date</a> <a href="u">'), F.when(k == 1, "some day").otherwise(F.concat(F.lit("December "), (k + 1).cast("string"), F.lit(", 2024"))), F.lit("</a></blockquote><script></script>"))
     answers = rows.select("doc_id", F.lit("https://x.com/a/status/1").alias("url"), _json(author_name=F.lit("Name"), author_url=F.when(k == 0, "https://x.com/q").otherwise(F.concat(F.lit("https://twitter.com/"), "role")), html=html).alias("json"))
     found = structured.embedded_posts(answers)
@@ -308,7 +308,7 @@ def mirror_threads(spark, sf_dir):
 
 
 @query(f"""
-WITH {_TURNS}, b AS (SELECT conv_id, i, (conv_id + turn) % 7 AS k, left(text, 25) AS text FROM t), v AS (SELECT * FROM b WHERE k <> 6),
+WITH {_TURNS}, b AS (SELECT conv_id, i, (conv_id + turn) % 7 AS k, text FROM t), v AS (SELECT * FROM b WHERE k <> 6),
  g AS (SELECT *, sum(CASE WHEN k = 0 THEN 1 ELSE 0 END) OVER w AS sec, sum(CASE WHEN k IN (1, 2, 3, 5) THEN 0 ELSE 1 END) OVER w AS isle FROM v WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
  c AS (SELECT *, sum(CASE WHEN k IN (1, 2, 5) THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, isle ORDER BY i) AS num FROM g),
  l AS (SELECT conv_id, i, sec, k, text, CASE WHEN k = 0 THEN NULL WHEN k IN (1, 2, 5) THEN num || '. ' || {_STRIP('text')} WHEN k = 3 THEN '<!--IMG:' || left(sha256(conv_id || '|' || i), 32) || '-->' ELSE '• ' || {_STRIP('text')} END AS line FROM c)
@@ -321,7 +321,7 @@ def draft_blocks(spark, sf_dir):
     turns = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("all"))
     rows = turns.select(F.col("conv_id").alias("doc_id"), F.posexplode("all").alias("i", "x")).select("doc_id", "i", "x.*")
     cls = F.when(k == 0, "longform-header-two").when(k.isin(1, 2, 5), "longform-ordered-list-item").when(k == 4, "longform-unordered-list-item").otherwise("")
-    node = rows.select("doc_id", i.alias("pos"), F.when(k == 3, "img").otherwise("block").alias("type"), cls.alias("cls"), F.when(k == 6, " ").otherwise(F.left("text", F.lit(25))).alias("text"), F.when(k == 3, "http://a/b.png").otherwise("").alias("src"), F.lit(30).alias("width"), F.lit(60).alias("height"))
+    node = rows.select("doc_id", i.alias("pos"), F.when(k == 3, "img").otherwise("block").alias("type"), cls.alias("cls"), F.when(k == 6, " ").otherwise(F.col("text")).alias("text"), F.when(k == 3, "http://a/b.png").otherwise("").alias("src"), F.lit(30).alias("width"), F.lit(60).alias("height"))
     bad = rows.where(k == 3).select("doc_id", (i + 1000).alias("pos"), F.lit("img").alias("type"), F.lit("").alias("cls"), F.lit("").alias("text"), F.element_at(F.array(F.lit("data:x"), F.lit("a.svg"), F.lit("http://small.png")), (i % 3 + 1).cast("int")).alias("src"), F.lit(30).alias("width"), F.lit(30).alias("height"))
     found = structured.block_sections(structured.dom_items(node.unionByName(bad)))
     return found.select("doc_id", F.col("seq").cast("bigint").alias("seq"), "heading", F.col("level").cast("int").alias("level"), "body")

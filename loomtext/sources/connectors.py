@@ -97,6 +97,25 @@ def with_retries(call, retries: int = 3, base: float = 2.0, sleep=time.sleep):
     raise Fatal("no tries")
 
 
+class ToolFailure(Exception):
+    """A tool ended with this message; tool_verdict() tells what it means."""
+
+
+def ran(call, retries: int = 3, base: float = 2.0, sleep=time.sleep):
+    """call() of a tool, tried again where its message says that the failure may pass; else a Fatal with its class."""
+
+    def once():
+        try:
+            return call()
+        except ToolFailure as e:
+            what = tool_verdict(str(e))
+            if what == "retry":
+                raise Retry(str(e)) from e
+            raise Fatal(str(e) if what == "fatal" else f"{what}: {e}") from e
+
+    return with_retries(once, retries, base, sleep)
+
+
 class Limiter:
     """Sliding window over requests and tokens. Share a budget among tasks by dividing it by their number."""
 
@@ -255,7 +274,7 @@ def _metadata(tool: Tool, whole: bool, batches):
         rows = []
         for doc_id, url in zip(batch["doc_id"], batch["url"], strict=True):
             try:
-                text = tool.metadata(url)
+                text = ran(partial(tool.metadata, url))
                 rows.append((doc_id, url, text if whole else text.split("\n", 1)[0], None, None))
             except (Fatal, Retry) as e:
                 kind, _, message = str(e).partition(": ")
@@ -279,7 +298,10 @@ def _subtitles(tool: Tool, batches):
     for batch in batches:
         rows = []
         for doc_id, url, lang, auto in zip(*(batch[c] for c in ("doc_id", "url", "lang", "is_auto")), strict=True):
-            files = tool.subtitles(url, lang, bool(auto)) if lang else {}
+            try:
+                files = ran(partial(tool.subtitles, url, lang, bool(auto))) if lang else {}
+            except (Fatal, Retry):
+                files = {}
             name = subtitle_file(files, lang or "")
             rows.append((doc_id, name, files.get(name), lang, auto, None if name else "NoSubtitlesError"))
         yield pd.DataFrame(rows, columns=["doc_id", "path", "text", "lang", "is_auto", "error_type"])
@@ -302,7 +324,7 @@ def _speech(tool: Tool, speech: Speech, batches):
         for doc_id, url, lang in zip(batch["doc_id"], batch["url"], batch["language"], strict=True):
             base = (lang or "").split("-")[0].lower()
             try:
-                segments, found = speech.transcribe(tool.audio(url), base if 0 < len(base) <= 3 else None)
+                segments, found = speech.transcribe(ran(partial(tool.audio, url)), base if 0 < len(base) <= 3 else None)
             except (Fatal, Retry):
                 continue
             said = [(a, b, t.strip()) for a, b, t in segments if t.strip()]

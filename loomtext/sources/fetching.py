@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions.text import is_link_only, urls
-from loomtext.functions.urls import canonical_post_url, mirror_url, paper_id, post_id
+from loomtext.functions.urls import canonical_post_url, is_feed_url, mirror_url, paper_id, post_id
 from loomtext.operators import images as I
 from loomtext.operators import relational as R
 from loomtext.plans.config import Config
@@ -52,7 +52,9 @@ def pdf_files(items: DataFrame, connector: connectors.Connector, cfg: Config = C
 def feeds(items: DataFrame, connector: connectors.Connector, tool: connectors.Tool, cfg: Config = Config()) -> DataFrame:
     """Episodes of feeds (url): RSS, else a video tool's lines, else the URL itself."""
     urls_of = items.select(F.col("url").alias("doc_id"), "url").distinct()
-    rss = _asked(urls_of, F.col("url"), connector, cfg, retries=1).select("doc_id", F.coalesce("answer", F.lit("")).alias("xml"))
+    # Without prefer_rss, only URLs that look like feeds are read as such.
+    rss_of = urls_of if cfg.podcast.prefer_rss else urls_of.where(is_feed_url(F.lower("url")))
+    rss = _asked(rss_of, F.col("url"), connector, cfg, retries=1).select("doc_id", F.coalesce("answer", F.lit("")).alias("xml"))
     lines = connectors.video_metadata(urls_of, tool, whole=True).select("doc_id", F.coalesce("json", F.lit("")).alias("text"))
     return structured.resolved_feeds(urls_of, rss, lines, cfg.podcast.max_episodes)
 

