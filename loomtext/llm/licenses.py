@@ -15,6 +15,7 @@ rows are scanned each, and other columns are not carried along, whatever their n
 
 from __future__ import annotations
 
+import re
 from functools import partial
 from importlib import resources
 
@@ -81,6 +82,11 @@ TEMPLATES = (
     ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
 )
 
+#: Words behind "GNU" that make it another licence.
+MEMBERS = ("lesser", "affero", "library", "free")
+#: Pairs of words behind a window in which its version may still be told.
+BEHIND = 4
+
 _BLANK = np.ones(256, bool)
 _BLANK[[*range(ord("a"), ord("z") + 1), *range(ord("0"), ord("9") + 1), *range(128, 256)]] = False
 
@@ -92,6 +98,14 @@ def bigrams(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (mixed(words[:-1] * np.uint64(FACTOR) + words[1:]) if len(words) > 1 else words[:0]), word_at
 
 
+def _says_version(text: str) -> np.ndarray:
+    """Of each pair of a template's words, whether its second word is a version's number, or the next part of one."""
+    words = re.findall(r"[a-z0-9\x80-\U0010ffff]+", text.lower())
+    number = [bool(re.fullmatch("v?[0-9]+", w)) for w in words]
+    begins = [n and (w[0] == "v" or before in ("version", "v")) for before, w, n in zip(words, words[1:], number[1:])]
+    return np.array([b or (i > 0 and begins[i - 1] and number[i + 1]) for i, b in enumerate(begins)], bool)
+
+
 class Book:
     """Templates as bigram numbers: `known` holds all bigrams' hashes, ascending."""
 
@@ -108,6 +122,12 @@ class Book:
         self.counts = np.zeros((len(own), len(self.known) + 1), np.int64)  # the last column: no template's bigram
         for i, x in enumerate(own):
             np.add.at(self.counts[i], np.searchsorted(self.known, x), 1)
+        # What a notice says of its version must be said in the text, as a changed number alone hardly moves the coefficient.
+        self.versions = [np.unique(np.searchsorted(self.known, x[_says_version(text)])) if i < self.notices else np.zeros(0, np.int64) for i, (x, (_, text)) in enumerate(zip(own, templates, strict=True))]
+        # So must what tells a family's members apart.
+        other = [bigrams(*utf8_flat(pa.array([f"gnu {word}"])))[0] for word in MEMBERS]
+        other = np.array([np.searchsorted(self.known, x[0]) for x in other if x[0] in self.known], np.int64)
+        self.others = [other[self.counts[i][other] == 0] if i < self.notices else other[:0] for i in range(len(own))]
         # A small table tells most bigrams that no template has.
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[self.known >> np.uint64(48)] = True
@@ -139,7 +159,7 @@ class Book:
             for start in np.flatnonzero(held >= need).tolist():
                 got = np.bincount(numbers[start : start + a], minlength=len(self.known) + 1)
                 overlap = int(np.minimum(got, self.counts[i])[:-1].sum())
-                if overlap >= need:
+                if overlap >= need and np.isin(self.versions[i], numbers[start : start + a + BEHIND]).all() and not got[self.others[i]].any():
                     best.append((-overlap, start))
             taken: list[int] = []
             for overlap, start in sorted(best):

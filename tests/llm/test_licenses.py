@@ -14,17 +14,25 @@ def words_of(text):
     return re.findall(r"(?:[a-z0-9]|[^\x00-\x7f])+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
 
 
+def versions(pairs):
+    """Pairs that tell a version's number, as in version 2, v1 and 2 1 behind those."""
+    first = [bool(re.fullmatch("v?[0-9]+", b)) and (b[0] == "v" or a in ("version", "v")) for a, b in pairs]
+    return {p for i, p in enumerate(pairs) if first[i] or (i and first[i - 1] and re.fullmatch("v?[0-9]+", p[1]))}
+
+
 def plain_scan(text, templates, threshold):
-    """Best windows of each template, then the best of those that overlap."""
+    """Best windows of each template that tell its version, then the best of those that overlap."""
     pairs = list(zip(words_of(text), words_of(text)[1:]))
     found = []
     for name, template in templates:
         own = Counter(zip(words_of(template), words_of(template)[1:]))
+        told = versions(list(zip(words_of(template), words_of(template)[1:])))
         size = min(len(pairs), sum(own.values()))
+        others = {("gnu", w) for w in licenses.MEMBERS} - own.keys()
         best = []
         for i in range(len(pairs) - size + 1 if size else 0):
             overlap = sum((Counter(pairs[i : i + size]) & own).values())
-            if 200 * overlap >= threshold * (size + sum(own.values())):
+            if 200 * overlap >= threshold * (size + sum(own.values())) and told <= set(pairs[i : i + size + licenses.BEHIND]) and not others & set(pairs[i : i + size]):
                 best.append((-overlap, i))
         taken = []
         for overlap, i in sorted(best):
@@ -76,6 +84,15 @@ def test_notices_are_told_from_their_neighbours(spark):
         assert {m["license"] for m in r["matches"]} == {notices[r["doc_id"]][0]}, notices[r["doc_id"]]
 
 
+def test_versions_without_a_template(spark):
+    """A version that no template has is not reported as its neighbour."""
+    say = "Some words. This work is licensed under the GNU {}General Public License, version {}. More words follow."
+    cases = {("", "1"): [], ("", "2"): ["GPL-2.0"], ("", "3"): ["GPL-3.0"], ("", "4.7"): [], ("Lesser ", "2.0"): [], ("Lesser ", "2.1"): ["LGPL-2.1"], ("Affero ", "2"): [], ("Affero ", "3"): ["AGPL-3.0"]}
+    rows = spark.createDataFrame([(i, say.format(*k)) for i, k in enumerate(cases)], "doc_id int, text string")
+    got = {r["doc_id"]: [m["license"] for m in r["matches"]] for r in licenses.scan(rows).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
 def test_whole_texts_with_small_edits(spark):
     """Each long licence, some words changed, dropped and added, with a copyright line and other text around it."""
     pick, rows, want = random.Random(11), [], {}
