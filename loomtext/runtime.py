@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark import StorageLevel
@@ -46,9 +47,26 @@ def scratch_root(spark: SparkSession) -> str:
     return _fallback[app]
 
 
+_made: ContextVar[list[str] | None] = ContextVar("_made", default=None)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder."""
-    return f"{scratch_root(spark)}/loomtext/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/loomtext/{name}-{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch_paths():
+    """A list of the scratch paths that are made within, so that they can be dropped once nothing reads them."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        yield made
+    finally:
+        _made.reset(token)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
