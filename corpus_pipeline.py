@@ -6,14 +6,12 @@ data is replaced by its kind, sources are mixed to target weights, and what is l
 
 from __future__ import annotations
 
-from functools import reduce
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm import byte_bpe, ngram_join, pfair_mix, pii, ppm
-from loomtext.runtime import drop_path, stored
+from loomtext.runtime import drop_path, scratch_paths, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -79,6 +77,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    done = lambda docs, stage: stored(stage[1](spark, docs, sf_dir), stage[0])[0]
-    return reduce(done, STAGES[:-1], docs).transform(lambda docs: STAGES[-1][1](spark, docs, sf_dir))
+    """All stages, each stored but the last. When one is stored, its input and what it has made on the way are dropped."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        with scratch_paths() as made:
+            docs, path = stored(stage(spark, docs, sf_dir), name)
+        for old in [p for p in made if p != path] + ([before] if before else []):
+            drop_path(spark, old)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 from collections import Counter
 
 import numpy as np
@@ -11,6 +12,7 @@ import tiktoken
 
 import corpus_pipeline
 from loomtext.llm import byte_bpe
+from loomtext.runtime import scratch_root
 from tests.llm.cases import TEXTS, documents, saved
 
 SF = "/root/testdata/sf0.001"
@@ -69,7 +71,10 @@ def test_stages(spark):
 
 
 def test_run_on_odd_rows(spark, tmp_path):
+    tables = lambda: {p.name for p in (Path(scratch_root(spark).removeprefix("file:")) / "loomtext").glob("*")}
+    before = tables()
     rows = corpus_pipeline.run(spark, saved(spark, tmp_path, documents(spark))).collect()
+    assert [name.partition("-")[0] for name in tables() - before] == ["mixing"]  # what the last stage reads
     # Texts without a letter go, the copies of document 1 with it, and the row without key stays.
     assert {r["doc_id"] for r in rows} == {k for k, t in TEXTS if k not in (2, 3, 6, 7, 12)}
     assert corpus_pipeline.run(spark, saved(spark, tmp_path, documents(spark, []))).collect() == []
