@@ -802,3 +802,6 @@ def sql_functions(spark, sf_dir):
     rows = _joined(_table(spark, sf_dir, "conversations"), piece, "\n", F.col("text") != "")
     rows.createOrReplaceTempView("loomtext_turns")
     return spark.sql("SELECT doc_id, s.seq - 1 AS seq, s.heading, s.level, md5(s.body) AS body_md5, html_unescape('a &amp; b') AS told, format_duration(62) AS duration, classify_url('http://a.org') AS kind FROM loomtext_turns, LATERAL markdown_sections(text) s")
+
+
+from loomtext import queries_runs  # noqa: E402, F401  it adds its own
