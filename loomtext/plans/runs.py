@@ -179,6 +179,6 @@ def plans(cfg: Config, services: Services, files: DataFrame | None = None) -> di
 
 
 def save(done: DataFrame, cfg: Config, out: str) -> None:
-    """Documents of a run as files of their own, with copies in the batch folder."""
-    folders = sinks.unique_paths(done.where("markdown IS NOT NULL").withColumn("folder", sinks.folder(max_length=cfg.output.slug_max_length)))
+    """Documents of a run as files of their own, with copies in the batch folder. Items with an error have no file."""
+    folders = sinks.unique_paths(done.where("markdown IS NOT NULL AND error_type IS NULL").withColumn("folder", sinks.folder(max_length=cfg.output.slug_max_length)))
     sinks.write_files(folders.withColumn("basename", sinks.basename()), out, cfg.output.overwrite, copies=True)

@@ -454,18 +454,18 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "in" / "a.md").write_text("---\ntitle: [not, text]\nauthor: null\n---\n# H\nbody")
     (tmp_path / "in" / "b.txt").write_text("plain words")
     (tmp_path / "in" / "c.ppt").write_text("old")
-    given = [str(tmp_path / "in"), "https://x.com/h/status/1", "-o", str(tmp_path / "out"), "--no-whisper", "--max-pages", "3"]
+    given = [str(tmp_path / "in"), "https://x.com/h/status/1", "-o", str(tmp_path / "out"), "--no-whisper", "--max-pages", "3", "--service", "web=tests.test_runs_of_all_kinds:Web"]
     args = config.parser().parse_args(given)
     cfg = config.load(options=config.overrides(args))
     assert (cfg.whisper.enabled, cfg.pdf.max_pages, cfg.output.dir, cfg.output.overwrite, cfg.network.retries) == (False, 3, str(tmp_path / "out"), False, 3)
     shown = {r["url"].rpartition("/")[2]: (r["content_type"], r["format"]) for r in cli.main([*given, "--dry-run"], spark).collect()}
     assert shown == {"a.md": ("local_file", ".md"), "b.txt": ("local_file", ".txt"), "c.ppt": ("local_file", ".ppt"), "1": ("twitter", None)}
     done = {r["url"].rpartition("/")[2]: r for r in cli.main(given, spark).collect()}
-    assert done["a.md"]["title"] == "['not', 'text']" and done["b.txt"]["title"] == "b" and done["c.ppt"]["error_type"] == "LocalFileError" and done["1"]["error_type"] == "PipelineError"
+    assert done["a.md"]["title"] == "['not', 'text']" and done["b.txt"]["title"] == "b" and done["c.ppt"]["error_type"] == "LocalFileError" and done["1"]["error_type"] == "TweetFetchError"
     cli.main([*given, "--overwrite"], spark)
     out = tmp_path / "out" / "output"
     kept = {p.parent.name: p.read_text() for p in out.rglob("document.md")}
-    assert len(kept) == 3 and any("plain words" in text for text in kept.values())
+    assert len(kept) == 2 and any("plain words" in text for text in kept.values())
     assert {p.stem: p.read_text() for p in (out / "batch-process").iterdir()} == kept
     for p in (out / "batch-process").iterdir():
         p.unlink()
