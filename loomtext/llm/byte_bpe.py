@@ -6,7 +6,8 @@ two tokens' bytes would give these two tokens again. Where none fits, the last t
 tried; positions that led nowhere are marked, so that each is given up once and the time stays linear. Compatible
 neighbours everywhere mean exactly the result of merging by rank, so ids equal those of the merge loop.
 
-Null texts count as empty and give no ids; repeated rows are each encoded; extra columns are not carried along.
+Null texts count as empty and give no ids; repeated rows are each encoded; extra columns are not carried along. Very long
+texts are encoded whole, in linear time, and what of them is long is not remembered. An empty table gives no rows.
 """
 
 from __future__ import annotations
