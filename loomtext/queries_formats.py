@@ -26,7 +26,9 @@ def _joined(turns: DataFrame, piece: Column, sep: str, keep: Column | None = Non
 
 
 def _pad(x: Column, n: int) -> Column:
-    return F.lpad(F.floor(x).cast("bigint").cast("string"), n, "0")
+    """A whole number with at least n digits; lpad alone would cut longer ones."""
+    digits = F.floor(x).cast("bigint").cast("string")
+    return F.lpad(digits, F.greatest(F.length(digits), F.lit(n)), F.lit("0"))
 
 
 def _stamp(ms: Column, dot) -> Column:

@@ -27,6 +27,17 @@ def test_query_equals_sql(spark, db, name):
     assert sorted(repr(tuple(r[c] for c in order)) for r in got.collect()) == sorted(repr(tuple(r[i] for i in places)) for r in want.fetchall())
 
 
+def test_long_conversations_and_lines_that_turns_share(spark, tmp_path):
+    """Stamps of a hundred hours and more, in fixtures and readers, and turns with a line of the turn before."""
+    rows = [(c, t, "user", f"turn {t}.") for c in (0, 2, 4) for t in range(207)] + [(5, 0, "user", "One.\nTwo."), (5, 1, "assistant", "Two.\nThree."), (6, 0, "user", "A."), (6, 1, "assistant", "A.\nB.")]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    for name in ("subtitle_cues", "transcript_markdown"):
+        got, want = queries.QUERIES[name](spark, str(tmp_path)), con.sql(queries.ORACLES[name])
+        assert sorted(repr(tuple(r[c] for c in want.columns)) for r in got.collect()) == sorted(map(repr, want.fetchall()))
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
