@@ -89,3 +89,14 @@ def test_plan_of_pages(spark):
     assert "says something.\n\n> [Image: a cat]\n This is a long" in made.first()["markdown"]
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("_read(html") == 2 and plan.count("_filled(") == 1  # one parse of each page, one pass over anchors
+
+
+def test_workers_read_a_few_texts_at_a_time():
+    """What a worker holds does not grow with a batch: twenty large texts come back in many small batches, each row once."""
+    import pyarrow as pa
+
+    texts = [f"<doc><p>{i} {'x' * 100_000}</p></doc>" for i in range(19)] + [None]
+    parts = list(web._each(web.read_extracted, web._ARROW_EXTRACTED, [pa.record_batch({"doc_id": list(range(20)), "xml": texts})]))
+    assert len(parts) > 5 and max(p.num_rows for p in parts) <= 3
+    told = [(k, s[0]["body"].split(" ")[0] if s else None) for p in parts for k, s in zip(p.column("doc_id").to_pylist(), p.column("sections").to_pylist())]
+    assert told == [(i, str(i)) for i in range(19)] + [(19, None)]
