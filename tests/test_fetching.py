@@ -59,6 +59,21 @@ def test_filters_reach_the_source(spark, tmp_path):
         fetch_source.fetched(spark, path).collect()
 
 
+def test_a_task_reads_the_answers_of_its_requests_alone(spark, tmp_path, monkeypatch):
+    """Recorded answers are put to their requests by Spark: a task opens one folder, once, however many batches it asks."""
+    path, answers, opened = str(tmp_path / "requests"), str(tmp_path / "answers"), []
+    urls = spark.range(600).select(F.concat(F.lit("http://a.org/"), F.col("id").cast("string")).alias("url"), F.array(F.concat(F.lit("http://m.org/"), F.col("id").cast("string"))).alias("mirrors"))
+    fetch_source.requested(urls, path)
+    at = F.when(F.rand(1) < 0.5, F.col("url")).otherwise(F.col("mirrors")[0])
+    urls.select(at.alias("url"), F.lit(200).alias("status"), F.encode(F.lit("x"), "utf-8").alias("body"), F.lit("t").alias("content_type")).write.parquet(answers)
+    whole = fetch_source.fetched(spark, path, answers)
+    assert whole.where("asked IN (1, 2) AND content = X'78'").count() == 600 == whole.count()
+    real = fetch_source.ds.dataset
+    monkeypatch.setattr(fetch_source.ds, "dataset", lambda *a, **k: opened.append(a) or real(*a, **k))
+    reader = fetch_source.FetchReader({"requests": path, "answers": fetch_source.recorded(spark, path, answers)})
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 600 and len(opened) == 1
+
+
 def test_no_requests(spark, tmp_path):
     path = str(tmp_path / "requests")
     fetch_source.requested(items(spark).where("false"), path)
