@@ -37,24 +37,29 @@ def cut_order(boxes: np.ndarray) -> np.ndarray:
     waiting = [np.arange(len(boxes))]
     while waiting:
         here = waiting.pop()
+        if len(here) == 1:
+            out.append(int(here[0]))
+            continue
         b = boxes[here]
         (wide_x, parts_x), (wide_y, parts_y) = _gaps(b[:, 0], b[:, 2]), _gaps(b[:, 1], b[:, 3])
         part = parts_x if wide_x > wide_y else parts_y
         if part is None:
             out += here[np.lexsort((here, b[:, 0], b[:, 1]))].tolist()
+        elif len(here) == part.max() + 1:
+            out += here[np.argsort(part)].tolist()
         else:
-            waiting += [here[part == i] for i in range(int(part.max()), -1, -1)]
+            waiting += np.split(here[np.argsort(part, kind="stable")], np.cumsum(np.bincount(part))[:-1])[::-1]
     place = np.empty(len(boxes), np.int64)
     place[out] = np.arange(len(boxes))
     return place
 
 
 def _places(pages: pa.Array) -> pa.Array:
-    out = []
-    for spans in pages.to_pylist():
-        boxes = np.array([[s[c] for c in _BOX] for s in spans], np.float64).reshape(-1, 4)
-        out.append(cut_order(boxes).tolist())
-    return pa.array(out, pa.list_(pa.int64()))
+    spans = pages.flatten()
+    boxes = np.column_stack([spans.field(c).to_numpy(zero_copy_only=False) for c in _BOX]) if len(spans) else np.empty((0, 4))
+    ends = np.cumsum([0, *pages.value_lengths().fill_null(0).to_pylist()])
+    places = [cut_order(boxes[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*places, np.empty(0, np.int64)]), pa.int64()))
 
 
 def _pages(spans: DataFrame, max_pages: int) -> DataFrame:

@@ -129,3 +129,16 @@ def test_pictures_are_described_at_once(spark, tmp_path):
     df = spark.createDataFrame(rows, "doc_id int, position_marker string, image_bytes binary, media_type string, source_label string, alt_text string").coalesce(1)
     got = {r["position_marker"]: r["description"] for r in connectors.described(df, Slow(str(tmp_path)), user="{alt}", limits={"requests": 1000}).collect()}
     assert got == {f"m{i}": f"<a{i}|{i}>" for i in range(12)}
+
+
+def test_lines_of_a_column_are_not_cut_again(monkeypatch):
+    """A head and three columns of forty lines take a projection on each axis for the page, the columns and each column."""
+    import numpy as np
+
+    from loomtext.operators import layout
+
+    asked, real = [], layout._gaps
+    monkeypatch.setattr(layout, "_gaps", lambda low, high: asked.append(len(low)) or real(low, high))
+    lines = [(c * 200.0, 50.0 + i * 12, c * 200.0 + 180, 60.0 + i * 12) for c in range(3) for i in range(40)]
+    assert layout.cut_order(np.array([(0.0, 10.0, 580.0, 30.0), *lines])).tolist() == list(range(121))
+    assert len(asked) == 10 and layout.cut_order(np.empty((0, 4))).tolist() == []
