@@ -57,3 +57,9 @@ def test_entry_without_the_other_subpackage(monkeypatch):
     monkeypatch.setattr(builtins, "__import__", refuse)
     monkeypatch.setattr(entry.importlib, "import_module", refuse)
     assert set(entry.queries()) == set(queries.QUERIES) and set(entry.oracle_sql()) == set(queries.ORACLES)
+
+
+def test_chunks_to_polish_are_cut_once(spark):
+    """They are read three times, as work, for their answers and to be counted, from a table and not from Python workers."""
+    plan = queries.QUERIES["polish_chunks"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "Relation" in plan
