@@ -1,13 +1,14 @@
-"""A data source that writes each document to a file of its own, `<out>/<path>/<basename>.md`.
+"""A data source that writes each document to a file of its own, `<out>/<path>/<basename>.md`, and what reads them.
 
     documents.write.format("document_files").mode("append").save(out)
 
 takes rows (path, basename, markdown), and
 
-    spark.read.format("document_files").load(out)
+    documents_below(spark, out, parts)
 
-gives rows (folder, name, markdown) of all Markdown files below a folder; each task lists and reads the folders whose
-names hash to it, so that the driver lists nothing. With mode append, documents whose file is there are left as they are; with mode
+gives rows (folder, name, markdown) of all Markdown files below a folder. Every folder is listed once, by one task, which
+streams its names; folders are dealt over tasks for listing and files for reading, so that a folder of many files is read
+by all tasks and the driver lists nothing. With mode append, documents whose file is there are left as they are; with mode
 overwrite, each is replaced for itself, and files of other documents stay. With the option copies, a document's file is
 also written as `<out>/batch-process/<path>.md`.
 
@@ -26,22 +27,27 @@ out of the folder are errors.
 from __future__ import annotations
 
 import json
+import os
 import re
 import uuid
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
+from itertools import islice
 from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 COLUMNS = ("path", "basename", "markdown")
 BATCH_FOLDER = "batch-process"
-#: Tasks that read a folder of documents, unless the option tasks says otherwise, and bytes of a batch that they give.
-TASKS, BATCH_BYTES = 64, 4 << 20
+#: Bytes of texts and rows of names in a batch that a task gives.
+BATCH_BYTES, NAMES = 4 << 20, 10_000
+#: Of an entry: the folder that it is in, relative to the output folder and empty for its own, its name, and whether it is a folder.
+ENTRIES, FILES = "folder string, name string, is_folder boolean", "folder string, name string, markdown string"
 
 
 @dataclass
@@ -55,12 +61,6 @@ class DocumentFiles(DataSource):
     def name(cls) -> str:
         return "document_files"
 
-    def schema(self) -> str:
-        return "folder string, name string, markdown string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return DocumentReader(self.options["path"], int(self.options.get("tasks", TASKS)))
-
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
         missing = [c for c in COLUMNS if c not in schema.names]
         if missing or "path" not in self.options:
@@ -84,31 +84,77 @@ def place(path: str, basename: str) -> str:
     return whole
 
 
-class DocumentReader(DataSourceReader):
-    def __init__(self, out: str, tasks: int):
-        self.out, self.tasks = out.rstrip("/"), tasks
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(i) for i in range(self.tasks)]
-
-    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        store, root = opened(self.out)
-        rows, size = [], 0
-        for top in store.get_file_info(fs.FileSelector(root)):
-            if top.base_name.startswith(".") or zlib.crc32(top.base_name.encode()) % self.tasks != partition.value:
-                continue
-            found = store.get_file_info(fs.FileSelector(top.path, recursive=True)) if top.type == fs.FileType.Directory else [top]
-            for file in found:
-                if file.type != fs.FileType.File or not file.base_name.endswith(".md"):
-                    continue
-                with store.open_input_stream(file.path) as stream:
-                    rows.append((file.path[len(root) + 1 :].rpartition("/")[0], file.base_name, stream.read()))
-                size += file.size
-                if size > BATCH_BYTES:
-                    yield _batch(rows)
-                    size = 0
-        if rows:
-            yield _batch(rows)
+def documents_below(spark: SparkSession, out: str, parts: int) -> DataFrame:
+    """Rows (folder, name, markdown) of the Markdown files below a folder, read by so many tasks."""
+    out = out.rstrip("/")
+    tops = spark.range(0, 1, 1, 1).mapInArrow(partial(_tops, out), ENTRIES)
+    found = tops.repartition(parts, "folder", "name").mapInArrow(partial(_below, out), ENTRIES)
+    return found.repartition(parts, "folder", "name").mapInArrow(partial(_texts, out), FILES)
+
+
+def _listed(store: fs.FileSystem, root: str, folder: str) -> Iterator[tuple[str, str, bool]]:
+    """Entries (folder, name, is_folder) of one folder. Local ones are streamed, without asking for each file's state."""
+    at = f"{root}/{folder}" if folder else root
+    if isinstance(store, fs.LocalFileSystem):
+        with os.scandir(at) as found:
+            for x in found:
+                if (is_folder := x.is_dir()) or x.is_file():
+                    yield folder, x.name, is_folder
+    else:
+        for x in store.get_file_info(fs.FileSelector(at)):
+            if x.type in (fs.FileType.Directory, fs.FileType.File):
+                yield folder, x.base_name, x.type == fs.FileType.Directory
+
+
+def _tops(out: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries of the output folder, but for hidden ones, as those that jobs work in."""
+    store, root = opened(out)
+    for batch in batches:
+        if batch.num_rows:
+            yield from _named(x for x in _listed(store, root, "") if not x[1].startswith("."))
+
+
+def _below(out: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Markdown files among and below entries."""
+    store, root = opened(out)
+
+    def walked(entries: Iterator[tuple[str, str, bool]]) -> Iterator[tuple[str, str, bool]]:
+        folders: list[str] = []
+        for folder, name, is_folder in entries:
+            if is_folder:
+                folders.append(f"{folder}/{name}" if folder else name)
+                while folders:
+                    for at, own, is_below in _listed(store, root, folders.pop()):
+                        if is_below:
+                            folders.append(f"{at}/{own}")
+                        elif own.endswith(".md"):
+                            yield at, own, False
+            elif name.endswith(".md"):
+                yield folder, name, False
+
+    yield from _named(walked(x for batch in batches for x in zip(*(c.to_pylist() for c in batch.columns), strict=True)))
+
+
+def _named(entries: Iterator[tuple[str, str, bool]]) -> Iterator[pa.RecordBatch]:
+    while rows := list(islice(entries, NAMES)):
+        folder, name, is_folder = zip(*rows, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(folder, pa.string()), pa.array(name, pa.string()), pa.array(is_folder, pa.bool_())], names=["folder", "name", "is_folder"])
+
+
+def _texts(out: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What is in the files of entries (folder, name)."""
+    store, root = opened(out)
+    rows, size = [], 0
+    for batch in batches:
+        for folder, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            with store.open_input_stream(f"{root}/{folder}/{name}" if folder else f"{root}/{name}") as stream:
+                rows.append((folder, name, stream.read()))
+            size += len(rows[-1][2])
+            if size > BATCH_BYTES:
+                yield _batch(rows)
+                size = 0
+    if rows:
+        yield _batch(rows)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

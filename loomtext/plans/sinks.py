@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtext import patterns as P
 from loomtext.functions.text import slugify
-from loomtext.plans.document_files import BATCH_FOLDER, COLUMNS, DocumentFiles
+from loomtext.plans.document_files import BATCH_FOLDER, COLUMNS, DocumentFiles, documents_below
 from loomtext.runtime import exists, ship
 
 
@@ -42,20 +42,26 @@ def write_documents(df: DataFrame, out: str, overwrite: bool = False) -> None:
     (rows if overwrite else _new(rows, out, "path")).write.mode("overwrite" if overwrite else "append").parquet(out)
 
 
+def _tasks(spark: SparkSession) -> int:
+    """Tasks that write or read files: small ones, as what they do waits for the store."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 def write_files(df: DataFrame, out: str, overwrite: bool = False, copies: bool = False) -> None:
     """Rows (path, basename, markdown) as files <out>/<path>/<basename>.md, one for each document. Documents that are there
-    are left as they are, or replaced each for itself; copies: also as <out>/batch-process/<path>.md."""
+    are left as they are, or replaced each for itself; copies: also as <out>/batch-process/<path>.md.
+
+    Rows are dealt by path, so that all tasks write, however few files or row groups the documents come from."""
     spark = df.sparkSession
     ship(spark)
     spark.dataSource.register(DocumentFiles)
-    df.select(*COLUMNS).write.format("document_files").option("copies", str(copies).lower()).mode("overwrite" if overwrite else "append").save(out)
+    df.select(*COLUMNS).repartition(_tasks(spark), "path").write.format("document_files").option("copies", str(copies).lower()).mode("overwrite" if overwrite else "append").save(out)
 
 
 def read_files(spark: SparkSession, out: str) -> DataFrame:
     """Rows (folder, name, markdown) of the Markdown files below a folder; the folder is relative to it, and empty for its own."""
     ship(spark)
-    spark.dataSource.register(DocumentFiles)
-    return spark.read.format("document_files").load(out)
+    return documents_below(spark, out, _tasks(spark))
 
 
 def with_raw(df: DataFrame, polished: DataFrame) -> DataFrame:

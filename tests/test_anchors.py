@@ -95,6 +95,26 @@ def test_a_file_for_each_document(spark, tmp_path):
     assert not (tmp_path / "empty").exists() or files(tmp_path / "empty") == {}
 
 
+def test_files_of_one_folder_are_written_and_read_by_several_tasks(spark, tmp_path):
+    """Documents of one partition, with their copies in one folder, beside nested folders and what is no document."""
+    out = tmp_path / "o"
+    rows = [(f"d{i}", "x", f"text {i}") for i in range(300)]
+    spark.sparkContext.setJobGroup("files", "files")
+    sinks.write_files(frame(spark, rows).coalesce(1), str(out), copies=True)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    told = spark.sparkContext.statusTracker()
+    stages = [told.getStageInfo(s) for j in told.getJobIdsForGroup("files") for s in told.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) >= spark.sparkContext.defaultParallelism
+    for at, text in {"a/b/c/deep.md": "deep", "a/b/.own.md": "own", "top.md": "top", "a/no.txt": "no", ".hidden/x.md": "no"}.items():
+        (out / at).parent.mkdir(parents=True, exist_ok=True)
+        (out / at).write_text(text)
+    (out / "empty").mkdir()
+    read = sinks.read_files(spark, str(out)).withColumn("task", F.spark_partition_id()).collect()
+    want = {(p, "x.md"): t for p, _, t in rows} | {("batch-process", f"{p}.md"): t for p, _, t in rows}
+    assert {(r["folder"], r["name"]): r["markdown"] for r in read} == want | {("a/b/c", "deep.md"): "deep", ("a/b", ".own.md"): "own", ("", "top.md"): "top"}
+    assert len(read) == 603 and len({r["task"] for r in read if r["folder"] == "batch-process"}) > 1
+
+
 @pytest.mark.parametrize("path", ["../up", "/abs", "a//b", "."])
 def test_places_that_lead_out(spark, tmp_path, path):
     with pytest.raises(Exception, match="not a place for a document"):
