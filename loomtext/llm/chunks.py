@@ -12,8 +12,11 @@ import re
 UNSAFE = re.compile("[\\s\x1c-\x1f\x85᠎​-‍⁠﻿] ")
 
 
+def safe(text: str) -> bool:
+    """Whether the text can be cut."""
+    return text[:1] != " " and not UNSAFE.search(text)
+
+
 def cut(text: str) -> list[str] | None:
     """The text's chunks without the space that begins all but the first; None where the cut isn't safe."""
-    if UNSAFE.search(text) or text[:1] == " ":
-        return None
-    return text.split(" ")
+    return text.split(" ") if safe(text) else None

@@ -23,19 +23,23 @@ are not carried along, whatever their names.
 
 from __future__ import annotations
 
+import gc
+import json
 import os
+import re
 from functools import partial
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm._arrays import slices
 from loomtext.llm._held import held, release
-from loomtext.llm.chunks import cut
+from loomtext.llm.chunks import safe
 from loomtext.runtime import ship
 
 #: Ids in a shard, about; a longer document is a shard of its own.
@@ -47,14 +51,26 @@ SLOT_BITS = 18
 #: Bytes that a worker's memo of chunks holds, about, before it becomes the old one and a new one begins; what an entry
 #: takes besides its text and ids; characters of a chunk that is kept at most; and text bytes encoded at a time.
 MEMO_BYTES, ENTRY_BYTES, LONG, TEXT_BYTES = 48_000_000, 170, 64, 4 << 20
+#: The library's byte-level pattern, for ASCII alone, and the pre-tokenizer that has it.
+PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 
 SHARDS = "part int, shard int, before bigint, doc_ids array<bigint>, symbol_ends array<bigint>, n_ids bigint, rules binary, expansions binary, symbols binary, base int, width int"
 DECODED = "doc_id bigint, part int, shard int, at bigint, n_tokens bigint, ids binary"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter by which a byte-level vocabulary writes each byte."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class Encoder:
     """The tokenizers library with a memo of chunks between spaces. Texts that hold an added token's name (as the end of
-    text's), which the library makes that token wherever it stands, are encoded whole."""
+    text's), which the library makes that token wherever it stands, are encoded whole.
+
+    A text is cut, and the same chunks of a batch are found, in Arrow; Python handles each chunk once a batch."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -70,31 +86,73 @@ class Encoder:
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.held = 0
-        self.stops = {c: self.plain([c])[0] for c in ".,"}
+        self.gone: dict[str, bytes] = {}  # long chunks of the batch at hand
+        self.letters = _byte_letters()
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        own = told.get("pre_tokenizer") or {}
+        #: Whether pre-tokens can go to the library's model as they are.
+        self.plain_pieces = told.get("normalizer") is None and told["model"].get("dropout") is None and BYTE_LEVEL.items() <= own.items()
 
     def plain(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
     def learn(self, chunks: list[str]) -> None:
-        """Encode new chunks, each with the space before it. Most are encoded as one text, which is cut by bytes again.
-
-        Between a letter and a full stop or comma that ends the chunk every pre-token ends, so that such a chunk's ids
-        are those of the two parts."""
-        memo, old, whole, ended = self.memo, self.old, [], []
-        for c in chunks:
-            if c[-1:] in (".", ",") and c[:-1].isalpha():
-                ids = memo.get(c[:-1]) or old.get(c[:-1])
-                if ids is None:
-                    ended.append(c)
-                    whole.append(c[:-1])
-                else:
-                    memo[c] = ids + self.stops[c[-1]]
+        """Encode new chunks, each with the space before it.
+
+        Chunks of ASCII are cut into pre-tokens, and one of Latin letters, whose pre-token is the whole chunk, is one: each
+        goes to the library's model for itself, once. A pre-token with a space before it is held as the chunk that it is,
+        any other one behind a space, as no chunk has one."""
+        memo, old, rest, made, new = self.memo, self.old, [], [], {}
+        for c in chunks if self.plain_pieces else ():
+            if c.isascii():
+                if c.isalpha():
+                    new[c] = None
+                    continue
+                keys = [x[1:] if x[0] == " " and len(x) > 1 else " " + x for x in PIECE.findall(" " + c)]
+            elif c.isalpha() and max(c) < "\u0250":
+                new[c] = None
+                continue
+            elif c[-1] in ".," and c[:-1].isalpha() and max(c) < "\u0250":
+                keys = [c[:-1], " " + c[-1]]
             else:
-                whole.append(c)
-        odd = [c for c in whole if not c or c[0].isspace() or c[-1].isspace()]
+                rest.append(c)
+                continue
+            for k in keys:
+                if k not in memo and k not in new:
+                    if (ids := old.get(k)) is None:
+                        new[k] = None
+                    else:
+                        memo[k] = ids
+                        self.held += len(k) + len(ids) + ENTRY_BYTES
+            if len(keys) > 1 or keys[0] != c:
+                made.append((c, keys))
+        flat, stops, model = [], [], self.tokenizer.model
+        for k in new:
+            x = k[1:] if k[:1] == " " else " " + k
+            flat += [t.id for t in model.tokenize(x.encode().decode("latin-1").translate(self.letters))]
+            stops.append(4 * len(flat))
+        ids, start = np.array(flat, "<u4").tobytes(), 0
+        for k, stop in zip(new, stops, strict=True):
+            memo[k] = ids[start:stop]
+            self.held += len(k) + stop - start + ENTRY_BYTES
+            start = stop
+        for c, keys in made:
+            memo[c] = b"".join([memo[k] for k in keys])
+            self.held += len(c) + len(memo[c]) + ENTRY_BYTES
+        self.learn_whole(rest if self.plain_pieces else chunks)
+        for c in [*chunks, *new]:  # a long chunk, of a text without spaces, hardly comes again
+            if len(c) > LONG and c in memo:
+                self.gone[c] = memo.pop(c)
+                self.held -= len(c) + len(self.gone[c]) + ENTRY_BYTES
+
+    def learn_whole(self, chunks: list[str]) -> None:
+        """Encode new chunks by the whole library. Most are encoded as one text, which is cut by bytes again."""
+        memo = self.memo
+        odd = [c for c in chunks if not c or c[0].isspace() or c[-1].isspace()]
         memo.update(zip(odd, self.plain([" " + c for c in odd]), strict=True))
-        even = list(dict.fromkeys(c for c in whole if c and not c[0].isspace() and not c[-1].isspace()))
+        even = [c for c in chunks if c and not c[0].isspace() and not c[-1].isspace()]
         for i in range(0, len(even), 20_000):
             part = even[i : i + 20_000]
             ids = self.plain([" " + " ".join(part)])[0]
@@ -105,49 +163,55 @@ class Encoder:
             for c, stop in zip(part, (4 * stops).tolist(), strict=True):
                 memo[c] = ids[start:stop]
                 start = stop
-        for c in ended:
-            memo[c] = memo[c[:-1]] + self.stops[c[-1]]
+        for c in chunks:
+            self.held += len(c) + len(memo[c]) + ENTRY_BYTES
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts, as little-endian unsigned 32-bit integers."""
+        """Ids of whole texts, as little-endian unsigned 32-bit integers. What is made here has no cycles, so that looking
+        for some, a seventh of the time, is put off."""
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            return self.encoded(texts)
+        finally:
+            if on:
+                gc.enable()
+
+    def encoded(self, texts: list[str]) -> list[bytes]:
         if self.held > MEMO_BYTES:
             self.old, self.memo, self.held = self.memo, {}, 0
-        memo, old, first, rest, new = self.memo, self.old, [], [], {}
+        memo, old, first, rest, new = self.memo, self.old, [], [], []
+        self.gone = {}
         for text in texts:
-            chunks = None if any(t in text for t in self.added) else cut(text)
-            if chunks is None:
+            if safe(text) and not any(t in text for t in self.added):
+                head, space, tail = text.partition(" ")
+                first.append(head)
+                rest.append(tail if space else None)
+            else:
                 first.append(text)
                 rest.append(None)
-                continue
-            first.append(chunks[0])
-            del chunks[0]
-            found, holes = list(map(memo.get, chunks)), []
-            if None in found:
-                for i in [i for i, ids in enumerate(found) if ids is None]:
-                    c = chunks[i]
-                    if (ids := old.get(c)) is not None:
-                        memo[c] = found[i] = ids
-                        self.held += len(c) + len(ids) + ENTRY_BYTES
-                    else:
-                        new[c] = None
-                        holes.append((i, c))
-            rest.append((found, holes))
-        self.learn(list(new))
-        out = []
-        for ids, more in zip(self.plain(first), rest, strict=True):
-            if more:
-                found, holes = more
-                for i, c in holes:
-                    found[i] = memo[c]
-                ids += b"".join(found)
-            out.append(ids)
-        for c in new:  # a long chunk, of a text without spaces, hardly comes again
-            if len(c) > LONG:
-                memo.pop(c, None)
-                memo.pop(c[:-1], None)
+        cut = pc.split_pattern(pa.array(rest, pa.large_string()), " ")
+        coded = cut.values.dictionary_encode()
+        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(memo.get, chunks))
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            c = chunks[i]
+            if (ids := old.get(c)) is not None:
+                memo[c] = found[i] = ids
+                self.held += len(c) + len(ids) + ENTRY_BYTES
             else:
-                self.held += len(c) + len(memo[c]) + ENTRY_BYTES
-        return out
+                new.append(i)
+        self.learn([chunks[i] for i in new])
+        for i in new:
+            found[i] = memo[chunks[i]] if chunks[i] in memo else self.gone[chunks[i]]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        book, starts = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+        which = np.asarray(coded.indices)
+        each = sizes[which]
+        ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(each)))
+        whole = book[np.repeat(starts[which] - ends[:-1], each) + np.arange(ends[-1])].tobytes()
+        at = (4 * ends[np.asarray(cut.offsets)]).tolist()
+        return [ids + whole[start:stop] for ids, start, stop in zip(self.plain(first), at[:-1], at[1:], strict=True)]
 
 
 def encoder(path: str) -> Encoder:

@@ -93,6 +93,18 @@ def test_memos_are_bounded_by_bytes():
         assert np.frombuffer(encode([text])[0], "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_new_chunks_of_known_words_are_not_encoded_again():
+    """A chunk over a line's end is put together from its pre-tokens, each of which the library's model sees once."""
+    encode, asked = repair_tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json")), []
+    plain = encode.plain
+    encode.plain = lambda texts: asked.extend(texts) or plain(texts)
+    pick = random.Random(7)
+    signs = ["word", "é", "7", ".", ",", "'s", "'", "\n", "\t", "\x1c", "-", "Été.", "中", "\0", "<|endoftext|>", " ", " ", "\x85"]
+    texts = ["a fence walks.", "a walks.\nFence, fence's\n\n7th"] + ["".join(pick.choices(signs, k=pick.randint(0, 12))) for _ in range(3000)]
+    assert encode(texts[:2]) + encode(texts[2:]) == plain(texts)
+    assert not any("walks" in x or "Fence" in x for x in asked)
+
+
 def test_bpe_on_random_bytes():
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
