@@ -22,17 +22,17 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from loomtext.llm._arrays import binary_column
+from loomtext.llm._arrays import binary_column, slices, utf8_flat
 from loomtext.llm._held import held, release
-from loomtext.llm.chunks import cut
+from loomtext.llm.pretokens import PATTERN, Cutter, put_together
 from loomtext.runtime import ship
 
-#: Bytes that a worker's memos of chunks and of other pieces hold, about, before these become the old ones and new ones
-#: begin, so that all four stay below 100 MB; what an entry takes besides its text and ids; characters of what is kept at
-#: most, as longer chunks (of texts without spaces) hardly come again.
-CHUNK_BYTES, PIECE_BYTES, ENTRY_BYTES, LONG = 43_000_000, 5_000_000, 160, 64
-#: Pairs of tokens whose compatibility a worker remembers, of some 120 bytes each.
-FIT_ENTRIES = 300_000
+#: Bytes that a worker's memos of pieces with a space before them and of other pieces hold, about, before these become the
+#: old ones and new ones begin, so that all four stay below 50 MB; what an entry takes besides its bytes and ids; bytes of
+#: what is kept at most, as longer pieces (of texts without spaces) hardly come again.
+CHUNK_BYTES, PIECE_BYTES, ENTRY_BYTES, LONG = 19_000_000, 4_000_000, 160, 64
+#: Pairs of tokens whose compatibility a worker remembers, of some 120 bytes each; text bytes encoded at a time.
+FIT_ENTRIES, TEXT_BYTES = 150_000, 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -58,11 +58,13 @@ class ByteBpe:
         self._parts: dict[int, tuple[int, int] | None] = {}
         self._fits: dict[int, bool] = {}
         self._shorter: dict[int, int] = {}
-        self._pieces: dict[str, bytes] = {}
-        self._old_pieces: dict[str, bytes] = {}
-        self._chunks: dict[str, bytes] = {}
-        self._old_chunks: dict[str, bytes] = {}
+        self._pieces: dict[bytes, bytes] = {}
+        self._old_pieces: dict[bytes, bytes] = {}
+        self._chunks: dict[bytes, bytes] = {}
+        self._old_chunks: dict[bytes, bytes] = {}
         self._chunk_bytes = self._piece_bytes = 0
+        matches = self.pattern.findall  # not through self, so that an encoder goes when it is let go
+        self._cutter = Cutter(lambda text: len(matches(text))) if pattern == PATTERN else None
 
     def merge(self, token: bytes, below: int | None = None) -> list[int]:
         """Merging by rank, step by step; with `below`, only merges of a lower rank than that."""
@@ -161,60 +163,45 @@ class ByteBpe:
                 at -= length[token]
         return out
 
-    def packed(self, piece: str) -> bytes:
-        found = self.encode_piece(piece.encode())
-        return struct.pack(f"<{len(found)}I", *found)
-
-    def remembered(self, piece: str) -> bytes:
-        """Ids of one match of the pattern. One that begins with a space is kept as the chunk behind that space."""
+    def remembered(self, piece: bytes) -> bytes:
+        """Ids of one match of the pattern, kept for the next batches."""
+        spaced = piece[0] == 0x20
+        ids = (self._old_chunks if spaced else self._old_pieces).get(piece)
+        if ids is None:
+            found = self.encode_piece(piece)
+            ids = struct.pack(f"<{len(found)}I", *found)
         if len(piece) > LONG:
-            return self.packed(piece)
-        if piece[0] == " " and len(piece) > 1:
-            ids = self._chunks.get(piece[1:])
-            if ids is None:
-                ids = self._old_chunks.get(piece[1:]) or self.packed(piece)
-                self._keep_chunk(piece[1:], ids)
             return ids
-        ids = self._pieces.get(piece)
-        if ids is None:
-            ids = self._old_pieces.get(piece) or self.packed(piece)
+        held = len(piece) + len(ids) + ENTRY_BYTES
+        if spaced:
+            self._chunks[piece] = ids
+            self._chunk_bytes += held
+            if self._chunk_bytes > CHUNK_BYTES:
+                self._old_chunks, self._chunks, self._chunk_bytes = self._chunks, {}, 0
+        else:
             self._pieces[piece] = ids
-            self._piece_bytes += len(piece) + len(ids) + ENTRY_BYTES
+            self._piece_bytes += held
             if self._piece_bytes > PIECE_BYTES:
                 self._old_pieces, self._pieces, self._piece_bytes = self._pieces, {}, 0
         return ids
 
-    def _keep_chunk(self, chunk: str, ids: bytes) -> None:
-        self._chunks[chunk] = ids
-        self._chunk_bytes += len(chunk) + len(ids) + ENTRY_BYTES
-        if self._chunk_bytes > CHUNK_BYTES:
-            self._old_chunks, self._chunks, self._chunk_bytes = self._chunks, {}, 0
+    def _known(self, piece: bytes) -> bytes | None:
+        return self._chunks.get(piece) or self._pieces.get(piece)
 
-    def encode_pieces(self, text: str) -> bytes:
-        """Ids of a text, as little-endian unsigned 32-bit integers, each match of the pattern separately."""
-        return b"".join(map(self.remembered, self.pattern.findall(text)))
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """Ids of whole texts, as little-endian unsigned 32-bit integers, each match of the pattern separately."""
+        if self._cutter is None:
+            found = [[x.encode() for x in self.pattern.findall(text or "")] for text in texts.to_pylist()]
+            return [b"".join([self._known(x) or self.remembered(x) for x in own]) for own in found]
+        pieces, which, at = self._cutter.distinct(*utf8_flat(texts))
+        ids = list(map(self._known, pieces))
+        for i in [i for i, x in enumerate(ids) if x is None]:
+            ids[i] = self.remembered(pieces[i])
+        return put_together(ids, which, at)
 
     def encode(self, text: str) -> bytes:
-        """Ids of a whole text, as little-endian unsigned 32-bit integers."""
-        chunks = cut(text)
-        if chunks is None:
-            return self.encode_pieces(text)
-        first = self.encode_pieces(chunks[0])
-        out = list(map(self._chunks.get, chunks))
-        out[0] = first
-        if None in out:
-            for i in [i for i, ids in enumerate(out) if ids is None]:
-                chunk = chunks[i]
-                ids = self._chunks.get(chunk)
-                if ids is None:
-                    ids = self._old_chunks.get(chunk)
-                    if ids is None:
-                        pieces = self.pattern.findall(" " + chunk)
-                        ids = self.packed(pieces[0]) if len(pieces) == 1 else b"".join(map(self.remembered, pieces))
-                    if len(chunk) <= LONG:
-                        self._keep_chunk(chunk, ids)
-                out[i] = ids
-        return b"".join(out)
+        """Ids of a whole text."""
+        return self.encode_all(pa.array([text], pa.large_string()))[0]
 
     def decode(self, ids: bytes) -> bytes:
         """Bytes of ids given as little-endian unsigned 32-bit integers."""
@@ -229,8 +216,8 @@ def encoder(path: str, pattern: str) -> ByteBpe:
 def _encode(path: str, pattern: str, key: str, batches):
     bpe = encoder(path, pattern)
     for batch in batches:
-        ids = [bpe.encode(text.as_py() or "") for text in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), binary_column(ids)], names=[key, "ids"])
+        for some in slices(batch, batch.schema.names[1], TEXT_BYTES):
+            yield pa.RecordBatch.from_arrays([some.column(0), binary_column(bpe.encode_all(some.column(1)))], names=[key, "ids"])
     del bpe
     release()  # a task warms its memos within a second, and workers that wait hold none
 

@@ -168,6 +168,7 @@ def _sieved(inside: bool, shared, batches):
     for batch in batches:
         kept = batch.filter(pa.array(_held(bitmap, np.asarray(batch.column(0))) == inside))
         yield pa.RecordBatch.from_arrays(kept.columns[1:], names=kept.schema.names[1:])
+    release()  # what a batch took goes back, as workers wait through stages that need no Python
 
 
 class Sieve:
