@@ -26,20 +26,18 @@ from __future__ import annotations
 import gc
 import json
 import os
-import re
 from functools import partial
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm._arrays import slices
+from loomtext.llm._arrays import slices, utf8_flat
 from loomtext.llm._held import held, release
-from loomtext.llm.chunks import safe
+from loomtext.llm.pretokens import Cutter, put_together
 from loomtext.runtime import ship
 
 #: Ids in a shard, about; a longer document is a shard of its own.
@@ -48,11 +46,10 @@ SHARD_IDS = 1 << 20
 PAIRS, LEAST, WORTH = 4000, 24, 4
 #: Bits of the hash by which pairs are counted first.
 SLOT_BITS = 18
-#: Bytes that a worker's memo of chunks holds, about, before it becomes the old one and a new one begins; what an entry
-#: takes besides its text and ids; characters of a chunk that is kept at most; and text bytes encoded at a time.
+#: Bytes that a worker's memo of pre-tokens holds, about, before it becomes the old one and a new one begins; what an entry
+#: takes besides its bytes and ids; bytes of a pre-token that is kept at most; and text bytes encoded at a time.
 MEMO_BYTES, ENTRY_BYTES, LONG, TEXT_BYTES = 48_000_000, 170, 64, 4 << 20
-#: The library's byte-level pattern, for ASCII alone, and the pre-tokenizer that has it.
-PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+#: The pre-tokenizer whose pre-tokens can be cut here.
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 
 SHARDS = "part int, shard int, before bigint, doc_ids array<bigint>, symbol_ends array<bigint>, n_ids bigint, rules binary, expansions binary, symbols binary, base int, width int"
@@ -67,10 +64,10 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """The tokenizers library with a memo of chunks between spaces. Texts that hold an added token's name (as the end of
-    text's), which the library makes that token wherever it stands, are encoded whole.
+    """The tokenizers library with a memo of pre-tokens. Texts that hold an added token's name (as the end of text's), which
+    the library makes that token wherever it stands, are encoded whole.
 
-    A text is cut, and the same chunks of a batch are found, in Arrow; Python handles each chunk once a batch."""
+    Texts are cut, and the same pre-tokens of a batch are found, in Arrow; the library's model sees each of them once."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -80,138 +77,83 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = self.tokenizer.get_vocab_size()
-        vocabulary = self.tokenizer.get_vocab()
-        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a byte-level token has a character a byte
-        self.bytes_of[list(vocabulary.values())] = [len(x) for x in vocabulary]
-        self.memo: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.memo: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.held = 0
-        self.gone: dict[str, bytes] = {}  # long chunks of the batch at hand
         self.letters = _byte_letters()
         with open(path, encoding="utf-8") as file:
             told = json.load(file)
         own = told.get("pre_tokenizer") or {}
         #: Whether pre-tokens can go to the library's model as they are.
         self.plain_pieces = told.get("normalizer") is None and told["model"].get("dropout") is None and BYTE_LEVEL.items() <= own.items()
+        cut = self.tokenizer.pre_tokenizer.pre_tokenize_str if self.plain_pieces else None
+        self.cutter = Cutter(lambda text: len(cut(text)))
 
     def plain(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
-    def learn(self, chunks: list[str]) -> None:
-        """Encode new chunks, each with the space before it.
-
-        Chunks of ASCII are cut into pre-tokens, and one of Latin letters, whose pre-token is the whole chunk, is one: each
-        goes to the library's model for itself, once. A pre-token with a space before it is held as the chunk that it is,
-        any other one behind a space, as no chunk has one."""
-        memo, old, rest, made, new = self.memo, self.old, [], [], {}
-        for c in chunks if self.plain_pieces else ():
-            if c.isascii():
-                if c.isalpha():
-                    new[c] = None
-                    continue
-                keys = [x[1:] if x[0] == " " and len(x) > 1 else " " + x for x in PIECE.findall(" " + c)]
-            elif c.isalpha() and max(c) < "\u0250":
-                new[c] = None
-                continue
-            elif c[-1] in ".," and c[:-1].isalpha() and max(c) < "\u0250":
-                keys = [c[:-1], " " + c[-1]]
-            else:
-                rest.append(c)
-                continue
-            for k in keys:
-                if k not in memo and k not in new:
-                    if (ids := old.get(k)) is None:
-                        new[k] = None
-                    else:
-                        memo[k] = ids
-                        self.held += len(k) + len(ids) + ENTRY_BYTES
-            if len(keys) > 1 or keys[0] != c:
-                made.append((c, keys))
-        flat, stops, model = [], [], self.tokenizer.model
-        for k in new:
-            x = k[1:] if k[:1] == " " else " " + k
-            flat += [t.id for t in model.tokenize(x.encode().decode("latin-1").translate(self.letters))]
+    def learn(self, pieces: list[bytes]) -> list[bytes]:
+        """Encode new pre-tokens, each by the library's model for itself, and keep those that may come again: short ones, with
+        a space before them or of signs. Letters and digits without a space are mostly of texts without spaces."""
+        if not pieces:
+            return []
+        model, memo, flat, stops = self.tokenizer.model, self.memo, [], []
+        # No byte of UTF-8 is 0xFF, and no letter but its own stands for it.
+        for x in b"\xff".join(pieces).decode("latin-1").translate(self.letters).split("\xff"):
+            flat += [t.id for t in model.tokenize(x)]
             stops.append(4 * len(flat))
-        ids, start = np.array(flat, "<u4").tobytes(), 0
-        for k, stop in zip(new, stops, strict=True):
-            memo[k] = ids[start:stop]
-            self.held += len(k) + stop - start + ENTRY_BYTES
-            start = stop
-        for c, keys in made:
-            memo[c] = b"".join([memo[k] for k in keys])
-            self.held += len(c) + len(memo[c]) + ENTRY_BYTES
-        self.learn_whole(rest if self.plain_pieces else chunks)
-        for c in [*chunks, *new]:  # a long chunk, of a text without spaces, hardly comes again
-            if len(c) > LONG and c in memo:
-                self.gone[c] = memo.pop(c)
-                self.held -= len(c) + len(self.gone[c]) + ENTRY_BYTES
-
-    def learn_whole(self, chunks: list[str]) -> None:
-        """Encode new chunks by the whole library. Most are encoded as one text, which is cut by bytes again."""
-        memo = self.memo
-        odd = [c for c in chunks if not c or c[0].isspace() or c[-1].isspace()]
-        memo.update(zip(odd, self.plain([" " + c for c in odd]), strict=True))
-        even = [c for c in chunks if c and not c[0].isspace() and not c[-1].isspace()]
-        for i in range(0, len(even), 20_000):
-            part = even[i : i + 20_000]
-            ids = self.plain([" " + " ".join(part)])[0]
-            ends = np.cumsum(self.bytes_of[np.frombuffer(ids, "<u4")])
-            sizes = [len(c) if c.isascii() else len(c.encode()) for c in part]
-            stops = np.searchsorted(ends, np.cumsum(sizes) + np.arange(1, len(part) + 1)) + 1
-            start = 0
-            for c, stop in zip(part, (4 * stops).tolist(), strict=True):
-                memo[c] = ids[start:stop]
-                start = stop
-        for c in chunks:
-            self.held += len(c) + len(memo[c]) + ENTRY_BYTES
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts, as little-endian unsigned 32-bit integers. What is made here has no cycles, so that looking
+        ids = np.array(flat, "<u4").tobytes()
+        found = [ids[start:stop] for start, stop in zip([0, *stops[:-1]], stops, strict=True)]
+        for x, own in zip(pieces, found, strict=True):
+            if len(x) <= LONG and not (x[0] >= 0x80 or x[:1].isalnum()):
+                memo[x] = own
+                self.held += len(x) + len(own) + ENTRY_BYTES
+        return found
+
+    def __call__(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Ids of whole texts (null: none), as little-endian unsigned 32-bit integers. What is made here has no cycles, so that looking
         for some, a seventh of the time, is put off."""
         on = gc.isenabled()
         gc.disable()
         try:
-            return self.encoded(texts)
+            return self.encoded(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
         finally:
             if on:
                 gc.enable()
 
-    def encoded(self, texts: list[str]) -> list[bytes]:
+    def encoded(self, texts: pa.Array) -> list[bytes]:
+        if not self.plain_pieces:
+            return self.plain([t or "" for t in texts.to_pylist()])
         if self.held > MEMO_BYTES:
             self.old, self.memo, self.held = self.memo, {}, 0
-        memo, old, first, rest, new = self.memo, self.old, [], [], []
-        self.gone = {}
-        for text in texts:
-            if safe(text) and not any(t in text for t in self.added):
-                head, space, tail = text.partition(" ")
-                first.append(head)
-                rest.append(tail if space else None)
-            else:
-                first.append(text)
-                rest.append(None)
-        cut = pc.split_pattern(pa.array(rest, pa.large_string()), " ")
-        coded = cut.values.dictionary_encode()
-        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        found = list(map(memo.get, chunks))
+        memo, old, new = self.memo, self.old, []
+        flat, at = utf8_flat(texts)
+        pieces, which, piece_at = self.cutter.distinct(flat, at)
+        found = list(map(memo.get, pieces))
         for i in [i for i, ids in enumerate(found) if ids is None]:
-            c = chunks[i]
-            if (ids := old.get(c)) is not None:
-                memo[c] = found[i] = ids
-                self.held += len(c) + len(ids) + ENTRY_BYTES
+            x = pieces[i]
+            if (ids := old.get(x)) is not None:
+                memo[x] = found[i] = ids
+                self.held += len(x) + len(ids) + ENTRY_BYTES
             else:
                 new.append(i)
-        self.learn([chunks[i] for i in new])
-        for i in new:
-            found[i] = memo[chunks[i]] if chunks[i] in memo else self.gone[chunks[i]]
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        book, starts = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
-        which = np.asarray(coded.indices)
-        each = sizes[which]
-        ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(each)))
-        whole = book[np.repeat(starts[which] - ends[:-1], each) + np.arange(ends[-1])].tobytes()
-        at = (4 * ends[np.asarray(cut.offsets)]).tolist()
-        return [ids + whole[start:stop] for ids, start, stop in zip(self.plain(first), at[:-1], at[1:], strict=True)]
+        for i, ids in zip(new, self.learn([pieces[i] for i in new]), strict=True):
+            found[i] = ids
+        out = put_together(found, which, piece_at)
+        for i in self.with_added(flat.tobytes(), at):
+            out[i] = self.plain([texts[i].as_py()])[0]
+        return out
+
+    def with_added(self, raw: bytes, at: np.ndarray) -> list[int]:
+        """Which texts, given by their bytes and where each begins, hold an added token's name."""
+        places = []
+        for name in map(str.encode, self.added):
+            place = raw.find(name)
+            while place >= 0:
+                places.append(place)
+                place = raw.find(name, place + 1)
+        return np.unique(np.searchsorted(at, places, "right") - 1).tolist() if places else []
 
 
 def encoder(path: str) -> Encoder:
@@ -310,8 +252,7 @@ def _write(path: str, end_id: int, shard_ids: int, batches):
     keys, ids, held, before = [], [], 0, 0
     for batch in batches:
         for piece in slices(batch, batch.schema.names[1], TEXT_BYTES):
-            texts = [t or "" for t in piece.column(1).to_pylist()]
-            for key, found in zip(piece.column(0).to_pylist(), encode(texts), strict=True):
+            for key, found in zip(piece.column(0).to_pylist(), encode(piece.column(1)), strict=True):
                 found += end
                 if keys and held + len(found) // 4 > shard_ids:
                     yield _shard(part, number, before, keys, ids, base)

@@ -5,10 +5,11 @@ import sys
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import regex
 from tokenizers import Tokenizer
 
-from loomtext.llm import byte_bpe
+from loomtext.llm import byte_bpe, repair_tokens
 from loomtext.llm.pretokens import PATTERN, Cutter
 
 SIGNS = ["a", "the", "s", "t", "re", "ll", "ve", "m", "d", "'", "'s", "'ll", "'r", "'l", " ", " ", "  ", "\n", "\t", "é", "'é", "中", "1", "²", "\xa0", "　", "\x85", "\x1c", "​", "!", "?!", "\U0001f600", "ωσ", "ª", "\0", "́"]
@@ -35,3 +36,15 @@ def test_memos_of_the_tokens_stage_are_small():
         bpe.encode(" ".join(f"w{chr(97 + i)}{chr(97 + j % 26)}{chr(97 + j // 26 % 26)}{chr(97 + j // 676)}x" for j in range(17_000)))
         most = max(most, sum(sys.getsizeof(k) + sys.getsizeof(v) + 100 for memo in (bpe._chunks, bpe._old_chunks, bpe._pieces, bpe._old_pieces) for k, v in memo.items()))
     assert 25_000_000 < most < 55_000_000 and byte_bpe.FIT_ENTRIES * 120 < 20_000_000
+
+
+def test_only_texts_with_added_tokens_are_encoded_whole():
+    """Texts with runs of white space or signs beyond Latin are cut as any other; an added token's name may touch others."""
+    encode, asked = repair_tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json")), []
+    plain = encode.plain
+    encode.plain = lambda texts: asked.extend(texts) or plain(texts)
+    texts = [" two  spaces\n\n and 中文 — it's", "", None, "ends <|endoftext|>", "<|endoftext|", ">", "a<|endoftext|>b <|endoftext|>", "word,\nWord  \t x"] * 2
+    got = encode(texts) + encode(pa.array(texts[3:], pa.string()))
+    want = plain([t or "" for t in texts])
+    assert got == want + want[3:]
+    assert {x for x in asked if "<|endoftext|>" not in x} <= {"<|endoftext|", ">"}
