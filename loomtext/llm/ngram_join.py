@@ -88,7 +88,9 @@ def _summed(batches):
             part = np.ascontiguousarray(planes.T).view(np.uint32).ravel().astype(np.uint64)
             totals[i] = totals[i] + part if i in totals else part
     for i, total in totals.items():
-        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slice", "counts"])
+        # Packed again, as most counts are small: what the driver gets is a fraction of 8 bytes a cell.
+        planes = np.ascontiguousarray(total.view(np.uint8).reshape(-1, 8).T)
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(planes, 1)], pa.binary())], names=["slice", "counts"])
 
 
 def levels(df: DataFrame, text: str, n: int, cells: int = CELLS) -> np.ndarray:
@@ -98,7 +100,8 @@ def levels(df: DataFrame, text: str, n: int, cells: int = CELLS) -> np.ndarray:
     summed = part.repartition(SLICES, "slice").mapInArrow(_summed, "slice int, counts binary")
     counts = np.zeros((SLICES, cells // SLICES), np.float32)
     for row in summed.coalesce(8).toLocalIterator():
-        counts[row["slice"]] = np.frombuffer(bytes(row["counts"]), np.uint64)
+        planes = np.frombuffer(zlib.decompress(row["counts"]), np.uint8).reshape(8, -1)
+        counts[row["slice"]] = np.ascontiguousarray(planes.T).view(np.uint64).ravel()
     mean = max(1.0, float(counts.mean(dtype=np.float64)))
     return np.concatenate([np.rint(STEPS * np.log2(np.maximum(1, c / mean))).astype(np.uint8) for c in counts])
 
@@ -324,8 +327,10 @@ class _Join:
         that set. What is left is counted on whole sets."""
         spark = self.df.sparkSession
         pairs, pairs_path = stored(pairs, "pairs")
+        if not (n := pairs.count()):
+            return pairs, pairs_path
         some = pairs.select(F.explode(F.array("a", "b")).alias("v"))
-        shared = spark.sparkContext.broadcast(_bitmap(some, "v", 2 * pairs.count()))
+        shared = spark.sparkContext.broadcast(_bitmap(some, "v", 2 * n))
         told = self.classes.select("v", "n", "prefix").mapInArrow(partial(_picked, shared), "v bigint, n bigint, prefix array<bigint>")
         both = pairs
         for c in ("b", "a"):
@@ -360,29 +365,44 @@ class _Join:
 def components(links: DataFrame) -> DataFrame:
     """Rows (v, root) of all ends of links (a, b): root is the least end reachable.
 
-    Large-star and small-star steps in turn, until nothing changes; each round is stored, so that lineage stays short.
-    Minima are aggregated before they are joined to the edges, so that no end's edges are gathered.
+    Large-star and small-star steps in turn, until all components are stars; each round is stored, so that lineage stays
+    short. Minima are aggregated before they are joined to the edges, so that no end's edges are gathered.
     """
     spark = links.sparkSession
     edges, path = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
-    told = None
-    while True:
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         own = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(own, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(own.select("a", F.col("m").alias("b")))
         new, new_path = stored(small.distinct(), "edges")
-        now = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         drop_path(spark, path)
         edges, path = new, new_path
-        if now == told:
-            break
-        told = now
     roots = edges.select(F.col("a").alias("v"), F.col("b").alias("root"))
     return roots.unionByName(edges.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct())
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether each greater end a of distinct edges (a, b) has one lesser end b, which is no greater end itself."""
+    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("v"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    ends = ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    with cleaned(edges.sparkSession):
+        return not ends.where("up > 1 OR (up = 1 AND down = 1)").agg(F.count(F.lit(1))).first()[0]
+
+
+def joined(told: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows (v, root) of components that were told and of the ends of more links: of components that these join, the
+    least root is all's. Roots alone are linked anew, so that settled components are not gone through again."""
+    ends = links
+    for c in ("a", "b"):
+        ends = ends.join(told.select(F.col("v").alias(c), F.col("root").alias(f"root_{c}")), c, "left").withColumn(f"root_{c}", F.coalesce(f"root_{c}", c))
+    over = components(ends.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))).select(F.col("v").alias("old"), F.col("root").alias("new"))
+    # An end that was in no component is its own root.
+    lone = over.select(F.col("old").alias("v")).join(told.select("v"), "v", "left_anti").withColumn("root", F.col("v"))
+    return told.unionByName(lone).join(over, F.col("root") == F.col("old"), "left").select("v", F.coalesce("new", "root").alias("root"))
+
+
 def _grouped(df: DataFrame, key: str, text: str, n: int, num: int, den: int, cells: int | None) -> tuple[DataFrame, DataFrame, DataFrame, _Join]:
     """Sets of all rows, the classes of equal ones, and (v, root, first) of the classes that have links."""
     spark = df.sparkSession
@@ -417,7 +437,8 @@ def _grouped(df: DataFrame, key: str, text: str, n: int, num: int, den: int, cel
     for c in ("b", "a"):
         star = star.join(classes.select(F.col("v").alias(c), F.col("n").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}")), c)
     links, star_path = join.links(star.where(few_odd).select("a", "b"))
-    left = blocks.select("h", "v", "n", "pos").join(components(links), "v", "left").withColumn("root", F.coalesce("root", "v"))
+    told = components(links)
+    left = blocks.select("h", "v", "n", "pos").join(told, "v", "left").withColumn("root", F.coalesce("root", "v"))
     left, left_path = stored(left, "left")
     # Blocks of the same members are one: the first in order of them has each pair's positions least.
     members = [F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("v") % (1 << 40)).alias("total"), F.bit_xor(F.xxhash64("v", F.lit(1))).alias("mark"), F.min_by("pos", "v").alias("place")]
@@ -436,7 +457,7 @@ def _grouped(df: DataFrame, key: str, text: str, n: int, num: int, den: int, cel
     for path in (blocks_path, left_path, open_path):
         drop_path(spark, path)
 
-    linked = components(links.unionByName(more)).join(classes.select("v", "first"), "v")
+    linked = joined(told, more).join(classes.select("v", "first"), "v")
     linked, _ = stored(linked, "linked")
     for p in (star_path, more_path):
         drop_path(spark, p)

@@ -7,10 +7,12 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomtext.llm import ngram_join, ppm, queries, shingles
 from loomtext.llm._arrays import utf8_flat
+from loomtext.runtime import scratch_paths
 from tests.llm.cases import TEXTS, documents, saved
 
 SMALL = "/root/testdata/sf0.001"
@@ -70,6 +72,42 @@ def test_components_equal_all_pairs(spark):
         assert got == brute(rows)
 
 
+def test_driver_plans_no_round_that_changes_nothing(spark):
+    def least(pairs):
+        root = {k: k for x in pairs for k in x}
+        for _ in root:
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        return sorted(root.items())
+
+    pick, frame = random.Random(5), lambda pairs: spark.createDataFrame(pairs, "a bigint, b bigint")
+    stars, rows = [(9, 1), (1, 8), (7, 3)], lambda df: sorted(tuple(r) for r in df.collect())
+    with scratch_paths() as made:
+        assert rows(ngram_join.components(frame(stars))) == least(stars)
+        assert rows(ngram_join.components(frame([]))) == []
+    assert len(made) == 2  # the edges alone
+    chains = [(i, i + 1) for i in range(20, 33)] + [tuple(pick.sample(range(40, 70), 2)) for _ in range(20)]
+    told = ngram_join.components(frame(stars + chains))
+    assert rows(told) == least(stars + chains)
+    for more in ([], [(8, 9)], [(3, 8), (100, 101)], [tuple(pick.sample(range(110), 2)) for _ in range(30)]):
+        assert rows(ngram_join.joined(told, frame(more))) == least(stars + chains + more)
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(40)), "x", 1) for i in range(6)], "doc_id bigint, text string, key string, n int")
+    with scratch_paths() as made:
+        assert rows(ngram_join.similar_components(docs)) == [(i, 37, i) for i in range(6)]
+    assert "bounded" not in {p.rsplit("/", 1)[1].partition("-")[0] for p in made}  # no pairs, so none are counted
+
+
+def test_sums_of_the_sketch_are_packed():
+    counts = np.zeros(1 << 16, np.uint32)
+    counts[[0, 7, -1]] = 1, 300, 1 << 31
+    parts = [pa.RecordBatch.from_pydict({"slice": pa.array([3], pa.int32()), "counts": pa.array([zlib.compress(np.ascontiguousarray(counts.view(np.uint8).reshape(-1, 4).T), 1)])})] * 2
+    (out,) = ngram_join._summed(iter(parts))
+    packed = out.column(1)[0].as_py()
+    assert out.column(0).to_pylist() == [3] and len(packed) < 1 << 14  # of 2^19 bytes
+    assert (np.frombuffer(zlib.decompress(packed), np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel() == 2 * counts.astype(np.uint64)).all()
+
+
 def test_components_of_odd_rows(spark, tmp_path):
     rows = [(k, t) for k, t in TEXTS if k is not None]
     got = sorted(tuple(r) for r in queries.op2_ngram_jaccard(spark, saved(spark, tmp_path, documents(spark, rows))).collect())
