@@ -63,3 +63,30 @@ def test_chunks_to_polish_are_cut_once(spark):
     """They are read three times, as work, for their answers and to be counted, from a table and not from Python workers."""
     plan = queries.QUERIES["polish_chunks"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "ArrowEvalPython" not in plan and "Relation" in plan
+
+
+def _odd(spark, folder, name, **tables):
+    """A query over tables given as (schema, rows), and the same in SQL."""
+    con = duckdb.connect()
+    for table, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{folder}/{table}.parquet")
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
+    got, want = queries.QUERIES[name](spark, str(folder)), con.sql(queries.ORACLES[name])
+    shown = sorted(repr(tuple(r[c] for c in want.columns)) for r in got.collect())
+    assert shown == sorted(map(repr, want.fetchall()))
+    return shown
+
+
+DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+TURNS = "conv_id bigint, turn bigint, role string, text string"
+
+
+def test_sizes_of_previews(spark, tmp_path):
+    """Files of a million bytes and more, by the operator as the reference writes them, by the query as its SQL does."""
+    from loomtext.plans import pipelines
+
+    files = spark.createDataFrame([("/d/a.md", 999), ("/d/b.md", 1000988), ("/d/c.md", 1234567890)], "path string, length bigint")
+    assert [r["bytes"] for r in pipelines.preview_files(files).collect()] == ["999", "1,000,988", "1,234,567,890"]
+    rows = [(k,) for k in (1, 2, 1003, 1004, 60000, 1500000)]
+    shown = _odd(spark, tmp_path, "previews", supplier=("s_suppkey bigint", rows), documents=(DOCUMENTS, [(0, "a", "en", "web", 1)]), conversations=(TURNS, [(1, 0, "user", "a")]))
+    assert any("|1000,988|" in x for x in shown)
