@@ -90,3 +90,16 @@ def test_sizes_of_previews(spark, tmp_path):
     rows = [(k,) for k in (1, 2, 1003, 1004, 60000, 1500000)]
     shown = _odd(spark, tmp_path, "previews", supplier=("s_suppkey bigint", rows), documents=(DOCUMENTS, [(0, "a", "en", "web", 1)]), conversations=(TURNS, [(1, 0, "user", "a")]))
     assert any("|1000,988|" in x for x in shown)
+
+
+def test_lines_of_local_documents_that_look_like_headings(spark, tmp_path):
+    """In capitals, before a colon, behind `#` or dashes, as markup and in quotes, in files of each kind. The reader's rule stays."""
+    from loomtext.sources import files
+
+    text = [("/d/a.txt", b"LYESSH.\none\nNote:\ntwo")]
+    read = files.text_documents(spark.createDataFrame(text, "path string, content binary").selectExpr("path AS doc_id", "path", "content", "timestamp '2024-05-06' AS modified"))
+    assert [(s["heading"], s["body"]) for s in read.first()["sections"]] == [("LYESSH.", "one"), ("Note", "two")]
+    lines = ["LYESSH.", "A B C", "Note that:", "ABC:", "# head", "--- a --- b", "«quoted»", "a<b>c & d&lt", "PART ONE", "一二三四:", "plain  text"]
+    texts = ["\n".join(x) for x in [(a,) for a in lines] + [(a, b) for a in lines for b in ("", *lines)]]
+    rows = [(i * 7 + k, text, "en", "web", len(text)) for i, text in enumerate(texts) for k in range(7)]
+    assert len(_odd(spark, tmp_path, "local_documents", documents=(DOCUMENTS, rows))) == len(rows)
