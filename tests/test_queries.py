@@ -103,3 +103,21 @@ def test_lines_of_local_documents_that_look_like_headings(spark, tmp_path):
     texts = ["\n".join(x) for x in [(a,) for a in lines] + [(a, b) for a in lines for b in ("", *lines)]]
     rows = [(i * 7 + k, text, "en", "web", len(text)) for i, text in enumerate(texts) for k in range(7)]
     assert len(_odd(spark, tmp_path, "local_documents", documents=(DOCUMENTS, rows))) == len(rows)
+
+
+PAGES = "page_id bigint, url string, html string"
+#: Ends of texts that were cut after they were escaped, and references that the SQL leaves as they are.
+ENDS = ["&quot", "&quo", "&q", "&amp", "&am", "&", "&copy", "&middot", "&quotx", "&ampx", "&notit", "&lt;", "&gt", "&#39;", "&nbsp;", "&quot;", "&copy;", "&amp;amp;", "&amp;#39;", "&AMP;"]
+
+
+def _cut_pages():
+    page = lambda k, e: f'<html lang="en"><head><title>About a word {e}</title></head><body><article><h1>About a word {e}</h1><p>{"One more word of a text. " * 9}{e}</p><p>A <a href="/x?a=1&amp;b=2&copy=3">link{e} </a>{e}</p></article></body></html>'
+    return [(k, f"http://h{k}.org/a", page(k, e)) for k, e in enumerate(ENDS)]
+
+
+def test_cut_references_in_articles(spark, tmp_path):
+    """Titles, heads and texts that end within a reference, by the query as its SQL reads them, by the reader as HTML does."""
+    from loomtext.sources import web
+
+    assert [web.read_page(html)["title"] for _, _, html in _cut_pages()[:3]] == ['About a word "', "About a word &quo", "About a word &q"]
+    assert len(_odd(spark, tmp_path, "article_markdown", pages=(PAGES, _cut_pages()))) == len(ENDS)
