@@ -121,3 +121,8 @@ def test_cut_references_in_articles(spark, tmp_path):
 
     assert [web.read_page(html)["title"] for _, _, html in _cut_pages()[:3]] == ['About a word "', "About a word &quo", "About a word &q"]
     assert len(_odd(spark, tmp_path, "article_markdown", pages=(PAGES, _cut_pages()))) == len(ENDS)
+
+
+def test_cut_references_in_previews_of_articles(spark, tmp_path):
+    shown = _odd(spark, tmp_path, "article_preview", pages=(PAGES, _cut_pages()))
+    assert sum("About a word &quot'" in x for x in shown) == 1
