@@ -8,7 +8,7 @@ from loomtext.operators import budgets, redirects
 from loomtext.plans import pipelines
 from loomtext.plans.config import load
 from loomtext.queries import _table, query
-from loomtext.queries_documents import _ARTICLE, _md5, _streamed
+from loomtext.queries_documents import _ARTICLE, _md5, _references, _streamed
 from loomtext.runtime import scratch, ship, stored
 from loomtext.sources import connectors, fetch_source, web
 from loomtext.streaming import ingest, ledger, limits
@@ -164,7 +164,7 @@ def page_density(spark, sf_dir):
     long paragraphs are found by density."""
     ship(spark)
     host = F.regexp_extract("url", "^https?://([^/]+)", 1)
-    own = web.article_html()
+    own = _references(web.article_html())
     html = F.concat(
         F.lit('<html><body><ul><li><a href="/">Home of '), host, F.lit('</a></li><li><a href="/m">Read more</a></li></ul>'), own, F.lit("<p>All that is on these pages belongs to "), host,
         F.lit(' and its friends, who ask all readers to write to them.</p><div><a href="/a">About us</a></div></body></html>'),

@@ -126,3 +126,7 @@ def test_cut_references_in_articles(spark, tmp_path):
 def test_cut_references_in_previews_of_articles(spark, tmp_path):
     shown = _odd(spark, tmp_path, "article_preview", pages=(PAGES, _cut_pages()))
     assert sum("About a word &quot'" in x for x in shown) == 1
+
+
+def test_cut_references_in_pages_read_by_density(spark, tmp_path):
+    assert len(_odd(spark, tmp_path, "page_density", pages=(PAGES, _cut_pages()))) == len(ENDS)
