@@ -130,3 +130,12 @@ def test_cut_references_in_previews_of_articles(spark, tmp_path):
 
 def test_cut_references_in_pages_read_by_density(spark, tmp_path):
     assert len(_odd(spark, tmp_path, "page_density", pages=(PAGES, _cut_pages()))) == len(ENDS)
+
+
+def test_first_lines_of_pages_with_images(spark, tmp_path):
+    """Blank ones, those that hold markup or references, long ones, and documents that share an id."""
+    lines = ["", " ", "\t ", "T", "x & y", "cut&quot", "a&copy=1", "AT&T", "1 < 2", "a<b>c", "</p></article>", "&&& &amp; x", "word " * 40, " padded ", "after"]
+    rows = [(i, text, "en", "web", len(text)) for i, text in enumerate([*lines, *(a + "\nnext" for a in lines)])] + [(7, "Again.", "en", "web", 6), (99, None, "en", "web", 0)]
+    assert len(_odd(spark, tmp_path, "page_images", documents=(DOCUMENTS, rows))) == 4 * (len(lines) - 3) + 2
+    plan = queries.QUERIES["page_images"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
